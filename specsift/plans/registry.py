@@ -6,28 +6,15 @@ returns a lazy DataFrame.  Column names equal the oracle's.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.keyword import keyword_index
 from ..sources import fixtures as fx
 from . import oracle as O
+from . import q_text  # noqa: F401  (registers the scalar-function queries)
+from ._reg import ORACLES, QUERIES, register  # noqa: F401
 from .search import keyword_search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(key: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[key] = fn
-        if sql is not None:
-            ORACLES[key] = sql
-        return fn
-
-    return deco
-
 
 @register("keyword_search", O.keyword_search_sql("entries"))
 def q_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
