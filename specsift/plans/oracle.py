@@ -73,20 +73,21 @@ def searchable(alias: str = "") -> str:
     )
 
 
-def keyword_scores_sql(corpus: str, queries: str, keys: str = "query_id", text: str = "query") -> dict[str, str]:
-    """CTEs computing (keys, entry_pos, score) for all pairs with score > 0."""
+def keyword_scores_sql(corpus: str, queries: str, keys: str = "query_id", text: str = "query",
+                       p: str = "") -> dict[str, str]:
+    """CTEs computing {p}kw: (keys, entry_pos, score) for all pairs with score > 0."""
     return {
-        "kq": f"SELECT DISTINCT {keys}, unnest(regexp_extract_all(lower({text}), {W}, 1)) AS term FROM {queries}",
-        "ke": f"""SELECT entry_pos, name, lower(name) AS lname, lower(coalesce(documentation,'')) AS ldoc,
+        f"{p}kq": f"SELECT DISTINCT {keys}, unnest(regexp_extract_all(lower({text}), {W}, 1)) AS term FROM {queries}",
+        f"{p}ke": f"""SELECT entry_pos, name, lower(name) AS lname, lower(coalesce(documentation,'')) AS ldoc,
                   list_distinct(regexp_extract_all(lower({searchable()}), {W}, 1)) AS terms FROM {corpus}""",
-        "ket": "SELECT DISTINCT entry_pos, unnest(terms) AS term FROM ke",
-        "kw": f"""SELECT {keys}, entry_pos, CAST(sum(w) AS DOUBLE) AS score FROM (
-                    SELECT {keys}, entry_pos, 1.0 AS w FROM kq JOIN ket USING (term)
+        f"{p}ket": f"SELECT DISTINCT entry_pos, unnest(terms) AS term FROM {p}ke",
+        f"{p}kw": f"""SELECT {keys}, entry_pos, CAST(sum(w) AS DOUBLE) AS score FROM (
+                    SELECT {keys}, entry_pos, 1.0 AS w FROM {p}kq JOIN {p}ket USING (term)
                     UNION ALL
                     SELECT {keys}, entry_pos,
                       CASE WHEN instr(ke.lname, kq.term) > 0 THEN 2.0 ELSE 0.0 END
                       + CASE WHEN instr(ke.ldoc, kq.term) > 0 THEN 1.5 ELSE 0.0 END AS w
-                    FROM kq JOIN ke ON instr(ke.lname, kq.term) > 0 OR instr(ke.ldoc, kq.term) > 0) u
+                    FROM {p}kq kq JOIN {p}ke ke ON instr(ke.lname, kq.term) > 0 OR instr(ke.ldoc, kq.term) > 0) u
                   GROUP BY ALL HAVING sum(w) > 0""",
     }
 
@@ -98,3 +99,103 @@ def keyword_search_sql(corpus_view: str, k: int = 10) -> str:
     return prelude(corpus_view, "query_batch", extra=ctes) + f"""
 SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.entry_pos, c.name, r.score
 FROM r JOIN c USING (entry_pos) WHERE r.rank <= {k}"""
+
+
+# --------------------------------------------------------------------------
+# Hashed-vector cosine, hybrid and fuzzy search (SQL twins of Q2-Q6).
+DIMS = 256
+KEYWORD_WEIGHT = 0.3
+
+
+def _k(keys, alias=""):
+    a = f"{alias}." if alias else ""
+    return ", ".join(f"{a}{k}" for k in keys)
+
+
+def sparse_sql(src: str, keys: list[str], text: str, dims: int = DIMS) -> str:
+    return f"""SELECT {_k(keys)}, bucket, CAST(sum(sgn) AS BIGINT) AS v FROM (
+      SELECT {_k(keys)}, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % {dims} AS INTEGER) AS bucket,
+             CASE WHEN CAST('0x' || substr(h, 9, 1) AS INTEGER) % 2 = 1 THEN -1 ELSE 1 END AS sgn
+      FROM (SELECT {_k(keys)}, md5(unnest(regexp_extract_all(lower({text}), {W}, 1))) AS h FROM {src}) a) b
+    GROUP BY ALL HAVING sum(sgn) <> 0"""
+
+
+def semantic_ctes(p: str, corpus: str, queries: str, keys: list[str], text: str, n: int) -> dict[str, str]:
+    """CTE {p}sem: keys, rank, entry_pos, name, score (top n by score desc, entry_pos)."""
+    on = " AND ".join(f"dt.{k} = qn.{k}" for k in keys)
+    return {
+        f"{p}qs": sparse_sql(queries, keys, text),
+        f"{p}qn": f"SELECT {_k(keys)}, sum(v * v) AS n2 FROM {p}qs GROUP BY ALL",
+        f"{p}dt": f"SELECT {_k(keys, 'q')}, e.entry_pos, sum(q.v * e.v) AS dot FROM {p}qs q JOIN ces e USING (bucket) GROUP BY ALL",
+        f"{p}sc": f"""SELECT {_k(keys, 'qn')}, en.entry_pos,
+            CAST(coalesce(dt.dot, 0) AS DOUBLE) / sqrt(CAST(qn.n2 AS DOUBLE) * CAST(en.n2 AS DOUBLE)) AS score
+            FROM {p}qn qn CROSS JOIN cen en LEFT JOIN {p}dt dt ON {on} AND dt.entry_pos = en.entry_pos""",
+        f"{p}sem": f"""SELECT * FROM (SELECT s.*, c.name, CAST(row_number() OVER (PARTITION BY {_k(keys, 's')}
+            ORDER BY s.score DESC, s.entry_pos) AS INTEGER) AS rank FROM {p}sc s JOIN {corpus} c USING (entry_pos)) x
+            WHERE rank <= {n}""",
+    }
+
+
+def corpus_vector_ctes(corpus: str) -> dict[str, str]:
+    text = _ops(searchable())
+    return {
+        "ces": sparse_sql(corpus, ["entry_pos"], text),
+        "cen": "SELECT entry_pos, sum(v * v) AS n2 FROM ces GROUP BY ALL",
+    }
+
+
+def _ops(x: str) -> str:
+    from ..functions.text import OPERATOR_REWRITES
+
+    out = x
+    for word, rep in OPERATOR_REWRITES:
+        out = f"regexp_replace({out}, '(?i)\\b{word}\\b', '{rep}', 'g')"
+    return out
+
+
+def keyword_top_ctes(p: str, corpus: str, queries: str, keys: list[str], text: str, n: int) -> dict[str, str]:
+    """CTE {p}kwt: keys, rank, entry_pos, name, score (keyword top n)."""
+    ctes = keyword_scores_sql(corpus, queries, _k(keys), text, p)
+    ctes[f"{p}kwt"] = f"""SELECT * FROM (SELECT w.*, c.name, CAST(row_number() OVER (PARTITION BY {_k(keys, 'w')}
+        ORDER BY w.score DESC, w.entry_pos) AS INTEGER) AS rank FROM {p}kw w JOIN {corpus} c USING (entry_pos)) x
+        WHERE rank <= {n}"""
+    return ctes
+
+
+def hybrid_ctes(p: str, keys: list[str], n: int, w: float = KEYWORD_WEIGHT) -> dict[str, str]:
+    """Given {p}sem and {p}kwt (depth 2n), CTE {p}hyb: keys, rank, entry_pos, name, score."""
+    sw = repr(1 - w)
+    kk = _k(keys)
+    return {
+        f"{p}sn": f"""SELECT s.*, CASE WHEN m.mx > 0 THEN s.score / m.mx ELSE 0.0 END * CAST({sw} AS DOUBLE) AS c
+            FROM {p}sem s JOIN (SELECT {kk}, max(score) AS mx FROM {p}sem GROUP BY ALL) m USING ({kk})""",
+        f"{p}sg": f"""SELECT {kk}, name, arg_max(entry_pos, rank) AS s_entry, arg_max(c, rank) AS s_c, min(rank) AS first_s
+            FROM {p}sn GROUP BY ALL""",
+        f"{p}kn": f"""SELECT k.*, (k.score / m.mx) * CAST({w!r} AS DOUBLE) AS c
+            FROM {p}kwt k JOIN (SELECT {kk}, max(score) AS mx FROM {p}kwt GROUP BY ALL) m USING ({kk})""",
+        f"{p}kg": f"""SELECT {kk}, name, list(c ORDER BY rank) AS cs, arg_min(entry_pos, rank) AS k_entry, min(rank) AS first_k
+            FROM {p}kn GROUP BY ALL""",
+        f"{p}hj": f"""SELECT {kk}, name, coalesce(s_entry, k_entry) AS entry_pos,
+            list_reduce(coalesce(cs, CAST([] AS DOUBLE[])), lambda a, x: a + x, coalesce(s_c, CAST(0.0 AS DOUBLE))) AS score,
+            CASE WHEN s_entry IS NOT NULL THEN 0 ELSE 1 END AS grp, coalesce(first_s, first_k) AS first
+            FROM {p}sg FULL JOIN {p}kg USING ({kk}, name)""",
+        f"{p}hyb": f"""SELECT * FROM (SELECT {kk}, name, entry_pos, score, CAST(row_number() OVER (PARTITION BY {kk}
+            ORDER BY score DESC, grp, first) AS INTEGER) AS rank FROM {p}hj) x WHERE rank <= {n}""",
+    }
+
+
+def fuzzy_ctes(p: str, corpus: str, queries: str, key: str, text: str, k: int) -> dict[str, str]:
+    """Given corpus vector CTEs (ces, cen), CTE {p}fz: key, rank, entry_pos, name, score."""
+    from .q_text import normalize_sql, variations_sql
+
+    keys = [key, "var_pos"]
+    ctes = {f"{p}var": variations_sql(queries, key, normalize_sql(text))}
+    ctes.update(semantic_ctes(p, corpus, f"{p}var", keys, "variation", 4 * k))
+    ctes.update(keyword_top_ctes(p, corpus, f"{p}var", keys, "variation", 4 * k))
+    ctes.update(hybrid_ctes(p, keys, 2 * k))
+    ctes[f"{p}bst"] = f"""SELECT {key}, name, entry_pos, score,
+        row_number() OVER (PARTITION BY {key}, name ORDER BY score DESC, var_pos) AS rb,
+        min(var_pos * 100000 + rank) OVER (PARTITION BY {key}, name) AS first FROM {p}hyb"""
+    ctes[f"{p}fz"] = f"""SELECT * FROM (SELECT {key}, name, entry_pos, score, CAST(row_number() OVER (PARTITION BY {key}
+        ORDER BY score DESC, first) AS INTEGER) AS rank FROM {p}bst WHERE rb = 1) x WHERE rank <= {k}"""
+    return ctes

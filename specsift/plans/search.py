@@ -1,26 +1,133 @@
-"""Search plans: keyword (Q1), semantic (Q2), hybrid (Q3), fuzzy (Q4),
-similar-to-entry (Q5) and routed search (Q6), all over a batch of queries."""
+"""Search plans over a batch of queries: keyword (Q1), semantic (Q2),
+hybrid (Q3), fuzzy (Q4), similar-to-entry (Q5) and routed search (Q6).
+
+A ``Corpus`` bundles the per-entry columns each scorer needs; it is built
+once and reused by every batch.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..operators.keyword import keyword_scores
-from ..operators.topk import top_k
-
-
-def keyword_search(
-    index: DataFrame,
-    queries: DataFrame,
-    k: int = 10,
-    keys: Sequence[str] = ("query_id",),
-    text_col: str = "query",
-    cfg: SearchConfig = SearchConfig(),
-) -> DataFrame:
+from ..functions.encode import hashed_ids
+from ..functions.text import normalize_query, query_variations, searchable_text
+from ..operators.blend import best_over_variations, hybrid_combine
+from ..operators.keyword import keyword_index, keyword_scores
+from ..operators.topk import first_per_key, top_k
+from ..operators.vectors import cosine_topn
+
+ENTRY_ARGS = ("name", "documentation", "signature", "requires_clauses", "ensures_clauses")
+
+
+@dataclass
+class Corpus:
+    entries: DataFrame
+    keyword: DataFrame
+    vectors: DataFrame | None  # entry_pos, name, ids  (None: keyword-only corpus)
+    cfg: SearchConfig
+
+    @property
+    def has_vectors(self) -> bool:
+        return self.vectors is not None
+
+
+def build_corpus_index(entries: DataFrame, with_vectors: bool = True, cfg: SearchConfig = SearchConfig()) -> Corpus:
+    vec = None
+    if with_vectors:
+        vec = entries.select(
+            "entry_pos", "name",
+            hashed_ids(searchable_text(*ENTRY_ARGS, normalize=True), cfg.dims).alias("ids"),
+        )
+    return Corpus(entries, keyword_index(entries), vec, cfg)
+
+
+def keyword_search(index: DataFrame, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
+                   text_col: str = "query", cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Q1: keys..., rank, entry_pos, name, score (ties: corpus order)."""
     s = keyword_scores(index, queries, keys, text_col, cfg)
     return top_k(s, list(keys), k, [F.col("score").desc(), F.col("entry_pos").asc()])
+
+
+def semantic_search(corpus: Corpus, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
+                    text_col: str = "query") -> DataFrame:
+    """Q2: cosine top-k; keyword search when the corpus has no vectors."""
+    if not corpus.has_vectors:
+        return keyword_search(corpus.keyword, queries, k, keys, text_col, corpus.cfg)
+    q = queries.select(*keys, hashed_ids(text_col, corpus.cfg.dims).alias("ids"))
+    return cosine_topn(corpus.vectors, q, k, keys, corpus.cfg.dims)
+
+
+def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
+                  text_col: str = "query") -> DataFrame:
+    """Q3: blend semantic and keyword top-2k lists by name, keep k."""
+    if not corpus.has_vectors:
+        return keyword_search(corpus.keyword, queries, k, keys, text_col, corpus.cfg)
+    sem = semantic_search(corpus, queries, 2 * k, keys, text_col)
+    kw = keyword_search(corpus.keyword, queries, 2 * k, keys, text_col, corpus.cfg)
+    return hybrid_combine(sem, kw, keys, k, corpus.cfg.keyword_weight)
+
+
+def fuzzy_search(corpus: Corpus, queries: DataFrame, k: int = 10, key: str = "query_id",
+                 text_col: str = "query") -> DataFrame:
+    """Q4: normalise, expand to variations, hybrid(2k) per variation, best per
+    name, keep k.  Without vectors: keyword search on the normalised query."""
+    nq = queries.select(key, normalize_query(text_col).alias("nq"))
+    if not corpus.has_vectors:
+        return keyword_search(corpus.keyword, nq, k, [key], "nq", corpus.cfg)
+    var = nq.select(key, F.posexplode(query_variations("nq")).alias("var_pos", "variation"))
+    hits = hybrid_search(corpus, var, 2 * k, [key, "var_pos"], "variation")
+    return best_over_variations(hits, key, "var_pos", k)
+
+
+def lookup_by_name(entries: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
+    """The first entry (corpus order) for each requested name."""
+    first = first_per_key(entries, "name")
+    return names.join(first, names[name_col] == first["name"]).drop(names[name_col])
+
+
+def exclude_and_cut(hits: DataFrame, key: str, k: int, exclude: F.Column) -> DataFrame:
+    """Drop self hits, then keep the first k (re-ranked)."""
+    kept = hits.where(~exclude).withColumnRenamed("rank", "_r")
+    return top_k(kept, [key], k, [F.col("_r").asc()]).drop("_r")
+
+
+def similar_entries(corpus: Corpus, names: DataFrame, k: int = 10, key: str = "query_id") -> DataFrame:
+    """Q5: for each (key, name): the entry's normalised text as a fuzzy query
+    with k+1, drop same-name hits, keep k.  Unknown names give no rows."""
+    src = lookup_by_name(corpus.entries, names.select(key, F.col("name").alias("_src_name")), "_src_name")
+    q = src.select(key, F.col("name").alias("src_name"),
+                   searchable_text(*ENTRY_ARGS, normalize=True).alias("query"))
+    hits = fuzzy_search(corpus, q.select(key, "query"), k + 1, key, "query")
+    hits = hits.join(q.select(key, "src_name"), key)
+    return exclude_and_cut(hits, key, k, F.col("name") == F.col("src_name")).drop("src_name")
+
+
+def routed_search(corpus: Corpus, queries: DataFrame, k: int = 3, key: str = "query_id",
+                  text_col: str = "query", exclude_self: bool = True) -> DataFrame:
+    """Q6: a query that is an entry name -> Q5; otherwise fuzzy search with
+    k+1 (when excluding) minus hits named like the query's first word."""
+    names = corpus.entries.select("name").distinct()
+    named = queries.join(names, queries[text_col] == names["name"], "left_semi")
+    free = queries.join(names, queries[text_col] == names["name"], "left_anti")
+    by_name = similar_entries(corpus, named.select(key, F.col(text_col).alias("name")), k, key)
+    depth = k + 1 if exclude_self else k
+    hits = fuzzy_search(corpus, free, depth, key, text_col)
+    first_word = free.select(key, F.regexp_extract(text_col, r"^\s*(\S+)", 1).alias("_w"))
+    hits = hits.join(first_word, key)
+    cond = (F.col("name") == F.col("_w")) if exclude_self else F.lit(False)
+    by_text = exclude_and_cut(hits, key, k, cond).drop("_w")
+    return by_name.unionByName(by_text)
+
+
+def result_projection(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """keep name, score (half-even to 3 places), path, line, signature, source."""
+    e = entries.select("entry_pos", "file_path", "line_number", "signature", "source")
+    return hits.join(e, "entry_pos").select(
+        *[c for c in hits.columns if c not in ("score", "entry_pos", "name")],
+        "name", F.bround("score", 3).alias("score"), "file_path", "line_number", "signature", "source",
+    )
