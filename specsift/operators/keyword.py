@@ -4,13 +4,20 @@ score(q, e) = |terms(q) & terms(text(e))|
             + name_boost * #{t in terms(q) : t is a substring of lower(name(e))}
             + doc_boost  * #{t in terms(q) : t is a substring of lower(doc(e))}
 
-Plan: per-(entry, term) facts are computed narrowly at the scan (token
-explode + broadcast hash join with the query vocabulary; substring test
-against the broadcast vocabulary).  Only these fact rows -- not the
-corpus text -- are hash-partitioned by ``entry_pos`` (one exchange).  The
-broadcast join to (query, term) and the per (entry, query) sum are then
-narrow, and the last exchange is the top-k one, which Catalyst's partial
-WindowGroupLimit shrinks to k rows per query and task.
+Plan: per-(entry, term) facts are computed narrowly at the scan and only
+these fact rows -- not the corpus text -- are hash-partitioned by
+``entry_pos`` (one exchange).  Token facts come from exploding each entry's
+distinct words and a broadcast hash join with the query vocabulary.
+Substring facts use the fact that a query term (a run of word characters)
+can only occur inside one word run of the name or documentation: every
+substring of each distinct run, up to the longest query term, is generated
+(``explode`` of ``sequence``) and equi-joined with the broadcast vocabulary.
+That is exact, fully codegen'd, and costs O(text x longest term) per entry
+regardless of vocabulary size -- no nested-loop join.  After the exchange
+the (entry, term) dedupe, the broadcast join to (query, term) and the per
+(entry, query) sum are all narrow; the last exchange is the top-k one,
+which Catalyst's partial WindowGroupLimit shrinks to k rows per query and
+task.
 """
 
 from __future__ import annotations
@@ -28,26 +35,38 @@ from .common import in_query_blocks
 def keyword_index(corpus: DataFrame) -> DataFrame:
     """Per-entry lookup columns (narrow projection of the corpus).
 
-    Output: entry_pos, name, lname, ldoc, terms (distinct lower-case words of
-    the searchable text).  Persist it (``write_corpus``) to reuse across batches.
+    Output: entry_pos, name, terms (distinct lower-case words of the
+    searchable text), name_runs / doc_runs (distinct word runs of the lowered
+    name / documentation).  Persist it (``write_corpus``) to reuse it.
     """
-    idx = corpus.select(
+    doc = F.coalesce("documentation", F.lit(""))
+    return corpus.select(
         "entry_pos",
         "name",
-        F.lower("name").alias("lname"),
-        F.lower(F.coalesce("documentation", F.lit(""))).alias("ldoc"),
-        terms(
-            searchable_text("name", F.coalesce("documentation", F.lit("")), "signature",
-                            "requires_clauses", "ensures_clauses")
-        ).alias("terms"),
+        terms(searchable_text("name", doc, "signature", "requires_clauses", "ensures_clauses")).alias("terms"),
+        terms("name").alias("name_runs"),
+        terms(doc).alias("doc_runs"),
     )
-    return idx
 
 
 def query_terms(queries: DataFrame, keys: Sequence[str], text_col: str = "query") -> DataFrame:
     return queries.select(*keys, F.explode(terms(text_col)).alias("term"))
 
 
+def substring_facts(index: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame:
+    """(entry_pos, name, term, nm, dc): vocabulary terms inside the name / doc."""
+    runs = index.select("entry_pos", "name", F.explode("name_runs").alias("w"), F.lit(1).alias("nm"),
+                        F.lit(0).alias("dc")).unionByName(
+        index.select("entry_pos", "name", F.explode("doc_runs").alias("w"), F.lit(0).alias("nm"),
+                     F.lit(1).alias("dc")))
+    starts = runs.select("*", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
+    subs = starts.select(
+        "entry_pos", "name", "nm", "dc", "w", "i",
+        F.explode(F.sequence(F.lit(1), F.least(F.length("w") - F.col("i") + 1, F.lit(max_len)))).alias("l"),
+    ).select("entry_pos", "name", "nm", "dc", F.expr("substring(w, i, l)").alias("term"))
+    return subs.join(vocab, "term")
+
+
 def keyword_scores(
     index: DataFrame,
     queries: DataFrame,
@@ -60,26 +79,28 @@ def keyword_scores(
 
     def run(qb: DataFrame) -> DataFrame:
         qt = F.broadcast(query_terms(qb, keys, text_col))
-        vocab = F.broadcast(query_terms(qb, keys, text_col).select("term").distinct())
+        vocab_df = query_terms(qb, keys, text_col).select("term").distinct()
+        max_len = vocab_df.agg(F.max(F.length("term"))).first()[0] or 1
+        vocab = F.broadcast(vocab_df)
         tok = (
             index.select("entry_pos", "name", F.explode("terms").alias("term"))
             .join(vocab, "term")
-            .select("entry_pos", "name", "term", F.lit(1.0).alias("w"))
+            .select("entry_pos", "name", "term", F.lit(1).alias("tok"), F.lit(0).alias("nm"), F.lit(0).alias("dc"))
         )
-        nm = F.instr(F.col("lname"), F.col("term")) > 0
-        dc = F.instr(F.col("ldoc"), F.col("term")) > 0
-        sub = (
-            index.join(vocab, nm | dc)
-            .select(
-                "entry_pos", "name", "term",
-                (nm.cast("double") * F.lit(cfg.name_match_boost) + dc.cast("double") * F.lit(cfg.doc_match_boost)).alias("w"),
-            )
+        sub = substring_facts(index, vocab, max_len).select(
+            "entry_pos", "name", "term", F.lit(0).alias("tok"), "nm", "dc")
+        facts = (
+            tok.unionByName(sub)
+            .repartition("entry_pos")
+            .groupBy("entry_pos", "name", "term")
+            .agg(F.max("tok").alias("tok"), F.max("nm").alias("nm"), F.max("dc").alias("dc"))
         )
-        facts = tok.unionByName(sub).repartition("entry_pos")
+        w = (F.col("tok").cast("double") + F.col("nm") * F.lit(cfg.name_match_boost)
+             + F.col("dc") * F.lit(cfg.doc_match_boost))
         return (
             facts.join(qt, "term")
             .groupBy("entry_pos", "name", *keys)
-            .agg(F.sum("w").alias("score"))
+            .agg(F.sum(w).alias("score"))
             .where(F.col("score") > 0)
         )
 
