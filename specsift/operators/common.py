@@ -39,3 +39,13 @@ def in_query_blocks(
     bucket = F.pmod(F.xxhash64(*keys), F.lit(blocks))
     parts = [run(queries.where(bucket == b)) for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` only when the input is too coarse to use the
+    cluster (e.g. one parquet row group -> one task).  Inputs that already
+    have at least ``defaultParallelism`` splits pass through unshuffled."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

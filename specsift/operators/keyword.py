@@ -105,3 +105,115 @@ def keyword_scores(
         )
 
     return in_query_blocks(queries, keys, query_terms(queries, keys, text_col), run)
+
+
+# ---------------------------------------------------------------------------
+# Top-n form (what search uses): the score is the sparse product
+#   facts (entry x term, weight tok + name_boost*nm + doc_boost*dc)
+#   x incidence (term x query),
+# computed per entry block inside an Arrow-batched task against a broadcast
+# term -> queries table, with a local top-n per query before the exchange.
+
+def _entry_facts(index: DataFrame, vocab: DataFrame, max_len: int, cfg: SearchConfig) -> DataFrame:
+    """One row per entry: entry_pos, name, f = array<struct<tid int, w double>>."""
+    tok = (
+        index.select("entry_pos", "name", F.explode("terms").alias("term"))
+        .select("entry_pos", "name", "term", F.lit(1).alias("tok"), F.lit(0).alias("nm"), F.lit(0).alias("dc"))
+    )
+    sub = substring_facts(index, F.broadcast(vocab.select("term")), max_len).select(
+        "entry_pos", "name", "term", F.lit(0).alias("tok"), "nm", "dc")
+    w = (F.col("tok").cast("double") + F.col("nm") * F.lit(cfg.name_match_boost)
+         + F.col("dc") * F.lit(cfg.doc_match_boost))
+    return (
+        tok.unionByName(sub)
+        .join(F.broadcast(vocab), "term")
+        .repartition("entry_pos")
+        .groupBy("entry_pos", "name", "tid")
+        .agg(F.max("tok").alias("tok"), F.max("nm").alias("nm"), F.max("dc").alias("dc"))
+        .groupBy("entry_pos", "name")
+        .agg(F.collect_list(F.struct(F.col("tid"), w.alias("w"))).alias("f"))
+    )
+
+
+def keyword_topn(index: DataFrame, blocks, n: int, cfg: SearchConfig = SearchConfig()) -> DataFrame | None:
+    """Top n entries per query by keyword score (> 0), ties in corpus order.
+
+    ``blocks``: prepared query blocks (``operators.queries.prepare_queries``).
+    Output: keys..., rank, entry_pos, name, score (None when no block).
+    """
+    from functools import reduce
+
+    from .topk import top_k
+
+    parts = [p for p in (_keyword_block(index, b, n, cfg) for b in blocks) if p is not None]
+    if not parts:
+        return None
+    keys = blocks[0].keys
+    scored = reduce(DataFrame.unionByName, parts)
+    return top_k(scored, keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
+
+
+def _keyword_block(index: DataFrame, block, n: int, cfg: SearchConfig) -> DataFrame | None:
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from .blocks import block_topn, merge_topn, row_chunks, sparse_scores
+
+    spark = index.sparkSession
+    keys = block.keys
+    qkeys = block.pdf[keys].reset_index(drop=True)
+    qt = pd.DataFrame({"qpos": np.arange(len(qkeys)), "term": block.pdf["terms"].to_numpy()}).explode("term")
+    qt = qt.dropna().drop_duplicates()
+    if len(qt) == 0:
+        return None
+    tid, vocab_terms = pd.factorize(qt["term"], sort=True)
+    qpos = qt["qpos"].to_numpy().astype(np.int64)
+    order = np.lexsort((qpos, tid))
+    indptr = np.r_[0, np.cumsum(np.bincount(tid, minlength=len(vocab_terms)))].astype(np.int64)
+    indices = qpos[order]
+    nq = len(qkeys)
+    vocab = spark.createDataFrame(pd.DataFrame({
+        "term": np.asarray(vocab_terms, dtype=object),
+        "tid": np.arange(len(vocab_terms), dtype=np.int32)}))
+    max_len = int(max(len(t) for t in vocab_terms))
+    facts = _entry_facts(index, vocab, max_len, cfg)
+    bc = spark.sparkContext.broadcast((qkeys, indptr, indices))
+    fields = block.key_fields + [
+        T.StructField("entry_pos", T.LongType()), index.schema["name"], T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields)
+
+    def fn(it):
+        qk, ip, ix = bc.value
+        qs, ps, ss, names = [], [], [], []
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            pdf = pdf.sort_values("entry_pos", kind="stable").reset_index(drop=True)
+            pos = pdf["entry_pos"].to_numpy()
+            nf = np.fromiter((len(f) for f in pdf["f"]), dtype=np.int64, count=len(pdf))
+            flat = [x for f in pdf["f"] for x in f]
+            ft = np.fromiter((x["tid"] for x in flat), dtype=np.int64, count=len(flat))
+            fw = np.fromiter((x["w"] for x in flat), dtype=np.float64, count=len(flat))
+            fr = np.repeat(np.arange(len(pdf)), nf)
+            cost = np.bincount(fr, weights=(ip[ft + 1] - ip[ft]).astype(np.float64), minlength=len(pdf))
+            starts = np.r_[0, np.cumsum(nf)]
+            for lo, hi in row_chunks(len(pdf), nq, cost):
+                a, b = starts[lo], starts[hi]
+                S = sparse_scores(fr[a:b] - lo, ft[a:b], fw[a:b], hi - lo, ip, ix, nq)
+                q, r, sc = block_topn(pos[lo:hi], S, n, positive_only=True)
+                qs.append(q)
+                ps.append(pos[lo + r])
+                ss.append(sc)
+                names.append(pdf["name"].to_numpy()[lo + r])
+        if not qs:
+            return
+        q, p, sc = np.concatenate(qs), np.concatenate(ps), np.concatenate(ss)
+        sel = merge_topn(q, p, sc, n)
+        res = qk.iloc[q[sel]].reset_index(drop=True)
+        res["entry_pos"] = p[sel]
+        res["name"] = np.concatenate(names)[sel]
+        res["score"] = sc[sel]
+        yield res[[f.name for f in fields]]
+
+    return facts.mapInPandas(fn, schema)

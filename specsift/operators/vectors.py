@@ -20,32 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.encode import dense, hashed_ids
+from .blocks import block_topn, merge_topn, row_chunks
 from .topk import top_k
 
 # Largest query matrix (queries x dims) broadcast at once.
 MAX_QUERY_CELLS = 16_000_000
 
 
-def local_topn(pos: np.ndarray, score: np.ndarray, n: int) -> list[np.ndarray]:
-    """Per column of ``score`` (rows x queries), row indices of the top n under
-    (score desc, pos asc); NaN scores are excluded."""
-    out = []
-    b = score.shape[0]
-    for j in range(score.shape[1]):
-        s = score[:, j]
-        ok = np.nonzero(~np.isnan(s))[0]
-        if ok.size > n:
-            kth = np.partition(s[ok], ok.size - n)[ok.size - n]
-            ok = ok[s[ok] >= kth]
-        if ok.size:
-            order = np.lexsort((pos[ok], -s[ok]))[:n]
-            out.append(ok[order])
-        else:
-            out.append(np.empty(0, dtype=np.int64))
-    del b
-    return out
-
-
 def _cosine(E: np.ndarray, ne2: np.ndarray, Q: np.ndarray, nq2: np.ndarray) -> np.ndarray:
     dots = E @ Q.T
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -54,42 +35,30 @@ def _cosine(E: np.ndarray, ne2: np.ndarray, Q: np.ndarray, nq2: np.ndarray) -> n
     return s
 
 
-def cosine_topn(
-    corpus: DataFrame,
-    queries: DataFrame,
-    n: int,
-    keys: Sequence[str],
-    dims: int,
-    corpus_ids: str = "ids",
-    query_ids: str = "ids",
-    extra: Sequence[str] = ("name",),
-) -> DataFrame:
+def cosine_topn(corpus: DataFrame, blocks, n: int, dims: int, corpus_ids: str = "ids",
+                extra: Sequence[str] = ("name",)) -> DataFrame | None:
     """Top n entries per query by hashed-vector cosine.
 
-    corpus: entry_pos, <extra...>, <corpus_ids> (signed bucket ids)
-    queries: <keys...>, <query_ids>
-    Output: keys..., rank, entry_pos, extra..., score
+    corpus: entry_pos, <extra...>, <corpus_ids> (signed bucket ids);
+    blocks: prepared query blocks.  Output: keys..., rank, entry_pos, extra..., score.
     """
-    keys, extra = list(keys), list(extra)
+    extra = list(extra)
     spark = corpus.sparkSession
-    qpdf = queries.select(*keys, query_ids).toPandas()
-    if len(qpdf) == 0:
-        return _empty_result(corpus, queries, keys, extra)
-    block = max(1, MAX_QUERY_CELLS // dims)
     parts = []
-    for start in range(0, len(qpdf), block):
-        qb = qpdf.iloc[start:start + block]
-        Q = dense(list(qb[query_ids]), dims)
+    for blk in blocks:
+        Q = dense(list(blk.pdf["ids"]), dims)
         nq2 = (Q * Q).sum(axis=1)
-        parts.append(_score_block(spark, corpus, qb[keys].reset_index(drop=True), Q, nq2, n, keys, extra, corpus_ids, dims,
-                                  queries.schema))
+        parts.append(_score_block(spark, corpus, blk.pdf[blk.keys].reset_index(drop=True), Q, nq2, n, blk,
+                                  extra, corpus_ids, dims))
+    if not parts:
+        return None
     scored = reduce(DataFrame.unionByName, parts)
-    return top_k(scored, keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
+    return top_k(scored, blocks[0].keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
 
 
-def _score_block(spark, corpus, qkeys: pd.DataFrame, Q, nq2, n, keys, extra, corpus_ids, dims, qschema):
+def _score_block(spark, corpus, qkeys: pd.DataFrame, Q, nq2, n, blk, extra, corpus_ids, dims):
     bc = spark.sparkContext.broadcast((qkeys, Q, nq2))
-    fields = [qschema[k] for k in keys] + [T.StructField("entry_pos", T.LongType())]
+    fields = list(blk.key_fields) + [T.StructField("entry_pos", T.LongType())]
     fields += [corpus.schema[c] for c in extra] + [T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
 
@@ -100,42 +69,31 @@ def _score_block(spark, corpus, qkeys: pd.DataFrame, Q, nq2, n, keys, extra, cor
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            E = dense(list(pdf[corpus_ids]), dims)
-            s = _cosine(E, (E * E).sum(axis=1), Qm, q2)
+            pdf = pdf.sort_values("entry_pos", kind="stable").reset_index(drop=True)
             pos = pdf["entry_pos"].to_numpy()
-            idx = local_topn(pos, s, n)
-            rows = np.concatenate(idx)
-            if rows.size == 0:
-                continue
-            qj = np.repeat(np.arange(len(idx)), [len(r) for r in idx])
-            qs.append(qj)
-            ps.append(pos[rows])
-            ss.append(s[rows, qj])
-            for c in extra:
-                xs[c].append(pdf[c].to_numpy()[rows])
+            ids = list(pdf[corpus_ids])
+            for lo, hi in row_chunks(len(pdf), Qm.shape[0]):
+                E = dense(ids[lo:hi], dims)
+                S = _cosine(E, (E * E).sum(axis=1), Qm, q2)
+                q, r, sc = block_topn(pos[lo:hi], S, n)
+                qs.append(q)
+                ps.append(pos[lo + r])
+                ss.append(sc)
+                for c in extra:
+                    xs[c].append(pdf[c].to_numpy()[lo + r])
         if not qs:
             return
         q, p, sc = np.concatenate(qs), np.concatenate(ps), np.concatenate(ss)
-        order = np.lexsort((p, -sc, q))  # by query, score desc, entry_pos asc
-        q, p, sc = q[order], p[order], sc[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-        within = np.arange(q.size) - np.repeat(starts, np.diff(np.r_[starts, q.size]))
-        keep = order[within < n]
-        sel = within < n
+        sel = merge_topn(q, p, sc, n)
         res = qk.iloc[q[sel]].reset_index(drop=True)
         res["entry_pos"] = p[sel]
         for c in extra:
-            res[c] = np.concatenate(xs[c])[keep]
+            res[c] = np.concatenate(xs[c])[sel]
         res["score"] = sc[sel]
         yield res[[f.name for f in fields]]
 
     return corpus.select("entry_pos", *extra, corpus_ids).mapInPandas(fn, schema)
 
 
-def _empty_result(corpus, queries, keys, extra):
-    base = queries.select(*keys).limit(0).crossJoin(corpus.select("entry_pos", *extra).limit(0))
-    return base.withColumn("score", F.lit(None).cast("double")).withColumn("rank", F.lit(None).cast("int"))
-
-
 def with_hashed_ids(df: DataFrame, text_col: str, dims: int, out: str = "ids") -> DataFrame:
     return df.withColumn(out, hashed_ids(text_col, dims))

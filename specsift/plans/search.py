@@ -17,7 +17,9 @@ from ..config import SearchConfig
 from ..functions.encode import hashed_ids
 from ..functions.text import normalize_query, query_variations, searchable_text
 from ..operators.blend import best_over_variations, hybrid_combine
-from ..operators.keyword import keyword_index, keyword_scores
+from ..operators.common import spread
+from ..operators.keyword import keyword_index, keyword_topn
+from ..operators.queries import prepare_queries
 from ..operators.topk import first_per_key, top_k
 from ..operators.vectors import cosine_topn
 
@@ -37,6 +39,7 @@ class Corpus:
 
 
 def build_corpus_index(entries: DataFrame, with_vectors: bool = True, cfg: SearchConfig = SearchConfig()) -> Corpus:
+    entries = spread(entries, "entry_pos")
     vec = None
     if with_vectors:
         vec = entries.select(
@@ -46,20 +49,27 @@ def build_corpus_index(entries: DataFrame, with_vectors: bool = True, cfg: Searc
     return Corpus(entries, keyword_index(entries), vec, cfg)
 
 
+def _empty_hits(corpus_like: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    e = queries.select(*keys).limit(0).crossJoin(corpus_like.select("entry_pos", "name").limit(0))
+    return e.select(*keys, F.lit(0).alias("rank"), "entry_pos", "name", F.lit(0.0).alias("score"))
+
+
 def keyword_search(index: DataFrame, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
-                   text_col: str = "query", cfg: SearchConfig = SearchConfig()) -> DataFrame:
+                   text_col: str = "query", cfg: SearchConfig = SearchConfig(), blocks=None) -> DataFrame:
     """Q1: keys..., rank, entry_pos, name, score (ties: corpus order)."""
-    s = keyword_scores(index, queries, keys, text_col, cfg)
-    return top_k(s, list(keys), k, [F.col("score").desc(), F.col("entry_pos").asc()])
+    blocks = blocks if blocks is not None else prepare_queries(queries, keys, text_col, cfg.dims)
+    out = keyword_topn(index, blocks, k, cfg)
+    return out if out is not None else _empty_hits(index, queries, keys)
 
 
 def semantic_search(corpus: Corpus, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
-                    text_col: str = "query") -> DataFrame:
+                    text_col: str = "query", blocks=None) -> DataFrame:
     """Q2: cosine top-k; keyword search when the corpus has no vectors."""
     if not corpus.has_vectors:
-        return keyword_search(corpus.keyword, queries, k, keys, text_col, corpus.cfg)
-    q = queries.select(*keys, hashed_ids(text_col, corpus.cfg.dims).alias("ids"))
-    return cosine_topn(corpus.vectors, q, k, keys, corpus.cfg.dims)
+        return keyword_search(corpus.keyword, queries, k, keys, text_col, corpus.cfg, blocks)
+    blocks = blocks if blocks is not None else prepare_queries(queries, keys, text_col, corpus.cfg.dims)
+    out = cosine_topn(corpus.vectors, blocks, k, corpus.cfg.dims)
+    return out if out is not None else _empty_hits(corpus.vectors, queries, keys)
 
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
@@ -67,8 +77,9 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = 10, keys: Sequenc
     """Q3: blend semantic and keyword top-2k lists by name, keep k."""
     if not corpus.has_vectors:
         return keyword_search(corpus.keyword, queries, k, keys, text_col, corpus.cfg)
-    sem = semantic_search(corpus, queries, 2 * k, keys, text_col)
-    kw = keyword_search(corpus.keyword, queries, 2 * k, keys, text_col, corpus.cfg)
+    blocks = prepare_queries(queries, keys, text_col, corpus.cfg.dims)
+    sem = semantic_search(corpus, queries, 2 * k, keys, text_col, blocks)
+    kw = keyword_search(corpus.keyword, queries, 2 * k, keys, text_col, corpus.cfg, blocks)
     return hybrid_combine(sem, kw, keys, k, corpus.cfg.keyword_weight)
 
 
@@ -76,7 +87,7 @@ def fuzzy_search(corpus: Corpus, queries: DataFrame, k: int = 10, key: str = "qu
                  text_col: str = "query") -> DataFrame:
     """Q4: normalise, expand to variations, hybrid(2k) per variation, best per
     name, keep k.  Without vectors: keyword search on the normalised query."""
-    nq = queries.select(key, normalize_query(text_col).alias("nq"))
+    nq = spread(queries, key).select(key, normalize_query(text_col).alias("nq"))
     if not corpus.has_vectors:
         return keyword_search(corpus.keyword, nq, k, [key], "nq", corpus.cfg)
     var = nq.select(key, F.posexplode(query_variations("nq")).alias("var_pos", "variation"))
