@@ -127,3 +127,48 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def dump_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested symbol dump derived from ``part`` (symbols) and ``lineitem``
+    (occurrences), one document per source file of ``src``.
+
+    doc_pos = smallest part key in the file; symbols in part-key order;
+    occurrences in (orderkey, price, shipdate, quantity, linenumber) order.
+    """
+    e = entries(spark, sf_dir)
+    pos = F.col("entry_pos")
+    sym = F.struct(
+        F.when(pos % 9 == 0, F.lit(12)).otherwise(F.lit(17)).cast("int").alias("kind"),
+        F.concat(F.when(pos % 4 == 0, F.regexp_replace("name", "^lemma_", "")).otherwise(F.col("name")),
+                 F.lit("_"), pos.cast("string")).alias("display_name"),
+        F.col("symbol_id").alias("symbol"),
+        F.when(F.col("documentation") == "", F.array().cast("array<string>"))
+        .otherwise(F.array("documentation")).alias("documentation"),
+        F.struct(
+            F.when(pos % 8 == 0, F.regexp_replace("signature", "proof ", "")).otherwise(F.col("signature")).alias("text"),
+            F.col("file_path").alias("relative_path"),
+        ).alias("signature_documentation"),
+    )
+    sd = e.select("file_path", "entry_pos", sym.alias("s")).groupBy("file_path").agg(
+        F.min("entry_pos").alias("doc_pos"),
+        F.transform(F.array_sort(F.collect_list(F.struct("entry_pos", "s"))), lambda x: x["s"]).alias("symbols"),
+    )
+    li = table(spark, sf_dir, "lineitem")
+    p = table(spark, sf_dir, "part").select("p_partkey", _file_of_part().alias("doc_path"))
+    occ_s = F.struct(
+        F.concat(F.lit("sym "), F.col("l_partkey").cast("string")).alias("symbol"),
+        F.col("l_linenumber").alias("symbol_roles"),
+        F.when(F.col("l_quantity") % 10 == 0, F.array().cast("array<int>"))
+        .otherwise(F.array(F.col("l_quantity").cast("int"))).alias("range"),
+    )
+    od = li.join(p, li["l_partkey"] == p["p_partkey"]).select(
+        "doc_path", F.struct("l_orderkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_linenumber",
+                             occ_s.alias("o")).alias("k")
+    ).groupBy("doc_path").agg(F.transform(F.array_sort(F.collect_list("k")), lambda x: x["o"]).alias("occurrences"))
+    docs = sd.join(od, sd["file_path"] == od["doc_path"], "left")
+    return docs.select(
+        F.col("doc_pos").cast("long"), F.col("file_path").alias("relative_path"), "symbols",
+        F.coalesce("occurrences", F.array().cast(
+            "array<struct<symbol:string,symbol_roles:int,range:array<int>>>")).alias("occurrences"),
+    )
