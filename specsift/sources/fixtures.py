@@ -172,3 +172,40 @@ def dump_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("occurrences", F.array().cast(
             "array<struct<symbol:string,symbol_roles:int,range:array<int>>>")).alias("occurrences"),
     )
+
+
+def passage_matches(spark: SparkSession, sf_dir: str, prefix_chars: int = 60) -> DataFrame:
+    """(item_id, doc_id) where a document contains the opening of a benchmark
+    passage.  The (bounded) set of openings is broadcast as an Aho-Corasick
+    automaton; every document is scanned once inside its task."""
+    import pandas as pd
+
+    bench = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, prefix_chars).alias("p"))
+    pats = bench.where(F.length("p") > 0).toPandas()
+    bc = spark.sparkContext.broadcast(list(zip(pats["p"], pats["item_id"])))
+
+    def fn(it):
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for p, i in bc.value:
+            auto.add_word(p, auto.get(p, ()) + (int(i),))
+        auto.make_automaton()
+        for pdf in it:
+            out_i, out_d = [], []
+            for d, t in zip(pdf["doc_id"], pdf["text"]):
+                if t is None:
+                    continue
+                seen = set()
+                for _, items in auto.iter(t):
+                    for i in items:
+                        if i not in seen:
+                            seen.add(i)
+                            out_i.append(i)
+                            out_d.append(int(d))
+            yield pd.DataFrame({"item_id": out_i, "doc_id": out_d}, dtype="int64")
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if len(pats) == 0:
+        return docs.select(F.lit(0).cast("long").alias("item_id"), "doc_id").limit(0)
+    return docs.mapInPandas(fn, "item_id long, doc_id long")
