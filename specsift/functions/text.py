@@ -142,7 +142,7 @@ def normalize_operators(text) -> Column:
 # F7
 def variables_of(text) -> Column:
     found = F.regexp_extract_all(_c(text), F.lit(VARIABLE_PATTERN), 1)
-    return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.lower(x))))
 
 
 def normalize_variables(text) -> Column:

@@ -36,7 +36,7 @@ PAIR_TYPES = ("exact", "subsumes", "similar")
 
 
 def clause_set(col: str) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.col(col), F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(F.col(col), lambda x: F.trim(x))))
 
 
 def spec_classes(entries: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.getItem(0).alias("documentation"),
         F.concat(F.col("source"), F.lit(" "), F.col("lang")).alias("signature"),
         empty_strings().alias("requires_clauses"),
-        F.filter(F.transform(lines, F.trim), lambda x: x != F.lit("")).alias("ensures_clauses"),
+        F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != F.lit("")).alias("ensures_clauses"),
         F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("symbol_id"),
         F.col("lang").alias("source"),
     )
