@@ -145,12 +145,9 @@ def corpus_vector_ctes(corpus: str) -> dict[str, str]:
 
 
 def _ops(x: str) -> str:
-    from ..functions.text import OPERATOR_REWRITES
+    from .q_text import _ops_sql
 
-    out = x
-    for word, rep in OPERATOR_REWRITES:
-        out = f"regexp_replace({out}, '(?i)\\b{word}\\b', '{rep}', 'g')"
-    return out
+    return _ops_sql(x)
 
 
 def keyword_top_ctes(p: str, corpus: str, queries: str, keys: list[str], text: str, n: int) -> dict[str, str]:

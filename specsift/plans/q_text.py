@@ -13,18 +13,33 @@ from . import oracle as O
 from ._reg import register
 
 
+# RE2 (DuckDB) has ASCII-only \b and no look-around; Java's \b (like the
+# reference's) treats any Unicode letter or digit as a word character.  The
+# oracle spells the boundary out: an explicit non-word group, replaced twice
+# so matches that share one separator are all caught.
+NW = r"[^\p{L}\p{Nd}_]"
+
+
+def _word_sub(x: str, word: str, rep: str) -> str:
+    def one(y: str) -> str:
+        return f"regexp_replace({y}, '(^|{NW})(?i:{word})({NW}|$)', '\\1' || {rep} || '\\2', 'g')"
+    return one(one(x))
+
+
 def _ops_sql(x: str) -> str:
     out = x
     for word, rep in T.OPERATOR_REWRITES:
-        out = f"regexp_replace({out}, '(?i)\\b{word}\\b', '{rep}', 'g')"
+        out = _word_sub(out, word, f"'{rep}'")
     return out
 
 
 def _vars_sql(x: str) -> str:
-    found = (f"regexp_extract_all({x}, '(?i)\\b([a-z])\\b(?:\\s*[*+\\-/<>=]|\\s+if\\b|\\s+then\\b)', 1)")
+    doubled = f"regexp_replace({x}, '({NW})', '\\1\\1', 'g')"
+    found = (f"regexp_extract_all({doubled}, '(?:^|{NW})([a-zA-Z])(?:\\s*[*+\\-/<>=]|\\s+(?i:if|then)(?:{NW}|$))', 1)")
     vs = f"list_sort(list_distinct(list_transform({found}, lambda z: lower(z))))"
+    sub = _word_sub("acc", "' || s.v || '", "'var' || CAST(s.i AS VARCHAR)")
     return (f"list_reduce(list_transform({vs}, lambda v, i: struct_pack(v := v, i := i)), "
-            f"lambda acc, s: regexp_replace(acc, '(?i)\\b' || s.v || '\\b', 'var' || CAST(s.i AS VARCHAR), 'g'), {x})")
+            f"lambda acc, s: {sub}, {x})")
 
 
 def normalize_sql(x: str) -> str:
