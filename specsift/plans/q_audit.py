@@ -291,3 +291,13 @@ def q_retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     hits = fuzzy_search(build_corpus_index(fx.docs(spark, sf)), fx.query_batch(spark, sf), 10)
     _, summary = retrieval_eval(hits, _expected(spark, sf))
     return summary
+
+
+@register("examples_per_category", _audit_prelude() + """
+SELECT type, pos1, pos2, CAST(example_no AS INTEGER) AS example_no, CAST(more AS BIGINT) AS more FROM (
+  SELECT type, pos1, pos2, row_number() OVER (PARTITION BY type ORDER BY pos1, pos2) AS example_no,
+    greatest(count(*) OVER (PARTITION BY type) - 5, 0) AS more FROM named) x WHERE example_no <= 5""")
+def q_examples_per_category(spark: SparkSession, sf: str) -> DataFrame:
+    """First 5 pairs per type (markdown form) and how many more."""
+    ex = examples_per_group(_named(spark, sf), "type", [F.col("pos1"), F.col("pos2")], 5)
+    return ex.select("type", "pos1", "pos2", "example_no", "more")

@@ -94,6 +94,8 @@ def _build_sql(prefix: str, source: str) -> dict[str, str]:
     return d
 
 
+J_SQL = "array_to_string({}, ' AND ')"
+
 BUILD_OUT = ("entry_pos, name, file_path, line_number, array_to_string(requires_clauses, ' AND ') AS requires, "
              "array_to_string(ensures_clauses, ' AND ') AS ensures, line_from_dump")
 
@@ -259,3 +261,57 @@ def q_merge_vectors(spark: SparkSession, sf: str) -> DataFrame:
     bv = base.select("entry_pos", hashed_ids(searchable_text(*args), 256).alias("ids"))
     nv = new.select("entry_pos", hashed_ids(searchable_text(*args), 256).alias("ids"))
     return merge_vectors(base, bv, nv).select("entry_pos", F.size("ids").alias("n_ids"))
+
+
+# ---- F16 / F19 / S6+S4 ---------------------------------------------------------------------------
+@register("extract_clauses", O.prelude("entries") + f"""
+SELECT entry_pos, {J_SQL.format(_clauses_sql("signature || ' requires ' || array_to_string(requires_clauses, ', ') || ' ensures ' || array_to_string(ensures_clauses, ', ')", 'requires'))} AS requires,
+  {J_SQL.format(_clauses_sql("signature || ' requires ' || array_to_string(requires_clauses, ', ') || ' ensures ' || array_to_string(ensures_clauses, ', ')", 'ensures'))} AS ensures FROM entries""")
+def q_extract_clauses(spark: SparkSession, sf: str) -> DataFrame:
+    """F16 on headers rebuilt from every entry (clauses joined with commas)."""
+    e = fx.entries(spark, sf)
+    h = F.concat_ws(" ", "signature", F.lit("requires"), F.array_join("requires_clauses", ", "), F.lit("ensures"),
+                    F.array_join("ensures_clauses", ", "))
+    return e.select("entry_pos", F.array_join(X.clauses(h, "requires"), " AND ").alias("requires"),
+                    F.array_join(X.clauses(h, "ensures"), " AND ").alias("ensures"))
+
+
+@register("encode_text", O.prelude("docs", extra={"c": "SELECT * FROM docs", **O.corpus_vector_ctes("c")}) + """
+SELECT entry_pos, CAST(count(*) AS INTEGER) AS nnz, CAST(sum(v * v) AS BIGINT) AS norm2, CAST(sum(v) AS BIGINT) AS total
+FROM ces GROUP BY entry_pos""")
+def q_encode_text(spark: SparkSession, sf: str) -> DataFrame:
+    """hashed vector of every document's normalised searchable text."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.encode import dense
+    from .search import build_corpus_index
+
+    v = build_corpus_index(fx.docs(spark, sf)).vectors
+
+    def fn(it):
+        for pdf in it:
+            M = dense(list(pdf["ids"]), 256)
+            yield pd.DataFrame({"entry_pos": pdf["entry_pos"], "nnz": (M != 0).sum(axis=1).astype(np.int32),
+                                "norm2": (M * M).sum(axis=1).astype(np.int64), "total": M.sum(axis=1).astype(np.int64)})
+
+    return v.mapInPandas(fn, "entry_pos long, nnz int, norm2 long, total long").where("nnz > 0")
+
+
+@register("write_corpus", O.prelude("entries") + f"""
+SELECT entry_pos, name, source, CAST(len(regexp_extract_all(lower({O.searchable()}), {O.W}, 1)) AS INTEGER) AS n_ids
+FROM entries""")
+def q_write_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 then S4: write entries (partitioned by source) and vectors under the
+    session's checkpoint folder, read them back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.corpus_io import read_corpus, write_corpus
+    from .search import build_corpus_index
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/corpus-{uuid.uuid4().hex}"
+    c = build_corpus_index(fx.entries(spark, sf))
+    write_corpus(c.entries, path, c.vectors.select("entry_pos", "ids"))
+    e, v = read_corpus(spark, path)
+    return e.join(v, "entry_pos").select("entry_pos", "name", "source", F.size("ids").alias("n_ids"))

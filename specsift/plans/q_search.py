@@ -9,7 +9,7 @@ from ..sources import fixtures as fx
 from . import oracle as O
 from ._reg import register
 from .graph import enrich_graph, enrichment_stats
-from .search import (build_corpus_index, fuzzy_search, hybrid_search, lookup_by_name, result_projection,
+from .search import (build_corpus_index, fuzzy_search, hybrid_search, keyword_search, lookup_by_name, result_projection,
                      routed_search, semantic_search, similar_entries)
 
 HITS = ["query_id", "rank", "entry_pos", "name", "score"]
@@ -205,3 +205,101 @@ SELECT CAST((SELECT count(*) FROM nodes) AS BIGINT) AS nodes_processed,
 def q_enrichment_stats(spark: SparkSession, sf: str) -> DataFrame:
     g = enrich_graph(build_corpus_index(fx.docs(spark, sf)), fx.nodes(spark, sf), 3)
     return enrichment_stats(g)
+
+
+# ---- component keys of SURVEY 2.4-2.7 (J5/A1, J6, J7/A2, A3, W1, W2, U4) ----------------------------------
+from ..operators.blend import best_over_variations, hybrid_combine, max_normalize  # noqa: E402
+from ..operators.keyword import keyword_index, keyword_scores  # noqa: E402
+from ..operators.topk import first_per_key, top_k  # noqa: E402
+from ..functions.text import normalize_query, query_variations  # noqa: E402
+
+
+def _kw_all_sql(corpus: str) -> str:
+    ctes = {"c": f"SELECT * FROM {corpus}", "qb": "SELECT * FROM query_batch"}
+    ctes.update(O.keyword_scores_sql("c", "qb"))
+    return O.prelude(corpus, "query_batch", extra=ctes)
+
+
+@register("keyword_score", _kw_all_sql("entries") + "SELECT query_id, entry_pos, score FROM kw")
+def q_keyword_score(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: every (query, entry) keyword score > 0 (no cut)."""
+    return keyword_scores(keyword_index(fx.entries(spark, sf)), fx.query_batch(spark, sf)).select(
+        "query_id", "entry_pos", "score")
+
+
+@register("keyword_match", _kw_all_sql("docs") + "SELECT query_id, entry_pos, score FROM kw")
+def q_keyword_match(spark: SparkSession, sf: str) -> DataFrame:
+    """The inverted-index join over the large text corpus (all pairs)."""
+    return keyword_scores(keyword_index(fx.docs(spark, sf)), fx.query_batch(spark, sf)).select(
+        "query_id", "entry_pos", "score")
+
+
+@register("cosine_match", _semantic_sql("docs", 40))
+def q_cosine_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Query vectors against every corpus vector, deeper cut (40)."""
+    c = build_corpus_index(fx.docs(spark, sf))
+    return semantic_search(c, fx.query_batch(spark, sf), 40).select(*HITS)
+
+
+@register("topk_per_query", _kw_all_sql("entries") + """
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_pos) AS INTEGER) AS rank,
+  entry_pos, score FROM kw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_pos) <= 5""")
+def q_topk_per_query(spark: SparkSession, sf: str) -> DataFrame:
+    """W1 on the all-pairs keyword scores (window form)."""
+    s = keyword_scores(keyword_index(fx.entries(spark, sf)), fx.query_batch(spark, sf))
+    return top_k(s, ["query_id"], 5, [F.col("score").desc(), F.col("entry_pos").asc()]).select(
+        "query_id", "rank", "entry_pos", "score")
+
+
+def _mn_sql(n: int) -> str:
+    ctes = _vec("entries")
+    ctes.update(O.semantic_ctes("s_", "c", "query_batch", ["query_id"], "query", n))
+    return O.prelude("entries", "query_batch", extra=ctes)
+
+
+@register("max_normalize", _mn_sql(20) + """
+SELECT s.query_id, s.entry_pos, CASE WHEN m.mx > 0 THEN s.score / m.mx ELSE 0.0 END AS norm
+FROM s_sem s JOIN (SELECT query_id, max(score) AS mx FROM s_sem GROUP BY query_id) m USING (query_id)""")
+def q_max_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 on the semantic top-20 lists."""
+    c = build_corpus_index(fx.entries(spark, sf))
+    return max_normalize(semantic_search(c, fx.query_batch(spark, sf), 20), ["query_id"]).select(
+        "query_id", "entry_pos", "norm")
+
+
+@register("hybrid_combine", _hybrid_sql("docs", 10))
+def q_hybrid_combine(spark: SparkSession, sf: str) -> DataFrame:
+    """The name-keyed blend on the text corpus."""
+    c = build_corpus_index(fx.docs(spark, sf))
+    q = fx.query_batch(spark, sf)
+    sem = semantic_search(c, q, 20)
+    kw = keyword_search(c.keyword, q, 20)
+    return hybrid_combine(sem, kw, ["query_id"], 10, c.cfg.keyword_weight).select(*HITS)
+
+
+@register("best_over_variations", _fuzzy_sql("entries", 5))
+def q_best_over_variations(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: per name best over the variations of each query (fuzzy, k=5)."""
+    c = build_corpus_index(fx.entries(spark, sf))
+    q = fx.query_batch(spark, sf).select("query_id", normalize_query("query").alias("nq"))
+    var = q.select("query_id", F.posexplode(query_variations("nq")).alias("var_pos", "variation"))
+    hits = hybrid_search(c, var, 10, ["query_id", "var_pos"], "variation")
+    return best_over_variations(hits, "query_id", "var_pos", 5).select(*HITS)
+
+
+@register("first_match_per_name", O.prelude("entries") + """
+SELECT name, min(entry_pos) AS entry_pos FROM entries GROUP BY name""")
+def q_first_match_per_name(spark: SparkSession, sf: str) -> DataFrame:
+    """First entry in corpus order for every name."""
+    return first_per_key(fx.entries(spark, sf), "name").select("name", "entry_pos")
+
+
+@register("distinct_variations", O.prelude("query_batch") + f"""
+SELECT query_id, CAST(count(*) AS BIGINT) AS n_variations, max(var_pos) AS last_pos FROM (
+{__import__('specsift.plans.q_text', fromlist=['x']).variations_sql('query_batch', 'query_id',
+ __import__('specsift.plans.q_text', fromlist=['x']).normalize_sql('query'))}) v GROUP BY query_id""")
+def q_distinct_variations(spark: SparkSession, sf: str) -> DataFrame:
+    """U4: distinct variations per query, first position kept."""
+    v = fx.query_batch(spark, sf).select(
+        "query_id", F.posexplode(query_variations(normalize_query("query"))).alias("var_pos", "variation"))
+    return v.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_variations"), F.max("var_pos").alias("last_pos"))

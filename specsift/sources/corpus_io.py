@@ -102,3 +102,22 @@ def write_enriched_graph(enriched: DataFrame, path: str) -> None:
             F.concat(F.expr("substring(node, 1, length(node) - 1)"),
                      F.lit(', "similar_lemmas": '), F.to_json("similar_lemmas"), F.lit("}"))).alias("node"))
     out.orderBy("node_id").select("node").write.mode("overwrite").text(path)
+
+
+def read_source_files(spark: SparkSession, root: str, pattern: str = "*.rs") -> DataFrame:
+    """S3: (file_path relative to root, content), one row per file.
+
+    Files are read whole (``wholetext``), recursively; a path that does not
+    lie under the root is dropped (the reference returns empty text for it,
+    which the spec join treats the same as a missing file).
+    """
+    base = root.rstrip("/") + "/"
+    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+          .text(base, wholetext=True)
+          .select(F.col("_metadata.file_path").alias("_abs"), F.col("value").alias("content")))
+    abs_path = F.regexp_replace("_abs", "^file:(//)?", "")
+    root_c = F.regexp_replace(F.lit(base), "^file:(//)?", "")
+    rel = F.when(abs_path.startswith(root_c), F.expr("substring(regexp_replace(_abs, '^file:(//)?', ''), "
+                                                     f"{len(base.replace('file://', '').replace('file:', '')) + 1})"))
+    out = df.select(rel.alias("file_path"), "content")
+    return out.where(F.col("file_path").isNotNull() & ~F.col("file_path").contains(".."))

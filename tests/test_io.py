@@ -67,3 +67,14 @@ def test_duplicate_report_files(spark, scratch):
     head = spark.read.json(os.path.join(scratch, "rep", "header")).first()
     assert (head.threshold, head.similar_threshold, head.total) == (0.75, None, 1)
     assert spark.read.json(os.path.join(scratch, "rep", "duplicates")).count() == 1
+
+
+def test_read_source_files(spark, scratch):
+    from specsift.sources.corpus_io import read_source_files
+
+    os.makedirs(os.path.join(scratch, "src", "sub"))
+    for rel, txt in [("src/a.rs", "fn a() {}"), ("src/sub/b.rs", "fn b() {}"), ("src/c.txt", "x")]:
+        with open(os.path.join(scratch, rel), "w") as f:
+            f.write(txt)
+    got = sorted((r.file_path, r.content) for r in read_source_files(spark, scratch).collect())
+    assert got == [("src/a.rs", "fn a() {}"), ("src/sub/b.rs", "fn b() {}")]
