@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.encode import dense
-from .blocks import merge_topn
+from .blocks import block_topn, merge_topn
 from .topk import top_k
 
 MAX_SUBSET_REQ = 10
@@ -135,13 +135,9 @@ def all_pairs_topk(vectors: DataFrame, k: int, vec_col: str = "v", kind: str = "
         S[(na == 0)[:, None] | (nb == 0)[None, :]] = np.nan
         p1, p2 = lp["entry_pos"].to_numpy(), rp["entry_pos"].to_numpy()
         S[p1[:, None] == p2[None, :]] = np.nan
-        rows = np.repeat(np.arange(len(p1)), len(p2))
-        cols = np.tile(np.arange(len(p2)), len(p1))
-        sc = S.ravel()
-        ok = np.isfinite(sc)
-        rows, cols, sc = rows[ok], cols[ok], sc[ok]
-        sel = merge_topn(rows, p2[cols], sc, k)
-        return pd.DataFrame({"pos1": p1[rows[sel]], "pos2": p2[cols[sel]], "score": sc[sel]})
+        q, r, sc = block_topn(p2, S.T, k)  # columns = left rows
+        sel = merge_topn(q, p2[r], sc, k)
+        return pd.DataFrame({"pos1": p1[q[sel]], "pos2": p2[r[sel]], "score": sc[sel]})
 
     cand = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(fn, schema)
     return top_k(cand, ["pos1"], k, [F.col("score").desc(), F.col("pos2").asc()]).select("pos1", "rank", "pos2", "score")

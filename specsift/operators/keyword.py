@@ -115,26 +115,46 @@ def keyword_scores(
 # term -> queries table, with a local top-n per query before the exchange.
 
 def _entry_facts(index: DataFrame, vocab: DataFrame, max_len: int, cfg: SearchConfig) -> DataFrame:
-    """One row per entry: entry_pos, name, f = array<struct<tid int, w double>>."""
+    """One row per entry: entry_pos, name and parallel arrays tid, tok, nm, dc
+    (raw facts, duplicates allowed; the scorer keeps the max per term).
+
+    A single aggregation by entry: satisfied without a shuffle when the corpus
+    is already hash-partitioned by entry_pos, otherwise one exchange of facts.
+    """
     tok = (
         index.select("entry_pos", "name", F.explode("terms").alias("term"))
         .select("entry_pos", "name", "term", F.lit(1).alias("tok"), F.lit(0).alias("nm"), F.lit(0).alias("dc"))
     )
     sub = substring_facts(index, F.broadcast(vocab.select("term")), max_len).select(
         "entry_pos", "name", "term", F.lit(0).alias("tok"), "nm", "dc")
-    w = (F.col("tok").cast("double") + F.col("nm") * F.lit(cfg.name_match_boost)
-         + F.col("dc") * F.lit(cfg.doc_match_boost))
     return (
         tok.unionByName(sub)
         .join(F.broadcast(vocab), "term")
-        .repartition("entry_pos")
-        .groupBy("entry_pos", "name", "tid")
-        .agg(F.max("tok").alias("tok"), F.max("nm").alias("nm"), F.max("dc").alias("dc"))
         .groupBy("entry_pos", "name")
-        .agg(F.collect_list(F.struct(F.col("tid"), w.alias("w"))).alias("f"))
+        .agg(F.collect_list(F.struct("tid", "tok", "nm", "dc")).alias("f"))
+        .select("entry_pos", "name", *[F.transform("f", _field(c)).alias(c) for c in ("tid", "tok", "nm", "dc")])
     )
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
+def _dedupe_facts(fr, ft, tok, nm, dc, n_terms, name_boost, doc_boost):
+    """Max of each flag per (row, term); weight tok + name_boost*nm + doc_boost*dc."""
+    import numpy as np
+
+    key = fr * n_terms + ft
+    uk, inv = np.unique(key, return_inverse=True)
+    t = np.zeros(uk.size)
+    n = np.zeros(uk.size)
+    d = np.zeros(uk.size)
+    np.maximum.at(t, inv, tok)
+    np.maximum.at(n, inv, nm)
+    np.maximum.at(d, inv, dc)
+    return uk // n_terms, uk % n_terms, t + name_boost * n + doc_boost * d
+
+
 def keyword_topn(index: DataFrame, blocks, n: int, cfg: SearchConfig = SearchConfig()) -> DataFrame | None:
     """Top n entries per query by keyword score (> 0), ties in corpus order.
 
@@ -179,6 +199,7 @@ def _keyword_block(index: DataFrame, block, n: int, cfg: SearchConfig) -> DataFr
     max_len = int(max(len(t) for t in vocab_terms))
     facts = _entry_facts(index, vocab, max_len, cfg)
     bc = spark.sparkContext.broadcast((qkeys, indptr, indices))
+    n_terms, nb, db = len(vocab_terms), float(cfg.name_match_boost), float(cfg.doc_match_boost)
     fields = block.key_fields + [
         T.StructField("entry_pos", T.LongType()), index.schema["name"], T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
@@ -191,11 +212,16 @@ def _keyword_block(index: DataFrame, block, n: int, cfg: SearchConfig) -> DataFr
                 continue
             pdf = pdf.sort_values("entry_pos", kind="stable").reset_index(drop=True)
             pos = pdf["entry_pos"].to_numpy()
-            nf = np.fromiter((len(f) for f in pdf["f"]), dtype=np.int64, count=len(pdf))
-            flat = [x for f in pdf["f"] for x in f]
-            ft = np.fromiter((x["tid"] for x in flat), dtype=np.int64, count=len(flat))
-            fw = np.fromiter((x["w"] for x in flat), dtype=np.float64, count=len(flat))
+            nf = pdf["tid"].map(len).to_numpy().astype(np.int64)
+            if nf.sum() == 0:
+                continue
+            ft = np.concatenate(pdf["tid"].to_numpy()).astype(np.int64)
+            ftok = np.concatenate(pdf["tok"].to_numpy()).astype(np.float64)
+            fnm = np.concatenate(pdf["nm"].to_numpy()).astype(np.float64)
+            fdc = np.concatenate(pdf["dc"].to_numpy()).astype(np.float64)
             fr = np.repeat(np.arange(len(pdf)), nf)
+            fr, ft, fw = _dedupe_facts(fr, ft, ftok, fnm, fdc, n_terms, nb, db)
+            nf = np.bincount(fr, minlength=len(pdf))
             cost = np.bincount(fr, weights=(ip[ft + 1] - ip[ft]).astype(np.float64), minlength=len(pdf))
             starts = np.r_[0, np.cumsum(nf)]
             for lo, hi in row_chunks(len(pdf), nq, cost):

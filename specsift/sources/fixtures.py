@@ -16,8 +16,19 @@ from pyspark.sql import functions as F
 from ..functions.text import empty_strings
 
 
+# Row-identity column of each driver table: a scan with fewer splits than the
+# cluster's parallelism is hash-partitioned on it (see ``operators.common.spread``),
+# so derived views keep that partitioning under their renamed key.
+TABLE_KEYS = {"part": "p_partkey", "documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id",
+              "embeddings": "vec_id", "lineitem": "l_orderkey", "pages": "page_id", "labels": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from ..operators.common import spread
+
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = TABLE_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def _under(c: str) -> F.Column:
