@@ -69,10 +69,8 @@ def spec_coverage(entries: DataFrame, group_col: str = "source") -> DataFrame:
         F.count_if(has_specs()).alias("with_specs"),
         F.grouping_id().alias("_g"),
     )
-    from pyspark.sql import Window
-
-    groups = F.sum(F.when(F.col("_g") == 0, 1).otherwise(0)).over(Window.partitionBy(F.lit(1)))
-    r = r.withColumn("_n", groups).where((F.col("_g") == 0) | (F.col("_n") > 1))
+    n_groups = r.where(F.col("_g") == 0).agg(F.count(F.lit(1)).alias("_n"))
+    r = r.crossJoin(F.broadcast(n_groups)).where((F.col("_g") == 0) | (F.col("_n") > 1))
     return r.select(
         F.when(F.col("_g") == 1, F.lit("TOTAL")).otherwise(F.col(group_col)).alias("index_name"),
         "total", "with_specs",

@@ -185,15 +185,35 @@ def dump_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def passage_matches(spark: SparkSession, sf_dir: str, prefix_chars: int = 60) -> DataFrame:
+def passage_matches(spark: SparkSession, sf_dir: str, prefix_chars: int = 60,
+                    max_patterns: int = 500_000) -> DataFrame:
     """(item_id, doc_id) where a document contains the opening of a benchmark
-    passage.  The (bounded) set of openings is broadcast as an Aho-Corasick
-    automaton; every document is scanned once inside its task."""
+    passage.  The set of openings is broadcast as an Aho-Corasick automaton
+    (at most ``max_patterns`` per broadcast; larger sets are cut into blocks
+    by item hash), and every document is scanned once per block inside its
+    task -- no benchmark x documents join."""
+    from functools import reduce
+
+    bench = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, prefix_chars).alias("p")) \
+        .where(F.length("p") > 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = bench.count()
+    blocks = max(1, -(-n // max_patterns))
+    parts = []
+    for b in range(blocks):
+        pats = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()
+        if len(pats):
+            parts.append(docs.mapInPandas(_ac_scan(spark, list(zip(pats["p"], pats["item_id"]))),
+                                          "item_id long, doc_id long"))
+    if not parts:
+        return docs.select(F.lit(0).cast("long").alias("item_id"), "doc_id").limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ac_scan(spark: SparkSession, patterns: list):
     import pandas as pd
 
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, prefix_chars).alias("p"))
-    pats = bench.where(F.length("p") > 0).toPandas()
-    bc = spark.sparkContext.broadcast(list(zip(pats["p"], pats["item_id"])))
+    bc = spark.sparkContext.broadcast(patterns)
 
     def fn(it):
         import ahocorasick
@@ -216,7 +236,4 @@ def passage_matches(spark: SparkSession, sf_dir: str, prefix_chars: int = 60) ->
                             out_d.append(int(d))
             yield pd.DataFrame({"item_id": out_i, "doc_id": out_d}, dtype="int64")
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    if len(pats) == 0:
-        return docs.select(F.lit(0).cast("long").alias("item_id"), "doc_id").limit(0)
-    return docs.mapInPandas(fn, "item_id long, doc_id long")
+    return fn
