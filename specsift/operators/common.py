@@ -49,3 +49,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once under the session's checkpoint folder and cut its
+    lineage (reliable ``checkpoint``; survives executor loss).  Used for a
+    corpus index that several scorers and joins read."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.encode import hashed_ids
-from ..functions.text import normalize_query, query_variations, searchable_text
+from ..functions.text import normalize_query, query_variations, searchable_text, terms
 from ..operators.blend import best_over_variations, hybrid_combine
-from ..operators.common import spread
+from ..operators.common import materialize, spread
 from ..operators.keyword import keyword_index, keyword_topn
 from ..operators.queries import prepare_queries
 from ..operators.topk import first_per_key, top_k
@@ -38,15 +38,32 @@ class Corpus:
         return self.vectors is not None
 
 
-def build_corpus_index(entries: DataFrame, with_vectors: bool = True, cfg: SearchConfig = SearchConfig()) -> Corpus:
+def build_corpus_index(entries: DataFrame, with_vectors: bool = True, cfg: SearchConfig = SearchConfig(),
+                       persist: bool = True) -> Corpus:
+    """One pass over the corpus computes every per-entry column the scorers
+    need (keyword terms and word runs, hashed ids); with ``persist`` the
+    result is checkpointed once so each scorer and join reads it instead of
+    re-deriving it from the source tables."""
     entries = spread(entries, "entry_pos")
-    vec = None
+    idx = _index_columns(entries, with_vectors, cfg)
+    if persist:
+        idx = materialize(idx)
+    base = idx.select(*entries.columns)
+    keyword = idx.select("entry_pos", "name", "terms", "name_runs", "doc_runs")
+    vec = idx.select("entry_pos", "name", "ids") if with_vectors else None
+    return Corpus(base, keyword, vec, cfg)
+
+
+def _index_columns(entries: DataFrame, with_vectors: bool, cfg: SearchConfig) -> DataFrame:
+    doc = F.coalesce("documentation", F.lit(""))
+    extra = [
+        terms(searchable_text("name", doc, "signature", "requires_clauses", "ensures_clauses")).alias("terms"),
+        terms("name").alias("name_runs"),
+        terms(doc).alias("doc_runs"),
+    ]
     if with_vectors:
-        vec = entries.select(
-            "entry_pos", "name",
-            hashed_ids(searchable_text(*ENTRY_ARGS, normalize=True), cfg.dims).alias("ids"),
-        )
-    return Corpus(entries, keyword_index(entries), vec, cfg)
+        extra.append(hashed_ids(searchable_text(*ENTRY_ARGS, normalize=True), cfg.dims).alias("ids"))
+    return entries.select("*", *extra)
 
 
 def _empty_hits(corpus_like: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
