@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.keyword import keyword_index
 from ..sources import fixtures as fx
 from . import oracle as O
-from . import q_audit, q_build, q_search, q_text  # noqa: F401  (register their queries)
+from . import q_audit, q_build, q_io, q_search, q_text  # noqa: F401  (register their queries)
 from ._reg import ORACLES, QUERIES, register  # noqa: F401
 from .search import keyword_search
 

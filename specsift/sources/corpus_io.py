@@ -121,3 +121,49 @@ def read_source_files(spark: SparkSession, root: str, pattern: str = "*.rs") ->
                                                      f"{len(base.replace('file://', '').replace('file:', '')) + 1})"))
     out = df.select(rel.alias("file_path"), "content")
     return out.where(F.col("file_path").isNotNull() & ~F.col("file_path").contains(".."))
+
+
+SHARD = T.StructType([T.StructField("first_pos", T.LongType())] + INDEX_JSON.fields)
+
+
+def write_index_shards(entries: DataFrame, path: str, shard_size: int = 1000, repo_root: str = "",
+                       has_embeddings: bool = False) -> None:
+    """The reference's index object, written as bounded shards: one JSON line
+    per block of ``shard_size`` consecutive entries, with the block's first
+    position.  Each shard is built in its own group (bounded), never the
+    whole corpus in one document."""
+    lemma = F.struct(*[F.col(f.name) for f in ENTRY])
+    g = entries.groupBy(F.floor(F.col("entry_pos") / shard_size).alias("_shard")).agg(
+        F.min("entry_pos").alias("first_pos"),
+        F.transform(F.array_sort(F.collect_list(F.struct("entry_pos", lemma.alias("l")))), lambda x: x["l"]).alias("lemmas"))
+    g.select("first_pos", F.lit("1.0").alias("version"), F.lit(repo_root).alias("repo_root"), "lemmas",
+             F.lit(has_embeddings).alias("has_embeddings")).write.mode("overwrite").json(path)
+
+
+def read_index_shards(spark: SparkSession, path: str) -> DataFrame:
+    """S2 over index shards: entry_pos = shard's first position + position in it."""
+    raw = spark.read.schema(SHARD).json(path)
+    e = raw.select("first_pos", F.posexplode("lemmas").alias("i", "l"))
+    return e.select(
+        (F.col("first_pos") + F.col("i")).alias("entry_pos"),
+        F.col("l.name").alias("name"), F.col("l.file_path").alias("file_path"),
+        F.col("l.line_number").alias("line_number"),
+        F.coalesce("l.documentation", F.lit("")).alias("documentation"),
+        F.coalesce("l.signature", F.lit("")).alias("signature"),
+        F.coalesce("l.requires_clauses", _empty()).alias("requires_clauses"),
+        F.coalesce("l.ensures_clauses", _empty()).alias("ensures_clauses"),
+        F.coalesce("l.symbol_id", F.lit("")).alias("symbol_id"),
+        F.coalesce("l.source", F.lit("project")).alias("source"),
+    )
+
+
+NODE_LINE = T.StructType([T.StructField("node_id", T.LongType())] + NODE.fields)
+
+
+def read_call_graph_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S5 for large graphs: one node object per line with its ``node_id``
+    (the raw line is kept for write-back, like ``read_call_graph``)."""
+    raw = spark.read.text(path)
+    parsed = F.from_json("value", NODE_LINE)
+    return raw.select(parsed["node_id"].alias("node_id"), parsed["display_name"].alias("display_name"),
+                      parsed["body"].alias("body"), F.col("value").alias("node"))
