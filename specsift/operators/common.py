@@ -45,17 +45,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` only when the input is too coarse to use the
     cluster (e.g. one parquet row group -> one task).  Inputs that already
     have at least ``defaultParallelism`` splits pass through unshuffled."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
         return df
+    target = 2 * par  # a little slack for uneven rows (long documents)
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once under the session's checkpoint folder and cut its
-    lineage (reliable ``checkpoint``; survives executor loss).  Used for a
-    corpus index that several scorers and joins read."""
+    """Write ``df`` once as parquet under the session's checkpoint folder and
+    read it back: lineage is cut (survives executor loss) and the input is
+    computed a single time (a reliable ``checkpoint()`` of an unpersisted
+    plan computes it twice).  Used for a corpus index that several scorers
+    and joins read."""
+    import uuid
+
     from ..session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = ensure_checkpoint_dir(df.sparkSession).rstrip("/") + f"/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.encode import hashed_ids
-from ..functions.text import normalize_query, query_variations, searchable_text, terms
+from ..functions.encode import signed_bucket
+from ..functions.text import normalize_query, normalized_tokens, query_variations, searchable_text, terms, tokens
 from ..operators.blend import best_over_variations, hybrid_combine
 from ..operators.common import materialize, spread
 from ..operators.keyword import keyword_index, keyword_topn
@@ -55,15 +56,19 @@ def build_corpus_index(entries: DataFrame, with_vectors: bool = True, cfg: Searc
 
 
 def _index_columns(entries: DataFrame, with_vectors: bool, cfg: SearchConfig) -> DataFrame:
+    """Tokenise the searchable text once; terms are its distinct tokens and
+    the hashed ids come from the same tokens after operator rewriting."""
     doc = F.coalesce("documentation", F.lit(""))
+    t = entries.select("*", tokens(searchable_text("name", doc, "signature", "requires_clauses",
+                                                   "ensures_clauses")).alias("_tok"))
     extra = [
-        terms(searchable_text("name", doc, "signature", "requires_clauses", "ensures_clauses")).alias("terms"),
+        F.array_distinct("_tok").alias("terms"),
         terms("name").alias("name_runs"),
         terms(doc).alias("doc_runs"),
     ]
     if with_vectors:
-        extra.append(hashed_ids(searchable_text(*ENTRY_ARGS, normalize=True), cfg.dims).alias("ids"))
-    return entries.select("*", *extra)
+        extra.append(F.transform(normalized_tokens("_tok"), lambda x: signed_bucket(x, cfg.dims)).alias("ids"))
+    return t.select(*entries.columns, *extra)
 
 
 def _empty_hits(corpus_like: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
