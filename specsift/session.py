@@ -48,6 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc_dir:
         return sc_dir
     path = tempfile.mkdtemp(prefix="specsift-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
-    return path
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # noqa: BLE001 - some sessions reject core keys at runtime
+        pass
+    return spark.sparkContext.getCheckpointDir() or path
