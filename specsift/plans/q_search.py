@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_query, query_variations
+from ..operators.blend import best_over_variations, hybrid_combine, max_normalize
+from ..operators.keyword import keyword_index, keyword_scores
+from ..operators.topk import first_per_key, top_k
 from ..sources import fixtures as fx
 from . import oracle as O
 from ._reg import register
 from .graph import enrich_graph, enrichment_stats
+from .q_text import normalize_sql, variations_sql
 from .search import (build_corpus_index, fuzzy_search, hybrid_search, keyword_search, lookup_by_name, result_projection,
                      routed_search, semantic_search, similar_entries)
 
@@ -76,7 +81,7 @@ def q_fuzzy_search_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("fuzzy_search_keyword_only", O.prelude("entries", "query_batch", extra={
     "c": "SELECT * FROM entries",
-    "nq": f"SELECT query_id, {__import__('specsift.plans.q_text', fromlist=['x']).normalize_sql('query')} AS nq FROM query_batch",
+    "nq": f"SELECT query_id, {normalize_sql('query')} AS nq FROM query_batch",
     **O.keyword_top_ctes("k_", "c", "nq", ["query_id"], "nq", 10)}) + "SELECT query_id, rank, entry_pos, name, score FROM k_kwt")
 def q_fuzzy_search_keyword_only(spark: SparkSession, sf: str) -> DataFrame:
     c = build_corpus_index(fx.entries(spark, sf), with_vectors=False)
@@ -164,8 +169,6 @@ def q_routed_search(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- J12 / J13 / A12 ---------------------------------------------------------------
 def _graph_ctes(k: int) -> dict[str, str]:
-    from .q_text import _ops_sql  # noqa: F401
-
     ctes = _vec("docs")
     ctes["nq"] = """SELECT node_id, display_name, CASE WHEN coalesce(body, '') <> '' THEN display_name || ' ' ||
         array_to_string(string_split(body, chr(10))[1:5], ' ') ELSE display_name END AS query
@@ -208,10 +211,6 @@ def q_enrichment_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- component keys of SURVEY 2.4-2.7 (J5/A1, J6, J7/A2, A3, W1, W2, U4) ----------------------------------
-from ..operators.blend import best_over_variations, hybrid_combine, max_normalize  # noqa: E402
-from ..operators.keyword import keyword_index, keyword_scores  # noqa: E402
-from ..operators.topk import first_per_key, top_k  # noqa: E402
-from ..functions.text import normalize_query, query_variations  # noqa: E402
 
 
 def _kw_all_sql(corpus: str) -> str:
@@ -296,8 +295,7 @@ def q_first_match_per_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("distinct_variations", O.prelude("query_batch") + f"""
 SELECT query_id, CAST(count(*) AS BIGINT) AS n_variations, max(var_pos) AS last_pos FROM (
-{__import__('specsift.plans.q_text', fromlist=['x']).variations_sql('query_batch', 'query_id',
- __import__('specsift.plans.q_text', fromlist=['x']).normalize_sql('query'))}) v GROUP BY query_id""")
+{variations_sql('query_batch', 'query_id', normalize_sql('query'))}) v GROUP BY query_id""")
 def q_distinct_variations(spark: SparkSession, sf: str) -> DataFrame:
     """U4: distinct variations per query, first position kept."""
     v = fx.query_batch(spark, sf).select(
