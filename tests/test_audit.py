@@ -2,6 +2,8 @@
 
 from specsift.operators.duplicates import (PATTERNS, all_pairs_topk, categorize_pair, exact_duplicates,
                                            pattern_counts, subsumed_pairs)
+from pyspark.sql import functions as F
+
 from specsift.operators.specs import fill_impact, fill_missing_specs, spec_coverage
 
 SCHEMA = ("entry_pos long, name string, documentation string, requires_clauses array<string>, "
@@ -75,3 +77,15 @@ def test_pattern_categories(spark):
     counts = {r.pattern: r.n for r in pattern_counts(df).collect()}
     assert counts == {"limb_variants": 1, "incremental_lemmas": 1, "symmetric_variants": 1,
                       "comparison_variants": 1, "other": 2}
+
+
+def test_fill_specs_job(spark):
+    from specsift.plans.maintenance import fill_specs_job
+
+    ref = _df(spark, [(1, "a", "d", ["p"], [], "reflib")])
+    tgt = _df(spark, [(5, "a", "", [], [], "project"), (6, "b", "", [], [], "project")]).withColumn(
+        "signature", F.lit("fn x()"))
+    r = fill_specs_job(tgt, ref)
+    assert r.impact.first().filled == 1 and r.vectors is not None and r.vectors.count() == 2
+    none = fill_specs_job(tgt.where("name = 'b'"), ref)
+    assert none.vectors is None
