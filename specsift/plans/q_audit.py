@@ -84,7 +84,7 @@ def q_fill_specs_job(spark: SparkSession, sf: str) -> DataFrame:
 @register("spec_coverage", O.prelude("entries") + """
 SELECT coalesce(source, 'TOTAL') AS index_name, CAST(count(*) AS BIGINT) AS total,
   CAST(count(*) FILTER (WHERE len(requires_clauses) > 0 OR len(ensures_clauses) > 0) AS BIGINT) AS with_specs,
-  count(*) FILTER (WHERE len(requires_clauses) > 0 OR len(ensures_clauses) > 0) * 100.0 / count(*) AS pct
+  count(*) FILTER (WHERE len(requires_clauses) > 0 OR len(ensures_clauses) > 0) * CAST(100.0 AS DOUBLE) / count(*) AS pct
 FROM entries GROUP BY ROLLUP (source)""")
 def q_spec_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return spec_coverage(fx.entries(spark, sf))
@@ -286,7 +286,7 @@ def q_expected_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("retrieval_eval", _eval_sql("""SELECT "case", CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passed,
-  CAST(count(*) AS BIGINT) AS total, count(*) FILTER (WHERE passed) * 100.0 / count(*) AS pct FROM pq GROUP BY 1"""))
+  CAST(count(*) AS BIGINT) AS total, count(*) FILTER (WHERE passed) * CAST(100.0 AS DOUBLE) / count(*) AS pct FROM pq GROUP BY 1"""))
 def q_retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     hits = fuzzy_search(build_corpus_index(fx.docs(spark, sf)), fx.query_batch(spark, sf), 10)
     _, summary = retrieval_eval(hits, _expected(spark, sf))

@@ -225,8 +225,8 @@ def q_build_corpus(spark: SparkSession, sf: str) -> DataFrame:
 @register("line_origin_stats", O.prelude("src", "entries", extra=_build_sql("src/", "project")) + """
 SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE line_from_dump) AS BIGINT) AS from_dump,
   CAST(count(*) FILTER (WHERE NOT line_from_dump) AS BIGINT) AS from_parsing,
-  CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE line_from_dump) * 100.0 / count(*) END AS pct_dump,
-  CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE NOT line_from_dump) * 100.0 / count(*) END AS pct_parsing FROM bld""")
+  CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE line_from_dump) * CAST(100.0 AS DOUBLE) / count(*) END AS pct_dump,
+  CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE NOT line_from_dump) * CAST(100.0 AS DOUBLE) / count(*) END AS pct_parsing FROM bld""")
 def q_line_origin_stats(spark: SparkSession, sf: str) -> DataFrame:
     return line_origin_stats(build_corpus(fx.dump_documents(spark, sf), fx.src(spark, sf), "src/"))
 
