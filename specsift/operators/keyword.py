@@ -173,6 +173,12 @@ def keyword_topn(index: DataFrame, blocks, n: int, cfg: SearchConfig = SearchCon
     return top_k(scored, keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
 
 
+# Dense path for the most shared query terms (see _keyword_block).
+MAX_DENSE_TERMS = 2048
+MAX_DENSE_CELLS = 16_000_000
+DENSE_MIN_QUERIES = 16
+
+
 def _keyword_block(index: DataFrame, block, n: int, cfg: SearchConfig) -> DataFrame | None:
     import numpy as np
     import pandas as pd
@@ -189,23 +195,36 @@ def _keyword_block(index: DataFrame, block, n: int, cfg: SearchConfig) -> DataFr
         return None
     tid, vocab_terms = pd.factorize(qt["term"], sort=True)
     qpos = qt["qpos"].to_numpy().astype(np.int64)
-    order = np.lexsort((qpos, tid))
-    indptr = np.r_[0, np.cumsum(np.bincount(tid, minlength=len(vocab_terms)))].astype(np.int64)
-    indices = qpos[order]
     nq = len(qkeys)
+    # Terms shared by many queries go through a dense product (BLAS); the
+    # rest through the sparse expansion.  Weights are multiples of 0.5, so
+    # both forms are exact and can be added.
+    per_term = np.bincount(tid, minlength=len(vocab_terms))
+    n_dense = int(min(MAX_DENSE_TERMS, MAX_DENSE_CELLS // max(1, nq), int((per_term >= DENSE_MIN_QUERIES).sum())))
+    dense_ids = np.argsort(-per_term, kind="stable")[:n_dense]
+    dense_col = np.full(len(vocab_terms), -1, dtype=np.int64)
+    dense_col[dense_ids] = np.arange(n_dense)
+    Qd = np.zeros((n_dense, nq))
+    is_dense = dense_col[tid] >= 0
+    Qd[dense_col[tid[is_dense]], qpos[is_dense]] = 1.0
+    tid_s, qpos_s = tid[~is_dense], qpos[~is_dense]
+    order = np.lexsort((qpos_s, tid_s))
+    indptr = np.r_[0, np.cumsum(np.bincount(tid_s, minlength=len(vocab_terms)))].astype(np.int64)
+    indices = qpos_s[order]
     vocab = spark.createDataFrame(pd.DataFrame({
         "term": np.asarray(vocab_terms, dtype=object),
         "tid": np.arange(len(vocab_terms), dtype=np.int32)}))
     max_len = int(max(len(t) for t in vocab_terms))
     facts = _entry_facts(index, vocab, max_len, cfg)
-    bc = spark.sparkContext.broadcast((qkeys, indptr, indices))
+    bc = spark.sparkContext.broadcast((qkeys, indptr, indices, dense_col, Qd))
     n_terms, nb, db = len(vocab_terms), float(cfg.name_match_boost), float(cfg.doc_match_boost)
     fields = block.key_fields + [
         T.StructField("entry_pos", T.LongType()), index.schema["name"], T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
 
     def fn(it):
-        qk, ip, ix = bc.value
+        qk, ip, ix, dcol, Qdm = bc.value
+        nd = Qdm.shape[0]
         qs, ps, ss, names = [], [], [], []
         for pdf in it:
             if len(pdf) == 0:
@@ -227,6 +246,12 @@ def _keyword_block(index: DataFrame, block, n: int, cfg: SearchConfig) -> DataFr
             for lo, hi in row_chunks(len(pdf), nq, cost):
                 a, b = starts[lo], starts[hi]
                 S = sparse_scores(fr[a:b] - lo, ft[a:b], fw[a:b], hi - lo, ip, ix, nq)
+                if nd:
+                    c = dcol[ft[a:b]]
+                    m = c >= 0
+                    D = np.bincount((fr[a:b][m] - lo) * nd + c[m], weights=fw[a:b][m],
+                                    minlength=(hi - lo) * nd).reshape(hi - lo, nd)
+                    S += D @ Qdm
                 q, r, sc = block_topn(pos[lo:hi], S, n, positive_only=True)
                 qs.append(q)
                 ps.append(pos[lo + r])
