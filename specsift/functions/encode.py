@@ -36,13 +36,12 @@ def hashed_ids(text, dims: int) -> Column:
 def dense(ids_list, dims: int) -> np.ndarray:
     """Stack a sequence of signed-id arrays into a (rows, dims) float64 count matrix."""
     n = len(ids_list)
-    out = np.zeros((n, dims), dtype=np.float64)
     if n == 0:
-        return out
+        return np.zeros((0, dims))
     lens = np.fromiter((0 if a is None else len(a) for a in ids_list), dtype=np.int64, count=n)
     if lens.sum() == 0:
-        return out
+        return np.zeros((n, dims))
     flat = np.concatenate([np.asarray(a, dtype=np.int64) for a in ids_list if a is not None and len(a)])
     rows = np.repeat(np.arange(n), lens)
-    np.add.at(out, (rows, np.abs(flat) - 1), np.sign(flat).astype(np.float64))
-    return out
+    idx = rows * dims + (np.abs(flat) - 1)
+    return np.bincount(idx, weights=np.sign(flat).astype(np.float64), minlength=n * dims).reshape(n, dims)
