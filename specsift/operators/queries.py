@@ -37,6 +37,11 @@ def prepare_queries(queries: DataFrame, keys: Sequence[str], text_col: str, dims
     first = q.limit(MAX_QUERY_ROWS + 1).toPandas()
     if len(first) <= MAX_QUERY_ROWS:
         return [QueryBlock(keys, fields, first)] if len(first) else []
+    # large batch: prepare once (written under the checkpoint folder), then
+    # collect and broadcast it block by block
+    from .common import materialize
+
+    q = materialize(q)
     n = q.count()
     blocks = -(-n // MAX_QUERY_ROWS) * 2  # hash blocks land near half the limit
     bucket = F.pmod(F.xxhash64(*keys), F.lit(blocks))

@@ -125,3 +125,18 @@ def test_retrieval_eval_groups(spark, corpus, queries):
     assert set(s) == {g for g, _, _ in GROUPS}
     assert all(t == len(list(qs)) for (g, _, qs) in GROUPS for (p, t) in [s[g]])
     assert per_query.where(F.col("passed")).count() >= 1
+
+
+def test_query_blocks_split_large_batches(spark, corpus, monkeypatch):
+    """A batch above the broadcast limit is prepared once and scored in
+    blocks; the result equals the single-block result."""
+    import specsift.operators.queries as Q
+
+    qs = spark.createDataFrame([(i, QUERIES[i % len(QUERIES)] + f" q{i}") for i in range(60)],
+                               "query_id long, query string")
+    one = sorted(tuple(r) for r in keyword_search(corpus.keyword, qs, 3).collect())
+    monkeypatch.setattr(Q, "MAX_QUERY_ROWS", 7)
+    blocks = Q.prepare_queries(qs, ["query_id"], "query", 256)
+    assert len(blocks) > 1 and sum(len(b.pdf) for b in blocks) == 60
+    many = sorted(tuple(r) for r in keyword_search(corpus.keyword, qs, 3, blocks=blocks).collect())
+    assert many == one
