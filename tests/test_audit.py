@@ -89,3 +89,15 @@ def test_fill_specs_job(spark):
     assert r.impact.first().filled == 1 and r.vectors is not None and r.vectors.count() == 2
     none = fill_specs_job(tgt.where("name = 'b'"), ref)
     assert none.vectors is None
+
+
+def test_hot_class_stays_linear(spark):
+    """One clause class holding a third of all rows: exact duplicates are
+    reported as (representative, member) rows, never all pairs."""
+    rows = [(i, f"n{i}", "", ["x > 0"] if i % 3 == 0 else [f"x > {i}"], ["r"], "p") for i in range(3000)]
+    e = _df(spark, rows)
+    ex = exact_duplicates(e)
+    assert ex.count() == 999  # 1000 members of the hot class -> 999 rows
+    assert ex.where("pos1 <> 0").count() == 0
+    sub = subsumed_pairs(e)
+    assert sub.count() == 0  # single-clause requires never strictly contain each other
