@@ -64,15 +64,27 @@ def row_chunks(n_rows: int, n_queries: int, cost: np.ndarray | None = None):
 
 def sparse_scores(fr: np.ndarray, ft: np.ndarray, fw: np.ndarray, n_rows: int,
                   indptr: np.ndarray, indices: np.ndarray, n_queries: int) -> np.ndarray:
-    """Dense (n_rows x n_queries) = facts (row, term, weight) x term->queries CSR."""
+    """Dense (n_rows x n_queries) = facts (row, term, weight) x term->queries CSR.
+
+    The (fact, query) expansion is processed in slices of at most
+    ``MAX_EXPANSION`` pairs, so even one row with a huge fact list stays
+    within bounded memory."""
+    out = np.zeros(n_rows * n_queries)
     counts = indptr[ft + 1] - indptr[ft]
-    total = int(counts.sum())
-    if total == 0:
-        return np.zeros((n_rows, n_queries))
-    rr = np.repeat(fr, counts)
-    ww = np.repeat(fw, counts)
-    first = np.repeat(indptr[ft], counts)
-    offs = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    cc = indices[first + offs]
-    flat = np.bincount(rr * n_queries + cc, weights=ww, minlength=n_rows * n_queries)
-    return flat.reshape(n_rows, n_queries)
+    if counts.sum() == 0:
+        return out.reshape(n_rows, n_queries)
+    csum = np.cumsum(counts)
+    start = 0
+    while start < ft.size:
+        base = csum[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(csum, base + MAX_EXPANSION, side="right")))
+        c = counts[start:end]
+        total = int(c.sum())
+        if total:
+            rr = np.repeat(fr[start:end], c)
+            ww = np.repeat(fw[start:end], c)
+            first = np.repeat(indptr[ft[start:end]], c)
+            offs = np.arange(total) - np.repeat(np.cumsum(c) - c, c)
+            out += np.bincount(rr * n_queries + indices[first + offs], weights=ww, minlength=n_rows * n_queries)
+        start = end
+    return out.reshape(n_rows, n_queries)

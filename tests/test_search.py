@@ -140,3 +140,29 @@ def test_query_blocks_split_large_batches(spark, corpus, monkeypatch):
     assert len(blocks) > 1 and sum(len(b.pdf) for b in blocks) == 60
     many = sorted(tuple(r) for r in keyword_search(corpus.keyword, qs, 3, blocks=blocks).collect())
     assert many == one
+
+
+def test_sparse_scores_slices_match():
+    import numpy as np
+
+    import specsift.operators.blocks as B
+
+    rng = np.random.default_rng(3)
+    nt, nq, nr = 30, 12, 5
+    post = [sorted(rng.choice(nq, size=rng.integers(0, nq), replace=False)) for _ in range(nt)]
+    indptr = np.r_[0, np.cumsum([len(p) for p in post])].astype(np.int64)
+    indices = np.concatenate([np.asarray(p, dtype=np.int64) for p in post])
+    fr = np.repeat(np.arange(nr), 8)
+    ft = rng.integers(0, nt, size=fr.size)
+    fw = rng.choice([1.0, 2.0, 1.5], size=fr.size)
+    full = B.sparse_scores(fr, ft, fw, nr, indptr, indices, nq)
+    want = np.zeros((nr, nq))
+    for r, t, w in zip(fr, ft, fw):
+        want[r, post[t]] += w
+    assert np.array_equal(full, want)
+    old = B.MAX_EXPANSION
+    try:
+        B.MAX_EXPANSION = 5
+        assert np.array_equal(B.sparse_scores(fr, ft, fw, nr, indptr, indices, nq), want)
+    finally:
+        B.MAX_EXPANSION = old
