@@ -14,7 +14,10 @@ that returns ``array<float>`` (see ``operators.vectors.dense_from_model``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +48,20 @@ def dense(ids_list, dims: int) -> np.ndarray:
     rows = np.repeat(np.arange(n), lens)
     idx = rows * dims + (np.abs(flat) - 1)
     return np.bincount(idx, weights=np.sign(flat).astype(np.float64), minlength=n * dims).reshape(n, dims)
+
+
+def model_encoder(load_model, dims: int):
+    """Encoder hook (F19 / UDF surface): ``load_model()`` is called once per
+    Python worker and must return ``f(list[str]) -> array (n, dims)``.  The
+    result is an iterator pandas UDF producing ``array<float>`` per text,
+    batched through Arrow."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load_model()
+        for s in batches:
+            m = np.asarray(model(s.fillna("").tolist()), dtype=np.float32).reshape(len(s), dims)
+            yield pd.Series(list(m))
+
+    return encode

@@ -35,28 +35,37 @@ def _cosine(E: np.ndarray, ne2: np.ndarray, Q: np.ndarray, nq2: np.ndarray) -> n
     return s
 
 
+def _matrix(values, dims: int, kind: str) -> np.ndarray:
+    if kind == "ids":
+        return dense(list(values), dims)
+    rows = [np.zeros(dims) if v is None else np.asarray(v, dtype=np.float64) for v in values]
+    return np.vstack(rows) if rows else np.zeros((0, dims))
+
+
 def cosine_topn(corpus: DataFrame, blocks, n: int, dims: int, corpus_ids: str = "ids",
-                extra: Sequence[str] = ("name",)) -> DataFrame | None:
-    """Top n entries per query by hashed-vector cosine.
+                extra: Sequence[str] = ("name",), kind: str = "ids", query_col: str = "ids") -> DataFrame | None:
+    """Top n entries per query by cosine.
 
-    corpus: entry_pos, <extra...>, <corpus_ids> (signed bucket ids);
-    blocks: prepared query blocks.  Output: keys..., rank, entry_pos, extra..., score.
+    corpus: entry_pos, <extra...>, <corpus_ids>: signed bucket ids (``kind="ids"``,
+    the hashing encoder) or dense ``array<float>`` vectors (``kind="dense"``, a
+    model encoder); blocks: prepared query blocks whose ``query_col`` holds the
+    same kind.  Output: keys..., rank, entry_pos, extra..., score.
     """
     extra = list(extra)
     spark = corpus.sparkSession
     parts = []
     for blk in blocks:
-        Q = dense(list(blk.pdf["ids"]), dims)
+        Q = _matrix(blk.pdf[query_col], dims, kind)
         nq2 = (Q * Q).sum(axis=1)
         parts.append(_score_block(spark, corpus, blk.pdf[blk.keys].reset_index(drop=True), Q, nq2, n, blk,
-                                  extra, corpus_ids, dims))
+                                  extra, corpus_ids, dims, kind))
     if not parts:
         return None
     scored = reduce(DataFrame.unionByName, parts)
     return top_k(scored, blocks[0].keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
 
 
-def _score_block(spark, corpus, qkeys: pd.DataFrame, Q, nq2, n, blk, extra, corpus_ids, dims):
+def _score_block(spark, corpus, qkeys: pd.DataFrame, Q, nq2, n, blk, extra, corpus_ids, dims, kind="ids"):
     bc = spark.sparkContext.broadcast((qkeys, Q, nq2))
     fields = list(blk.key_fields) + [T.StructField("entry_pos", T.LongType())]
     fields += [corpus.schema[c] for c in extra] + [T.StructField("score", T.DoubleType())]
@@ -73,7 +82,7 @@ def _score_block(spark, corpus, qkeys: pd.DataFrame, Q, nq2, n, blk, extra, corp
             pos = pdf["entry_pos"].to_numpy()
             ids = list(pdf[corpus_ids])
             for lo, hi in row_chunks(len(pdf), Qm.shape[0]):
-                E = dense(ids[lo:hi], dims)
+                E = _matrix(ids[lo:hi], dims, kind)
                 S = _cosine(E, (E * E).sum(axis=1), Qm, q2)
                 q, r, sc = block_topn(pos[lo:hi], S, n)
                 qs.append(q)

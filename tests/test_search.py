@@ -166,3 +166,37 @@ def test_sparse_scores_slices_match():
         assert np.array_equal(B.sparse_scores(fr, ft, fw, nr, indptr, indices, nq), want)
     finally:
         B.MAX_EXPANSION = old
+
+
+def test_model_encoder_hook(spark, corpus, queries):
+    """A model-backed encoder (here a toy character-trigram model) plugs in
+    as an iterator pandas UDF; cosine search over its vectors matches numpy."""
+    import numpy as np
+
+    from specsift.functions.encode import model_encoder
+    from specsift.operators.queries import QueryBlock
+    from specsift.operators.vectors import cosine_topn
+
+    def load():
+        def f(texts):
+            out = np.zeros((len(texts), 32))
+            for i, t in enumerate(texts):
+                for j in range(len(t) - 2):
+                    out[i, sum(map(ord, t[j:j + 3])) % 32] += 1.0
+            return out
+        return f
+
+    enc = model_encoder(load, 32)
+    vec = corpus.entries.select("entry_pos", "name", enc("documentation").alias("v"))
+    qv = queries.select("query_id", enc("query").alias("v")).toPandas()
+    from pyspark.sql import types as T
+    blk = QueryBlock(["query_id"], [T.StructField("query_id", T.LongType())], qv)
+    got = cosine_topn(vec, [blk], 2, 32, corpus_ids="v", kind="dense", query_col="v")
+    got = {(r.query_id, r.rank): r.entry_pos for r in got.collect()}
+    ents = [(r.entry_pos, load()([r.documentation])[0]) for r in corpus.entries.collect()]
+    for qi, q in enumerate(QUERIES):
+        qvec = load()([q])[0]
+        sc = [(-(np.dot(v, qvec) / np.sqrt(np.dot(v, v) * np.dot(qvec, qvec))), p) for p, v in ents
+              if np.dot(v, v) > 0 and np.dot(qvec, qvec) > 0]
+        want = [p for _, p in sorted(sc)[:2]]
+        assert [got.get((qi, 1)), got.get((qi, 2))] == want
