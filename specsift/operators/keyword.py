@@ -4,20 +4,26 @@ score(q, e) = |terms(q) & terms(text(e))|
             + name_boost * #{t in terms(q) : t is a substring of lower(name(e))}
             + doc_boost  * #{t in terms(q) : t is a substring of lower(doc(e))}
 
-Plan: per-(entry, term) facts are computed narrowly at the scan and only
-these fact rows -- not the corpus text -- are hash-partitioned by
-``entry_pos`` (one exchange).  Token facts come from exploding each entry's
-distinct words and a broadcast hash join with the query vocabulary.
-Substring facts use the fact that a query term (a run of word characters)
-can only occur inside one word run of the name or documentation: every
-substring of each distinct run, up to the longest query term, is generated
-(``explode`` of ``sequence``) and equi-joined with the broadcast vocabulary.
-That is exact, fully codegen'd, and costs O(text x longest term) per entry
-regardless of vocabulary size -- no nested-loop join.  After the exchange
-the (entry, term) dedupe, the broadcast join to (query, term) and the per
-(entry, query) sum are all narrow; the last exchange is the top-k one,
-which Catalyst's partial WindowGroupLimit shrinks to k rows per query and
-task.
+Facts per (entry, term) are computed narrowly at the scan.  Token facts
+come from exploding each entry's distinct words and a broadcast hash join
+with the query vocabulary.  Substring facts use the fact that a query term
+(a run of word characters) can only occur inside one word run of the name
+or documentation: every substring of each distinct run, up to the longest
+query term, is generated (``explode`` of ``sequence``) and equi-joined with
+the broadcast vocabulary -- exact, codegen'd, O(text x longest term) per
+entry regardless of vocabulary size, no nested-loop join.
+
+Two forms:
+
+* ``keyword_topn`` (what search uses): facts are grouped once per entry
+  (no shuffle when the corpus is already hash-partitioned by entry_pos)
+  and scored inside ``mapInPandas`` as facts x (term -> queries): a dense
+  BLAS product for terms shared by many queries, a sliced sparse expansion
+  for the rest, in bounded row blocks with a tie-exact local top-n; only
+  partitions x queries x n rows reach the final top-n window.
+* ``keyword_scores`` (A1, every pair with score > 0): facts are
+  hash-partitioned by entry_pos once, joined to (query, term) and summed per
+  (entry, query) without another exchange.
 """
 
 from __future__ import annotations
