@@ -101,3 +101,14 @@ def test_hot_class_stays_linear(spark):
     assert ex.where("pos1 <> 0").count() == 0
     sub = subsumed_pairs(e)
     assert sub.count() == 0  # single-clause requires never strictly contain each other
+
+
+def test_fill_with_hot_name_keeps_row_count(spark):
+    """A third of all rows share one name: the reference side collapses to
+    one row per name first, so the fill join cannot multiply rows."""
+    ref = _df(spark, [(i, "hot" if i % 3 == 0 else f"r{i}", "", ["p"] if i % 2 else [], [], "reflib")
+                      for i in range(600)])
+    tgt = _df(spark, [(1000 + i, "hot" if i % 3 == 0 else f"t{i}", "", [], [], "project") for i in range(900)])
+    out = fill_missing_specs(tgt, ref)
+    assert out.count() == 900
+    assert out.where("filled").count() == 300

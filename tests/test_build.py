@@ -135,3 +135,15 @@ def test_json_lines_dump(spark, scratch):
     src = spark.createDataFrame([("x/specs.rs", "")], "file_path string, content string")
     assert [r.name for r in build_corpus(docs, src).collect()] == ["spec_a"]
     assert build_corpus(docs, src).where(F.size("requires_clauses") > 0).count() == 0
+
+
+def test_definition_map_hot_symbol(spark):
+    """One symbol with a third of all occurrences resolves to one row (map-side
+    partial aggregation), and the last definition wins."""
+    rows = [(d, o, f"f{d}.rs", "hot" if o % 3 == 0 else f"s{d}_{o}", 1, o) for d in range(20) for o in range(30)]
+    occ = spark.createDataFrame(rows, "doc_pos long, occ_pos long, relative_path string, symbol string, "
+                                      "symbol_roles int, start_line int")
+    m = definition_map(occ, ["doc_pos", "occ_pos"])
+    hot = m.where("symbol = 'hot'").collect()
+    assert len(hot) == 1 and (hot[0].def_path, hot[0].def_line) == ("f19.rs", 28)
+    assert m.count() == 1 + 20 * 20
