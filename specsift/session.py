@@ -8,9 +8,12 @@ checkpoint folder when the session has none (``ensure_checkpoint_dir``).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "specsift") -> SparkSession:
@@ -34,10 +37,11 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only if unset.
+    """The shared folder for written intermediate tables (``spark.checkpoint.dir``).
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Local tests have none, so a fresh scratch folder is created.
+    A session on a local master without one gets a fresh scratch folder (the
+    only machine is this one).  On any other master a folder of one machine
+    would lose rows, so a missing setting is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -47,10 +51,55 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
-    path = tempfile.mkdtemp(prefix="specsift-ckpt-", dir="/tmp")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="specsift-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     try:
         spark.conf.set("spark.checkpoint.dir", path)
     except Exception:  # noqa: BLE001 - some sessions reject core keys at runtime
         pass
     return spark.sparkContext.getCheckpointDir() or path
+
+
+def write_stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet in the shared folder and read it back.
+
+    Cuts the lineage in a way that survives lost executors, and computes
+    ``df`` once (a reliable ``checkpoint()`` computes it twice).
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/specsift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what ``write_stage`` wrote in this application (results that
+    still read those tables are lost with them)."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/specsift-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in executor Python workers, whatever their
+    working directory: zip it once per application and ``addPyFile`` it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="specsift-pkg-"), "specsift.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(here):
+            for fn in files:
+                if fn.endswith(".py"):
+                    full = os.path.join(root, fn)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
