@@ -10,11 +10,14 @@ hopeless ones; what is left is confirmed on the full shingle sets.
 
 Work stays linear in a group's size.  Equal sets collapse to one node first.
 Inside a band's bucket every node is compared with the bucket's smallest node
-only (a star); after joining those links, only buckets that still hold
-several components are looked at again, between components: small buckets
-pair by pair, larger ones first split by a second and a third shared band.
-At similarity 0.8 a pair shares 17 of 51 bands on average and misses three
-of them with probability 5e-7; one shared band is missed with 2e-9.
+only (a star).  After joining those links, only buckets that still hold
+several components matter.  Where few nodes lie outside a bucket's main
+component, each of them meets the nodes of other components.  Where many do
+(copies that differ just too much), overlapping buckets are merged into one
+group, dealt into blocks, and each pair of blocks counts all shared shingles
+at once by a matrix product; only links between components leave it.
+At similarity 0.8 a pair shares 17 of 51 bands on average and none with
+probability 2e-9.
 
 Defined results: null or wordless text has no shingles, is linked with
 nothing and is its own component.  Rows with one doc_id are one node.  A row
@@ -41,8 +44,11 @@ MANTISSA = 10
 BAND_ROWS = 5
 BANDS = REGISTERS // BAND_ROWS
 EMPTY = 0xFFFF
-#: Buckets up to this size are compared pair by pair between components.
-SMALL_BUCKET = 64
+#: A bucket with up to this many nodes outside its main component is compared
+#: pair by pair between components.
+FEW_OUTSIDE = 16
+#: Nodes and shingles of a block of a group that is compared as a whole.
+BLOCK_NODES, BLOCK_SHINGLES = 1000, 1 << 20
 #: Members of one centre that one group of the check holds.
 STAR_SPLIT = 200
 
@@ -165,10 +171,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 2048)
             key = band_keys(_matrix(part.column("regs")))
             node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), BANDS)
-            band = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(node)], names=["key", "band", "node"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
 
 
 def _estimates(threshold: float):
@@ -242,26 +245,110 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     )
 
 
-def _between(members: DataFrame, depth: int) -> DataFrame:
-    """Pairs (a > b) of one bucket and different components."""
-    size = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = members.join(size.filter("lo < hi").select("key", "size"), "key")
-    small = mixed if depth == 0 else mixed.filter(F.col("size") <= SMALL_BUCKET)
-    x = small.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    y = small.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = x.join(y, "key").filter("a > b and comp_a <> comp_b").select("a", "b")
-    if depth == 0:
-        return pairs
-    large = write_stage(mixed.filter(F.col("size") > SMALL_BUCKET).drop("size"), "near-dup-large")
-    if large.isEmpty():
-        return pairs
-    other = large.select("node", F.col("band").alias("other"), F.col("root").alias("other_root")).distinct()
-    finer = (
-        large.join(other, "node")
-        .filter("other > band")
-        .select(F.xxhash64("key", "other_root").alias("key"), F.col("other").alias("band"), "root", "node", "comp")
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, main, outside) of the buckets that hold several components."""
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"))
+    return whole.filter("size > top.n").select("key", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.n")).alias("outside"))
+
+
+def _between(few: DataFrame) -> DataFrame:
+    """Pairs of one bucket and different components."""
+    x = few.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+    y = few.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = x.join(y, "key").filter("comp_a <> comp_b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Shared elements of every two sets, by matrix products over slices of
+    the elements that at least two sets have."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    owner, at = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int((times > 1).sum()), 4096):
+        i, j = np.searchsorted(at, [low, low + 4096])
+        m = np.zeros((len(sets), 4096), dtype=np.float32)
+        m[owner[i:j], at[i:j] - low] = 1
+        out += m @ m.T
+    return out
+
+
+def _block_links(nodes: list[int], comps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components, as many as join them."""
+    n = np.array([len(x) for x in sets])
+    both = _overlaps(sets).astype(np.int64)
+    comp = np.array(comps)
+    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+    top = {c: c for c in comps}
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked)))):
+        p, q = comps[i], comps[j]
+        while top[p] != p:
+            p = top[p]
+        while top[q] != q:
+            q = top[q]
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _blocks(k: int, percent: int):
+    """Rows come by (team, i, j): the nodes of two blocks of one team."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, comps, sets = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            links = _block_links(nodes, comps, sets, percent) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"]
+            )
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("team", "i", "j"))))
+            doc, comp = batch.column("doc").to_pylist(), batch.column("comp").to_pylist()
+            for rows, h, bounds in shingle_sets(batch.column("text"), k):
+                for i, row in enumerate(rows):
+                    if keys[row] != at:
+                        yield done()
+                        at, nodes, comps, sets = keys[row], [], [], []
+                    nodes.append(doc[row])
+                    comps.append(comp[row])
+                    sets.append(h[bounds[i] : bounds[i + 1]].copy())
+        yield done()
+
+    return run
+
+
+def _team_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components among the nodes of overlapping buckets."""
+    first = many.groupBy("key").agg(F.min("node").alias("b"))
+    teams = components(many.join(first, "key").select(F.col("node").alias("a"), "b").distinct())
+    sized = nodes.groupBy("node").agg(F.max("n").alias("n"))
+    rows = teams.select(F.col("id").alias("node"), F.col("comp").alias("team")).join(sized, "node")
+    rows = rows.join(many.select("node", "comp").distinct(), "node")
+    blocks = rows.groupBy("team").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    dealt = rows.join(blocks, "team").select(
+        "team", F.col("node").alias("doc"), "comp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
+    return (
+        dealt.select("team", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "comp")
+        .join(texts, "doc")
+        .repartition("team", "i", "j")
+        .sortWithinPartitions("team", "i", "j")
+        .select("team", "i", "j", "doc", "comp", "text")
+        .mapInArrow(_blocks(k, percent), "a long, b long")
     )
-    return pairs.unionByName(_between(finer, depth - 1))
 
 
 def near_duplicates(
@@ -291,7 +378,7 @@ def near_duplicates(
         ),
         "near-dup-nodes",
     )
-    bands = nodes.select("node", "regs").mapInArrow(_bands, "key long, band int, node long")
+    bands = nodes.select("node", "regs").mapInArrow(_bands, "key long, node long")
     shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
     members = write_stage(bands.join(shared.select("key", "centre"), "key"), "near-dup-buckets")
     candidates = members.select("node").distinct()
@@ -301,16 +388,19 @@ def near_duplicates(
     )
 
     stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    likely = write_stage(_likely(stars, nodes, percent / 100), "near-dup-likely")
-    links = write_stage(_links(likely, texts, shingle_words, percent), "near-dup-links")
+    check = lambda pairs: write_stage(_links(write_stage(pairs, "near-dup-likely"), texts, shingle_words, percent), "near-dup-links")
+    links = check(_likely(stars, nodes, percent / 100))
     groups = components(links)
-    left = members.join(groups.withColumnRenamed("id", "node"), "node", "left").select(
-        "key", "band", F.col("key").alias("root"), "node", F.coalesce("comp", "node").alias("comp")
-    )
-    across = _between(left, depth=2).distinct()
+
+    labelled = members.select("key", "node").join(groups.withColumnRenamed("id", "node"), "node", "left")
+    labelled = labelled.withColumn("comp", F.coalesce("comp", "node"))
+    mixed = write_stage(labelled.join(_mixed(labelled), "key"), "near-dup-mixed")
     # the stars' pairs are settled already
-    across = _likely(across, nodes, percent / 100).join(stars, ["a", "b"], "left_anti")
-    more = write_stage(_links(write_stage(across, "near-dup-across"), texts, shingle_words, percent), "near-dup-more")
+    across = _between(mixed.filter(F.col("outside") <= FEW_OUTSIDE)).join(stars, ["a", "b"], "left_anti")
+    more = check(_likely(across, nodes, percent / 100))
+    many = mixed.filter(F.col("outside") > FEW_OUTSIDE)
+    if not many.isEmpty():
+        more = more.unionByName(write_stage(_team_links(many, nodes, texts, shingle_words, percent), "near-dup-teams"))
     final = groups if more.isEmpty() else components(links.unionByName(more))
 
     of_set = nodes.select("set", "node").join(final.withColumnRenamed("id", "node"), "node", "left").select(
