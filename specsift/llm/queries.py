@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup
+from . import decontaminate, html_text, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -32,3 +34,93 @@ def _register(name: str, sql: str | None = None):
 @_register("op1_near_duplicates")
 def op1_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf, "documents"), shingle_words=4, percent=80)
+
+
+@_register(
+    "op5_line_dedup",
+    r"""
+    WITH l AS (
+      SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw,
+             unnest(range(0, len(string_split(text, chr(10))))) AS at
+      FROM documents WHERE text IS NOT NULL
+    ), t AS (
+      SELECT doc_id, source, at, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l
+    ), w AS (
+      SELECT * FROM t WHERE len(string_split_regex(line, '[\x20\x09-\x0D]+')) >= 5
+    ), b AS (
+      SELECT line, min(row(doc_id, at)) AS keep FROM w GROUP BY line HAVING count(DISTINCT source) >= 3
+    ), gone AS (
+      SELECT w.doc_id, w.at FROM w JOIN b ON w.line = b.line WHERE row(w.doc_id, w.at) <> b.keep
+    ), r AS (
+      SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
+    ), k AS (
+      SELECT t.doc_id, string_agg(t.raw, chr(10) ORDER BY t.at) AS text
+      FROM t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.at = t.at WHERE g.at IS NULL GROUP BY t.doc_id
+    )
+    SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+           coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(r.n_removed, 0)::BIGINT AS n_removed
+    FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)
+    """,
+)
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@_register("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    hits = decontaminate.benchmark_hits(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@_register("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf, "documents")).drop("spans")
+
+
+@_register("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_digest(secrets.scan_secrets(_table(spark, sf, "documents")))
+
+
+@_register("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    judged = quality_rules.judge_quality(docs, _table(spark, sf, "labels").filter("quality = 1"))
+    return judged.drop("text")
+
+
+@_register("op8_pack")
+def op8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_table(spark, sf, "documents")).drop("ids")
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """Production packing of ``docs`` with the public byte-level vocabulary."""
+    files = {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+    return packing.pack_documents(docs, **files, pattern=public_tokenizers.PATTERN, with_ids=False)
+
+
+@_register("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = _table(spark, sf, "labels").filter(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_toxicity(_table(spark, sf, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "nearest")
+
+
+@_register("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    labels = _table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_model.classify_quality(_table(spark, sf, "documents"), labels)
+
+
+@_register("op4_html_text")
+def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf, "pages"))

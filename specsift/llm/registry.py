@@ -1,5 +1,11 @@
-"""Registered queries of the training-data operators."""
+"""Registered queries of the training-data operators and their pipeline."""
 
 from __future__ import annotations
 
-from .queries import LLM_ORACLES, LLM_QUERIES  # noqa: F401
+import corpus_pipeline
+
+from .queries import LLM_ORACLES, LLM_QUERIES
+
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
