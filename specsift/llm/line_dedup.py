@@ -57,8 +57,8 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with the text cleaned, plus n_lines and n_removed."""
     doc = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")]
-    lines = docs.select(*doc, F.col(site_col).alias("site"), F.posexplode(_split_lines(F.col(text_col))).alias("at", "line"))
-    lines = lines.withColumn("line", _trimmed(F.col("line")))
+    lines = docs.select(*doc, F.col(site_col).alias("site"), F.posexplode_outer(_split_lines(F.col(text_col))).alias("at", "line"))
+    lines = lines.filter("line is not null").withColumn("line", _trimmed(F.col("line")))
     lines = lines.filter(F.size(F.split("line", r"[\x20\x09-\x0D]+")) >= min_words)
     lines = write_stage(
         lines.select("id", "text_hash", "at", "site", F.xxhash64("line").alias("key")), "line-places"

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
-#: Mean log ratio (natural log) below which a document is rejected.
-THRESHOLD = -0.1
+#: Mean log ratio (natural log) below which a document is rejected: its n-grams
+#: are half as likely in the target as in the corpus.
+THRESHOLD = -0.7
 REPEAT_WINDOW = 8
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -35,32 +36,41 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
 
 
-def _pairs(a: Column, shift: int, join) -> Column:
-    """join(a[i], a[i + shift]) for every i."""
+def _pairs(name: str, shift: int, join) -> Column:
+    """join(a[i], a[i + shift]) for every i of an array column."""
+    a = F.col(name)
     n = F.greatest(F.size(a) - shift, F.lit(0))
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + shift), n), join)
 
 
-def _grams(words: Column) -> Column:
-    """Buckets of a text's n-grams."""
-    ends = F.transform(words, lambda w: F.pmod(F.xxhash64(F.right(w, F.lit(3))), F.lit(BUCKETS)).cast("int"))
-    two = F.transform(words, lambda w: F.right(w, F.lit(2)))
-    joint = _pairs(two, 1, lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int"))
-    return F.concat(ends, joint)
+def _with_grams(df: DataFrame) -> DataFrame:
+    """Adds grams__, the buckets of the n-grams of words__.
+
+    Arrays that are read more than once are columns of their own: as nested
+    expressions they would be computed again at each use.
+    """
+    ends = F.transform("words__", lambda w: F.pmod(F.xxhash64(F.right(w, F.lit(3))), F.lit(BUCKETS)).cast("int"))
+    df = df.withColumn("two__", F.transform("words__", lambda w: F.right(w, F.lit(2))))
+    joint = _pairs("two__", 1, lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int"))
+    return df.withColumn("grams__", F.concat(ends, joint)).drop("two__")
 
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, weight): 1000 x log of target over raw probability, add-one
-    smoothed.  ``trusted`` lists the ids of the trusted documents."""
+    """(bucket, weight): 1000 x log of target over raw probability, both
+    add-one smoothed after scaling the raw counts to the target's total (so
+    that sparse buckets weigh nothing).  ``trusted`` lists the ids of the
+    trusted documents."""
     good = trusted.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct().withColumn("good__", F.lit(1))
     marked = docs.select(id_col, _text(text_col).alias("text")).join(good, id_col, "left")
-    counts = (
-        marked.select(F.coalesce("good__", F.lit(0)).alias("good"), F.explode(_grams(_words(F.col("text")))).alias("bucket"))
+    marked = _with_grams(marked.select(F.coalesce("good__", F.lit(0)).alias("good"), _words(F.col("text")).alias("words__")))
+    counts = (  # explode_outer: for explode, the optimizer adds a size filter that makes the n-grams twice
+        marked.select("good", F.explode_outer("grams__").alias("bucket"))
+        .filter("bucket is not null")
         .groupBy("bucket")
         .agg(F.sum("good").alias("target"), F.count("*").alias("raw"))
     )
     total = counts.agg(F.sum("target").alias("all_target"), F.sum("raw").alias("all_raw"))
-    odds = F.log((F.col("target") + 1) / (F.col("all_target") + BUCKETS)) - F.log((F.col("raw") + 1) / (F.col("all_raw") + BUCKETS))
+    odds = F.log((F.col("target") + 1) / (F.col("raw") * F.col("all_target") / F.col("all_raw") + 1))
     weight = F.when(F.col("all_target") > 0, F.round(1000 * odds)).otherwise(0).cast("int")
     return counts.join(F.broadcast(total)).select("bucket", weight.alias("weight"))
 
@@ -74,33 +84,35 @@ def _weight_array(weights: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words inside windows whose hash occurs twice or more: hashes sorted with
-    their places, equal neighbours kept, and covered words summed."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twins = _pairs(placed, 1, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    at = F.array_sort(F.array_distinct(F.flatten(twins)))
-    zero = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(
+def _with_repeats(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words, the words inside 8-word windows whose hash occurs
+    twice or more: hashes sorted with their places, equal neighbours kept, and
+    covered words summed.  Texts without such windows skip all but a test."""
+    df = df.withColumn("hash__", F.transform("words__", lambda w: F.xxhash64(w)))
+    for shift in (1, 2, 4):  # windows of 2, 4, then 8 words
+        df = df.withColumn("hash__", _pairs("hash__", shift, lambda a, b: F.xxhash64(a, b)))
+    repeated = F.size("hash__") > F.size(F.array_distinct("hash__"))
+    placed = F.array_sort(F.transform("hash__", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("placed__", F.when(repeated, placed)).drop("hash__")
+    none = F.array().cast("array<int>")
+    df = df.withColumn("twins__", _pairs("placed__", 1, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(none)))
+    at = F.array_sort(F.array_distinct(F.flatten("twins__")))
+    covered = F.aggregate(
         at,
-        zero,
+        F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")),
         lambda acc, i: F.struct(
             (i + REPEAT_WINDOW).alias("to"), (acc["n"] + i + REPEAT_WINDOW - F.greatest(acc["to"], i)).alias("n")
         ),
         lambda acc: acc["n"],
     )
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("placed__", "twins__")
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus words__ (array) and the base counts."""
     text = _text(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != "")
-    out = docs.withColumn("words__", _words(text)).withColumn("lines__", lines)
-    h = F.transform("words__", lambda w: F.xxhash64(w))
-    for shift in (1, 2, 4):  # windows of 2, 4, then 8 words
-        h = _pairs(h, shift, lambda a, b: F.xxhash64(a, b))
-    out = out.withColumn("windows__", h)
-    repeated = F.size("windows__") > F.size(F.array_distinct("windows__"))
+    out = _with_repeats(docs.withColumn("words__", _words(text)).withColumn("lines__", lines))
     return out.select(
         *docs.columns,
         "words__",
@@ -108,7 +120,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.length(F.translate(text, _SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines__") - F.size(F.array_distinct("lines__"))).cast("long").alias("n_dup_lines"),
-        F.when(repeated, _repeat_words(F.col("windows__"))).otherwise(0).cast("long").alias("n_repeat_words"),
+        "n_repeat_words",
     )
 
 
@@ -116,8 +128,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     """``docs`` plus the base counts, base_failed, log_ratio (mean over n-grams)
     and kept."""
     table = _weight_array(ratio_weights(docs, trusted, id_col, text_col))
-    out = base_counts(docs, text_col)
-    out = out.withColumn("grams__", _grams(F.col("words__")))
+    out = _with_grams(base_counts(docs, text_col))
     total = F.aggregate("grams__", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
     out = out.withColumn("log_ratio", F.when(F.size("grams__") > 0, total / (1000 * F.size("grams__"))).otherwise(0.0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
