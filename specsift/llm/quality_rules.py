@@ -61,7 +61,8 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     that sparse buckets weigh nothing).  ``trusted`` lists the ids of the
     trusted documents."""
     good = trusted.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct().withColumn("good__", F.lit(1))
-    marked = docs.select(id_col, _text(text_col).alias("text")).join(good, id_col, "left")
+    # a sort-merge join at any size: the trusted ids grow with the corpus
+    marked = docs.select(id_col, _text(text_col).alias("text")).join(good.hint("merge"), id_col, "left")
     marked = _with_grams(marked.select(F.coalesce("good__", F.lit(0)).alias("good"), _words(F.col("text")).alias("words__")))
     counts = (  # explode_outer: for explode, the optimizer adds a size filter that makes the n-grams twice
         marked.select("good", F.explode_outer("grams__").alias("bucket"))
