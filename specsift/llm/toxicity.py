@@ -2,9 +2,9 @@
 
 Training takes labelled documents only: up to ``MAX_EXAMPLES`` of each class
 (smallest hashes of the id).  Terms are a text's lower-cased words and their
-first 3 to 8 bytes, so that compounds of one stem meet.  The terms whose
-document frequency differs most between the classes (log-likelihood ratio)
-span the space; their document frequencies are then counted over all
+first 3 to 8 bytes, so that compounds of one stem meet.  The terms that mark
+toxic examples most (log-likelihood ratio of document frequencies) span the
+space; their document frequencies are then counted over all
 documents, and weights are (1 + ln tf) x ln((N + 1) / (df + 1)).
 
 The examples form an inverted index in blocks.  The largest weight of a term
@@ -37,10 +37,10 @@ from ..session import write_stage
 from .words import ALNUM, Words, _powers, mix, split_words
 
 MAX_EXAMPLES = 4096
-MAX_TERMS = 4096
+MAX_TERMS = 512
 MIN_G2 = 25.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 PREFIXES = range(3, 9)
 
 _U = np.uint64
@@ -121,21 +121,16 @@ def _vectors(vocabulary: np.ndarray):
 
 @dataclass
 class Index:
-    """Block-max inverted index over weighted examples."""
+    """Block-max inverted index over weighted examples: a term's postings are
+    a row of weights, cut into blocks of BLOCK examples."""
 
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     stands: np.ndarray
-    start: np.ndarray  # postings of (term, block): start[t * blocks + b] up to the next
-    example: np.ndarray
-    weight: np.ndarray
+    postings: np.ndarray  # terms x (blocks * BLOCK)
     most: np.ndarray  # terms x blocks, the largest weight
 
-    @property
-    def blocks(self) -> int:
-        return self.most.shape[1]
-
     def query(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[at]
         norm = np.sqrt((w * w).sum())
@@ -145,15 +140,15 @@ class Index:
         """(examples, cosines) of the k nearest, the nearest first."""
         bound = weights @ self.most[at]
         found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
+        for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or (len(found) == k and cosines[-1] >= bound[b]):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at, weights):
-                i, j = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                score[self.example[i:j] - b * BLOCK] += w * self.weight[i:j]
-            own = np.flatnonzero(score > 0)
-            own = own[own + b * BLOCK != skip]
+            score = weights @ self.postings[at, b * BLOCK : (b + 1) * BLOCK]
+            if 0 <= skip - b * BLOCK < BLOCK:
+                score[skip - b * BLOCK] = 0
+            own = np.flatnonzero(score > (cosines[-1] if len(found) == k else 0))
+            if not len(own):
+                continue
             found = np.concatenate([found, own + b * BLOCK])
             cosines = np.concatenate([cosines, score[own]])
             best = np.lexsort((found, -cosines))[:k]
@@ -166,17 +161,13 @@ class Index:
 
 
 def build_index(idf: np.ndarray, ids, labels, stands, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-    n = len(vectors)
-    blocks = max(-(-n // BLOCK), 1)
-    out = Index(idf, np.asarray(ids), np.asarray(labels, float), np.asarray(stands, float), *[np.zeros(0)] * 3, np.zeros((len(idf), blocks)))
-    term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
-    example = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
-    weight = np.concatenate([out.query(*v) for v in vectors] or [np.zeros(0)])
-    order = np.lexsort((example, term))
-    term, out.example, out.weight = term[order], example[order], weight[order]
-    cell = term * blocks + out.example // BLOCK
-    np.maximum.at(out.most.reshape(-1), cell, out.weight)
-    out.start = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
+    blocks = max(-(-len(vectors) // BLOCK), 1)
+    postings = np.zeros((len(idf), blocks * BLOCK))
+    out = Index(idf, np.asarray(ids, np.int64), np.asarray(labels, float), np.asarray(stands, float), postings, np.zeros((len(idf), blocks)))
+    for i, (at, times) in enumerate(vectors):
+        postings[at, i] = out.query(at, times)
+    if len(idf):
+        out.most = postings.reshape(len(idf), blocks, BLOCK).max(axis=2)
     return out
 
 
@@ -236,7 +227,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     g2 = 2 * (
         part(pos, both * p / total) + part(neg, both * n / total) + part(p - pos, rest * p / total) + part(n - neg, rest * n / total)
     ) if p and n else F.lit(0.0)
-    chosen = terms.withColumn("g2", g2).filter(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "term").limit(MAX_TERMS)
+    chosen = terms.withColumn("g2", g2).filter((F.col("g2") >= MIN_G2) & (pos * n > neg * p)).orderBy(F.desc("g2"), "term").limit(MAX_TERMS)
     vocabulary = np.sort(np.array([r["term"] for r in chosen.collect()], dtype=np.int64).view(np.uint64))
 
     df = np.zeros(len(vocabulary) + 1, dtype=np.int64)
@@ -246,21 +237,21 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     idf = np.log((df[-1] + 1) / (df[:-1] + 1))
 
     vectors = examples.mapInArrow(_vectors(vocabulary), "doc_id long, label int, terms array<struct<at: int, times: int>>").orderBy("doc_id").collect()
-    cells = [(np.array([t["at"] for t in r["terms"]], np.int64), np.array([t["times"] for t in r["terms"]], float)) for r in vectors]
-    labels = np.array([r["label"] for r in vectors], float)
     have = {1: max(p, 1), 0: max(n, 1)}
+    labels = np.array([r["label"] for r in vectors], float)
     stands = np.array([sizes[r["label"]] / have[r["label"]] for r in vectors])
-    index = build_index(idf, [r["doc_id"] for r in vectors], labels, stands, cells)
     prior = float((labels * stands).sum() / stands.sum()) if len(labels) else 0.0
+    empty = np.array([not r["terms"] for r in vectors], dtype=bool)
+    nothing = float((labels * stands)[empty].sum() / stands[empty].sum()) if empty.any() else prior
+    vectors = [r for r in vectors if r["terms"]]
+    labels, stands = labels[~empty], stands[~empty]
+    cells = [(np.array([t["at"] for t in r["terms"]], np.int64), np.array([t["times"] for t in r["terms"]], float)) for r in vectors]
+    index = build_index(idf, [r["doc_id"] for r in vectors], labels, stands, cells)
 
-    votes, empty = np.full(len(cells), np.nan), np.array([len(c[0]) == 0 for c in cells], dtype=bool)
+    votes = np.zeros(len(cells))
     for i, c in enumerate(cells):
-        if len(c[0]):
-            found, cosines = index.nearest(c[0], index.query(*c), NEIGHBOURS, skip=i)
-            votes[i] = index.vote(found, cosines, prior)
-    nothing = float((labels * stands)[empty].sum() / stands[empty].sum()) if empty.any() else prior
-    ok = ~np.isnan(votes)
-    points, values = isotonic(votes[ok], labels[ok], stands[ok]) if ok.any() else (np.zeros(1), np.full(1, prior))
+        votes[i] = index.vote(*index.nearest(c[0], index.query(*c), NEIGHBOURS, skip=i), prior)
+    points, values = isotonic(votes, labels, stands) if len(cells) else (np.zeros(1), np.full(1, prior))
     return Model(vocabulary, index, prior, nothing, points, values)
 
 
