@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_stage
+
 BUCKETS = 1 << 14
 #: Mean log ratio (natural log) below which a document is rejected: its n-grams
 #: are half as likely in the target as in the corpus.
@@ -138,5 +140,11 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_low_quality(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept."""
-    return judge_quality(docs, trusted, **options).filter("kept").select(docs.columns)
+    """The rows of ``docs`` that are kept.
+
+    Verdicts are written before they are filtered: the optimizer would move
+    the filter below the counts and make their arrays many times over.
+    """
+    judged = judge_quality(docs, trusted, **options)
+    judged = write_stage(judged.select(*docs.columns, F.col("kept").alias("verdict__")), "quality-verdicts")
+    return judged.filter("verdict__").select(docs.columns)
