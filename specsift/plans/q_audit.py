@@ -271,7 +271,7 @@ def _eval_sql(select: str) -> str:
     ctes.update(O.corpus_vector_ctes("c"))
     ctes.update(O.fuzzy_ctes("f_", "c", "query_batch", "query_id", "query", 10))
     ctes["ex"] = """SELECT DISTINCT d.source AS "case", b.item_id AS query_id, 'doc_' || CAST(d.doc_id AS VARCHAR) AS name, 0 AS position
-      FROM benchmark b JOIN documents d ON length(substr(b.text, 1, 60)) > 0 AND instr(d.text, substr(b.text, 1, 60)) > 0"""
+      FROM benchmark b JOIN documents d ON length(b.text) > 0 AND instr(d.text, b.text) > 0"""
     ctes["pq"] = """SELECT ex."case", ex.query_id, ex.name, ex.position, CAST(f.rank - 1 AS INTEGER) AS position_found,
       coalesce(f.rank - 1 <= ex.position + 2, false) AS passed
       FROM ex LEFT JOIN f_fz f ON f.query_id = ex.query_id AND f.name = ex.name"""

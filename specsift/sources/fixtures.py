@@ -185,55 +185,43 @@ def dump_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def passage_matches(spark: SparkSession, sf_dir: str, prefix_chars: int = 60,
-                    max_patterns: int = 500_000) -> DataFrame:
-    """(item_id, doc_id) where a document contains the opening of a benchmark
-    passage.  The set of openings is broadcast as an Aho-Corasick automaton
-    (at most ``max_patterns`` per broadcast; larger sets are cut into blocks
-    by item hash), and every document is scanned once per block inside its
-    task -- no benchmark x documents join."""
+#: Words of the anchor by which passages and documents meet.
+ANCHOR_WORDS = 6
+
+
+def passage_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id) where a document contains a whole benchmark passage.
+
+    A contained passage's inner words (between its first and last space) stand
+    in the document as whole space-separated words, so both sides meet in an
+    equi-join on the hash of up to ANCHOR_WORDS inner words; ``contains`` on
+    the whole passage decides.  A passage without inner words has no anchor
+    and is compared with every document.
+    """
     from functools import reduce
 
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, prefix_chars).alias("p")) \
-        .where(F.length("p") > 0)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = bench.count()
-    blocks = max(1, -(-n // max_patterns))
+    words = F.split("text", " ", -1)
+    bench = table(spark, sf_dir, "benchmark").where(F.length("text") > 0).select(
+        "item_id", F.col("text").alias("passage"),
+        F.greatest(F.lit(0), F.least(F.lit(ANCHOR_WORDS), F.size(words) - 2)).alias("n"),
+        words.alias("w"),
+    ).withColumn("anchor", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " "))).drop("w")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
+    split = docs.select("doc_id", words.alias("w"))
+    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most ANCHOR_WORDS + 1 values
     parts = []
-    for b in range(blocks):
-        pats = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()
-        if len(pats):
-            parts.append(docs.mapInPandas(_ac_scan(spark, list(zip(pats["p"], pats["item_id"]))),
-                                          "item_id long, doc_id long"))
+    for n in lengths:
+        if n == 0:
+            near = bench.where("n = 0").select("item_id", "passage").join(docs, F.col("text").contains(F.col("passage")))
+            parts.append(near.select("item_id", "doc_id"))
+            continue
+        at = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        grams = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))  # noqa: B023
+        grams = split.where(F.size("w") >= n).select("doc_id", grams.alias("g"))
+        parts.append(grams.select("doc_id", F.explode_outer("g").alias("anchor")).join(
+            bench.where(F.col("n") == n).select("item_id", "anchor"), "anchor").select("item_id", "doc_id"))
     if not parts:
         return docs.select(F.lit(0).cast("long").alias("item_id"), "doc_id").limit(0)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _ac_scan(spark: SparkSession, patterns: list):
-    import pandas as pd
-
-    bc = spark.sparkContext.broadcast(patterns)
-
-    def fn(it):
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for p, i in bc.value:
-            auto.add_word(p, auto.get(p, ()) + (int(i),))
-        auto.make_automaton()
-        for pdf in it:
-            out_i, out_d = [], []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
-                if t is None:
-                    continue
-                seen = set()
-                for _, items in auto.iter(t):
-                    for i in items:
-                        if i not in seen:
-                            seen.add(i)
-                            out_i.append(i)
-                            out_d.append(int(d))
-            yield pd.DataFrame({"item_id": out_i, "doc_id": out_d}, dtype="int64")
-
-    return fn
+    near = reduce(DataFrame.unionByName, parts).distinct()
+    whole = near.join(bench.select("item_id", "passage"), "item_id").join(docs, "doc_id")
+    return whole.where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
