@@ -150,6 +150,7 @@ def classify_quality(
     )
     labels = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     labels = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    labels = labels.hint("merge")  # sort-merge at any size: the labels grow with the corpus
 
     counts = np.zeros((2, BUCKETS))
     taught = source.select("doc_id", "text").join(labels, "doc_id")
