@@ -143,14 +143,21 @@ def all_pairs_topk(vectors: DataFrame, k: int, vec_col: str = "v", kind: str = "
     return top_k(cand, ["pos1"], k, [F.col("score").desc(), F.col("pos2").asc()]).select("pos1", "rank", "pos2", "score")
 
 
-def similar_pairs(neighbours: DataFrame, structural: DataFrame, threshold: float = 0.90) -> DataFrame:
+def similar_pairs(neighbours: DataFrame, entries: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Neighbour pairs at or above the threshold, each unordered pair once,
-    minus pairs already reported as exact/subsumes."""
+    minus pairs whose clause classes are equal or one of which subsumes the
+    other.  Classes are compared pair by pair, so members of a class are
+    recognised without a list of structural pairs."""
     p = neighbours.where(F.col("score") >= threshold).select(
         F.least("pos1", "pos2").alias("pos1"), F.greatest("pos1", "pos2").alias("pos2"), "score").groupBy(
         "pos1", "pos2").agg(F.max("score").alias("similarity"))
-    s = structural.select(F.least("pos1", "pos2").alias("pos1"), F.greatest("pos1", "pos2").alias("pos2"))
-    return p.join(s, ["pos1", "pos2"], "left_anti").select(F.lit("similar").alias("type"), "pos1", "pos2", "similarity")
+    k = spec_classes(entries)
+    k1 = k.select(F.col("entry_pos").alias("pos1"), F.col("req_key").alias("r1"), F.col("ens_key").alias("e1"))
+    k2 = k.select(F.col("entry_pos").alias("pos2"), F.col("req_key").alias("r2"), F.col("ens_key").alias("e2"))
+    nested = (F.size(F.array_except("r1", "r2")) == 0) | (F.size(F.array_except("r2", "r1")) == 0)
+    same = (F.col("e1") == F.col("e2")) & ((F.col("r1") == F.col("r2")) | ((F.size("e1") > 0) & nested))
+    return p.join(k1, "pos1", "left").join(k2, "pos2", "left").where(~F.coalesce(same, F.lit(False))).select(
+        F.lit("similar").alias("type"), "pos1", "pos2", "similarity")
 
 
 def categorize_pair(l1: str = "lemma1", l2: str = "lemma2") -> Column:

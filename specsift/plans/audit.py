@@ -17,15 +17,17 @@ def detect_duplicates(corpus: Corpus, threshold: float = 0.75, include_similar:
     pairs from each entry's k nearest neighbours (>= similar_threshold).
 
     Output: type, pos1, pos2, lemma1, lemma2, similarity, file1, file2.
-    ``threshold`` is kept with the report (S7); structural pairs are reported
-    whatever their cosine, which is returned for review.
+    With vectors, structural pairs below ``threshold`` (cosine, inclusive) are
+    left out; without vectors all are reported.
     """
     structural = exact_duplicates(corpus.entries).unionByName(subsumed_pairs(corpus.entries))
-    out = pair_cosine(structural, corpus.vectors, corpus.cfg.dims) if corpus.has_vectors else \
-        structural.withColumn("similarity", F.lit(None).cast("double"))
+    if corpus.has_vectors:
+        out = pair_cosine(structural, corpus.vectors, corpus.cfg.dims).where(F.col("similarity") >= threshold)
+    else:
+        out = structural.withColumn("similarity", F.lit(None).cast("double"))
     if include_similar and corpus.has_vectors:
         nb = all_pairs_topk(corpus.vectors, k, "ids", kind="ids", dims=corpus.cfg.dims)
-        out = out.unionByName(similar_pairs(nb, structural, similar_threshold))
+        out = out.unionByName(similar_pairs(nb, corpus.entries, similar_threshold))
     return named_pairs(out, corpus.entries).select(
         "type", "pos1", "pos2", "lemma1", "lemma2", "similarity", "file1", "file2")
 

@@ -142,8 +142,8 @@ _NB = {
     "sim": """SELECT 'similar' AS type, pos1, pos2, similarity FROM (
       SELECT least(pos1, pos2) AS pos1, greatest(pos1, pos2) AS pos2, max(score) AS similarity FROM nb
       WHERE score >= 0.9 GROUP BY ALL) s
-      WHERE NOT EXISTS (SELECT 1 FROM (SELECT pos1, pos2 FROM exa UNION ALL SELECT pos1, pos2 FROM sub) t
-                        WHERE least(t.pos1, t.pos2) = s.pos1 AND greatest(t.pos1, t.pos2) = s.pos2)""",
+      WHERE NOT EXISTS (SELECT 1 FROM ckf a JOIN ckf b ON a.ek = b.ek WHERE a.entry_pos = s.pos1 AND b.entry_pos = s.pos2
+        AND (a.rk = b.rk OR (len(a.ek) > 0 AND (list_has_all(a.rk, b.rk) OR list_has_all(b.rk, a.rk)))))""",
 }
 
 
@@ -153,7 +153,7 @@ def _audit_prelude(extra: dict[str, str] | None = None) -> str:
     d.update(_NB)
     d["struct"] = "SELECT * FROM exa UNION ALL SELECT * FROM sub"
     d["ssim"] = _pair_sim("struct")
-    d["allp"] = "SELECT * FROM ssim UNION ALL SELECT * FROM sim"
+    d["allp"] = "SELECT * FROM ssim WHERE similarity >= 0.75 UNION ALL SELECT * FROM sim"
     d["named"] = """SELECT p.type, p.pos1, p.pos2, e1.name AS lemma1, e2.name AS lemma2, p.similarity,
       e1.file_path AS file1, e2.file_path AS file2 FROM allp p JOIN entries e1 ON e1.entry_pos = p.pos1
       JOIN entries e2 ON e2.entry_pos = p.pos2"""
@@ -190,9 +190,8 @@ def _corpus(spark: SparkSession, sf: str):
 @register("similar_pairs", _audit_prelude() + "SELECT type, pos1, pos2, similarity FROM sim")
 def q_similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     c = _corpus(spark, sf)
-    structural = exact_duplicates(c.entries).unionByName(subsumed_pairs(c.entries))
     nb = all_pairs_topk(c.vectors, 10, "ids", kind="ids")
-    return similar_pairs(nb, structural, 0.90)
+    return similar_pairs(nb, c.entries, 0.90)
 
 
 @register("combine_pairs", _audit_prelude() + "SELECT type, pos1, pos2, similarity FROM allp")

@@ -88,6 +88,6 @@ def q_write_enriched_graph(spark: SparkSession, sf: str) -> DataFrame:
     nodes = IO.read_call_graph_lines(spark, src)
     out = _folder(spark, "graph-out")
     IO.write_enriched_graph(enrich_graph(build_corpus_index(fx.docs(spark, sf)), nodes, 3), out)
-    back = spark.read.schema("display_name string, similar_lemmas array<struct<name:string>>").json(out)
+    back = spark.read.schema("display_name string, similar_lemmas array<struct<name:string>>").json(f"{out}/nodes")
     return back.select("display_name", F.coalesce(F.size("similar_lemmas"), F.lit(0)).cast("int").alias("n_similar"),
                        F.col("similar_lemmas")[0]["name"].alias("top_name"))

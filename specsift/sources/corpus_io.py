@@ -8,6 +8,9 @@ index ({version, repo_root, lemmas[], has_embeddings}) is read as well.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,59 +96,81 @@ def read_call_graph(spark: SparkSession, path: str) -> DataFrame:
                         parsed["body"].alias("body"), "node")
 
 
-def write_enriched_graph(enriched: DataFrame, path: str) -> None:
-    """Nodes as JSON lines; ``similar_lemmas`` added only where hits exist
-    (null fields are dropped, so untouched nodes keep their original keys)."""
-    out = enriched.select(
-        "node_id",
-        F.when(F.col("similar_lemmas").isNull(), F.col("node")).otherwise(
-            F.concat(F.expr("substring(node, 1, length(node) - 1)"),
-                     F.lit(', "similar_lemmas": '), F.to_json("similar_lemmas"), F.lit("}"))).alias("node"))
-    out.orderBy("node_id").select("node").write.mode("overwrite").text(path)
+@F.pandas_udf(T.StringType())
+def _with_similar(node: pd.Series, similar: pd.Series) -> pd.Series:
+    """The node object with ``similar_lemmas`` set (replacing an old one)."""
+    return pd.Series([json.dumps({**json.loads(n), "similar_lemmas": json.loads(s)}, ensure_ascii=False)
+                      for n, s in zip(node, similar)])
+
+
+@F.pandas_udf(T.StringType())
+def _other_keys(graph: pd.Series) -> pd.Series:
+    return pd.Series([json.dumps({k: v for k, v in json.loads(g).items() if k not in ("nodes", "edges")},
+                                 ensure_ascii=False) for g in graph])
+
+
+def write_enriched_graph(enriched: DataFrame, path: str, source: str | None = None) -> None:
+    """``path/nodes`` holds the nodes as JSON lines in their order;
+    ``similar_lemmas`` is set only where hits exist, other nodes stay as read.
+    With ``source``, the graph document that ``read_call_graph`` read, its
+    edges go to ``path/edges`` (one per line) and its other top-level keys to
+    ``path/header``."""
+    hit = F.col("similar_lemmas").isNotNull()
+    changed = enriched.where(hit).select("node_id", _with_similar("node", F.to_json("similar_lemmas")).alias("node"))
+    out = changed.unionByName(enriched.where(~hit).select("node_id", "node"))
+    out.orderBy("node_id").select("node").write.mode("overwrite").text(f"{path}/nodes")
+    if source is not None:
+        raw = enriched.sparkSession.read.text(source, wholetext=True)
+        edges = F.from_json("value", "struct<edges:array<string>>")["edges"]
+        raw.select(F.explode(edges)).write.mode("overwrite").text(f"{path}/edges")
+        raw.select(_other_keys("value")).write.mode("overwrite").text(f"{path}/header")
 
 
 def read_source_files(spark: SparkSession, root: str, pattern: str = "*.rs") -> DataFrame:
     """S3: (file_path relative to root, content), one row per file.
 
-    Files are read whole (``wholetext``), recursively; a path that does not
-    lie under the root is dropped (the reference returns empty text for it,
-    which the spec join treats the same as a missing file).
+    Files are read whole (``wholetext``), recursively, from any file system.
+    Paths are compared without scheme and host and decoded from their URI
+    form; a file that does not lie under the root is an error.
     """
-    base = root.rstrip("/") + "/"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path).toUri().getPath().rstrip("/") + "/"
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-          .text(base, wholetext=True)
-          .select(F.col("_metadata.file_path").alias("_abs"), F.col("value").alias("content")))
-    abs_path = F.regexp_replace("_abs", "^file:(//)?", "")
-    root_c = F.regexp_replace(F.lit(base), "^file:(//)?", "")
-    rel = F.when(abs_path.startswith(root_c), F.expr("substring(regexp_replace(_abs, '^file:(//)?', ''), "
-                                                     f"{len(base.replace('file://', '').replace('file:', '')) + 1})"))
-    out = df.select(rel.alias("file_path"), "content")
-    return out.where(F.col("file_path").isNotNull() & ~F.col("file_path").contains(".."))
+          .text(root, wholetext=True)
+          .select(F.col("_metadata.file_path").alias("_uri"), F.col("value").alias("content")))
+    bare = F.regexp_replace("_uri", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    full = F.url_decode(F.regexp_replace(bare, "\\+", "%2B"))  # a plus sign in a path is no space
+    outside = F.raise_error(F.concat(F.lit("not under the root: "), full)).cast("string")
+    rel = F.when(F.startswith(full, F.lit(base)), F.substr(full, F.lit(len(base) + 1))).otherwise(outside)
+    return df.select(rel.alias("file_path"), "content")
 
 
-SHARD = T.StructType([T.StructField("first_pos", T.LongType())] + INDEX_JSON.fields)
+SHARD_ENTRY = T.StructType([T.StructField("entry_pos", T.LongType())] + ENTRY.fields)
+SHARD = T.StructType([T.StructField("lemmas", T.ArrayType(SHARD_ENTRY)) if f.name == "lemmas" else f
+                      for f in INDEX_JSON.fields])
 
 
 def write_index_shards(entries: DataFrame, path: str, shard_size: int = 1000, repo_root: str = "",
                        has_embeddings: bool = False) -> None:
     """The reference's index object, written as bounded shards: one JSON line
-    per block of ``shard_size`` consecutive entries, with the block's first
-    position.  Each shard is built in its own group (bounded), never the
-    whole corpus in one document."""
-    lemma = F.struct(*[F.col(f.name) for f in ENTRY])
+    per range of ``shard_size`` positions, every entry with its own position
+    (positions may have gaps).  Each shard is built in its own group
+    (bounded), never the whole corpus in one document."""
+    lemma = F.struct(*[F.col(f.name) for f in SHARD_ENTRY])
     g = entries.groupBy(F.floor(F.col("entry_pos") / shard_size).alias("_shard")).agg(
-        F.min("entry_pos").alias("first_pos"),
         F.transform(F.array_sort(F.collect_list(F.struct("entry_pos", lemma.alias("l")))), lambda x: x["l"]).alias("lemmas"))
-    g.select("first_pos", F.lit("1.0").alias("version"), F.lit(repo_root).alias("repo_root"), "lemmas",
+    g.select(F.lit("1.0").alias("version"), F.lit(repo_root).alias("repo_root"), "lemmas",
              F.lit(has_embeddings).alias("has_embeddings")).write.mode("overwrite").json(path)
 
 
 def read_index_shards(spark: SparkSession, path: str) -> DataFrame:
-    """S2 over index shards: entry_pos = shard's first position + position in it."""
+    """S2 over index shards: every entry carries its position."""
     raw = spark.read.schema(SHARD).json(path)
-    e = raw.select("first_pos", F.posexplode("lemmas").alias("i", "l"))
+    e = raw.select(F.explode("lemmas").alias("l"))
     return e.select(
-        (F.col("first_pos") + F.col("i")).alias("entry_pos"),
+        F.col("l.entry_pos").alias("entry_pos"),
         F.col("l.name").alias("name"), F.col("l.file_path").alias("file_path"),
         F.col("l.line_number").alias("line_number"),
         F.coalesce("l.documentation", F.lit("")).alias("documentation"),

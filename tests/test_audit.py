@@ -1,7 +1,7 @@
 """Spec fill, coverage, duplicates and pattern categories on inline rows."""
 
 from specsift.operators.duplicates import (PATTERNS, all_pairs_topk, categorize_pair, exact_duplicates,
-                                           pattern_counts, subsumed_pairs)
+                                           pattern_counts, similar_pairs, subsumed_pairs)
 from pyspark.sql import functions as F
 
 from specsift.operators.specs import fill_impact, fill_missing_specs, spec_coverage
@@ -51,6 +51,17 @@ def test_exact_and_subsumed(spark):
     assert sub == [(1, 3), (4, 1), (4, 3)]
 
 
+def test_similar_leaves_out_members_of_structural_classes(spark):
+    e = _df(spark, [(1, "a", "", ["x"], ["r"], "p"), (2, "b", "", ["x"], ["r"], "p"), (3, "c", "", [" x"], ["r"], "p"),
+                    (4, "d", "", ["x", "y"], ["r"], "p"), (5, "e", "", [], [], "p"), (6, "f", "", [], [], "p"),
+                    (7, "g", "", ["z"], ["r"], "p")])
+    nb = spark.createDataFrame([(a, b, 0.95) for a in range(1, 8) for b in range(1, 8) if a != b],
+                               "pos1 long, pos2 long, score double")
+    got = {(r.pos1, r.pos2) for r in similar_pairs(nb, e, 0.9).collect()}
+    structural = {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
+    assert got == {(a, b) for a in range(1, 8) for b in range(a + 1, 8)} - structural
+
+
 def test_all_pairs_topk_brute_force(spark):
     import numpy as np
 

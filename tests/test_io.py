@@ -40,19 +40,43 @@ def test_call_graph_round_trip(spark, scratch):
     with open(p, "w") as f:
         json.dump({"nodes": [{"display_name": "lemma_a", "body": "x > 0\ny > 0", "id": 7},
                              {"display_name": "", "body": "skip me"},
-                             {"display_name": "zzz_unrelated", "extra": [1, 2]}], "edges": [[0, 1]]}, f)
+                             {"display_name": "zzz_unrelated", "extra": [1, 2]}, {}], "edges": [[0, 1], [1, 2]], "root": "r"}, f)
     nodes = read_call_graph(spark, p)
-    assert nodes.count() == 3
+    assert nodes.count() == 4
     corpus = build_corpus_index(read_index_json_rows(spark, scratch))
     enriched = enrich_graph(corpus, nodes, 1)
-    write_enriched_graph(enriched, os.path.join(scratch, "out"))
-    lines = [json.loads(r.value) for r in spark.read.text(os.path.join(scratch, "out")).collect()]
-    assert len(lines) == 3
+    out = os.path.join(scratch, "out")
+    write_enriched_graph(enriched, out, source=p)
+    lines = [json.loads(r.value) for r in spark.read.text(f"{out}/nodes").collect()]
+    assert len(lines) == 4 and lines[3] == {}
+    assert [json.loads(r.value) for r in spark.read.text(f"{out}/edges").collect()] == [[0, 1], [1, 2]]
+    assert [json.loads(r.value) for r in spark.read.text(f"{out}/header").collect()] == [{"root": "r"}]
     assert lines[1] == {"display_name": "", "body": "skip me"}  # untouched
     hit = lines[0]
     assert hit["id"] == 7 and hit["similar_lemmas"][0]["name"] == "lemma_b"
 
 
+def test_enriched_graph_sets_the_key_once(spark, scratch):
+    """An empty node and a node that already has the key stay valid JSON."""
+    rows = [(0, "{}", [("a", 0.5)]), (1, '{"similar_lemmas": [], "k": "é"}', [("b", 0.25)])]
+    df = spark.createDataFrame(rows, "node_id long, node string, similar_lemmas array<struct<name:string,score:double>>")
+    write_enriched_graph(df, os.path.join(scratch, "g"))
+    lines = [json.loads(r.value) for r in spark.read.text(os.path.join(scratch, "g", "nodes")).collect()]
+    assert lines == [{"similar_lemmas": [{"name": "a", "score": 0.5}]},
+                     {"similar_lemmas": [{"name": "b", "score": 0.25}], "k": "é"}]
+
+
+def test_index_shards_keep_positions_with_gaps(spark, scratch):
+    from specsift.sources.corpus_io import read_index_shards, write_index_shards
+
+    rows = [(p, f"n{p}", "a.rs", 1, "", "", [], [], "", "project") for p in (0, 2, 999, 1000, (3 << 24) + 5, (3 << 24) + 9)]
+    schema = ("entry_pos long, name string, file_path string, line_number int, documentation string, signature string, "
+              "requires_clauses array<string>, ensures_clauses array<string>, symbol_id string, source string")
+    write_index_shards(spark.createDataFrame(rows, schema), os.path.join(scratch, "shards"))
+    back = read_index_shards(spark, os.path.join(scratch, "shards")).collect()
+    assert sorted((r.entry_pos, r.name) for r in back) == [(r[0], r[1]) for r in rows]
+
+
 def read_index_json_rows(spark, scratch):
     p = os.path.join(scratch, "idx2.json")
     with open(p, "w") as f:
@@ -73,8 +97,10 @@ def test_read_source_files(spark, scratch):
     from specsift.sources.corpus_io import read_source_files
 
     os.makedirs(os.path.join(scratch, "src", "sub"))
-    for rel, txt in [("src/a.rs", "fn a() {}"), ("src/sub/b.rs", "fn b() {}"), ("src/c.txt", "x")]:
+    for rel, txt in [("src/a.rs", "fn a() {}"), ("src/sub/b.rs", "fn b() {}"), ("src/c.txt", "x"),
+                     ("src/a b+c%20.rs", "fn c() {}"), ("src/v1..2.rs", "fn d() {}")]:
         with open(os.path.join(scratch, rel), "w") as f:
             f.write(txt)
     got = sorted((r.file_path, r.content) for r in read_source_files(spark, scratch).collect())
-    assert got == [("src/a.rs", "fn a() {}"), ("src/sub/b.rs", "fn b() {}")]
+    assert got == [("src/a b+c%20.rs", "fn c() {}"), ("src/a.rs", "fn a() {}"), ("src/sub/b.rs", "fn b() {}"),
+                   ("src/v1..2.rs", "fn d() {}")]
