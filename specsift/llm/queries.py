@@ -41,21 +41,21 @@ def op1_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     r"""
     WITH l AS (
       SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw,
-             unnest(range(0, len(string_split(text, chr(10))))) AS at
+             unnest(range(0, len(string_split(text, chr(10))))) AS pos
       FROM documents WHERE text IS NOT NULL
     ), t AS (
-      SELECT doc_id, source, at, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l
+      SELECT doc_id, source, pos, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l
     ), w AS (
       SELECT * FROM t WHERE len(string_split_regex(line, '[\x20\x09-\x0D]+')) >= 5
     ), b AS (
-      SELECT line, min(row(doc_id, at)) AS keep FROM w GROUP BY line HAVING count(DISTINCT source) >= 3
+      SELECT line, min(row(doc_id, pos)) AS keep FROM w GROUP BY line HAVING count(DISTINCT source) >= 3
     ), gone AS (
-      SELECT w.doc_id, w.at FROM w JOIN b ON w.line = b.line WHERE row(w.doc_id, w.at) <> b.keep
+      SELECT w.doc_id, w.pos FROM w JOIN b ON w.line = b.line WHERE row(w.doc_id, w.pos) <> b.keep
     ), r AS (
       SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
     ), k AS (
-      SELECT t.doc_id, string_agg(t.raw, chr(10) ORDER BY t.at) AS text
-      FROM t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.at = t.at WHERE g.at IS NULL GROUP BY t.doc_id
+      SELECT t.doc_id, string_agg(t.raw, chr(10) ORDER BY t.pos) AS text
+      FROM t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.pos = t.pos WHERE g.pos IS NULL GROUP BY t.doc_id
     )
     SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
            coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(r.n_removed, 0)::BIGINT AS n_removed
