@@ -55,7 +55,8 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 3, min_words: int = 5
 ) -> DataFrame:
-    """``docs`` with the text cleaned, plus n_lines and n_removed."""
+    """``docs`` with the text cleaned, plus n_lines and n_removed (in place of
+    columns of these names)."""
     doc = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")]
     lines = docs.select(*doc, F.col(site_col).alias("site"), F.posexplode_outer(_split_lines(F.col(text_col))).alias("at", "line"))
     lines = lines.filter("line is not null").withColumn("line", _trimmed(F.col("line")))
@@ -64,14 +65,14 @@ def dedup_lines(
         lines.select("id", "text_hash", "at", "site", F.xxhash64("line").alias("key")), "line-places"
     ).withColumn("place", F.struct("id", "text_hash", "at"))
     drop = lines.join(boilerplate_lines(lines, min_sites).select("key", "first"), "key").filter(~F.col("place").eqNullSafe(F.col("first")))
-    drop = drop.groupBy("id", "text_hash").agg(F.collect_set("at").alias("removed__"))
+    drop = drop.groupBy(F.col("id").alias("id__"), F.col("text_hash").alias("text_hash__")).agg(F.collect_set("at").alias("removed__"))
     out = docs.withColumn("hash__", F.xxhash64(text_col))
-    out = out.join(drop, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("hash__") == F.col("text_hash")), "left").drop("id", "text_hash", "hash__")
+    out = out.join(drop, F.col(id_col).eqNullSafe(F.col("id__")) & (F.col("hash__") == F.col("text_hash__")), "left")
     split = _split_lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed__"))
     cleaned = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
     return out.select(
-        *[c for c in docs.columns if c != text_col],
+        *[c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")],
         F.when(F.col("removed__").isNull(), F.col(text_col)).otherwise(cleaned).alias(text_col),
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed__"), F.lit(0)).cast("long").alias("n_removed"),

@@ -133,7 +133,7 @@ def test_null_ids_repeats_and_extra_columns(spark, queries, edge, tmp_path, name
     sf, _, _ = edge
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     extra = docs.unionByName(docs.limit(20)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
-    extra = extra.withColumns({c: F.lit("clash") for c in ("id", "node", "key", "comp", "words", "removed", "kept", "good", "site", "row", "a", "b")})
+    extra = extra.withColumns({c: F.lit("clash") for c in ("id", "node", "key", "comp", "words", "removed", "kept", "good", "site", "row", "a", "b", "text_hash", "at", "line", "place", "n_lines", "n_removed")})
     extra.write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("benchmark", "labels", "pages"):
         spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
