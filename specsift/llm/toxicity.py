@@ -2,21 +2,21 @@
 
 Training takes labelled documents only: up to ``MAX_EXAMPLES`` of each class
 (smallest hashes of the id).  Terms are a text's lower-cased words and their
-first 3 to 8 bytes, so that compounds of one stem meet.  The terms that mark
-toxic examples most (log-likelihood ratio of document frequencies) span the
-space; their document frequencies are then counted over all
-documents, and weights are (1 + ln tf) x ln((N + 1) / (df + 1)).
-
-The examples form an inverted index in blocks.  The largest weight of a term
-in a block bounds every cosine there, so blocks are visited by falling bound
-until the k-th neighbour is at least as near as what is left: the neighbours
-are exact.  Votes are weighted by cosine and by how many labelled documents an
-example stands for; isotonic regression on the examples' own leave-one-out
-votes makes them calibrated scores.  A text with none of the terms gets the
-toxic share of such examples.
-
-Model tables have fixed bounds (MAX_TERMS terms, 2 x MAX_EXAMPLES examples)
-at any input size and are broadcast.
+first 3 to 8 bytes, so that compounds of one stem meet.  Every term of the
+examples, of either class, spans the space; document frequencies are
+counted over all documents, and weights are
+(1 + ln tf) x ln((N + 1) / (df + 1)).
+
+The examples form an inverted index.  The ``DENSE_TERMS`` terms that most
+examples have are rows of a matrix, which a block of texts multiplies at once;
+all others are sparse postings.  Both parts are added up for every example, so
+the neighbours are exact (to ``DIGITS`` digits of the cosine).  Votes are weighted by cosine and by how many
+labelled documents an example stands for; isotonic regression on the examples'
+own leave-one-out votes makes them calibrated scores.  A text with none of the
+terms gets the toxic share of examples without words.
+
+The model (2 x MAX_EXAMPLES examples and their terms) does not grow with the
+input and is broadcast.
 
 Defined results: null and empty texts have no terms; without labelled
 documents every score is 0; labels of repeated ids count once each, null
@@ -37,65 +37,71 @@ from ..session import write_stage
 from .words import ALNUM, Words, _powers, mix, split_words
 
 MAX_EXAMPLES = 4096
-MAX_TERMS = 512
-MIN_G2 = 25.0
+DENSE_TERMS = 2048
 NEIGHBOURS = 15
-BLOCK = 256
+BLOCK = 64
+#: Weights are 32-bit floats; cosines are rounded to so many digits, so that
+#: ties do not depend on the order of a sum.
+DIGITS = 6
 PREFIXES = range(3, 9)
 
 _U = np.uint64
 
 
-def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every word and word beginning of a slice."""
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (size[i] of them), for one i after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct word of each word of a slice, hash of each term of the
+    distinct words, its word), the terms by word."""
     n = len(words.data)
     power, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((words.data.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
-    doc = words.doc_of()
-    base, scale, size = sums[words.starts], inverse[words.starts], words.ends - words.starts
-    out = [mix((sums[words.ends] - base) * scale)]
-    docs = [doc]
+    whole = mix((sums[words.ends] - sums[words.starts]) * inverse[words.starts])
+    whole, at, which = np.unique(whole, return_index=True, return_inverse=True)
+    starts, ends = words.starts[at], words.ends[at]
+    base, scale, size = sums[starts], inverse[starts], ends - starts
+    out = [whole]
+    of = [np.arange(len(whole))]
     for length in PREFIXES:
-        long = size > length
-        out.append(mix((sums[words.starts[long] + length] - base[long]) * scale[long] + _U(length)))
-        docs.append(doc[long])
-    return np.concatenate(out), np.concatenate(docs)
-
-
-def _counted(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term index, times) of the vocabulary's terms, by text."""
-    h, doc = _terms(words)
-    if not len(vocabulary) or not len(h):
+        long = np.flatnonzero(size > length)
+        out.append(mix((sums[starts[long] + length] - base[long]) * scale[long] + _U(length)))
+        of.append(long)
+    words_of = np.concatenate(of)
+    order = np.argsort(words_of, kind="stable")
+    return which, np.concatenate(out)[order], words_of[order]
+
+
+def _counted(words: Words, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times), by text and term: indexes of the vocabulary's
+    terms, or without a vocabulary the hashes of all terms."""
+    which, h, of = _terms(words)
+    known = np.unique(h) if vocabulary is None else vocabulary
+    if not len(known) or not len(h):
         none = np.zeros(0, np.int64)
-        return none, none, none
-    at = np.searchsorted(vocabulary, h)
-    at[at == len(vocabulary)] = 0
-    ok = vocabulary[at] == h
-    pair, times = np.unique(doc[ok] * len(vocabulary) + at[ok], return_counts=True)
-    return pair // len(vocabulary), pair % len(vocabulary), times
-
-
-def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        label = batch.column("label").to_numpy(zero_copy_only=False)
-        for words in split_words(batch.column("text"), ALNUM):
-            h, doc = _terms(words)
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[new].view(np.int64)), pa.array(label[words.rows.start + doc[new]].astype(np.int32))], names=["term", "label"]
-            )
-
-
-def _frequencies(vocabulary: np.ndarray):
+        return none, none if vocabulary is not None else np.zeros(0, np.uint64), none
+    at = np.searchsorted(known, h)
+    at[at == len(known)] = 0
+    ok = known[at] == h
+    at, of = at[ok], of[ok]
+    size = np.bincount(of, minlength=int(which.max()) + 1)
+    first = np.cumsum(size) - size
+    cells = np.repeat(words.doc_of(), size[which]) * len(known) + at[_ranges(first[which], size[which])]
+    pair, times = np.unique(cells, return_counts=True)
+    doc, at = np.divmod(pair, len(known))
+    return doc, known[at] if vocabulary is None else at, times
+
+
+def _frequencies(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
+        known = vocabulary.value
+        df, n = np.zeros(len(known) + 1, dtype=np.int64), 0
         for batch in batches:
             for words in split_words(batch.column("text"), ALNUM):
-                df[:-1] += np.bincount(_counted(words, vocabulary)[1], minlength=len(vocabulary))
+                df[:-1] += np.bincount(_counted(words, known)[1], minlength=len(known))
                 n += len(words.rows)
         df[-1] = n
         at = np.flatnonzero(df)
@@ -104,56 +110,96 @@ def _frequencies(vocabulary: np.ndarray):
     return run
 
 
-def _vectors(vocabulary: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in split_words(batch.column("text"), ALNUM):
-                doc, at, times = _counted(words, vocabulary)
-                bounds = np.searchsorted(doc, np.arange(len(words.rows) + 1)).astype(np.int32)
-                part = batch.slice(words.rows.start, len(words.rows))
-                cells = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(times.astype(np.int32))], names=["at", "times"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(pa.array(bounds), cells)], names=["doc_id", "label", "terms"]
-                )
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Term hashes (8 bytes each) and their times (4 bytes each) of every text."""
+    for batch in batches:
+        for words in split_words(batch.column("text"), ALNUM):
+            doc, h, times = _counted(words)
+            bounds = np.searchsorted(doc, np.arange(len(words.rows) + 1)).tolist()
+            part = batch.slice(words.rows.start, len(words.rows))
+            cut = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("label"), cut(h, "<u8"), cut(times, "<u4")], names=["doc_id", "label", "terms", "times"]
+            )
 
-    return run
+
+class Postings:
+    """Terms x examples, sparse: the weights of term t are first[t]:first[t + 1]."""
+
+    def __init__(self, n_terms: int, n_examples: int, terms: np.ndarray, examples: np.ndarray, weights: np.ndarray):
+        order = np.argsort(terms, kind="stable")
+        self.n_examples = n_examples
+        self.examples, self.weights = examples[order], weights[order]
+        self.sizes = np.bincount(terms, minlength=n_terms)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def __getitem__(self, key: tuple) -> np.ndarray:
+        """Dense rows of some terms."""
+        terms, some = key
+        at = _ranges(self.first[terms], self.sizes[terms])
+        out = np.zeros((len(terms), self.n_examples), np.float32)
+        out[np.repeat(np.arange(len(terms)), self.sizes[terms]), self.examples[at]] = self.weights[at]
+        return out[:, some]
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over weighted examples: a term's postings are
-    a row of weights, cut into blocks of BLOCK examples."""
+    """Inverted index over weighted examples."""
 
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     stands: np.ndarray
-    postings: np.ndarray  # terms x (blocks * BLOCK)
-    most: np.ndarray  # terms x blocks, the largest weight
+    postings: Postings
+    matrix: np.ndarray | None = None  # rows of the terms of most examples
+    row_of: np.ndarray | None = None  # term -> row of the matrix, or -1
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"matrix": None, "row_of": None}  # each worker makes its own
 
     def query(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[at]
         norm = np.sqrt((w * w).sum())
-        return w / norm if norm > 0 else w
-
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, the nearest first."""
-        bound = weights @ self.most[at]
-        found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(found) == k and cosines[-1] >= bound[b]):
-                break
-            score = weights @ self.postings[at, b * BLOCK : (b + 1) * BLOCK]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                score[skip - b * BLOCK] = 0
-            own = np.flatnonzero(score > (cosines[-1] if len(found) == k else 0))
-            if not len(own):
-                continue
-            found = np.concatenate([found, own + b * BLOCK])
-            cosines = np.concatenate([cosines, score[own]])
+        return (w / norm if norm > 0 else w).astype(np.float32)
+
+    def cosines(self, text: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """n texts x examples, from the weights of (text, term) pairs."""
+        if self.matrix is None:
+            heavy = np.argsort(-self.postings.sizes, kind="stable")[:DENSE_TERMS]
+            self.row_of = np.full(len(self.idf), -1)
+            self.row_of[heavy] = np.arange(len(heavy))
+            self.matrix = self.postings[heavy, :]
+        row = self.row_of[at]
+        dense = row >= 0
+        query = np.zeros((n, len(self.matrix)), np.float32)
+        query[text[dense], row[dense]] = weights[dense]
+        out = query @ self.matrix
+        text, at, weights = text[~dense], at[~dense], weights[~dense]
+        bounds = np.searchsorted(text, np.arange(n + 1)).tolist()
+        for scores, i, j in zip(out, bounds, bounds[1:]):  # one text at a time stays in the cache
+            size = self.postings.sizes[at[i:j]]
+            places = _ranges(self.postings.first[at[i:j]], size)
+            products = np.repeat(weights[i:j], size) * self.postings.weights[places]
+            scores += np.bincount(self.postings.examples[places], products, minlength=len(scores)).astype(np.float32)
+        return out
+
+    def nearest_of(self, text: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int, k: int, skip: np.ndarray | None = None):
+        """(examples, cosines) of the k nearest of each of n texts, the nearest first."""
+        scores = self.cosines(text, at, weights, n)
+        if skip is not None:
+            scores[np.arange(n), skip] = 0
+        width = scores.shape[1]
+        least = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else np.zeros(n)
+        out = []
+        for row, low in zip(scores, least):
+            found = np.flatnonzero(row >= max(low - 2 * 10.0**-DIGITS, 10.0**-DIGITS))
+            cosines = np.round(row[found].astype(float), DIGITS)
             best = np.lexsort((found, -cosines))[:k]
-            found, cosines = found[best], cosines[best]
-        return found, cosines
+            out.append((found[best], cosines[best]))
+        return out
+
+    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of(np.zeros(len(at), np.int64), at, weights, 1, k)[0]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray, prior: float) -> float:
         w = cosines * self.stands[found]
@@ -161,13 +207,15 @@ class Index:
 
 
 def build_index(idf: np.ndarray, ids, labels, stands, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-    blocks = max(-(-len(vectors) // BLOCK), 1)
-    postings = np.zeros((len(idf), blocks * BLOCK))
-    out = Index(idf, np.asarray(ids, np.int64), np.asarray(labels, float), np.asarray(stands, float), postings, np.zeros((len(idf), blocks)))
-    for i, (at, times) in enumerate(vectors):
-        postings[at, i] = out.query(at, times)
-    if len(idf):
-        out.most = postings.reshape(len(idf), blocks, BLOCK).max(axis=2)
+    out = Index(idf, np.asarray(ids, np.int64), np.asarray(labels, float), np.asarray(stands, float), None)
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    out.postings = Postings(
+        len(idf),
+        len(vectors),
+        join([at for at, _ in vectors], np.int32),
+        np.repeat(np.arange(len(vectors), dtype=np.int32), [len(at) for at, _ in vectors]),
+        join([out.query(at, times) for at, times in vectors], np.float32),
+    )
     return out
 
 
@@ -196,13 +244,23 @@ class Model:
     points: np.ndarray
     values: np.ndarray
 
-    def score(self, at: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(at):
-            return self.nothing, np.zeros(0, np.int64), np.zeros(0)
-        found, cosines = self.index.nearest(at, self.index.query(at, times), NEIGHBOURS)
-        if not len(found):
-            return self.nothing, found, cosines
-        return float(np.interp(self.index.vote(found, cosines, self.prior), self.points, self.values)), found, cosines
+    def scores(self, cells: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, nearest examples, cosines) of texts given as (terms, times)."""
+        out = []
+        for found, cosines in _nearest(self.index, cells):
+            vote = self.index.vote(found, cosines, self.prior)
+            out.append((float(np.interp(vote, self.points, self.values)) if len(found) else self.nothing, found, cosines))
+        return out
+
+
+def _nearest(index: Index, cells: list[tuple[np.ndarray, np.ndarray]], but_self: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The nearest examples of texts, a block at a time; ``but_self``: the texts are the examples."""
+    for i in range(0, len(cells), BLOCK):
+        part = cells[i : i + BLOCK]
+        text = np.repeat(np.arange(len(part)), [len(at) for at, _ in part])
+        at = np.concatenate([at for at, _ in part])
+        weights = np.concatenate([index.query(*c) for c in part])
+        yield from index.nearest_of(text, at, weights, len(part), NEIGHBOURS, np.arange(i, i + len(part)) if but_self else None)
 
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
@@ -217,40 +275,32 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     picked = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 x MAX_EXAMPLES ids
     examples = write_stage(source.join(picked, "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"]), "toxic-examples")
 
-    pos, neg = F.col("pos"), F.col("neg")
-    p, n = (examples.filter(F.col("label") == y).count() for y in (1, 0))
-    terms = examples.mapInArrow(_distinct_terms, "term long, label int").groupBy("term").agg(
-        F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")
-    )
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    both, rest, total = pos + neg, (p + n) - pos - neg, p + n
-    g2 = 2 * (
-        part(pos, both * p / total) + part(neg, both * n / total) + part(p - pos, rest * p / total) + part(n - neg, rest * n / total)
-    ) if p and n else F.lit(0.0)
-    chosen = terms.withColumn("g2", g2).filter((F.col("g2") >= MIN_G2) & (pos * n > neg * p)).orderBy(F.desc("g2"), "term").limit(MAX_TERMS)
-    vocabulary = np.sort(np.array([r["term"] for r in chosen.collect()], dtype=np.int64).view(np.uint64))
+    found = examples.mapInArrow(_vectors, "doc_id long, label int, terms binary, times binary").toArrow().sort_by("doc_id")
+    ids, labels = found["doc_id"].to_numpy(), found["label"].to_numpy().astype(float)
+    have = {y: max(int((labels == y).sum()), 1) for y in (0, 1)}
+    stands = np.array([sizes[y] / have[y] for y in labels])
+    prior = float((labels * stands).sum() / stands.sum()) if len(labels) else 0.0
+    hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in found["terms"]]
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+    empty = np.array([not len(h) for h in hashes], dtype=bool)
+    cells = [
+        (np.searchsorted(vocabulary, h).astype(np.int32), np.frombuffer(x.as_buffer(), "<u4").astype(np.float32))
+        for h, x in zip(hashes, found["times"])
+        if len(h)
+    ]
+    del found, hashes
 
     df = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    counts = source.select("text").mapInArrow(_frequencies(vocabulary), "at long, df long")
-    for r in counts.groupBy("at").agg(F.sum("df").alias("df")).collect():
-        df[r["at"]] = r["df"]
+    counts = source.select("text").mapInArrow(_frequencies(docs.sparkSession.sparkContext.broadcast(vocabulary)), "at long, df long")
+    counted = counts.groupBy("at").agg(F.sum("df").alias("df")).toArrow()
+    df[counted["at"].to_numpy()] = counted["df"].to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1))
 
-    vectors = examples.mapInArrow(_vectors(vocabulary), "doc_id long, label int, terms array<struct<at: int, times: int>>").orderBy("doc_id").collect()
-    have = {1: max(p, 1), 0: max(n, 1)}
-    labels = np.array([r["label"] for r in vectors], float)
-    stands = np.array([sizes[r["label"]] / have[r["label"]] for r in vectors])
-    prior = float((labels * stands).sum() / stands.sum()) if len(labels) else 0.0
-    empty = np.array([not r["terms"] for r in vectors], dtype=bool)
     nothing = float((labels * stands)[empty].sum() / stands[empty].sum()) if empty.any() else prior
-    vectors = [r for r in vectors if r["terms"]]
     labels, stands = labels[~empty], stands[~empty]
-    cells = [(np.array([t["at"] for t in r["terms"]], np.int64), np.array([t["times"] for t in r["terms"]], float)) for r in vectors]
-    index = build_index(idf, [r["doc_id"] for r in vectors], labels, stands, cells)
+    index = build_index(idf, ids[~empty], labels, stands, cells)
 
-    votes = np.zeros(len(cells))
-    for i, c in enumerate(cells):
-        votes[i] = index.vote(*index.nearest(c[0], index.query(*c), NEIGHBOURS, skip=i), prior)
+    votes = np.array([index.vote(*n, prior) for n in _nearest(index, cells, but_self=True)])
     points, values = isotonic(votes, labels, stands) if len(cells) else (np.zeros(1), np.full(1, prior))
     return Model(vocabulary, index, prior, nothing, points, values)
 
@@ -263,8 +313,7 @@ def _scored(model):
                 doc, at, times = _counted(words, m.vocabulary)
                 bounds = np.searchsorted(doc, np.arange(len(words.rows) + 1))
                 scores, ids, cosines = [], [], []
-                for i, j in zip(bounds[:-1], bounds[1:]):
-                    score, found, cosine = m.score(at[i:j], times[i:j].astype(float))
+                for score, found, cosine in m.scores([(at[i:j], times[i:j].astype(float)) for i, j in zip(bounds, bounds[1:])]):
                     scores.append(min(max(score, 0.0), 1.0))
                     ids.append(m.index.ids[found[:3]].tolist())
                     cosines.append(cosine[:3].tolist())
