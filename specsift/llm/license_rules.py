@@ -1,14 +1,18 @@
 """Signature rules for license detection.
 
 A rule is (label, kind, keyword, regex).  Regexes are written over a text's
-lower-cased words joined by single spaces, and match whole words.  The keyword
-must occur in that text for the regex to be tried.  ``kind`` orders rules:
+lower-cased words joined by single spaces, and match whole words.  ``gates``
+derives from every alternative of a regex a literal that each of its matches
+has; one must occur in that text for the regex to be tried.  The keyword names
+the subject only.  ``kind`` orders rules:
 an identifier tag beats a full grant or notice, that beats a name, that beats
 a bare mention.  Families with many versions come from templates.
 """
 
 from __future__ import annotations
 
+from re import _parser
+
 #: kind -> (priority, confidence); a higher priority suppresses contained spans.
 KINDS = {
     "tag": (5, 0.99),
@@ -19,12 +23,6 @@ KINDS = {
     "mention": (1, 0.6),
 }
 
-#: A text without any of these roots cannot match a rule.
-ROOTS = (
-    r"licen[cs]|spdx|gpl|granted|permitted|redistribut|domain|wtfpl|public|cc0|cc[ -]by|odbl|cecill|creativecommons|opensource|gnu|reserved"
-    r"|confidential|prohibited|endorse|advertising|liable|evil|perl|jpeg|asl|rail|classpath|beer|cddl|apache"
-)
-
 Rule = tuple[str, str, str, str]
 
 
@@ -207,3 +205,30 @@ def _versioned() -> list[Rule]:
 
 def rules() -> list[Rule]:
     return _single() + _versioned()
+
+
+def _branches(items: list) -> list[tuple[str, bool]]:
+    """(longest literal run, whether the whole match is it) of every alternative of a parsed regex."""
+    found = [("", "", True)]  # longest run so far, run at the end, nothing but literals so far
+    for op, value in items:
+        name = str(op)
+        if name == "LITERAL":
+            found = [(best, tail + chr(value), whole) for best, tail, whole in found]
+            continue
+        if name == "SUBPATTERN":
+            parts = _branches(list(value[3]))
+        elif name == "BRANCH":
+            parts = [x for branch in value[1] for x in _branches(list(branch))]
+        else:  # a repeat, a class: may be anything
+            parts = [("", False)]
+        found = [
+            (best, tail + run, whole) if exact else (max(best, tail, run, key=len), "", False)
+            for best, tail, whole in found
+            for run, exact in parts
+        ]
+    return [(max(best, tail, key=len), whole) for best, tail, whole in found]
+
+
+def gates(pattern: str) -> list[str]:
+    """For each alternative of a rule the longest literal that all its matches have."""
+    return sorted({run for run, _ in _branches(list(_parser.parse(pattern)))})

@@ -1,11 +1,11 @@
 """License scan by ordered signature rules.
 
 A text's lower-cased words, joined by single spaces, are searched with the
-rules of ``license_rules`` whose keyword occurs in it, if the text has any of
-the rules' roots at all.  Overlapping detections
+rules of ``license_rules`` of which a gate occurs in it: a literal that every
+match of one of the rule's alternatives has.  Overlapping detections
 are resolved in order: higher priority first, then longer, then earlier; a
-detection that lies within an accepted one is suppressed.  Other texts
-(nearly all) are only counted.
+detection that lies within an accepted one is suppressed.  Texts
+without any gate (nearly all) are only counted.
 
 Three base phrases are reported apart, wherever their words stand
 consecutively, and never suppressed.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import KINDS, ROOTS, rules
+from .license_rules import KINDS, gates, rules
 from .words import ALNUM, Words, split_words
 
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -32,25 +32,54 @@ _compiled: tuple | None = None
 
 
 def _rules():
-    """(gate over raw bytes, keyword -> [(label, priority, confidence, regex)]); once per worker."""
+    """(shortest gates, all gates, [(gates, label, priority, confidence, regex)]); once per worker."""
     global _compiled
     if _compiled is None:
-        by_key: dict[str, list] = {}
-        for label, kind, key, pattern in rules():
+        entries = []
+        for label, kind, _, pattern in rules():
             priority, confidence = KINDS[kind]
-            by_key.setdefault(key, []).append((label, priority, confidence, re.compile(f"(?<= )(?:{pattern})(?= )")))
-        _compiled = (re.compile(ROOTS.encode()), by_key)
+            entries.append((gates(pattern), label, priority, confidence, re.compile(f"(?<= )(?:{pattern})(?= )")))
+        every = sorted({g for known, *_ in entries for g in known} | set(BASE_PHRASES))
+        # a text with a gate has every gate inside it
+        short = [g.encode() for g in every if not any(x != g and x in g for x in every)]
+        _compiled = (short, every, entries)
     return _compiled
 
 
+def _joined(words: Words) -> tuple[bytes, np.ndarray]:
+    """The slice's words, each followed by a space or at the end of a text by
+    a line feed, and the place of every text."""
+    size = words.ends - words.starts
+    out = np.full(int(size.sum()) + len(size), 32, dtype=np.uint8)
+    out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = words.data[ALNUM[words.data]]
+    ends = np.concatenate([[0], np.cumsum(size + 1)])
+    bounds = ends[words.first]
+    out[bounds[1:][np.diff(bounds) > 0] - 1] = 10
+    return out.tobytes(), bounds
+
+
+def _gated(words: Words) -> set[int]:
+    """Texts with any gate among their words."""
+    text, bounds = _joined(words)
+    hot = set()
+    for gate in _rules()[0]:
+        at = text.find(gate)
+        while at >= 0:
+            d = int(np.searchsorted(bounds, at, side="right")) - 1
+            hot.add(d)
+            at = text.find(gate, int(bounds[d + 1]))
+    return hot
+
+
 def detect(padded: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, confidence) in characters of a padded word string,
     after suppression, by place."""
     found = []
-    for key, entries in _rules()[1].items():
-        if key in padded:
-            for label, priority, confidence, regex in entries:
-                found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, confidence) for m in regex.finditer(padded)]
+    _, every, entries = _rules()
+    there = {g for g in every if g in padded}
+    for known, label, priority, confidence, regex in entries:
+        if not there.isdisjoint(known):
+            found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, confidence) for m in regex.finditer(padded)]
     found.sort()
     kept: list[tuple[int, int, str, float]] = []
     for _, _, start, end, label, confidence in found:
@@ -92,14 +121,10 @@ _FIELDS = [
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gate = _rules()[0]
     nothing = (0, None, None, "", "", 0.0, [])
     for batch in batches:
         for words in split_words(batch.column("text"), ALNUM):
-            raw = words.data.tobytes()
-            hot = set()
-            for m in gate.finditer(raw):
-                hot.add(int(np.searchsorted(words.bounds, m.start(), side="right")) - 1)
+            hot = _gated(words)
             found = [_document(words, d) if d in hot else nothing for d in range(len(words.rows))]
             yield pa.RecordBatch.from_arrays(
                 [
