@@ -5,12 +5,15 @@ and implied end tags; visibility rules (``hidden``, inline ``display: none``
 and ``visibility: hidden``, head and script content, closed dialogs, unchosen
 fallbacks) cut subtrees.  The renderer emits all visible text: blocks on their
 own lines, paragraphs apart, lists with markers and indentation, tables with
-aligned cells, preformatted text as it is.
+aligned cells, preformatted text as it is.  Sections and rows of a table that
+the markup leaves out are implied; what stands in a table outside its cells
+and captions comes before the table.
 
 Defined results: a null page gives null; an empty page gives an empty text;
 broken markup never fails (stray end tags are ignored, open elements are
 closed at the end, an unfinished tag is text).  Depth is bounded by an
-explicit stack, so deeply nested pages do not overflow.
+explicit stack, so deeply nested pages do not overflow; tables within more than
+``MAX_TABLES`` others are laid out as blocks.
 """
 
 from __future__ import annotations
@@ -47,6 +50,9 @@ CLOSES = {
     "optgroup": (_words("option optgroup"), _words("select")),
     "body": (_words("head"), _words("html")),
 }
+_SECTIONS = _words("thead tbody tfoot")
+_CELLS = _words("td th")
+MAX_TABLES = 40
 _ENDS_P = BLOCK - _words("html body option optgroup legend caption tr thead tbody tfoot") | _words("menu")
 _P_SCOPE = _words("table td th caption button object")
 
@@ -93,6 +99,12 @@ def parse(html: str) -> Node:
             _close(stack, _words("p"), _P_SCOPE)
         if name in CLOSES:
             _close(stack, *CLOSES[name])
+        if name == "table":  # a table outside the cells of an open one ends that
+            around = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _P_SCOPE), 0)
+            if stack[around].tag == "table":
+                del stack[around:]
+        elif name == "tr" or name in _CELLS:
+            _imply(stack, name)
         attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(token[1 + len(name) : -1])} if " " in token or "\n" in token or "\t" in token else {}
         node = Node(name, attrs)
         stack[-1].children.append(node)
@@ -118,6 +130,22 @@ def _close(stack: list[Node], tags: frozenset, scope: frozenset) -> None:
         del stack[cut:]
 
 
+def _imply(stack: list[Node], name: str) -> None:
+    """Open the section and row that a row or cell in a table lacks."""
+    at = len(stack) - 1
+    while at and stack[at].tag not in ("table", "tr") and stack[at].tag not in _SECTIONS and stack[at].tag not in _P_SCOPE:
+        at -= 1
+    around = stack[at].tag
+    missing = {"table": ["tbody", "tr"], "tr": []}.get(around, ["tr"] if around in _SECTIONS else None)
+    if missing is None:
+        return
+    del stack[at + 1 :]
+    for tag in missing if name in _CELLS else missing[:-1]:
+        node = Node(tag, {})
+        stack[-1].children.append(node)
+        stack.append(node)
+
+
 def visible(node: Node) -> bool:
     a = node.attrs
     if node.tag in HIDDEN or "hidden" in a:
@@ -183,36 +211,46 @@ def _flat(node: Node) -> str:
     return "".join(out)
 
 
-def _table(node: Node) -> list[str]:
-    """Rows of the table with cells padded to the width of their column."""
-    captions, rows, todo = [], [], list(reversed(node.children))
+def _table(node: Node, depth: int) -> list[str]:
+    """What stands outside cells and captions, then the captions, then the
+    rows of the table with cells padded to the width of their column."""
+    captions, rows = [], []
+    loose = Node("#loose", {})
+    todo = list(reversed(node.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str) or not visible(x):
+        if isinstance(x, str):
+            loose.children.append(x)
+        elif not visible(x):
             continue
-        if x.tag == "caption":
-            captions.append(_SPACE.sub(" ", render(x)).strip())
+        elif x.tag == "caption":
+            loose.children.append(" ")
+            captions.append(_SPACE.sub(" ", render(x, depth)).strip())
         elif x.tag == "tr":
+            loose.children.append(" ")
             cells: list[str] = []
             for c in x.children:
-                if isinstance(c, Node) and c.tag in ("td", "th") and visible(c):
-                    cells.append(" ".join(render(c).split()))
+                if isinstance(c, str) or c.tag not in _CELLS:
+                    loose.children.append(c)
+                elif visible(c):
+                    loose.children.append(" ")
+                    cells.append(" ".join(render(c, depth).split()))
                     span = c.attrs.get("colspan", "1")
                     cells += [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
-                elif isinstance(c, Node) and visible(c) or isinstance(c, str) and c.strip():
-                    cells.append(" ".join((c if isinstance(c, str) else render(c)).split()))
+            loose.children.append(" ")
             if any(cells):
                 rows.append(cells)
+        elif x.tag in _SECTIONS:
+            todo.extend([" ", *reversed(x.children), " "])
         else:
-            todo.extend(reversed(x.children))
-    loose = " ".join(_SPACE.sub(" ", c).strip() for c in node.children if isinstance(c, str)).strip()
+            loose.children.append(x)
     width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    out = [c for c in [loose, *captions] if c]
+    out = [*render(loose, depth).split("\n"), *[c for c in captions if c]]
     return out + [" | ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
 
 
-def render(root: Node) -> str:
-    """Visible text below a node."""
+def render(root: Node, depth: int = 0) -> str:
+    """Visible text below a node that lies within ``depth`` tables."""
     out = _Out()
     lists: list[list] = []  # [tag, next number]
     todo: list = [(root, False)]
@@ -246,9 +284,9 @@ def render(root: Node) -> str:
         if tag == "hr":
             out.paragraph()
             continue
-        if tag == "table":
+        if tag == "table" and depth < MAX_TABLES:
             out.paragraph()
-            for line in _table(x):
+            for line in _table(x, depth + 1):
                 out.line = line
                 out.newline()
             out.paragraph()
