@@ -5,8 +5,8 @@ is a log-likelihood ratio of hashed n-grams between two multinomials, the
 trusted target (documents labelled good) and the raw corpus (all documents),
 divided by the number of n-grams and compared with a fixed threshold.
 
-The n-grams are word endings: the last three characters of each word, and
-the last two of each two neighbouring words.  Counts of both models cover all
+The n-grams are whole words, each two neighbouring words, and word endings (the
+last three characters, which also tell of words that the target lacks).  Counts of both models cover all
 documents; the model is a table of 2**14 integer weights (thousandths), so
 sums do not depend on order.  With no trusted document every weight is 0.
 
@@ -24,7 +24,8 @@ from ..session import write_stage
 
 BUCKETS = 1 << 14
 #: Mean log ratio (natural log) below which a document is rejected: its n-grams
-#: are half as likely in the target as in the corpus.
+#: are half as likely in the target as in the corpus.  Good documents whose labels
+#: were held out lie above it on sf0.01 and sf0.1 (the README has the figures).
 THRESHOLD = -0.7
 REPEAT_WINDOW = 8
 _SPACES = " \t\n\x0b\x0c\r"
@@ -51,10 +52,9 @@ def _with_grams(df: DataFrame) -> DataFrame:
     Arrays that are read more than once are columns of their own: as nested
     expressions they would be computed again at each use.
     """
-    ends = F.transform("words__", lambda w: F.pmod(F.xxhash64(F.right(w, F.lit(3))), F.lit(BUCKETS)).cast("int"))
-    df = df.withColumn("two__", F.transform("words__", lambda w: F.right(w, F.lit(2))))
-    joint = _pairs("two__", 1, lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int"))
-    return df.withColumn("grams__", F.concat(ends, joint)).drop("two__")
+    bucket = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+    ends = F.transform("words__", lambda w: bucket(F.right(w, F.lit(3)), F.lit(3)))
+    return df.withColumn("grams__", F.concat(F.transform("words__", lambda w: bucket(w)), _pairs("words__", 1, lambda x, y: bucket(x, y)), ends))
 
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
