@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, toxicity
+from . import decontaminate, html_text, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, token_files, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -124,3 +124,10 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @_register("op4_html_text")
 def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf, "pages"))
+
+
+@_register("op13_token_files")
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    files = {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+    folder = token_files.write_token_files(_table(spark, sf, "documents"), **files, pattern=public_tokenizers.PATTERN, end_id=2)
+    return token_files.read_token_files(spark, folder, with_ids=False).drop("ids")
