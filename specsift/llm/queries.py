@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, token_files, toxicity
+from . import decontaminate, html_text, lexical, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, token_files, toxicity, whitening
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -131,3 +131,44 @@ def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
     files = {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
     folder = token_files.write_token_files(_table(spark, sf, "documents"), **files, pattern=public_tokenizers.PATTERN, end_id=2)
     return token_files.read_token_files(spark, folder, with_ids=False).drop("ids")
+
+
+@_register("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
+
+
+@_register(
+    "op11_lexical_search",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, ts, len(ts)::BIGINT AS n FROM (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+        FROM documents WHERE text IS NOT NULL) WHERE len(ts) > 0
+    ), c AS (
+      SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM d
+    ), i AS (
+      SELECT item_id, term, count(*)::BIGINT AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term
+    ), p AS (
+      SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term
+    ), w AS (
+      SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), c
+    ), s AS (
+      SELECT i.item_id, d.r, any_value(d.doc_id) AS doc_id,
+             sum(i.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * d.n * c.big_n) // c.big_l))))::BIGINT AS score
+      FROM i JOIN p USING (term) JOIN w USING (term) JOIN d ON d.r = p.r, c GROUP BY i.item_id, d.r
+    ), k AS (
+      SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+      FROM s WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+    """,
+)
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
