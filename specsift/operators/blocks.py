@@ -1,17 +1,13 @@
 """In-task block helpers for the Arrow-batched scorers (numpy only).
 
-Every scorer task turns a slice of corpus rows into a (rows x queries) score
-block, keeps the top n per query under (score desc, entry_pos asc), and
-merges blocks; memory per block is bounded by ``MAX_BLOCK_CELLS``.
+The best n of a block of scores and of several lists, under (score desc,
+entry_pos asc).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-MAX_BLOCK_CELLS = 2_000_000      # rows x queries per score block
-MAX_EXPANSION = 4_000_000        # (fact, query) pairs per keyword block
-
 
 def block_topn(pos: np.ndarray, S: np.ndarray, n: int, positive_only: bool = False):
     """The top n rows of every column of S under (score desc, pos asc), found
@@ -44,47 +40,3 @@ def merge_topn(q: np.ndarray, pos: np.ndarray, sc: np.ndarray, n: int) -> np.nda
     starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1] if qs.size else np.empty(0, dtype=np.int64)
     within = np.arange(qs.size) - np.repeat(starts, np.diff(np.r_[starts, qs.size]))
     return order[within < n]
-
-
-def row_chunks(n_rows: int, n_queries: int, cost: np.ndarray | None = None):
-    """Split [0, n_rows) into slices with rows x queries <= MAX_BLOCK_CELLS and
-    (when given) summed per-row cost <= MAX_EXPANSION."""
-    step = max(1, MAX_BLOCK_CELLS // max(1, n_queries))
-    start = 0
-    csum = None if cost is None else np.cumsum(cost)
-    while start < n_rows:
-        end = min(n_rows, start + step)
-        if csum is not None:
-            base = csum[start - 1] if start else 0
-            lim = int(np.searchsorted(csum, base + MAX_EXPANSION, side="right"))
-            end = max(start + 1, min(end, lim))
-        yield start, end
-        start = end
-
-
-def sparse_scores(fr: np.ndarray, ft: np.ndarray, fw: np.ndarray, n_rows: int,
-                  indptr: np.ndarray, indices: np.ndarray, n_queries: int) -> np.ndarray:
-    """Dense (n_rows x n_queries) = facts (row, term, weight) x term->queries CSR.
-
-    The (fact, query) expansion is processed in slices of at most
-    ``MAX_EXPANSION`` pairs, so even one row with a huge fact list stays
-    within bounded memory."""
-    out = np.zeros(n_rows * n_queries)
-    counts = indptr[ft + 1] - indptr[ft]
-    if counts.sum() == 0:
-        return out.reshape(n_rows, n_queries)
-    csum = np.cumsum(counts)
-    start = 0
-    while start < ft.size:
-        base = csum[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(csum, base + MAX_EXPANSION, side="right")))
-        c = counts[start:end]
-        total = int(c.sum())
-        if total:
-            rr = np.repeat(fr[start:end], c)
-            ww = np.repeat(fw[start:end], c)
-            first = np.repeat(indptr[ft[start:end]], c)
-            offs = np.arange(total) - np.repeat(np.cumsum(c) - c, c)
-            out += np.bincount(rr * n_queries + indices[first + offs], weights=ww, minlength=n_rows * n_queries)
-        start = end
-    return out.reshape(n_rows, n_queries)

@@ -1,45 +1,8 @@
-"""Shared helpers: size-checked broadcast and query blocking."""
+"""Shared helpers: partitioning of coarse inputs, written tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Largest query-side table (rows) we broadcast to every executor.  Larger
-# query batches are cut into blocks by a hash of their key, and each block
-# is broadcast on its own, so a broadcast never grows with the batch.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def row_count_at_most(df: DataFrame, limit: int) -> int | None:
-    """Exact row count if it is <= limit, else None (reads at most limit+1 rows)."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
-
-
-def in_query_blocks(
-    queries: DataFrame,
-    keys: Sequence[str],
-    sized: DataFrame,
-    run: Callable[[DataFrame], DataFrame],
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Run ``run(query_block)`` on blocks of ``queries`` whose broadcast side fits.
-
-    ``sized`` is the query-derived table that will be broadcast (e.g. the
-    query-term table); its row count decides the number of blocks.
-    """
-    n = sized.count()
-    blocks = max(1, -(-n // max_rows))
-    if blocks == 1:
-        return run(queries)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(blocks))
-    parts = [run(queries.where(bucket == b)) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` only when the input is too coarse to use the
@@ -53,15 +16,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as parquet under the session's checkpoint folder and
-    read it back: lineage is cut (survives executor loss) and the input is
-    computed a single time (a reliable ``checkpoint()`` of an unpersisted
-    plan computes it twice).  Used for a corpus index that several scorers
-    and joins read."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
+    """Write ``df`` once and read it back (``session.write_stage``): a corpus
+    index that several scorers and joins read."""
+    from ..session import write_stage
 
-    path = ensure_checkpoint_dir(df.sparkSession).rstrip("/") + f"/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return write_stage(df, "table")

@@ -1,50 +1,63 @@
-"""Keyword scoring (J5 + A1) as an inverted-index join.
+"""Keyword scoring (J5 + A1) over a stored postings index.
 
 score(q, e) = |terms(q) & terms(text(e))|
             + name_boost * #{t in terms(q) : t is a substring of lower(name(e))}
             + doc_boost  * #{t in terms(q) : t is a substring of lower(doc(e))}
 
-Facts per (entry, term) are computed narrowly at the scan.  Token facts
-come from exploding each entry's distinct words and a broadcast hash join
-with the query vocabulary.  Substring facts use the fact that a query term
-(a run of word characters) can only occur inside one word run of the name
-or documentation: every substring of each distinct run, up to the longest
-query term, is generated (``explode`` of ``sequence``) and equi-joined with
-the broadcast vocabulary -- exact, codegen'd, O(text x longest term) per
-entry regardless of vocabulary size, no nested-loop join.
-
-Two forms:
-
-* ``keyword_topn`` (what search uses): facts are grouped once per entry
-  (no shuffle when the corpus is already hash-partitioned by entry_pos)
-  and scored inside ``mapInPandas`` as facts x (term -> queries): a dense
-  BLAS product for terms shared by many queries, a sliced sparse expansion
-  for the rest, in bounded row blocks with a tie-exact local top-n; only
-  partitions x queries x n rows reach the final top-n window.
-* ``keyword_scores`` (A1, every pair with score > 0): facts are
-  hash-partitioned by entry_pos once, joined to (query, term) and summed per
-  (entry, query) without another exchange.
+The index is written once per corpus.  Entries are dealt by a hash into shards
+of about ``SHARD_ENTRIES``; a posting row holds the entries of one shard with
+one word, and where the word stands (text, name, documentation).  A query term
+is a run of word characters, so it can only stand inside one word of a name or
+documentation; the words that hold it come from a q-gram index over the
+distinct words (``operators.qgrams``).
+
+A batch joins its terms to the postings by shuffle; the matched postings meet
+the queries of their bucket (``operators.queries.meet``).  A task goes through
+its shards one by one: it bounds every query's score in each block of
+``BLOCK`` entries by the sum of its terms' block maxima, scores blocks by
+falling bound and stops below the running n-th best.  Tasks hold one shard and
+one bucket of queries, whatever their numbers.
+
+Counts of text, name and documentation hits are added as whole numbers, so a
+score does not depend on the order of the terms, for any boosts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import SearchConfig
 from ..functions.text import searchable_text, terms
-from .common import in_query_blocks
+from ..session import write_stage
+from .qgrams import GramIndex, gram_index, substring_pairs
+from .queries import QueryBatch, cells, meet
+from .topk import top_k
 
+SHARD_ENTRIES = 1024
+BLOCK = 64
+#: Where a word stands; with the position in one number.
+TEXT, NAME, DOC, PLACE = 1, 2, 4, 8
 
-def keyword_index(corpus: DataFrame) -> DataFrame:
-    """Per-entry lookup columns (narrow projection of the corpus).
 
-    Output: entry_pos, name, terms (distinct lower-case words of the
-    searchable text), name_runs / doc_runs (distinct word runs of the lowered
-    name / documentation).  Persist it (``write_corpus``) to reuse it.
-    """
+@dataclass
+class KeywordIndex:
+    postings: DataFrame  # shard, word, run (name or documentation), places: position * PLACE + flag
+    entries: DataFrame  # shard, positions, names (by position)
+    grams: GramIndex  # of the words of names and documentations
+    shards: int
+
+
+def keyword_columns(corpus: DataFrame) -> DataFrame:
+    """entry_pos, name, terms (distinct lower-case words of the searchable
+    text), name_runs / doc_runs (of the name / documentation)."""
     doc = F.coalesce("documentation", F.lit(""))
     return corpus.select(
         "entry_pos",
@@ -55,222 +68,230 @@ def keyword_index(corpus: DataFrame) -> DataFrame:
     )
 
 
-def query_terms(queries: DataFrame, keys: Sequence[str], text_col: str = "query") -> DataFrame:
-    return queries.select(*keys, F.explode(terms(text_col)).alias("term"))
+def index_keywords(columns: DataFrame) -> KeywordIndex:
+    """The stored index of ``keyword_columns``."""
+    shards = max(1, -(-columns.count() // SHARD_ENTRIES))
+    shard = F.pmod(F.xxhash64("entry_pos"), F.lit(shards)).alias("shard")
+    rows = F.sort_array(F.collect_list(F.struct("entry_pos", "name")))
+    entries = columns.select(shard, "entry_pos", "name").groupBy("shard").agg(rows.alias("r")).select(
+        "shard", F.col("r.entry_pos").alias("positions"), F.col("r.name").alias("names"))
+    flagged = lambda c, f: F.transform(c, lambda w: F.struct(w.alias("word"), F.lit(f).alias("flag")))
+    words = columns.select(shard, "entry_pos", F.explode(F.concat(
+        flagged("terms", TEXT), flagged("name_runs", NAME), flagged("doc_runs", DOC))).alias("w"))
+    run = F.col("w.flag") != TEXT
+    postings = words.groupBy("shard", F.col("w.word").alias("word"), run.alias("run")).agg(
+        F.collect_list(F.col("entry_pos") * PLACE + F.col("w.flag")).alias("places"))
+    postings = write_stage(postings, "postings")
+    grams = gram_index(postings.where("run").select("word").distinct())
+    return KeywordIndex(postings, write_stage(entries, "shards"), grams, shards)
+
+
+def keyword_index(corpus: DataFrame) -> KeywordIndex:
+    return index_keywords(keyword_columns(corpus))
+
+
+def matched_postings(index: KeywordIndex, vocabulary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Posting rows that terms of ``vocabulary`` (keys..., term; distinct) hit:
+    keys..., terms, shard, places.  A word of names and documentations is hit
+    by every term inside it, a word of the texts by the term itself."""
+    keys = list(keys)
+    texts = vocabulary.join(index.postings.where("NOT run").withColumnRenamed("word", "term"), "term")
+    inside = vocabulary.join(substring_pairs(vocabulary, index.grams), "term")
+    inside = inside.groupBy(*keys, "word").agg(F.collect_list("term").alias("terms"))
+    runs = inside.join(index.postings.where("run"), "word")
+    cols = [*keys, "terms", "shard", "places"]
+    return texts.withColumn("terms", F.array("term")).select(cols).unionByName(runs.select(cols))
 
 
-def substring_facts(index: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame:
-    """(entry_pos, name, term, nm, dc): vocabulary terms inside the name / doc."""
-    runs = index.select("entry_pos", "name", F.explode("name_runs").alias("w"), F.lit(1).alias("nm"),
-                        F.lit(0).alias("dc")).unionByName(
-        index.select("entry_pos", "name", F.explode("doc_runs").alias("w"), F.lit(0).alias("nm"),
-                     F.lit(1).alias("dc")))
-    starts = runs.select("*", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
-    subs = starts.select(
-        "entry_pos", "name", "nm", "dc", "w", "i",
-        F.explode(F.sequence(F.lit(1), F.least(F.length("w") - F.col("i") + 1, F.lit(max_len)))).alias("l"),
-    ).select("entry_pos", "name", "nm", "dc", F.expr("substring(w, i, l)").alias("term"))
-    return subs.join(vocab, "term")
+def term_facts(index: KeywordIndex, vocabulary: DataFrame) -> DataFrame:
+    """(entry_pos, term, tok, nm, dc): one row for each entry a term hits."""
+    m = matched_postings(index, vocabulary.select("term").distinct())
+    hit = m.select(F.explode("terms").alias("term"), "places").select("term", F.explode("places").alias("at"))
+    entry = F.expr(f"(at - pmod(at, {PLACE})) div {PLACE}")
+    g = hit.groupBy(entry.alias("entry_pos"), "term").agg(F.bit_or(F.pmod("at", F.lit(PLACE))).alias("f"))
+    has = lambda f: (F.col("f").bitwiseAND(f) != 0).cast("int")
+    return g.select("entry_pos", "term", has(TEXT).alias("tok"), has(NAME).alias("nm"), has(DOC).alias("dc"))
+
+
+def query_terms(queries: DataFrame, keys: Sequence[str], text_col: str = "query") -> DataFrame:
+    return queries.select(*keys, F.explode(terms(text_col)).alias("term"))
 
 
 def keyword_scores(
-    index: DataFrame,
+    index: KeywordIndex,
     queries: DataFrame,
     keys: Sequence[str] = ("query_id",),
     text_col: str = "query",
     cfg: SearchConfig = SearchConfig(),
 ) -> DataFrame:
-    """All (query, entry) pairs with score > 0: keys..., entry_pos, name, score."""
-    keys = list(keys)
+    """All (query, entry) pairs with score > 0: keys..., entry_pos, score."""
+    qt = query_terms(queries, keys, text_col)
+    hits = term_facts(index, qt).join(qt, "term").groupBy("entry_pos", *keys).agg(
+        *[F.sum(c).alias(c) for c in ("tok", "nm", "dc")])
+    score = F.col("tok") + F.col("nm") * F.lit(float(cfg.name_match_boost)) + F.col("dc") * F.lit(float(cfg.doc_match_boost))
+    return hits.select(*keys, "entry_pos", score.alias("score")).where("score > 0")
 
-    def run(qb: DataFrame) -> DataFrame:
-        qt = F.broadcast(query_terms(qb, keys, text_col))
-        vocab_df = query_terms(qb, keys, text_col).select("term").distinct()
-        max_len = vocab_df.agg(F.max(F.length("term"))).first()[0] or 1
-        vocab = F.broadcast(vocab_df)
-        tok = (
-            index.select("entry_pos", "name", F.explode("terms").alias("term"))
-            .join(vocab, "term")
-            .select("entry_pos", "name", "term", F.lit(1).alias("tok"), F.lit(0).alias("nm"), F.lit(0).alias("dc"))
-        )
-        sub = substring_facts(index, vocab, max_len).select(
-            "entry_pos", "name", "term", F.lit(0).alias("tok"), "nm", "dc")
-        facts = (
-            tok.unionByName(sub)
-            .repartition("entry_pos")
-            .groupBy("entry_pos", "name", "term")
-            .agg(F.max("tok").alias("tok"), F.max("nm").alias("nm"), F.max("dc").alias("dc"))
-        )
-        w = (F.col("tok").cast("double") + F.col("nm") * F.lit(cfg.name_match_boost)
-             + F.col("dc") * F.lit(cfg.doc_match_boost))
-        return (
-            facts.join(qt, "term")
-            .groupBy("entry_pos", "name", *keys)
-            .agg(F.sum(w).alias("score"))
-            .where(F.col("score") > 0)
-        )
-
-    return in_query_blocks(queries, keys, query_terms(queries, keys, text_col), run)
-
-
-# ---------------------------------------------------------------------------
-# Top-n form (what search uses): the score is the sparse product
-#   facts (entry x term, weight tok + name_boost*nm + doc_boost*dc)
-#   x incidence (term x query),
-# computed per entry block inside an Arrow-batched task against a broadcast
-# term -> queries table, with a local top-n per query before the exchange.
-
-def _entry_facts(index: DataFrame, vocab: DataFrame, max_len: int, cfg: SearchConfig) -> DataFrame:
-    """One row per entry: entry_pos, name and parallel arrays tid, tok, nm, dc
-    (raw facts, duplicates allowed; the scorer keeps the max per term).
-
-    A single aggregation by entry: satisfied without a shuffle when the corpus
-    is already hash-partitioned by entry_pos, otherwise one exchange of facts.
-    """
-    tok = (
-        index.select("entry_pos", "name", F.explode("terms").alias("term"))
-        .select("entry_pos", "name", "term", F.lit(1).alias("tok"), F.lit(0).alias("nm"), F.lit(0).alias("dc"))
-    )
-    sub = substring_facts(index, F.broadcast(vocab.select("term")), max_len).select(
-        "entry_pos", "name", "term", F.lit(0).alias("tok"), "nm", "dc")
-    return (
-        tok.unionByName(sub)
-        .join(F.broadcast(vocab), "term")
-        .groupBy("entry_pos", "name")
-        .agg(F.collect_list(F.struct("tid", "tok", "nm", "dc")).alias("f"))
-        .select("entry_pos", "name", *[F.transform("f", _field(c)).alias(c) for c in ("tid", "tok", "nm", "dc")])
-    )
-
-
-def _field(name: str):
-    return lambda x: x[name]
 
-
-def _dedupe_facts(fr, ft, tok, nm, dc, n_terms, name_boost, doc_boost):
-    """Max of each flag per (row, term); weight tok + name_boost*nm + doc_boost*dc."""
-    import numpy as np
-
-    key = fr * n_terms + ft
-    uk, inv = np.unique(key, return_inverse=True)
-    t = np.zeros(uk.size)
-    n = np.zeros(uk.size)
-    d = np.zeros(uk.size)
-    np.maximum.at(t, inv, tok)
-    np.maximum.at(n, inv, nm)
-    np.maximum.at(d, inv, dc)
-    return uk // n_terms, uk % n_terms, t + name_boost * n + doc_boost * d
-
-
-def keyword_topn(index: DataFrame, blocks, n: int, cfg: SearchConfig = SearchConfig()) -> DataFrame | None:
+def keyword_topn(index: KeywordIndex, batch: QueryBatch, n: int, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Top n entries per query by keyword score (> 0), ties in corpus order.
 
-    ``blocks``: prepared query blocks (``operators.queries.prepare_queries``).
-    Output: keys..., rank, entry_pos, name, score (None when no block).
+    Output: keys..., entry_pos, name, score, rank.
     """
-    from functools import reduce
-
-    from .topk import top_k
-
-    parts = [p for p in (_keyword_block(index, b, n, cfg) for b in blocks) if p is not None]
-    if not parts:
-        return None
-    keys = blocks[0].keys
-    scored = reduce(DataFrame.unionByName, parts)
-    return top_k(scored, keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
-
-
-# Dense path for the most shared query terms (see _keyword_block).
-MAX_DENSE_TERMS = 2048
-MAX_DENSE_CELLS = 16_000_000
-DENSE_MIN_QUERIES = 16
-
-
-def _keyword_block(index: DataFrame, block, n: int, cfg: SearchConfig) -> DataFrame | None:
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from .blocks import block_topn, merge_topn, row_chunks, sparse_scores
-
-    spark = index.sparkSession
-    keys = block.keys
-    qkeys = block.pdf[keys].reset_index(drop=True)
-    qt = pd.DataFrame({"qpos": np.arange(len(qkeys)), "term": block.pdf["terms"].to_numpy()}).explode("term")
-    qt = qt.dropna().drop_duplicates()
-    if len(qt) == 0:
-        return None
-    tid, vocab_terms = pd.factorize(qt["term"], sort=True)
-    qpos = qt["qpos"].to_numpy().astype(np.int64)
-    nq = len(qkeys)
-    # Terms shared by many queries go through a dense product (BLAS); the
-    # rest through the sparse expansion.  Weights are multiples of 0.5, so
-    # both forms are exact and can be added.
-    per_term = np.bincount(tid, minlength=len(vocab_terms))
-    n_dense = int(min(MAX_DENSE_TERMS, MAX_DENSE_CELLS // max(1, nq), int((per_term >= DENSE_MIN_QUERIES).sum())))
-    dense_ids = np.argsort(-per_term, kind="stable")[:n_dense]
-    dense_col = np.full(len(vocab_terms), -1, dtype=np.int64)
-    dense_col[dense_ids] = np.arange(n_dense)
-    Qd = np.zeros((n_dense, nq))
-    is_dense = dense_col[tid] >= 0
-    Qd[dense_col[tid[is_dense]], qpos[is_dense]] = 1.0
-    tid_s, qpos_s = tid[~is_dense], qpos[~is_dense]
-    order = np.lexsort((qpos_s, tid_s))
-    indptr = np.r_[0, np.cumsum(np.bincount(tid_s, minlength=len(vocab_terms)))].astype(np.int64)
-    indices = qpos_s[order]
-    vocab = spark.createDataFrame(pd.DataFrame({
-        "term": np.asarray(vocab_terms, dtype=object),
-        "tid": np.arange(len(vocab_terms), dtype=np.int32)}))
-    max_len = int(max(len(t) for t in vocab_terms))
-    facts = _entry_facts(index, vocab, max_len, cfg)
-    bc = spark.sparkContext.broadcast((qkeys, indptr, indices, dense_col, Qd))
-    n_terms, nb, db = len(vocab_terms), float(cfg.name_match_boost), float(cfg.doc_match_boost)
-    fields = block.key_fields + [
-        T.StructField("entry_pos", T.LongType()), index.schema["name"], T.StructField("score", T.DoubleType())]
-    schema = T.StructType(fields)
-
-    def fn(it):
-        qk, ip, ix, dcol, Qdm = bc.value
-        nd = Qdm.shape[0]
-        qs, ps, ss, names = [], [], [], []
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            pdf = pdf.sort_values("entry_pos", kind="stable").reset_index(drop=True)
-            pos = pdf["entry_pos"].to_numpy()
-            nf = pdf["tid"].map(len).to_numpy().astype(np.int64)
-            if nf.sum() == 0:
+    # written: three joins read it, and its size tells Spark how to join
+    vocabulary = write_stage(batch.rows.select("bucket", F.explode("terms").alias("term")).distinct(), "vocabulary")
+    groups = batch.groups(index.shards)
+    grp = F.pmod("shard", F.lit(groups)).cast("int").alias("grp")
+    buckets = F.explode(F.sequence(F.lit(0), F.lit(batch.buckets - 1)))
+    entries = index.entries.select("shard", F.lit(1).alias("kind"), "positions", "names", grp, buckets.alias("bucket"))
+    postings = matched_postings(index, vocabulary, ["bucket"]).select("*", F.lit(2).alias("kind"), grp)
+    met = meet(batch, ["terms"], entries.unionByName(postings, allowMissingColumns=True), groups)
+    schema = T.StructType([*batch.key_fields, T.StructField("entry_pos", T.LongType()),
+                           T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
+    run = _topn(batch.keys, n, float(cfg.name_match_boost), float(cfg.doc_match_boost))
+    return top_k(met.mapInArrow(run, schema), batch.keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
+
+
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column; a null is an empty list."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return pc.list_flatten(column).to_numpy(), lengths
+
+
+class _Queries:
+    """The queries of a bucket and their best entries so far."""
+
+    def __init__(self, rows: pa.Table, n: int):
+        self.rows, self.n = rows, n
+        words = pc.list_flatten(rows["terms"]).combine_chunks()
+        self.terms = pc.unique(words)
+        self.term = pc.index_in(words, self.terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        _, lengths = flat(rows["terms"])
+        self.first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        self.bar = np.zeros(rows.num_rows)  # the n-th best score, 0 before there are n
+        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * rows.num_rows
+
+    def offer(self, q: int, position: np.ndarray, name: np.ndarray, score: np.ndarray) -> None:
+        if self.best[q] is not None:
+            p, m, s = self.best[q]
+            position, name, score = np.concatenate([p, position]), np.concatenate([m, name]), np.concatenate([s, score])
+        top = np.lexsort((position, -score))[: self.n]
+        self.best[q] = position[top], name[top], score[top]
+        if len(top) == self.n:
+            self.bar[q] = score[top[-1]]
+
+    def result(self, keys: Sequence[str]) -> pa.RecordBatch | None:
+        found = [(q, b) for q, b in enumerate(self.best) if b is not None]
+        if not found:
+            return None
+        at = np.repeat([q for q, _ in found], [len(b[0]) for _, b in found])
+        columns = [self.rows[f"key_{k}"].combine_chunks().take(pa.array(at)) for k in keys]
+        position, name, score = (np.concatenate([b[i] for _, b in found]) for i in range(3))
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(position), pa.array(name, pa.string()), pa.array(score)], names=[*keys, "entry_pos", "name", "score"])
+
+
+class _Shard:
+    """Matched postings of one shard by term and block, with block maxima."""
+
+    #: Three counts share a float: below 2**17 each.
+    WIDE = float(1 << 17)
+
+    def __init__(self, rows: pa.Table, terms: pa.Array, name_boost: float, doc_boost: float):
+        of = rows["kind"].to_numpy()
+        entry = rows.filter(pa.array(of == 1))
+        self.positions, _ = flat(entry["positions"])
+        self.names = pc.list_flatten(entry["names"]).to_numpy()
+        posting = rows.filter(pa.array(of == 2))
+        place, lengths = flat(posting["places"])
+        size = len(self.positions)
+        entry, flag = np.searchsorted(self.positions, place // PLACE), place % PLACE
+        # each term of a row with each of its places
+        _, terms_of = flat(posting["terms"])
+        term = pc.index_in(pc.list_flatten(posting["terms"]), terms).to_numpy().astype(np.int64)
+        each = np.repeat(lengths, terms_of)
+        begin = np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), terms_of)
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
+        key, flag = np.repeat(term, each) * size + entry[at], flag[at]
+        order = np.argsort(key, kind="stable")
+        key, flag = key[order], flag[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        key, flag = key[starts], np.bitwise_or.reduceat(flag, starts) if len(starts) else flag
+        bits = np.array([[(f >> b) & 1 for b in range(3)] for f in range(8)], dtype=float)
+        self.weights = np.array([1.0, name_boost, doc_boost])
+        self.entry = key % size if size else key
+        self.bits = bits[flag]
+        self.packed = self.bits @ np.array([1.0, self.WIDE, self.WIDE**2])
+        self.blocks = -(-size // BLOCK)
+        cell = (key // size) * self.blocks + self.entry // BLOCK if size else key
+        self.offset = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(terms) * self.blocks))])
+        self.top = np.zeros(len(terms) * self.blocks)
+        if len(cell):
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            self.top[cell[first]] = np.maximum.reduceat((bits @ self.weights)[flag], first)
+        self.top = self.top.reshape(len(terms), self.blocks)
+
+    def scores(self, terms: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, scores above 0) of the entries in these blocks."""
+        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
+        begin, length = self.offset[cell], self.offset[cell + 1] - self.offset[cell]
+        total = int(length.sum())
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(total)
+        sums = np.bincount(self.entry[at], weights=self.packed[at])
+        entry = np.flatnonzero(sums)
+        packed = sums[entry]
+        doc = packed // self.WIDE**2
+        packed -= doc * self.WIDE**2
+        name = packed // self.WIDE
+        text = packed - name * self.WIDE
+        if len(terms) >= self.WIDE:  # a count may not fit its share
+            text, name, doc = (np.bincount(self.entry[at], weights=self.bits[at, j])[entry] for j in range(3))
+        score = text + name * self.weights[1] + doc * self.weights[2]
+        kept = score > 0
+        return entry[kept], score[kept]
+
+    def search(self, queries: _Queries, chunk: int = 256) -> None:
+        """Offers every query what can be among its n best."""
+        for lo in range(0, len(queries.bar), chunk):
+            hi = min(lo + chunk, len(queries.bar))
+            a, b = queries.first[lo], queries.first[hi]
+            lengths = np.diff(queries.first[lo : hi + 1])
+            bound = np.zeros((hi - lo, self.blocks))
+            some = np.flatnonzero(lengths)
+            if not len(some) or not self.blocks:
                 continue
-            ft = np.concatenate(pdf["tid"].to_numpy()).astype(np.int64)
-            ftok = np.concatenate(pdf["tok"].to_numpy()).astype(np.float64)
-            fnm = np.concatenate(pdf["nm"].to_numpy()).astype(np.float64)
-            fdc = np.concatenate(pdf["dc"].to_numpy()).astype(np.float64)
-            fr = np.repeat(np.arange(len(pdf)), nf)
-            fr, ft, fw = _dedupe_facts(fr, ft, ftok, fnm, fdc, n_terms, nb, db)
-            nf = np.bincount(fr, minlength=len(pdf))
-            cost = np.bincount(fr, weights=(ip[ft + 1] - ip[ft]).astype(np.float64), minlength=len(pdf))
-            starts = np.r_[0, np.cumsum(nf)]
-            for lo, hi in row_chunks(len(pdf), nq, cost):
-                a, b = starts[lo], starts[hi]
-                S = sparse_scores(fr[a:b] - lo, ft[a:b], fw[a:b], hi - lo, ip, ix, nq)
-                if nd:
-                    c = dcol[ft[a:b]]
-                    m = c >= 0
-                    D = np.bincount((fr[a:b][m] - lo) * nd + c[m], weights=fw[a:b][m],
-                                    minlength=(hi - lo) * nd).reshape(hi - lo, nd)
-                    S += D @ Qdm
-                q, r, sc = block_topn(pos[lo:hi], S, n, positive_only=True)
-                qs.append(q)
-                ps.append(pos[lo + r])
-                ss.append(sc)
-                names.append(pdf["name"].to_numpy()[lo + r])
-        if not qs:
-            return
-        q, p, sc = np.concatenate(qs), np.concatenate(ps), np.concatenate(ss)
-        sel = merge_topn(q, p, sc, n)
-        res = qk.iloc[q[sel]].reset_index(drop=True)
-        res["entry_pos"] = p[sel]
-        res["name"] = np.concatenate(names)[sel]
-        res["score"] = sc[sel]
-        yield res[[f.name for f in fields]]
-
-    return facts.mapInPandas(fn, schema)
+            bound[some] = np.add.reduceat(self.top[queries.term[a:b]], (queries.first[lo:hi] - a)[some])
+            bound *= 1 + 1e-9  # sums in another order
+            order = np.argsort(-bound, axis=1, kind="stable")
+            for i in np.flatnonzero((bound.max(axis=1) > 0) & (bound.max(axis=1) >= queries.bar[lo:hi])):
+                q, at, step = lo + int(i), 0, 4
+                terms = queries.term[queries.first[q] : queries.first[q + 1]]
+                own = order[i]
+                while at < self.blocks:
+                    take = own[at : at + step]
+                    take = take[(bound[i, take] >= queries.bar[q]) & (bound[i, take] > 0)]
+                    if not len(take):
+                        break
+                    entry, score = self.scores(terms, take)
+                    kept = score >= queries.bar[q]
+                    if kept.any():
+                        queries.offer(q, self.positions[entry[kept]], self.names[entry[kept]], score[kept])
+                    at, step = at + step, 2 * step
+
+
+def _topn(keys: list[str], n: int, name_boost: float, doc_boost: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, cell = None, None
+        for (bucket, grp, shard), parts in cells(batches):
+            rows = pa.Table.from_batches(parts)
+            if (bucket, grp) != cell:
+                if queries is not None and (found := queries.result(keys)) is not None:
+                    yield found
+                cell, queries = (bucket, grp), None
+            if shard < 0:
+                queries = _Queries(rows, n)
+            elif queries is not None:
+                _Shard(rows, queries.terms, name_boost, doc_boost).search(queries)
+        if queries is not None and (found := queries.result(keys)) is not None:
+            yield found
+
+    return run

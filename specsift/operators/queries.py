@@ -1,53 +1,91 @@
-"""Query-side preparation: one JVM pass per batch computes each query's
-distinct terms and hashed ids; the (bounded) result is collected once and
-shared by the keyword and cosine scorers, which broadcast it.
+"""Query side of a search batch: one written table, cut into hash buckets.
 
-Batches larger than ``MAX_QUERY_ROWS`` are cut into blocks by a hash of the
-key, each collected and broadcast on its own, so no broadcast grows with the
-batch.
+Each query's distinct terms and hashed ids are computed once and written under
+the checkpoint folder.  Queries stay rows: a search sends every bucket (a
+bounded number of queries) to the tasks that hold corpus rows for it, and
+nothing of them passes through the driver but their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.encode import hashed_ids
 from ..functions.text import terms
+from ..session import write_stage
 
-MAX_QUERY_ROWS = 50_000
+#: Queries that meet a block of corpus rows at once.
+BUCKET_QUERIES = 4096
 
 
 @dataclass
-class QueryBlock:
+class QueryBatch:
+    rows: DataFrame  # bucket, keys..., and what the scorers read (terms, ids)
     keys: list[str]
-    key_fields: list[T.StructField]
-    pdf: pd.DataFrame  # keys..., terms (list[str]), ids (list[int])
-
-
-def prepare_queries(queries: DataFrame, keys: Sequence[str], text_col: str, dims: int) -> list[QueryBlock]:
-    keys = list(keys)
-    q = queries.select(*keys, terms(text_col).alias("terms"), hashed_ids(text_col, dims).alias("ids"))
-    fields = [q.schema[k] for k in keys]
-    first = q.limit(MAX_QUERY_ROWS + 1).toPandas()
-    if len(first) <= MAX_QUERY_ROWS:
-        return [QueryBlock(keys, fields, first)] if len(first) else []
-    # large batch: prepare once (written under the checkpoint folder), then
-    # collect and broadcast it block by block
-    from .common import materialize
-
-    q = materialize(q)
-    n = q.count()
-    blocks = -(-n // MAX_QUERY_ROWS) * 2  # hash blocks land near half the limit
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(blocks))
-    out = []
-    for b in range(blocks):
-        pdf = q.where(bucket == b).toPandas()
-        if len(pdf):
-            out.append(QueryBlock(keys, fields, pdf))
-    return out
+    buckets: int
+
+    @property
+    def key_fields(self) -> list[T.StructField]:
+        return [self.rows.schema[k] for k in self.keys]
+
+    def groups(self, corpus_blocks: int) -> int:
+        """Groups of corpus blocks that each bucket meets: enough for all cores."""
+        cores = self.rows.sparkSession.sparkContext.defaultParallelism
+        return max(1, min(corpus_blocks, -(-2 * cores // self.buckets)))
+
+
+def query_batch(rows: DataFrame, keys: Sequence[str]) -> QueryBatch:
+    """Writes prepared rows once and cuts them into buckets by their keys."""
+    rows = write_stage(rows, "queries")
+    buckets = max(1, -(-rows.count() // BUCKET_QUERIES))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    return QueryBatch(rows.select(bucket.alias("bucket"), *rows.columns), list(keys), buckets)
+
+
+def prepare_queries(queries: DataFrame, keys: Sequence[str], text_col: str, dims: int) -> QueryBatch:
+    """keys..., terms, ids of every query."""
+    return query_batch(queries.select(*keys, terms(text_col).alias("terms"), hashed_ids(text_col, dims).alias("ids")), keys)
+
+
+def meet(batch: QueryBatch, query_cols: Sequence[str], corpus: DataFrame, groups: int) -> DataFrame:
+    """Queries and corpus rows of each (bucket, group) in one task, queries first.
+
+    ``corpus`` has bucket and grp; rows come sorted by bucket, grp, then the
+    corpus's ``shard`` and ``kind``.  A query row has shard -1 and kind 0.
+    """
+    keys = [F.col(k).alias(f"key_{k}") for k in batch.keys]
+    copies = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    q = batch.rows.select("bucket", F.lit(-1).cast("long").alias("shard"), F.lit(0).alias("kind"), *keys, *query_cols)
+    q = q.select("*", copies.alias("grp"))
+    both = q.unionByName(corpus, allowMissingColumns=True)
+    cell = (F.col("bucket") * F.lit(groups) + F.col("grp")).cast("int")
+    return both.repartitionById(batch.buckets * groups, cell).sortWithinPartitions("bucket", "grp", "shard", "kind")
+
+
+def cells(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """((bucket, grp, shard), its rows) of the stream that ``meet`` sorted.
+
+    With ``whole`` a shard's rows come together, else as they arrive.
+    """
+    held, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.column_stack([batch.column(c).to_numpy() for c in ("bucket", "grp", "shard")])
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(at[a].tolist())
+            if parts and (key != held or not whole):
+                yield held, parts
+                parts = []
+            held = key
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield held, parts

@@ -1,107 +1,171 @@
-"""Cosine scoring (J6) and all-pairs neighbours.
-
-Query side: a bounded query matrix is collected once and broadcast (its size
-is checked; larger batches are cut into blocks).  Corpus side: partitions
-stream through ``mapInPandas``; each task multiplies its Arrow batch by the
-query matrix (BLAS) and keeps a local top-n per query under the total order
-(score desc, entry_pos asc).  Only partitions x queries x n rows reach the
-final top-n exchange.
+"""Cosine scoring (J6): a quantised first pass and exact re-ranking.
+
+Queries are rows cut into buckets; corpus rows are dealt into groups, and every
+(bucket, group) meets in one task (``operators.queries.meet``), which streams
+its corpus rows in chunks and keeps a running top n per query.
+
+A vector is coded in 8 bits: ``code = round(v / step)``, step 1 where all
+entries are whole and at most 127.  The product of the codes (exact in 32-bit
+floats) is off by at most
+
+    |e.q - e'.q'| <= |e - e'| |q| + |e'| |q - q'|
+
+where ' marks what the codes stand for.  Rows whose bound does not reach a
+query's running n-th best cosine are dropped; the cosines of all others come
+from the vectors themselves in double precision, so the result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.encode import dense, hashed_ids
-from .blocks import block_topn, merge_topn, row_chunks
+from ..functions.encode import hashed_ids
+from .blocks import merge_topn
+from .queries import QueryBatch, cells, meet
 from .topk import top_k
 
-# Largest query matrix (queries x dims) broadcast at once.
-MAX_QUERY_CELLS = 16_000_000
-
+CHUNK_ROWS = 1024
+#: Pairs scored exactly at once.
+PAIRS = 1 << 14
+_ROUNDING = 1e-5
 
-def _cosine(E: np.ndarray, ne2: np.ndarray, Q: np.ndarray, nq2: np.ndarray) -> np.ndarray:
-    dots = E @ Q.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        s = dots / np.sqrt(ne2[:, None] * nq2[None, :])
-    s[(ne2 == 0)[:, None] | (nq2 == 0)[None, :]] = np.nan
-    return s
 
-
-def _matrix(values, dims: int, kind: str) -> np.ndarray:
-    if kind == "ids":
-        return dense(list(values), dims)
-    rows = [np.zeros(dims) if v is None else np.asarray(v, dtype=np.float64) for v in values]
-    return np.vstack(rows) if rows else np.zeros((0, dims))
-
-
-def cosine_topn(corpus: DataFrame, blocks, n: int, dims: int, corpus_ids: str = "ids",
-                extra: Sequence[str] = ("name",), kind: str = "ids", query_col: str = "ids") -> DataFrame | None:
+def cosine_topn(corpus: DataFrame, batch: QueryBatch, n: int, dims: int, corpus_ids: str = "ids",
+                extra: Sequence[str] = ("name",), kind: str = "ids", query_col: str = "ids") -> DataFrame:
     """Top n entries per query by cosine.
 
     corpus: entry_pos, <extra...>, <corpus_ids>: signed bucket ids (``kind="ids"``,
     the hashing encoder) or dense ``array<float>`` vectors (``kind="dense"``, a
-    model encoder); blocks: prepared query blocks whose ``query_col`` holds the
-    same kind.  Output: keys..., rank, entry_pos, extra..., score.
+    model encoder); the batch's ``query_col`` holds the same kind.
+    Output: keys..., entry_pos, extra..., score, rank.
     """
     extra = list(extra)
-    spark = corpus.sparkSession
-    parts = []
-    for blk in blocks:
-        Q = _matrix(blk.pdf[query_col], dims, kind)
-        nq2 = (Q * Q).sum(axis=1)
-        parts.append(_score_block(spark, corpus, blk.pdf[blk.keys].reset_index(drop=True), Q, nq2, n, blk,
-                                  extra, corpus_ids, dims, kind))
-    if not parts:
-        return None
-    scored = reduce(DataFrame.unionByName, parts)
-    return top_k(scored, blocks[0].keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
-
-
-def _score_block(spark, corpus, qkeys: pd.DataFrame, Q, nq2, n, blk, extra, corpus_ids, dims, kind="ids"):
-    bc = spark.sparkContext.broadcast((qkeys, Q, nq2))
-    fields = list(blk.key_fields) + [T.StructField("entry_pos", T.LongType())]
-    fields += [corpus.schema[c] for c in extra] + [T.StructField("score", T.DoubleType())]
-    schema = T.StructType(fields)
-
-    def fn(it):
-        qk, Qm, q2 = bc.value
-        qs, ps, ss = [], [], []
-        xs: dict[str, list] = {c: [] for c in extra}
-        for pdf in it:
-            if len(pdf) == 0:
+    groups = batch.groups(1 << 16)
+    buckets = F.explode(F.sequence(F.lit(0), F.lit(batch.buckets - 1)))
+    rows = corpus.select(
+        F.lit(0).cast("long").alias("shard"), F.lit(1).alias("kind"), F.col("entry_pos"), *[F.col(c).alias(f"extra_{c}") for c in extra],
+        F.col(corpus_ids).alias("vector"), F.pmod(F.xxhash64("entry_pos"), F.lit(groups)).cast("int").alias("grp"), buckets.alias("bucket"))
+    met = meet(batch, [F.col(query_col).alias("vector")], rows, groups)
+    schema = T.StructType([*batch.key_fields, T.StructField("entry_pos", T.LongType()), *[corpus.schema[c] for c in extra],
+                           T.StructField("score", T.DoubleType())])
+    scored = met.mapInArrow(_topn(batch.keys, extra, n, dims, kind), schema)
+    return top_k(scored, batch.keys, n, [F.col("score").desc(), F.col("entry_pos").asc()])
+
+
+def matrix(column: pa.Array, dims: int, kind: str) -> np.ndarray:
+    """Vectors as rows: counts of signed ids, or dense vectors; a null is zero."""
+    n = len(column)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+    if kind == "ids":
+        at = np.repeat(np.arange(n) * dims, lengths) + (np.abs(values).astype(np.int64) - 1)
+        return np.bincount(at, weights=np.sign(values).astype(float), minlength=n * dims).reshape(n, dims)
+    out = np.zeros((n, dims))
+    out[lengths > 0] = values.reshape(-1, dims)
+    return out
+
+
+class Coded:
+    """8-bit codes of the rows of a matrix, with what bounds their error."""
+
+    def __init__(self, m: np.ndarray):
+        self.exact, self.square = m, (m * m).sum(axis=1)
+        top = np.abs(m).max(axis=1, initial=0)
+        step = np.where(top > 0, top / 127, 1.0)
+        step[(top <= 127) & (m == np.rint(m)).all(axis=1)] = 1.0
+        codes = np.rint(m / step[:, None])
+        stands = codes * step[:, None]
+        norm = np.sqrt(self.square)
+        per = np.where(norm > 0, 1 / np.where(norm > 0, norm, 1), 0)
+        kind = np.float32 if m.shape[1] * 127 * 127 < 1 << 24 else np.float64
+        self.codes, self.scale = codes.astype(kind), step * per
+        self.lost = np.sqrt(((m - stands) ** 2).sum(axis=1)) * per
+        self.kept = np.sqrt((stands * stands).sum(axis=1)) * per
+
+
+def bounds(e: Coded, q: Coded) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) bounds of the cosines of all rows of e and q."""
+    near = (e.codes @ q.codes.T) * e.scale.astype(np.float32)[:, None] * q.scale.astype(np.float32)[None, :]
+    off = (e.lost + _ROUNDING)[:, None] + e.kept[:, None] * q.lost[None, :]
+    return near - off, near + off
+
+
+class _Best:
+    """The running n best corpus rows of every query."""
+
+    def __init__(self, rows: pa.Table, n: int, dims: int, kind: str):
+        self.rows, self.n = rows, n
+        self.coded = Coded(matrix(rows["vector"].combine_chunks(), dims, kind))
+        self.q = np.zeros(0, np.int64)
+        self.position, self.score, self.extra = np.zeros(0, np.int64), np.zeros(0), None
+        self.bar = np.full(rows.num_rows, -np.inf)
+
+    def offer(self, e: Coded, position: np.ndarray, extra: list[pa.Array]) -> None:
+        lower, upper = bounds(e, self.coded)
+        usable = (e.square > 0)[:, None] & (self.coded.square > 0)[None, :]
+        upper[~usable] = -np.inf
+        bar = self.bar
+        if np.isinf(bar).any() and len(position) >= self.n:
+            lower[~usable] = -np.inf
+            bar = np.maximum(bar, np.partition(lower, len(position) - self.n, axis=0)[len(position) - self.n])
+        row, q = np.nonzero((upper >= bar[None, :]) & usable)
+        score = np.empty(len(row))
+        for a in range(0, len(row), PAIRS):
+            r, c = row[a : a + PAIRS], q[a : a + PAIRS]
+            dots = (e.exact[r] * self.coded.exact[c]).sum(axis=1)
+            score[a : a + PAIRS] = dots / np.sqrt(e.square[r] * self.coded.square[c])
+        self._merge(row, q, position, score, extra)
+
+    def _merge(self, row, q, position, score, extra) -> None:
+        mine = [x.take(pa.array(row)) for x in extra]
+        if self.extra is not None:
+            mine = [pa.concat_arrays([a, b]) for a, b in zip(self.extra, mine)]
+        all_q = np.concatenate([self.q, q])
+        all_position, all_score = np.concatenate([self.position, position[row]]), np.concatenate([self.score, score])
+        top = merge_topn(all_q, all_position, all_score, self.n)
+        self.q, self.position, self.score = all_q[top], all_position[top], all_score[top]
+        self.extra = [x.take(pa.array(top)) for x in mine]
+        full = np.flatnonzero(np.bincount(self.q, minlength=len(self.bar)) == self.n)
+        last = np.searchsorted(self.q, full, side="right") - 1
+        self.bar[full] = self.score[last]
+
+    def result(self, keys: Sequence[str], extra: Sequence[str]) -> pa.RecordBatch | None:
+        if not len(self.q):
+            return None
+        own = [self.rows[f"key_{k}"].combine_chunks().take(pa.array(self.q)) for k in keys]
+        columns = [*own, pa.array(self.position), *self.extra, pa.array(self.score)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "entry_pos", *extra, "score"])
+
+
+def _topn(keys: list[str], extra: list[str], n: int, dims: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, cell = None, None
+        for (bucket, grp, shard), parts in cells(batches, whole=False):
+            if (bucket, grp) != cell:
+                if best is not None and (found := best.result(keys, extra)) is not None:
+                    yield found
+                cell, best, queries = (bucket, grp), None, []
+            if shard < 0:
+                queries += parts
                 continue
-            pdf = pdf.sort_values("entry_pos", kind="stable").reset_index(drop=True)
-            pos = pdf["entry_pos"].to_numpy()
-            ids = list(pdf[corpus_ids])
-            for lo, hi in row_chunks(len(pdf), Qm.shape[0]):
-                E = _matrix(ids[lo:hi], dims, kind)
-                S = _cosine(E, (E * E).sum(axis=1), Qm, q2)
-                q, r, sc = block_topn(pos[lo:hi], S, n)
-                qs.append(q)
-                ps.append(pos[lo + r])
-                ss.append(sc)
-                for c in extra:
-                    xs[c].append(pdf[c].to_numpy()[lo + r])
-        if not qs:
-            return
-        q, p, sc = np.concatenate(qs), np.concatenate(ps), np.concatenate(ss)
-        sel = merge_topn(q, p, sc, n)
-        res = qk.iloc[q[sel]].reset_index(drop=True)
-        res["entry_pos"] = p[sel]
-        for c in extra:
-            res[c] = np.concatenate(xs[c])[sel]
-        res["score"] = sc[sel]
-        yield res[[f.name for f in fields]]
-
-    return corpus.select("entry_pos", *extra, corpus_ids).mapInPandas(fn, schema)
+            if best is None and queries:
+                best = _Best(pa.Table.from_batches(queries), n, dims, kind)
+            for part in parts if best is not None else []:
+                for at in range(0, part.num_rows, CHUNK_ROWS):
+                    rows = part.slice(at, CHUNK_ROWS)
+                    coded = Coded(matrix(rows.column("vector"), dims, kind))
+                    best.offer(coded, rows.column("entry_pos").to_numpy(), [rows.column(f"extra_{c}") for c in extra])
+        if best is not None and (found := best.result(keys, extra)) is not None:
+            yield found
+
+    return run
 
 
 def with_hashed_ids(df: DataFrame, text_col: str, dims: int, out: str = "ids") -> DataFrame:

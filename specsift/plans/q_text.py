@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.keyword import keyword_index, term_facts
 from ..sources import fixtures as fx
 from . import oracle as O
 from ._reg import register
@@ -197,12 +198,9 @@ JOIN entries e ON instr(lower(e.name), q.term) > 0 OR instr(lower(e.documentatio
 GROUP BY ALL""")
 def q_substring_term_hits(spark: SparkSession, sf: str) -> DataFrame:
     q = fx.query_batch(spark, sf).select("query_id", F.explode(T.terms("query")).alias("term"))
-    vocab = F.broadcast(q.select("term").distinct())
-    e = fx.entries(spark, sf).select("entry_pos", F.lower("name").alias("ln"), F.lower("documentation").alias("ld"))
-    nm, dc = F.instr("ln", F.col("term")) > 0, F.instr("ld", F.col("term")) > 0
-    facts = e.join(vocab, nm | dc).select("entry_pos", "term", nm.alias("nm"), dc.alias("dc"))
-    return (facts.join(F.broadcast(q), "term").groupBy("query_id", "entry_pos")
-            .agg(F.count_if("nm").alias("name_hits"), F.count_if("dc").alias("doc_hits")))
+    facts = term_facts(keyword_index(fx.entries(spark, sf)), q).where("nm + dc > 0")
+    return (facts.join(q, "term").groupBy("query_id", "entry_pos")
+            .agg(F.sum("nm").cast("long").alias("name_hits"), F.sum("dc").cast("long").alias("doc_hits")))
 
 
 # ---- F12 / F13 / F14 -----------------------------------------------------------

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from ..functions.encode import signed_bucket
 from ..functions.text import normalize_query, normalized_tokens, query_variations, searchable_text, terms, tokens
 from ..operators.blend import best_over_variations, hybrid_combine
 from ..operators.common import materialize, spread
-from ..operators.keyword import keyword_index, keyword_topn
-from ..operators.queries import prepare_queries
+from ..operators.keyword import KeywordIndex, index_keywords, keyword_topn
+from ..operators.queries import QueryBatch, prepare_queries
 from ..operators.topk import first_per_key, top_k
 from ..operators.vectors import cosine_topn
 
@@ -30,10 +31,15 @@ ENTRY_ARGS = ("name", "documentation", "signature", "requires_clauses", "ensures
 @dataclass
 class Corpus:
     entries: DataFrame
-    keyword: DataFrame
+    words: DataFrame  # entry_pos, name, terms, name_runs, doc_runs
     vectors: DataFrame | None  # entry_pos, name, ids  (None: keyword-only corpus)
     cfg: SearchConfig
 
+    @cached_property
+    def keyword(self) -> KeywordIndex:
+        """The postings index, written when a search first needs it."""
+        return index_keywords(self.words)
+
     @property
     def has_vectors(self) -> bool:
         return self.vectors is not None
@@ -50,9 +56,9 @@ def build_corpus_index(entries: DataFrame, with_vectors: bool = True, cfg: Searc
     if persist:
         idx = materialize(idx)
     base = idx.select(*entries.columns)
-    keyword = idx.select("entry_pos", "name", "terms", "name_runs", "doc_runs")
+    words = idx.select("entry_pos", "name", "terms", "name_runs", "doc_runs")
     vec = idx.select("entry_pos", "name", "ids") if with_vectors else None
-    return Corpus(base, keyword, vec, cfg)
+    return Corpus(base, words, vec, cfg)
 
 
 def _index_columns(entries: DataFrame, with_vectors: bool, cfg: SearchConfig) -> DataFrame:
@@ -71,27 +77,19 @@ def _index_columns(entries: DataFrame, with_vectors: bool, cfg: SearchConfig) ->
     return t.select(*entries.columns, *extra)
 
 
-def _empty_hits(corpus_like: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    e = queries.select(*keys).limit(0).crossJoin(corpus_like.select("entry_pos", "name").limit(0))
-    return e.select(*keys, F.lit(0).alias("rank"), "entry_pos", "name", F.lit(0.0).alias("score"))
-
-
-def keyword_search(index: DataFrame, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
-                   text_col: str = "query", cfg: SearchConfig = SearchConfig(), blocks=None) -> DataFrame:
+def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
+                   text_col: str = "query", cfg: SearchConfig = SearchConfig(), batch: QueryBatch | None = None) -> DataFrame:
     """Q1: keys..., rank, entry_pos, name, score (ties: corpus order)."""
-    blocks = blocks if blocks is not None else prepare_queries(queries, keys, text_col, cfg.dims)
-    out = keyword_topn(index, blocks, k, cfg)
-    return out if out is not None else _empty_hits(index, queries, keys)
+    return keyword_topn(index, batch or prepare_queries(queries, keys, text_col, cfg.dims), k, cfg)
 
 
 def semantic_search(corpus: Corpus, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
-                    text_col: str = "query", blocks=None) -> DataFrame:
+                    text_col: str = "query", batch: QueryBatch | None = None) -> DataFrame:
     """Q2: cosine top-k; keyword search when the corpus has no vectors."""
+    batch = batch or prepare_queries(queries, keys, text_col, corpus.cfg.dims)
     if not corpus.has_vectors:
-        return keyword_search(corpus.keyword, queries, k, keys, text_col, corpus.cfg, blocks)
-    blocks = blocks if blocks is not None else prepare_queries(queries, keys, text_col, corpus.cfg.dims)
-    out = cosine_topn(corpus.vectors, blocks, k, corpus.cfg.dims)
-    return out if out is not None else _empty_hits(corpus.vectors, queries, keys)
+        return keyword_topn(corpus.keyword, batch, k, corpus.cfg)
+    return cosine_topn(corpus.vectors, batch, k, corpus.cfg.dims)
 
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = 10, keys: Sequence[str] = ("query_id",),
@@ -99,9 +97,9 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = 10, keys: Sequenc
     """Q3: blend semantic and keyword top-2k lists by name, keep k."""
     if not corpus.has_vectors:
         return keyword_search(corpus.keyword, queries, k, keys, text_col, corpus.cfg)
-    blocks = prepare_queries(queries, keys, text_col, corpus.cfg.dims)
-    sem = semantic_search(corpus, queries, 2 * k, keys, text_col, blocks)
-    kw = keyword_search(corpus.keyword, queries, 2 * k, keys, text_col, corpus.cfg, blocks)
+    batch = prepare_queries(queries, keys, text_col, corpus.cfg.dims)
+    sem = semantic_search(corpus, queries, 2 * k, keys, text_col, batch)
+    kw = keyword_search(corpus.keyword, queries, 2 * k, keys, text_col, corpus.cfg, batch)
     return hybrid_combine(sem, kw, keys, k, corpus.cfg.keyword_weight)
 
 

@@ -1,38 +1,49 @@
-"""Batch extraction against a per-name model of the regex extractor."""
-
-import re
+"""Extraction: results worked out by hand, and properties of whole files."""
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-import model
 from specsift.functions.extract import declarations
 
-NAMES = ["lemma_a", "lemma_b", "helper", "spec_c"]
-PREFIX = st.sampled_from(["", "pub ", "proof ", "pub proof ", "pub  proof\n"])
-CLAUSE = st.sampled_from(["x > 0", "f(a, b) == 1", "y < 2,", " z ", "a * b <= c"])
+# a declaration's text and its clauses, worked out by hand
+PARTS = {
+    "plain": ("pub proof fn plain(x: int)\n    requires x > 0, y < 2,\n    ensures x * y >= 1,\n{\n}\n", ["x > 0", "y < 2"], ["x * y >= 1"]),
+    "calls": ("fn calls(a: int)\n  ensures f(a, b) == 1\n{ body(); }\n", [], ["f(a", "b) == 1"]),
+    "other": ("proof fn other()\n  requires  z \n  decreases a, b\n{ }\n", ["z"], []),
+    "late": ("pub fn late()\n  ensures p,\n  requires q,\n{ }\n", ["q"], ["p", "requires q"]),
+    "recommended": ("fn recommended()\n  requires a\n  recommends b\n  ensures c\n{\n\n}\n", ["a"], ["c"]),
+    "none": ("pub  proof\nfn none(x: int) -> bool\n{ true }\n", [], []),
+}
+BODYLESS = "fn bare(x: int)\n  requires own;\n"
 
 
-@st.composite
-def decl(draw):
-    name = draw(st.sampled_from(NAMES))
-    parts = [draw(PREFIX) + f"fn {name}(x: int)\n"]
-    for kw in draw(st.lists(st.sampled_from(["requires", "ensures", "decreases", "recommends"]), max_size=3)):
-        parts.append(f"    {kw} " + ", ".join(draw(st.lists(CLAUSE, min_size=1, max_size=3))) + "\n")
-    if draw(st.booleans()):
-        parts.append("{\n    body();\n}\n")
-    else:
-        parts.append(";\n")
-    return "".join(parts)
+def _got(spark, content):
+    src = spark.createDataFrame([("f.rs", content)], "file_path string, content string")
+    return {r.name: (list(r.requires), list(r.ensures), r.line_number) for r in declarations(src).collect()}
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(decl(), min_size=1, max_size=5), st.sampled_from(["", "// header\n", "use a::b;\n\n"]))
-def test_extraction_matches_model(spark, decls, preamble):
-    content = preamble + "".join(decls)
-    src = spark.createDataFrame([("f.rs", content)], "file_path string, content string")
-    got = {r.name: (list(r.requires), list(r.ensures), r.line_number) for r in declarations(src).collect()}
-    names = set(re.findall(r"fn\s+(\w+)\s*\(", content))
-    assert set(got) == names
+@settings(max_examples=12, deadline=None)
+@given(st.permutations(sorted(PARTS)), st.integers(0, 4), st.sampled_from(["", "// header\n", "use a::b;\n\n"]))
+def test_any_order_gives_each_its_own_clauses(spark, names, used, preamble):
+    names = names[used:]
+    want, line = {}, 1 + preamble.count("\n")
     for n in names:
-        assert got[n] == model.extract(content, n), (n, content)
+        want[n] = (*PARTS[n][1:], line)
+        line += PARTS[n][0].count("\n")
+    assert _got(spark, preamble + "".join(PARTS[n][0] for n in names)) == want
+
+
+def test_a_header_without_a_body_ends_at_the_next_brace(spark):
+    """It takes the text up to the next declaration's brace, as the semantics ledger says."""
+    got = _got(spark, BODYLESS + PARTS["plain"][0])
+    assert got["bare"][1] == ["x * y >= 1"] and got["bare"][2] == 1
+    assert got["plain"] == (["x > 0", "y < 2"], ["x * y >= 1"], 3)
+
+
+def test_the_first_of_equal_names_wins(spark):
+    first = PARTS["calls"][0]
+    assert _got(spark, first + first.replace("f(a, b) == 1", "never"))["calls"] == ([], ["f(a", "b) == 1"], 1)
+
+
+def test_no_brace_gives_the_line_alone(spark):
+    assert _got(spark, "// x\n" + BODYLESS) == {"bare": ([], [], 2)}
