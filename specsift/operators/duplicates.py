@@ -5,10 +5,9 @@ blocked all-pairs neighbour join (J8), pattern categories (F18), counts
 Structural duplicates never pair inside a group: entries collapse to clause
 classes (sorted distinct trimmed requires / ensures) first.  An exact class
 is reported as (representative = earliest entry, member) rows -- linear in
-entries however large a class grows.  Subsumption pairs classes: each
-class's proper requires-subsets are enumerated (bounded by ``MAX_SUBSET_REQ``
-clauses) and equi-joined; classes with more clauses take an exact join with
-the classes sharing their ensures set.
+entries however large a class grows.  Subsumption pairs classes by a
+set-containment join; the links of their members are counted in
+``operators.links``.
 """
 
 from __future__ import annotations
@@ -23,9 +22,9 @@ from pyspark.sql import types as T
 
 from ..functions.encode import dense
 from .blocks import block_topn, merge_topn
+from ..session import write_stage
 from .topk import top_k
 
-MAX_SUBSET_REQ = 10
 MAX_BLOCK_ROWS = 4096
 
 # Similar-pair pattern names and their markers.
@@ -54,47 +53,32 @@ def exact_duplicates(entries: DataFrame) -> DataFrame:
     return j.select(F.lit("exact").alias("type"), "pos1", F.col("entry_pos").alias("pos2"))
 
 
-def _proper_subsets(col: str) -> Column:
-    """All proper subsets of a sorted array (bit masks 0 .. 2^n - 2), order kept."""
-    return F.expr(
-        f"CASE WHEN size({col}) > 0 THEN transform(sequence(0, shiftleft(1, size({col})) - 2), "
-        f"m -> filter({col}, (x, i) -> (shiftright(m, i) & 1) = 1)) "
-        f"ELSE CAST(array() AS ARRAY<ARRAY<STRING>>) END")
-
-
 def subsumed_pairs(entries: DataFrame) -> DataFrame:
-    """Same ensures set, lemma1's requires a strict subset of lemma2's."""
-    cls = spec_classes(entries).where(F.size("ens_key") > 0).groupBy("req_key", "ens_key").agg(
-        F.min("entry_pos").alias("rep"))
-    small = cls.where(F.size("req_key") <= MAX_SUBSET_REQ)
-    subs = small.select(F.col("rep").alias("pos2"), "ens_key", F.explode(_proper_subsets("req_key")).alias("req_key"))
-    a = subs.join(cls.withColumnRenamed("rep", "pos1"), ["req_key", "ens_key"]).select("pos1", "pos2")
-    big = cls.where(F.size("req_key") > MAX_SUBSET_REQ).alias("b")
-    c = cls.alias("c")
-    b = big.join(c, (F.col("b.ens_key") == F.col("c.ens_key"))
-                 & (F.size(F.array_except(F.col("c.req_key"), F.col("b.req_key"))) == 0)
-                 & (F.size("c.req_key") < F.size("b.req_key"))).select(
-        F.col("c.rep").alias("pos1"), F.col("b.rep").alias("pos2"))
-    return a.unionByName(b).select(F.lit("subsumes").alias("type"), "pos1", "pos2")
-
-
-def pair_cosine(pairs: DataFrame, vectors: DataFrame, dims: int, ids_col: str = "ids") -> DataFrame:
-    """Attach ``similarity`` (hashed-vector cosine) to (pos1, pos2) rows."""
-    v1 = vectors.select(F.col("entry_pos").alias("pos1"), F.col(ids_col).alias("_i1"))
-    v2 = vectors.select(F.col("entry_pos").alias("pos2"), F.col(ids_col).alias("_i2"))
-    j = pairs.join(v1, "pos1", "left").join(v2, "pos2", "left")
-
-    @F.pandas_udf(T.DoubleType())
-    def cos(a: pd.Series, b: pd.Series) -> pd.Series:
-        A, B = dense(list(a), dims), dense(list(b), dims)
-        dot = (A * B).sum(axis=1)
-        n = (A * A).sum(axis=1) * (B * B).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = dot / np.sqrt(n)
-        s[n == 0] = np.nan
-        return pd.Series(s)
+    """Same ensures set, lemma1's requires a strict subset of lemma2's,
+    as (earliest entry, earliest entry) of the two classes.
 
-    return j.withColumn("similarity", F.nanvl(cos("_i1", "_i2"), F.lit(None).cast("double"))).drop("_i1", "_i2")
+    A set-containment join: a class is looked up by the rarest of its requires
+    clauses (within its ensures set) among the clauses of the others; bits of
+    the clauses' hashes and then the sets themselves decide.  A class without
+    requires stands under a key that every other one has.
+    """
+    cls = spec_classes(entries).where(F.size("ens_key") > 0).groupBy("req_key", "ens_key").agg(F.min("entry_pos").alias("rep"))
+    bits = F.expr("aggregate(req_key, 0L, (a, x) -> a | shiftleft(1L, CAST(pmod(xxhash64(x), 64) AS INT)))")
+    cls = write_stage(cls.select("rep", "req_key", F.md5(F.to_json("ens_key")).alias("ens"), "ens_key", bits.alias("bits")), "classes")
+    clauses = cls.select("rep", "ens", F.explode("req_key").alias("clause"))
+    often = clauses.groupBy("ens", "clause").agg(F.count(F.lit(1)).alias("n"))
+    rarest = clauses.join(often, ["ens", "clause"]).groupBy("rep").agg(F.min(F.struct("n", "clause")).alias("r"))
+    weak = cls.join(rarest, "rep", "left").select(
+        F.col("rep").alias("pos1"), "ens", "ens_key", F.col("req_key").alias("req1"), F.col("bits").alias("bits1"),
+        F.coalesce("r.clause", F.lit("")).alias("clause"))
+    keys = F.explode(F.concat(F.array(F.lit("")), F.col("req_key"))).alias("clause")
+    strong = cls.where(F.size("req_key") > 0).select(
+        F.col("rep").alias("pos2"), "ens", F.col("ens_key").alias("ens_key2"), F.col("req_key").alias("req2"), F.col("bits").alias("bits2"), keys)
+    inside = (F.col("bits1").bitwiseAND(F.bitwise_not("bits2")) == 0) & (F.size("req1") < F.size("req2")) & (
+        F.size(F.array_except("req1", "req2")) == 0) & (F.col("ens_key") == F.col("ens_key2"))
+    # a clause that is the empty string stands under the key of the class without clauses
+    found = weak.join(strong, ["ens", "clause"]).where(inside).select(F.lit("subsumes").alias("type"), "pos1", "pos2")
+    return found.distinct()
 
 
 def all_pairs_topk(vectors: DataFrame, k: int, vec_col: str = "v", kind: str = "dense", dims: int = 256,
@@ -180,10 +164,10 @@ def named_pairs(pairs: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def type_counts(pairs: DataFrame) -> DataFrame:
-    """Count per pair type, 0 when absent."""
+    """Links per type (``n_links`` of class rows), 0 when absent."""
     spark = pairs.sparkSession
     types = spark.createDataFrame([(t,) for t in PAIR_TYPES], "type string")
-    g = pairs.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    g = pairs.groupBy("type").agg(F.sum("n_links").alias("n"))
     return types.join(g, "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
 
 

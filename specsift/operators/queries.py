@@ -69,19 +69,22 @@ def meet(batch: QueryBatch, query_cols: Sequence[str], corpus: DataFrame, groups
     return both.repartitionById(batch.buckets * groups, cell).sortWithinPartitions("bucket", "grp", "shard", "kind")
 
 
-def cells(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """((bucket, grp, shard), its rows) of the stream that ``meet`` sorted.
+def cells(
+    batches: Iterator[pa.RecordBatch], columns: Sequence[str] = ("bucket", "grp", "shard"), whole: bool = True
+) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """(values of ``columns``, their rows) of a stream sorted by them.
 
-    With ``whole`` a shard's rows come together, else as they arrive.
+    With ``whole`` the rows of a cell come together, else as they arrive.
     """
     held, parts = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = np.column_stack([batch.column(c).to_numpy() for c in ("bucket", "grp", "shard")])
-        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+        at = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        new = np.logical_or.reduce([x[1:] != x[:-1] for x in at])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            key = tuple(at[a].tolist())
+            key = tuple(batch.column(c)[a].as_py() for c in columns)
             if parts and (key != held or not whole):
                 yield held, parts
                 parts = []

@@ -31,14 +31,12 @@ def first_per_key(df: DataFrame, key: str, order_col: str = "entry_pos") -> Data
 
 
 def examples_per_group(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
-    """First n rows per group plus how many more the group holds."""
-    w = Window.partitionBy(key).orderBy(*order)
-    wc = Window.partitionBy(key)
-    return (
-        df.withColumn("example_no", F.row_number().over(w))
-        .withColumn("more", F.greatest(F.count(F.lit(1)).over(wc) - F.lit(n), F.lit(0)))
-        .where(F.col("example_no") <= n)
-    )
+    """First n rows per group plus how many more the group holds.
+
+    The window keeps n rows per group and task before the shuffle, and the
+    counts are added up per task: no task sees a whole group."""
+    counts = df.groupBy(key).agg(F.greatest(F.count(F.lit(1)) - F.lit(n), F.lit(0)).alias("more"))
+    return top_k(df, [key], n, order, "example_no").join(counts, key)
 
 
 def expected_rank(hits: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:

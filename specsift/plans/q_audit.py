@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_embedding_text
-from ..operators.duplicates import (all_pairs_topk, categorize_pair, exact_duplicates, named_pairs, pair_cosine,
-                                    pattern_counts, similar_pairs, subsumed_pairs, type_counts)
+from ..operators.duplicates import (PATTERNS, all_pairs_topk, categorize_pair, exact_duplicates, pattern_counts, similar_pairs,
+                                    subsumed_pairs, type_counts)
 from ..operators.specs import corpus_catalog, fill_impact, fill_missing_specs, preferred_reference_rows, spec_coverage
 from ..operators.topk import examples_per_group
+from ..session import write_stage
 from ..sources import fixtures as fx
 from . import oracle as O
 from ._reg import register
-from .audit import detect_duplicates
+from .audit import detect_duplicates, duplicate_members, duplicate_report
 from .evaluate import retrieval_eval
 from .search import build_corpus_index, fuzzy_search
 
@@ -151,10 +152,18 @@ def _audit_prelude(extra: dict[str, str] | None = None) -> str:
     d = dict(_CK)
     d.update(_vec_entries())
     d.update(_NB)
-    d["struct"] = "SELECT * FROM exa UNION ALL SELECT * FROM sub"
-    d["ssim"] = _pair_sim("struct")
-    d["allp"] = "SELECT * FROM ssim WHERE similarity >= 0.75 UNION ALL SELECT * FROM sim"
-    d["named"] = """SELECT p.type, p.pos1, p.pos2, e1.name AS lemma1, e2.name AS lemma2, p.similarity,
+    # every pair of members, and those that reach the threshold
+    d["mem"] = """SELECT c.entry_pos, r.rep FROM ckf c
+      JOIN (SELECT rk, ek, min(entry_pos) AS rep FROM ckf GROUP BY rk, ek) r USING (rk, ek)"""
+    d["mpairs"] = """SELECT 'exact' AS type, a.rep AS c1, b.rep AS c2, a.entry_pos AS pos1, b.entry_pos AS pos2
+      FROM mem a JOIN mem b ON a.rep = b.rep AND a.entry_pos < b.entry_pos
+      UNION ALL SELECT s.type, s.pos1, s.pos2, a.entry_pos, b.entry_pos
+      FROM sub s JOIN mem a ON a.rep = s.pos1 JOIN mem b ON b.rep = s.pos2"""
+    d["msim"] = _pair_sim("mpairs")
+    d["linked"] = "SELECT * FROM msim WHERE similarity >= 0.75"
+    d["allp"] = """SELECT type, c1 AS pos1, c2 AS pos2, max(similarity) AS similarity, CAST(count(*) AS BIGINT) AS n_links
+      FROM linked GROUP BY ALL UNION ALL SELECT *, CAST(1 AS BIGINT) FROM sim"""
+    d["named"] = """SELECT p.type, p.pos1, p.pos2, e1.name AS lemma1, e2.name AS lemma2, p.similarity, p.n_links,
       e1.file_path AS file1, e2.file_path AS file2 FROM allp p JOIN entries e1 ON e1.entry_pos = p.pos1
       JOIN entries e2 ON e2.entry_pos = p.pos2"""
     d.update(extra or {})
@@ -194,17 +203,29 @@ def q_similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return similar_pairs(nb, c.entries, 0.90)
 
 
-@register("combine_pairs", _audit_prelude() + "SELECT type, pos1, pos2, similarity FROM allp")
+@register("combine_pairs", _audit_prelude() + "SELECT type, pos1, pos2, similarity, n_links FROM allp")
 def q_combine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return detect_duplicates(_corpus(spark, sf), include_similar=True).select("type", "pos1", "pos2", "similarity")
+    return detect_duplicates(_corpus(spark, sf), include_similar=True).select("type", "pos1", "pos2", "similarity", "n_links")
 
 
 @register("detect_duplicates", _audit_prelude() + """
-SELECT type, pos1, pos2, lemma1, lemma2, similarity, file1, file2 FROM named""")
+SELECT type, pos1, pos2, lemma1, lemma2, similarity, n_links, file1, file2 FROM named""")
 def q_detect_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return detect_duplicates(_corpus(spark, sf), include_similar=True)
 
 
+@register("duplicate_members", _audit_prelude() + """
+SELECT m.entry_pos, m.rep AS class_id, CAST(coalesce(x.n, 0) AS BIGINT) AS n_exact, CAST(coalesce(a.n, 0) AS BIGINT) AS n_subsumes,
+  CAST(coalesce(b.n, 0) AS BIGINT) AS n_subsumed
+FROM mem m LEFT JOIN (SELECT p, count(*) AS n FROM (SELECT pos1 AS p FROM linked WHERE type = 'exact'
+    UNION ALL SELECT pos2 FROM linked WHERE type = 'exact') u GROUP BY p) x ON x.p = m.entry_pos
+  LEFT JOIN (SELECT pos1 AS p, count(*) AS n FROM linked WHERE type = 'subsumes' GROUP BY pos1) a ON a.p = m.entry_pos
+  LEFT JOIN (SELECT pos2 AS p, count(*) AS n FROM linked WHERE type = 'subsumes' GROUP BY pos2) b ON b.p = m.entry_pos""")
+def q_duplicate_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Q10 by entry: its class and the links it has itself."""
+    return duplicate_members(_corpus(spark, sf))
+
+
 # ---- F18 / A9 / A10 / W3 / Q11 --------------------------------------------------------------------------
 def _cat_sql(a: str, b: str) -> str:
     from ..operators.duplicates import INCREMENTAL_MARKERS, SYMMETRIC_MARKERS
@@ -230,30 +251,37 @@ def q_categorize_pair(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("duplicate_type_counts", _audit_prelude() + """
 SELECT t.type, CAST(coalesce(g.n, 0) AS BIGINT) AS n FROM (VALUES ('exact'), ('subsumes'), ('similar')) t(type)
-LEFT JOIN (SELECT type, count(*) AS n FROM named GROUP BY type) g USING (type)""")
+LEFT JOIN (SELECT type, sum(n_links) AS n FROM named GROUP BY type) g USING (type)""")
 def q_duplicate_type_counts(spark: SparkSession, sf: str) -> DataFrame:
     return type_counts(_named(spark, sf))
 
 
-@register("pattern_counts", _audit_prelude() + f"""
-SELECT p.pattern, p.pattern_no, CAST(coalesce(g.n, 0) AS BIGINT) AS n FROM (VALUES ('limb_variants', 0),
-  ('incremental_lemmas', 1), ('symmetric_variants', 2), ('comparison_variants', 3), ('other', 4)) p(pattern, pattern_no)
+_PATTERN_ROWS = ", ".join(f"('{p}', {i})" for i, p in enumerate(PATTERNS))
+_PATTERN_COUNTS = f"""SELECT p.pattern, p.pattern_no, CAST(coalesce(g.n, 0) AS BIGINT) AS n
+FROM (VALUES {_PATTERN_ROWS}) p(pattern, pattern_no)
 LEFT JOIN (SELECT {_cat_sql('lemma1', 'lemma2')} AS pattern, count(*) AS n FROM named WHERE type = 'similar' GROUP BY 1) g
-USING (pattern)""")
+USING (pattern)"""
+
+
+@register("pattern_counts", _audit_prelude() + _PATTERN_COUNTS)
 def q_pattern_counts(spark: SparkSession, sf: str) -> DataFrame:
     return pattern_counts(_named(spark, sf))
 
 
-@register("duplicate_report", _audit_prelude() + f"""
-SELECT pattern, pos1, pos2, CAST(example_no AS INTEGER) AS example_no, CAST(more AS BIGINT) AS more FROM (
+@register("duplicate_report", _audit_prelude({"pc": _PATTERN_COUNTS}) + f"""
+SELECT 'types' AS section, t.type AS key, CAST(coalesce(g.n, 0) AS BIGINT) AS n, CAST(NULL AS INTEGER) AS example_no,
+  CAST(NULL AS BIGINT) AS pos1, CAST(NULL AS BIGINT) AS pos2, CAST(NULL AS BIGINT) AS more
+FROM (VALUES ('exact'), ('subsumes'), ('similar')) t(type)
+LEFT JOIN (SELECT type, sum(n_links) AS n FROM named GROUP BY type) g USING (type)
+UNION ALL SELECT 'patterns', pattern, n, NULL, NULL, NULL, NULL FROM pc
+UNION ALL SELECT 'examples', pattern, NULL, CAST(example_no AS INTEGER), pos1, pos2, CAST(more AS BIGINT) FROM (
   SELECT {_cat_sql('lemma1', 'lemma2')} AS pattern, pos1, pos2,
     row_number() OVER (PARTITION BY {_cat_sql('lemma1', 'lemma2')} ORDER BY pos1, pos2) AS example_no,
     greatest(count(*) OVER (PARTITION BY {_cat_sql('lemma1', 'lemma2')}) - 3, 0) AS more
   FROM named WHERE type = 'similar') x WHERE example_no <= 3""")
 def q_duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
-    sim = _named(spark, sf).where(F.col("type") == "similar").withColumn("pattern", categorize_pair())
-    ex = examples_per_group(sim, "pattern", [F.col("pos1"), F.col("pos2")], 3)
-    return ex.select("pattern", "pos1", "pos2", "example_no", "more")
+    """Q11: type counts, pattern counts and examples of one detection."""
+    return duplicate_report(_named(spark, sf))
 
 
 # ---- W4 / A13 ------------------------------------------------------------------------------------------
@@ -298,5 +326,5 @@ SELECT type, pos1, pos2, CAST(example_no AS INTEGER) AS example_no, CAST(more AS
     greatest(count(*) OVER (PARTITION BY type) - 5, 0) AS more FROM named) x WHERE example_no <= 5""")
 def q_examples_per_category(spark: SparkSession, sf: str) -> DataFrame:
     """First 5 pairs per type (markdown form) and how many more."""
-    ex = examples_per_group(_named(spark, sf), "type", [F.col("pos1"), F.col("pos2")], 5)
+    ex = examples_per_group(write_stage(_named(spark, sf), "pairs"), "type", [F.col("pos1"), F.col("pos2")], 5)
     return ex.select("type", "pos1", "pos2", "example_no", "more")

@@ -67,7 +67,7 @@ def q_scan_call_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("write_duplicate_report", _audit_prelude() + """
-SELECT CAST(0.75 AS DOUBLE) AS threshold, CAST(0.9 AS DOUBLE) AS similar_threshold, CAST(count(*) AS BIGINT) AS total,
+SELECT CAST(0.75 AS DOUBLE) AS threshold, CAST(0.9 AS DOUBLE) AS similar_threshold, CAST(sum(n_links) AS BIGINT) AS total,
   CAST(count(*) AS BIGINT) AS lines FROM named""")
 def q_write_duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "report")

@@ -123,3 +123,93 @@ def test_fill_with_hot_name_keeps_row_count(spark):
     out = fill_missing_specs(tgt, ref)
     assert out.count() == 900
     assert out.where("filled").count() == 300
+
+
+def _links_brute(rows, vectors, threshold, dims):
+    """rows: (pos, requires, ensures) -> ({(type, c1, c2): (links, best)}, {pos: (class, exact, subsumes, subsumed)})."""
+    import numpy as np
+
+    key = {p: (frozenset(map(str.strip, r)), frozenset(map(str.strip, e))) for p, r, e in rows if r or e}
+    first = {}
+    for p in sorted(key):
+        first.setdefault(key[p], p)
+    dense = {}
+    for p, ids in vectors.items():
+        dense[p] = np.zeros(dims)
+        for i in ids:
+            dense[p][abs(i) - 1] += np.sign(i)
+    links, own = {}, {p: [first[key[p]], 0, 0, 0] for p in key}
+    for a in key:
+        for b in key:
+            (ra, ea), (rb, eb) = key[a], key[b]
+            kind = "exact" if key[a] == key[b] and a < b else "subsumes" if ea and ea == eb and ra < rb else None
+            na, nb = dense[a] @ dense[a], dense[b] @ dense[b]
+            if kind is None or na == 0 or nb == 0 or (s := dense[a] @ dense[b] / np.sqrt(na * nb)) < threshold:
+                continue
+            k = (kind, first[key[a]], first[key[b]])
+            n, best = links.get(k, (0, -1))
+            links[k] = (n + 1, max(best, s))
+            own[a][1 if kind == "exact" else 2] += 1
+            own[b][1 if kind == "exact" else 3] += 1
+    return links, {p: tuple(v) for p, v in own.items()}
+
+
+def _links_case(spark, rows, vectors, dims=8):
+    from specsift.operators.links import structural_links
+
+    e = _df(spark, [(p, f"n{p}", "", r, c, "p") for p, r, c in rows])
+    v = spark.createDataFrame(sorted(vectors.items()), "entry_pos long, ids array<int>")
+    pairs, members = structural_links(e, v, 0.75, dims)
+    got = {(r.type, r.pos1, r.pos2): (r.n_links, r.similarity) for r in pairs.collect()}
+    own = {r.entry_pos: tuple(r)[1:] for r in members.collect()}
+    want, want_own = _links_brute(rows, vectors, 0.75, dims)
+    assert got.keys() == want.keys() and own == want_own
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    return got
+
+
+def test_links_of_all_members_equal_brute_force(spark, monkeypatch):
+    """The threshold holds for every pair of members, whatever the class's first entry; classes of
+    many blocks, copies, and vectors of zero length."""
+    import numpy as np
+
+    from specsift.operators import links
+
+    monkeypatch.setattr(links, "BLOCK_VARIANTS", 4)
+    rng = np.random.default_rng(12)
+    clauses = ["x > 0", "y > 0", " x > 0", "z < 1"]
+    rows = [(i, [str(c) for c in rng.choice(clauses, int(rng.integers(0, 4)))], ["r"] if i % 5 else ["s", "r"]) for i in range(90)]
+    rows += [(100 + i, ["hot"], ["h"]) for i in range(45)] + [(200, [], []), (201, [], ["h"]), (202, ["hot", "q"], ["h"]), (203, ["a"], [])]
+    vectors = {p: [int(x) for x in rng.choice([1, 2, 3, -4], int(rng.integers(0, 6)))] for p, _, _ in rows}
+    assert sum(n for n, _ in _links_case(spark, rows, vectors).values()) > 300
+
+
+def test_links_of_one_class_of_copies(spark):
+    got = _links_case(spark, [(i, ["x"], ["r"]) for i in range(40)], {i: [1, 2] for i in range(40)})
+    assert got == {("exact", 0, 0): (40 * 39 // 2, 1.0)}
+
+
+def test_links_of_nothing(spark):
+    assert _links_case(spark, [], {}) == {} and _links_case(spark, [(1, [], [])], {1: [1]}) == {}
+
+
+def test_containment_of_large_clause_sets(spark):
+    """Classes of 11 and 40 clauses, an empty clause, and none: one path for every size."""
+    big, mid = [f"c{i}" for i in range(40)], [f"c{i}" for i in range(0, 22, 2)]
+    rows = [(1, big, ["r"]), (2, mid, ["r"]), (3, ["c4", "c2"], ["r"]), (4, [], ["r"]), (5, ["", "c2"], ["r"]), (6, [""], ["r"]),
+            (7, ["c41"], ["r"]), (8, mid, ["other"]), (9, ["c0"], [])]
+    got = {(r.pos1, r.pos2) for r in subsumed_pairs(_df(spark, [(p, "n", "", r, e, "p") for p, r, e in rows])).collect()}
+    sets = {p: (set(r), set(e)) for p, r, e in rows}
+    assert got == {(a, b) for a in sets for b in sets if sets[a][1] and sets[a][1] == sets[b][1] and sets[a][0] < sets[b][0]}
+
+
+def test_report_is_types_patterns_and_examples(spark):
+    from specsift.plans.audit import duplicate_report
+
+    rows = [("exact", 1, 1, "a", "a", 1.0, 6), ("subsumes", 1, 9, "a", "b", 0.8, 2), ("subsumes", 2, 9, "a", "b", 0.8, 1)]
+    rows += [("similar", i, i + 1, "limb_p", "limb_q", 0.95, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "type string, pos1 long, pos2 long, lemma1 string, lemma2 string, similarity double, n_links long")
+    got = sorted((r.section, r.key, r.n, r.example_no, r.pos1, r.more) for r in duplicate_report(df, 2).collect())
+    assert [g for g in got if g[0] == "examples"] == [("examples", "limb_variants", None, i + 1, i, 3) for i in range(2)]
+    assert {g[1]: g[2] for g in got if g[0] == "types"} == {"exact": 6, "subsumes": 3, "similar": 5}
+    assert {g[1]: g[2] for g in got if g[0] == "patterns"}["limb_variants"] == 5

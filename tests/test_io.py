@@ -85,11 +85,11 @@ def read_index_json_rows(spark, scratch):
 
 
 def test_duplicate_report_files(spark, scratch):
-    pairs = spark.createDataFrame([("exact", "a", "b", 0.9, "a.rs", "b.rs")],
-                                  "type string, lemma1 string, lemma2 string, similarity double, file1 string, file2 string")
+    pairs = spark.createDataFrame([("exact", "a", "b", 0.9, 6, "a.rs", "b.rs")],
+                                  "type string, lemma1 string, lemma2 string, similarity double, n_links long, file1 string, file2 string")
     write_duplicate_report(pairs, os.path.join(scratch, "rep"), 0.75, None)
     head = spark.read.json(os.path.join(scratch, "rep", "header")).first()
-    assert (head.threshold, head.similar_threshold, head.total) == (0.75, None, 1)
+    assert (head.threshold, head.similar_threshold, head.total) == (0.75, None, 6)  # links, not rows
     assert spark.read.json(os.path.join(scratch, "rep", "duplicates")).count() == 1
 
 
