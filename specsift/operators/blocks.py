@@ -1,38 +1,10 @@
-"""In-task block helpers for the Arrow-batched scorers (numpy only).
-
-The best n of a block of scores and of several lists, under (score desc,
-entry_pos asc).
-"""
+"""In-task helper of the Arrow-batched scorers (numpy only)."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def block_topn(pos: np.ndarray, S: np.ndarray, n: int, positive_only: bool = False):
-    """The top n rows of every column of S under (score desc, pos asc), found
-    with a linear ``np.partition`` for the n-th best value; of the rows tied
-    at that value only the first ones (rows are in pos order) are kept.  NaN
-    (and, for ``positive_only``, scores <= 0) never qualify.
-    Returns (q, row, score)."""
-    rows_n = S.shape[0]
-    m = min(n, rows_n)
-    if m == 0 or S.shape[1] == 0:
-        e = np.empty(0, dtype=np.int64)
-        return e, e, np.empty(0)
-    Sf = np.where(np.isnan(S), -np.inf, S)
-    if positive_only:
-        Sf[Sf <= 0] = -np.inf
-    kth = np.partition(Sf, rows_n - m, axis=0)[rows_n - m]
-    above = Sf > kth[None, :]
-    ties = Sf == kth[None, :]
-    room = m - above.sum(axis=0)
-    # rows are in pos order, so the first `room` ties per column are the ones kept
-    keep = (above | (ties & (np.cumsum(ties, axis=0) <= room[None, :]))) & np.isfinite(Sf)
-    r, q = np.nonzero(keep)
-    return q, r, Sf[r, q]
-
-
 def merge_topn(q: np.ndarray, pos: np.ndarray, sc: np.ndarray, n: int) -> np.ndarray:
     """Indices of the first n candidates per query under (score desc, pos asc)."""
     order = np.lexsort((pos, -sc, q))

@@ -1,6 +1,5 @@
-"""Redundancy audit: exact (J9), subsumed (J10), similar (J11) pairs, the
-blocked all-pairs neighbour join (J8), pattern categories (F18), counts
-(A9, A10), examples (W3) and the union (U3).
+"""Redundancy audit: exact (J9), subsumed (J10) and similar (J11) pairs, pattern
+categories (F18) and counts (A9, A10).
 
 Structural duplicates never pair inside a group: entries collapse to clause
 classes (sorted distinct trimmed requires / ensures) first.  An exact class
@@ -12,20 +11,10 @@ set-containment join; the links of their members are counted in
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.encode import dense
-from .blocks import block_topn, merge_topn
 from ..session import write_stage
-from .topk import top_k
-
-MAX_BLOCK_ROWS = 4096
 
 # Similar-pair pattern names and their markers.
 PATTERNS = ("limb_variants", "incremental_lemmas", "symmetric_variants", "comparison_variants", "other")
@@ -81,52 +70,6 @@ def subsumed_pairs(entries: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def all_pairs_topk(vectors: DataFrame, k: int, vec_col: str = "v", kind: str = "dense", dims: int = 256,
-                   blocks: int | None = None) -> DataFrame:
-    """K nearest other entries for every entry (cosine), exact.
-
-    Block grid: every vector gets a block b; left copies go to (b, j) and
-    right copies to (i, b) for all blocks, so each (i, j) group holds one
-    bounded block per side.  Each group multiplies its blocks and keeps k per
-    left row; a final top-k per entry merges the B candidates lists.
-    Output: pos1, rank, pos2, score.
-    """
-    if blocks is None:
-        n = vectors.count()
-        par = vectors.sparkSession.sparkContext.defaultParallelism
-        blocks = max(1, math.ceil(n / MAX_BLOCK_ROWS), math.ceil(math.sqrt(par)) if n > 256 else 1)
-    b = F.pmod(F.xxhash64("entry_pos"), F.lit(blocks)).cast("int")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = vectors.select("entry_pos", F.col(vec_col).alias("v"), b.alias("bi")).select("*", grid.alias("bj"))
-    right = vectors.select("entry_pos", F.col(vec_col).alias("v"), b.alias("bj")).select("*", grid.alias("bi"))
-    schema = "pos1 long, pos2 long, score double"
-
-    def to_matrix(vs) -> np.ndarray:
-        if kind == "ids":
-            return dense(list(vs), dims)
-        if len(vs) == 0:
-            return np.zeros((0, 0))
-        return np.vstack([np.asarray(x, dtype=np.float64) for x in vs])
-
-    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"pos1": [], "pos2": [], "score": []})
-        rp = rp.sort_values("entry_pos", kind="stable")
-        A, Bm = to_matrix(lp["v"]), to_matrix(rp["v"])
-        na, nb = (A * A).sum(axis=1), (Bm * Bm).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            S = (A @ Bm.T) / np.sqrt(na[:, None] * nb[None, :])
-        S[(na == 0)[:, None] | (nb == 0)[None, :]] = np.nan
-        p1, p2 = lp["entry_pos"].to_numpy(), rp["entry_pos"].to_numpy()
-        S[p1[:, None] == p2[None, :]] = np.nan
-        q, r, sc = block_topn(p2, S.T, k)  # columns = left rows
-        sel = merge_topn(q, p2[r], sc, k)
-        return pd.DataFrame({"pos1": p1[q[sel]], "pos2": p2[r[sel]], "score": sc[sel]})
-
-    cand = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(fn, schema)
-    return top_k(cand, ["pos1"], k, [F.col("score").desc(), F.col("pos2").asc()]).select("pos1", "rank", "pos2", "score")
-
-
 def similar_pairs(neighbours: DataFrame, entries: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Neighbour pairs at or above the threshold, each unordered pair once,
     minus pairs whose clause classes are equal or one of which subsumes the

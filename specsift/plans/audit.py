@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.duplicates import all_pairs_topk, categorize_pair, named_pairs, pattern_counts, similar_pairs, type_counts
+from ..operators.duplicates import categorize_pair, named_pairs, pattern_counts, similar_pairs, type_counts
 from ..operators.links import structural_counts, structural_links
+from ..operators.neighbours import nearest
 from ..operators.topk import examples_per_group
 from ..session import write_stage
 from .search import Corpus
@@ -30,7 +31,7 @@ def detect_duplicates(corpus: Corpus, threshold: float = 0.75, include_similar:
     else:
         out = structural_counts(corpus.entries)
     if include_similar and corpus.has_vectors:
-        nb = all_pairs_topk(corpus.vectors, k, "ids", kind="ids", dims=corpus.cfg.dims)
+        nb = nearest(corpus.vectors, k, "ids", kind="ids", dims=corpus.cfg.dims, at_least=similar_threshold)
         similar = similar_pairs(nb, corpus.entries, similar_threshold).withColumn("n_links", F.lit(1).cast("long"))
         out = out.unionByName(similar)
     return named_pairs(out, corpus.entries).select(*COLUMNS)

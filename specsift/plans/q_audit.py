@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_embedding_text
-from ..operators.duplicates import (PATTERNS, all_pairs_topk, categorize_pair, exact_duplicates, pattern_counts, similar_pairs,
+from ..operators.duplicates import (PATTERNS, categorize_pair, exact_duplicates, pattern_counts, similar_pairs,
                                     subsumed_pairs, type_counts)
+from ..operators.neighbours import nearest
 from ..operators.specs import corpus_catalog, fill_impact, fill_missing_specs, preferred_reference_rows, spec_coverage
 from ..operators.topk import examples_per_group
 from ..session import write_stage
@@ -188,7 +189,7 @@ SELECT pos1, CAST(rank AS INTEGER) AS rank, pos2, round_even(score, 6) AS score
       sqrt(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(a.v AS DOUBLE[])) * list_dot_product(CAST(b.v AS DOUBLE[]), CAST(b.v AS DOUBLE[]))) AS score
     FROM vectors a JOIN vectors b ON a.entry_pos <> b.entry_pos) x) y WHERE rank <= 10""")
 def q_self_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    nb = all_pairs_topk(fx.vectors(spark, sf), 10, "v")
+    nb = nearest(fx.vectors(spark, sf), 10, "v")
     return nb.select("pos1", "rank", "pos2", F.bround("score", 6).alias("score"))
 
 
@@ -199,7 +200,7 @@ def _corpus(spark: SparkSession, sf: str):
 @register("similar_pairs", _audit_prelude() + "SELECT type, pos1, pos2, similarity FROM sim")
 def q_similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     c = _corpus(spark, sf)
-    nb = all_pairs_topk(c.vectors, 10, "ids", kind="ids")
+    nb = nearest(c.vectors, 10, "ids", kind="ids", dims=c.cfg.dims, at_least=0.90)
     return similar_pairs(nb, c.entries, 0.90)
 
 

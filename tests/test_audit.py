@@ -1,9 +1,10 @@
 """Spec fill, coverage, duplicates and pattern categories on inline rows."""
 
-from specsift.operators.duplicates import (PATTERNS, all_pairs_topk, categorize_pair, exact_duplicates,
-                                           pattern_counts, similar_pairs, subsumed_pairs)
+import pytest
 from pyspark.sql import functions as F
 
+from specsift.operators import neighbours
+from specsift.operators.duplicates import PATTERNS, categorize_pair, exact_duplicates, pattern_counts, similar_pairs, subsumed_pairs
 from specsift.operators.specs import fill_impact, fill_missing_specs, spec_coverage
 
 SCHEMA = ("entry_pos long, name string, documentation string, requires_clauses array<string>, "
@@ -62,19 +63,59 @@ def test_similar_leaves_out_members_of_structural_classes(spark):
     assert got == {(a, b) for a in range(1, 8) for b in range(a + 1, 8)} - structural
 
 
-def test_all_pairs_topk_brute_force(spark):
+def _nearest_brute(rows, k, at_least=-1.0, digits=12):
+    """rows: (pos, vector) -> sorted (pos1, rank, pos2, score)."""
     import numpy as np
 
+    out = []
+    v = {p: np.asarray(x, dtype=float) for p, x in rows if x is not None and np.any(np.asarray(x, dtype=float))}
+    for a in v:
+        found = []
+        for b in v:
+            s = float((v[a] * v[b]).sum() / np.sqrt((v[a] * v[a]).sum() * (v[b] * v[b]).sum()))
+            if a != b and s >= at_least:
+                found.append((-round(s, digits), b))
+        out += [(a, r + 1, b, -s) for r, (s, b) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("at_least", [-1.0, 0.6])
+def test_nearest_equals_brute_force(spark, monkeypatch, at_least):
+    """Clusters, many copies of one vector, parallel vectors, zero and null vectors, many blocks."""
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbours, "TILE", 8)
     rng = np.random.default_rng(7)
-    V = rng.normal(size=(60, 8))
-    df = spark.createDataFrame([(i, V[i].tolist()) for i in range(60)], "entry_pos long, v array<double>")
-    got = {(r.pos1, r.rank): r.pos2 for r in all_pairs_topk(df, 3, "v", blocks=3).collect()}
-    n = np.linalg.norm(V, axis=1)
-    S = (V @ V.T) / np.outer(n, n)
-    np.fill_diagonal(S, -np.inf)
-    for i in range(60):
-        order = sorted(range(60), key=lambda j: (-S[i, j], j))[:3]
-        assert [got[(i, k + 1)] for k in range(3)] == order
+    centres = rng.normal(size=(9, 8)) * 3
+    rows = [(i, np.rint(centres[i % 9] * 4 + rng.normal(size=8) * 3).tolist()) for i in range(150)]
+    rows += [(200 + i, rows[3][1]) for i in range(60)] + [(300, [2 * x for x in rows[3][1]]), (301, [0.0] * 8), (302, None), (303, [])]
+    df = spark.createDataFrame(rows, "entry_pos long, v array<double>")
+    got = sorted((r.pos1, r["rank"], r.pos2, round(r.score, 12)) for r in neighbours.nearest(df, 3, "v", at_least=at_least).collect())
+    assert got == _nearest_brute([r for r in rows if r[1] != []], 3, at_least)
+
+
+def test_nearest_of_hashed_ids(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(3)
+    ids = {i: [int(x) for x in rng.choice([1, -2, 3, 4, 5], int(rng.integers(0, 6)))] for i in range(70)}
+    df = spark.createDataFrame(sorted(ids.items()), "entry_pos long, ids array<int>")
+    dense = [(p, [sum((x > 0) - (x < 0) for x in v if abs(x) == d + 1) for d in range(6)]) for p, v in ids.items()]
+    got = sorted((r.pos1, r["rank"], r.pos2, r.score) for r in neighbours.nearest(df, 4, "ids", kind="ids", dims=6).collect())
+    assert got == _nearest_brute(dense, 4, digits=30)  # whole counts: bit for bit
+
+
+def test_bounds_prune_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 5
+    df = spark.createDataFrame([(i, (centres[i % 12] + rng.normal(size=16) * 0.3).tolist()) for i in range(600)], "entry_pos long, v array<double>")
+    assert neighbours.pruned_share(df, 5) > 0.5 and neighbours.pruned_share(df, 5, at_least=0.99) > 0.7
+    assert neighbours.nearest(df.limit(0), 5).collect() == []
 
 
 def test_pattern_categories(spark):
