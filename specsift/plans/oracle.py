@@ -34,11 +34,12 @@ VIEWS = {
     "src": """
   SELECT file_path, string_agg(decl, '' ORDER BY p_partkey) AS content FROM (
     SELECT 'src/' || lower(p_type) || '/' || replace(lower(p_brand),'#','_') || '.rs' AS file_path, p_partkey,
-      'pub proof fn lemma_' || replace(p_name,' ','_') || '_' || CAST(p_partkey AS VARCHAR) || '(x: int, y: int)' || chr(10)
+      CASE WHEN p_partkey % 5 = 0 THEN 'pub fn lemma_' ELSE 'pub proof fn lemma_' END
+      || replace(p_name,' ','_') || '_' || CAST(p_partkey AS VARCHAR) || '(x: int, y: int)' || chr(10)
       || CASE WHEN p_partkey % 4 IN (1,2) THEN '    requires x > ' || CAST(p_size AS VARCHAR) || ', y > 0,' || chr(10) ELSE '' END
       || CASE WHEN p_partkey % 4 <> 3 THEN '    ensures x * y >= ' || CAST(p_size AS VARCHAR) || ',' || chr(10) ELSE '' END
       || CASE WHEN p_partkey % 6 = 0 THEN '    decreases x' || chr(10) ELSE '' END
-      || '{' || chr(10) || '}' || chr(10) AS decl FROM part) t
+      || CASE WHEN p_partkey % 13 = 0 THEN ';' ELSE '{' || chr(10) || '}' END || chr(10) AS decl FROM part) t
   GROUP BY file_path""",
     "docs": """
   SELECT doc_id AS entry_pos, 'doc_' || CAST(doc_id AS VARCHAR) AS name,

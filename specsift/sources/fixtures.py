@@ -85,12 +85,14 @@ def src_declarations_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     k4 = F.col("p_partkey") % 4
     size = F.col("p_size").cast("string")
     decl = F.concat(
-        F.lit("pub proof fn lemma_"), _under("p_name"), F.lit("_"), F.col("p_partkey").cast("string"),
+        F.when(F.col("p_partkey") % 5 == 0, F.lit("pub fn lemma_")).otherwise(F.lit("pub proof fn lemma_")),
+        _under("p_name"), F.lit("_"), F.col("p_partkey").cast("string"),
         F.lit("(x: int, y: int)\n"),
         F.when(k4.isin(1, 2), F.concat(F.lit("    requires x > "), size, F.lit(", y > 0,\n"))).otherwise(F.lit("")),
         F.when(k4 != 3, F.concat(F.lit("    ensures x * y >= "), size, F.lit(",\n"))).otherwise(F.lit("")),
         F.when(F.col("p_partkey") % 6 == 0, F.lit("    decreases x\n")).otherwise(F.lit("")),
-        F.lit("{\n}\n"),
+        # some have no body
+        F.when(F.col("p_partkey") % 13 == 0, F.lit(";\n")).otherwise(F.lit("{\n}\n")),
     )
     return p.select(_file_of_part().alias("file_path"), F.col("p_partkey"), decl.alias("decl"))
 

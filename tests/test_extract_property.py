@@ -47,3 +47,31 @@ def test_the_first_of_equal_names_wins(spark):
 
 def test_no_brace_gives_the_line_alone(spark):
     assert _got(spark, "// x\n" + BODYLESS) == {"bare": ([], [], 2)}
+
+
+def test_chunks_do_not_change_the_result(spark, monkeypatch):
+    """Cuts of a few characters: the same declarations, lines and headers across chunks, and no
+    row with more than its part of a file."""
+    from specsift.functions import extract
+
+    body = "".join(PARTS[n][0] for n in sorted(PARTS)) + BODYLESS + "fn two(\n)\n ensures e2;\n" + PARTS["plain"][0].replace("plain", "last") + BODYLESS
+    rows = [(f"f{i}.rs", body.replace("fn ", "fn f%d_" % i) * 1) for i in range(3)] + [("empty.rs", ""), ("null.rs", None), ("none.rs", "no code")]
+    src = spark.createDataFrame(rows, "file_path string, content string")
+    whole = sorted(map(str, extract.declarations(src).collect()))
+    assert len(whole) == 3 * (len(PARTS) + 3)
+    for size in (1, 7, 40):
+        monkeypatch.setattr(extract, "CHUNK_CHARS", size)
+        assert sorted(map(str, extract.declarations(src).collect())) == whole
+        parts = extract.source_chunks(src).orderBy("file_path", "chunk_no").collect()
+        texts = {}
+        for r in parts:
+            texts[r.file_path] = texts.get(r.file_path, "") + r.chunk
+        assert texts == {f: t for f, t in rows if t}
+    assert len(parts) > 20
+
+
+def test_a_file_without_braces_is_not_quadratic(spark):
+    """Many headers and no brace: no header text, so nothing is gathered."""
+    n = 3000
+    got = _got(spark, "".join(f"fn f{i}(x)\n" for i in range(n)))
+    assert len(got) == n and got["f2999"] == ([], [], 3000)
