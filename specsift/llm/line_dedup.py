@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_stage
+from .columns import set_apart
 
 #: Registers of a sketch: 2**8, a standard error of 6.5 %; up to a few dozen
 #: sites the sketch is a list and exact.
@@ -81,10 +82,13 @@ def dedup_lines(
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with cleaned texts.  A document all of whose words were
-    boilerplate of other documents is dropped; a changed text's n_chars is set anew."""
-    out = dedup_lines(docs, **options)
+    boilerplate of other documents is dropped; a changed text's n_chars is set anew.
+    Other columns are kept as they are, whatever their names."""
+    names = [options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("site_col", "source"))]
+    own, whole = set_apart(docs, [*names, "n_chars"])
+    out = dedup_lines(own, **options)
     out = out.filter(~((F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\n\r\x0b\x0c")) == "")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return whole(out)

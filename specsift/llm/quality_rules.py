@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_stage
+from .columns import set_apart
 
 BUCKETS = 1 << 14
 #: Mean log ratio (natural log) below which a document is rejected: its n-grams
@@ -144,7 +145,9 @@ def drop_low_quality(docs: DataFrame, trusted: DataFrame, **options) -> DataFram
 
     Verdicts are written before they are filtered: the optimizer would move
     the filter below the counts and make their arrays many times over.
+    Other columns are kept as they are, whatever their names.
     """
-    judged = judge_quality(docs, trusted, **options)
-    judged = write_stage(judged.select(*docs.columns, F.col("kept").alias("verdict__")), "quality-verdicts")
-    return judged.filter("verdict__").select(docs.columns)
+    own, whole = set_apart(docs, (options.get("id_col", "doc_id"), options.get("text_col", "text")))
+    judged = judge_quality(own, trusted, **options)
+    judged = write_stage(judged.select(*own.columns, F.col("kept").alias("verdict__")), "quality-verdicts")
+    return whole(judged.filter("verdict__"))
