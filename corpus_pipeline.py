@@ -3,6 +3,13 @@ predecessor kept, written as parquet and read again.
 
 Stages take (spark, docs, sf_dir).  All but the last return the columns of
 ``documents``; the last returns the packed pieces.
+
+Defined results: null and empty texts fail the quality rules; of rows that
+repeat a doc_id one passes the near-duplicate stage, rows without a doc_id all
+pass it; columns beyond those of ``documents`` pass unchanged, whatever their
+names, up to the packing; empty tables give no pieces (without labels every
+document with enough words has ratio 0 and stays; without benchmark items none
+is contaminated).
 """
 
 from __future__ import annotations
@@ -57,7 +64,7 @@ STAGES = [
 ]
 
 #: The quality verdict hashes words and the packing tokenises: SQL cannot
-#: express them, so the pipeline is tested against a brute-force version.
+#: express them; tests/llm/test_pipeline.py has a brute-force version of the stages.
 ORACLE_SQL = None
 
 
