@@ -11,18 +11,17 @@ range is cut into sequences of power-of-two lengths, so no padding is needed
 at all.  Ranges are packed independently; a sequence id is the range's number
 and a running number within it.
 
-Tokens are made once, after the sort.  Texts are cut at single spaces between
-other characters, where the pre-tokeniser always cuts too, and the ids of a
-piece are remembered per worker (bounded).  A text with other white space
-next to a space is tokenised whole.
+Tokens are made once, after the sort, from whole texts (``token_files.encoder``).
+The number of ranges follows from the bytes of text.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
-packed once each; no rows give no sequences.
+packed once each; equal keys stand in the order of a hash of the id, then id,
+then text; no rows give no sequences; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -31,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .token_files import encoder
 from .words import SPACED, split_words
 
 DIMENSIONS, BITS = 4, 12
-#: Pieces whose ids a worker remembers.
-CACHE_PIECES = 400_000
+#: Bytes of text of a range, about.
+RANGE_BYTES = 128 << 20
 
 
 def hilbert_key(x: np.ndarray, bits: int) -> np.ndarray:
@@ -87,77 +87,6 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(key)], names=["doc_id", "text", "key"])
 
 
-class _Irregular(Exception):
-    pass
-
-
-class _Pieces(dict):
-    """' ' + piece -> its ids as bytes, made on the first use."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Irregular
-        ids = self.encode(" " + piece)
-        if len(self) < CACHE_PIECES:
-            self[piece] = ids
-        return ids
-
-
-class Tokens:
-    """Ids of texts by a byte-level BPE file of the ``tokenizers`` library.
-
-    ``ranks`` may name the same vocabulary as a rank file; its encoder, which
-    gives the same ids faster, then serves pieces of Latin letters.
-    """
-
-    def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self._whole = Tokenizer.from_file(vocabulary)
-        self._whole.encode_special_tokens = True
-        self._fast = None
-        if ranks:
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self._fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self._pieces = _Pieces(self._encode)
-        self._get = self._pieces.__getitem__
-
-    def _encode(self, text: str) -> bytes:
-        if self._fast is not None and (text.isascii() or max(text) < "ɐ"):
-            ids = self._fast.encode_ordinary(text)
-        else:
-            ids = self._whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u2").tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype="<u2")
-        head, *rest = text.split(" ")
-        try:
-            if not head or head[0].isspace() or head[-1].isspace():
-                raise _Irregular
-            raw = self._encode(head) + b"".join(map(self._get, rest))
-        except _Irregular:
-            raw = self._encode(text)
-        return np.frombuffer(raw, dtype="<u2")
-
-
-_loaded: dict[tuple, Tokens] = {}
-
-
-def _tokens(*files) -> Tokens:
-    if files not in _loaded:
-        _loaded[files] = Tokens(*files)
-    return _loaded[files]
-
-
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
@@ -170,7 +99,7 @@ def _pack(length: int, end_id: int, files: tuple, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens = _tokens(*files)
+        tokens = encoder(*files)
         sequence = TaskContext.get().partitionId() << 33
         open_, filled, out = [], 0, []
         tail = np.array([end_id], dtype="<u4")
@@ -226,11 +155,14 @@ def pack_documents(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and (``with_ids``) the ids as little-endian uint32.
 
-    ``vocabulary`` is a byte-level BPE file whose ids are below 65536.
+    ``vocabulary`` is a byte-level BPE file; the string of a special token in a
+    text becomes its id.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = source.mapInArrow(_keyed, "doc_id long, text string, key long").withColumn("tie", F.xxhash64("doc_id"))
-    ordered = keyed.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id", "text")
+    size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    ranges = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    ordered = keyed.repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie", "doc_id", "text")
     return ordered.select("doc_id", "text").mapInArrow(
         _pack(length, end_id, (vocabulary, ranks, pattern), with_ids),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary",

@@ -17,7 +17,7 @@ def test_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(hard)], "doc_id long, text string"))
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
+    assert encoder.encode("<|endoftext|> z", add_special_tokens=False).ids[0] == 50256
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in pack(docs).collect():
         pieces[r.doc_id].append(r)
@@ -36,3 +36,15 @@ def test_round_trip(spark):
             assert r.offset == at
             at += r.length
         assert at <= 1024 and (at & (at - 1)) == 0
+
+
+def test_clashes_ties_and_empty_tables(spark):
+    from specsift.llm.queries import pack
+
+    rows = [(i, "same text in each", 1, 2, 3) for i in range(40)] + [(5, "same text in each", 1, 2, 3), (None, "no id", 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, tie int, offset int")
+    got = pack(docs).collect()
+    n = len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("same text in each").ids) + 1
+    assert sum(r.length for r in got if r.doc_id == 5) == 2 * n
+    assert sum(r.length for r in got if r.doc_id is not None) == 41 * n
+    assert pack(docs.limit(0)).collect() == []
