@@ -36,6 +36,12 @@ def hashed_ids(text, dims: int) -> Column:
     return F.transform(tokens(text), lambda t: signed_bucket(t, dims))
 
 
+def ids_digest(ids) -> list[Column]:
+    """n_ids and ids_sum (a sum that any changed id changes) of an id array."""
+    total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
+    return [F.size(ids).alias("n_ids"), total.alias("ids_sum")]
+
+
 def dense(ids_list, dims: int) -> np.ndarray:
     """Stack a sequence of signed-id arrays into a (rows, dims) float64 count matrix."""
     n = len(ids_list)

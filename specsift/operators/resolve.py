@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..config import DEFINITION_ROLE
 
 
+def definitions(occurrences: DataFrame, role: int = DEFINITION_ROLE) -> DataFrame:
+    """The occurrences that define (the role equals ``role``; not a bit test)."""
+    return occurrences.where(F.col("symbol_roles") == role)
+
+
 def definition_map(occurrences: DataFrame, order_cols: list[str], role: int = DEFINITION_ROLE,
                    symbol_col: str = "symbol", path_col: str = "relative_path") -> DataFrame:
     """J1 pre-pass: per symbol, the file of its LAST definition occurrence and
@@ -17,7 +22,7 @@ def definition_map(occurrences: DataFrame, order_cols: list[str], role: int = DE
     partial aggregation keeps one row per symbol and task before it.
     """
     ordk = F.struct(*order_cols)
-    d = occurrences.where(F.col("symbol_roles") == role)
+    d = definitions(occurrences, role)
     return d.groupBy(F.col(symbol_col).alias("symbol")).agg(
         F.max_by(F.col(path_col), ordk).alias("def_path"),
         F.max_by(F.col("start_line") + 1, F.when(F.col("start_line").isNotNull(), ordk)).alias("def_line"),
@@ -27,7 +32,7 @@ def definition_map(occurrences: DataFrame, order_cols: list[str], role: int = DE
 def symbol_definition_count(occurrences: DataFrame, role: int = DEFINITION_ROLE,
                             symbol_col: str = "symbol") -> DataFrame:
     """A5: number of distinct symbols with a definition."""
-    return occurrences.where(F.col("symbol_roles") == role).agg(
+    return definitions(occurrences, role).agg(
         F.countDistinct(symbol_col).alias("defined_symbols"))
 
 

@@ -37,6 +37,14 @@ def declaration_symbol_filter(kind: F.Column, name: F.Column, signature: F.Colum
     return (kind == cfg.function_kind) & (by_name | F.coalesce(signature, F.lit("")).contains("proof"))
 
 
+def _entry_pos() -> F.Column:
+    """Document and symbol order in one number; too many symbols in one document
+    are an error, never equal numbers."""
+    full = F.raise_error(F.concat(F.lit(f"more than 2**{SYM_BITS} symbols in "), "relative_path")).cast("long")
+    pos = F.shiftleft(F.col("doc_pos"), SYM_BITS) + F.col("sym_pos")
+    return F.when(F.col("sym_pos") < 1 << SYM_BITS, pos).otherwise(full)
+
+
 def build_corpus(docs: DataFrame, src: DataFrame, path_prefix: str | None = None, source: str = "project",
                  cfg: IndexConfig = IndexConfig()) -> DataFrame:
     """Q7 -> entries (+ line_from_dump flag for A6)."""
@@ -47,7 +55,7 @@ def build_corpus(docs: DataFrame, src: DataFrame, path_prefix: str | None = None
     r = resolve_locations(syms, defs).withColumn("name", F.col("display_name"))
     e = attach_specs(r, declarations(src))
     return e.select(
-        (F.shiftleft(F.col("doc_pos"), SYM_BITS) + F.col("sym_pos")).alias("entry_pos"),
+        _entry_pos().alias("entry_pos"),
         "name", "file_path",
         F.coalesce(F.col("def_line"), F.col("parsed_line")).cast("int").alias("line_number"),
         "documentation", "signature", "requires_clauses", "ensures_clauses",

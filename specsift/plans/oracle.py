@@ -121,6 +121,14 @@ def sparse_sql(src: str, keys: list[str], text: str, dims: int = DIMS) -> str:
     GROUP BY ALL HAVING sum(sgn) <> 0"""
 
 
+def ids_digest(text: str, dims: int = DIMS) -> str:
+    """Columns n_ids and ids_sum of the signed bucket ids of a text."""
+    toks = f"regexp_extract_all(lower({text}), {W}, 1)"
+    sign = "CASE WHEN CAST('0x' || substr(md5(x), 9, 1) AS INTEGER) % 2 = 1 THEN -1 ELSE 1 END"
+    one = f"({sign}) * (CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % {dims} + 1)"
+    return (f"CAST(len({toks}) AS INTEGER) AS n_ids, CAST(coalesce(list_sum(list_transform({toks}, lambda x: {one})), 0) AS BIGINT) AS ids_sum")
+
+
 def semantic_ctes(p: str, corpus: str, queries: str, keys: list[str], text: str, n: int) -> dict[str, str]:
     """CTE {p}sem: keys, rank, entry_pos, name, score (top n by score desc, entry_pos)."""
     on = " AND ".join(f"dt.{k} = qn.{k}" for k in keys)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_embedding_text
+from ..functions.encode import ids_digest
 from ..operators.duplicates import (PATTERNS, categorize_pair, exact_duplicates, pattern_counts, similar_pairs,
                                     subsumed_pairs, type_counts)
 from ..operators.neighbours import nearest
@@ -18,6 +18,7 @@ from . import oracle as O
 from ._reg import register
 from .audit import detect_duplicates, duplicate_members, duplicate_report
 from .evaluate import retrieval_eval
+from .maintenance import fill_specs_job
 from .search import build_corpus_index, fuzzy_search
 
 J = "array_to_string({0}, ' AND ')"
@@ -72,14 +73,21 @@ def q_fill_impact(spark: SparkSession, sf: str) -> DataFrame:
     return fill_impact(_fill(spark, sf))
 
 
-@register("fill_specs_job", O.prelude("entries", extra={"pref": _PREF, "fl": _FILL}) + """
-SELECT entry_pos, filled, concat_ws(' ', name, nullif(documentation, ''), nullif(signature, ''),
+_EMBED_TEXT = """concat_ws(' ', name, nullif(documentation, ''), nullif(signature, ''),
   CASE WHEN len(requires_clauses) > 0 THEN array_to_string(requires_clauses, ' ') END,
-  CASE WHEN len(ensures_clauses) > 0 THEN array_to_string(ensures_clauses, ' ') END) AS embed_text FROM fl""")
+  CASE WHEN len(ensures_clauses) > 0 THEN array_to_string(ensures_clauses, ' ') END)"""
+
+
+@register("fill_specs_job", O.prelude("entries", extra={"pref": _PREF, "fl": _FILL}) + f"""
+SELECT entry_pos, filled, {O.ids_digest(_EMBED_TEXT)} FROM fl""")
 def q_fill_specs_job(spark: SparkSession, sf: str) -> DataFrame:
-    f = _fill(spark, sf)
-    return f.select("entry_pos", "filled", plain_embedding_text(
-        "name", "documentation", "signature", "requires_clauses", "ensures_clauses").alias("embed_text"))
+    """Q9: the fill with the vectors of its re-encoding."""
+    e = fx.entries(spark, sf)
+    done = fill_specs_job(e.where(F.col("source") == "project"), e.where(F.col("source") == "reflib"))
+    out = done.entries.select("entry_pos", "filled")
+    if done.vectors is None:  # nothing was filled: the old vectors stay
+        return out.select("*", F.lit(0).alias("n_ids"), F.lit(0).cast("long").alias("ids_sum")).limit(0)
+    return out.join(done.vectors, "entry_pos").select("entry_pos", "filled", *ids_digest("ids"))
 
 
 # ---- A7 / A8 ------------------------------------------------------------------------------------------

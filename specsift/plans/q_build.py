@@ -3,15 +3,18 @@ A6, U1, U2, Q8) with oracles."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
-from ..functions.encode import hashed_ids
+from ..functions.encode import hashed_ids, ids_digest
 from ..functions.text import searchable_text
 from ..operators.resolve import attach_specs, definition_map, symbol_definition_count
 from ..sources import fixtures as fx
-from ..sources.dump import occurrences_of, symbols_of
+from ..session import ensure_checkpoint_dir
+from ..sources.dump import occurrences_of, read_symbol_dump, symbols_of, write_symbol_dump
 from . import oracle as O
 from ._reg import register
 from .build import (add_reference_corpus, build_corpus, declaration_symbol_filter, line_origin_stats,
@@ -107,10 +110,17 @@ def _build_out(df: DataFrame) -> DataFrame:
 
 
 # ---- S1 ------------------------------------------------------------------------------
+def _read_dump(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
+    write_symbol_dump(fx.dump_documents(spark, sf), path)
+    return read_symbol_dump(spark, path)
+
+
 @register("scan_symbol_dump", O.prelude("entries", extra=DUMP_CTES) + """
 SELECT doc_pos, sym_pos, relative_path, kind, display_name, symbol, documentation, signature, sig_path FROM sy""")
 def q_scan_symbol_dump(spark: SparkSession, sf: str) -> DataFrame:
-    s = symbols_of(fx.dump_documents(spark, sf))
+    """The dump written as JSON files, read back by byte ranges."""
+    s = symbols_of(_read_dump(spark, sf))
     return s.select("doc_pos", "sym_pos", "relative_path", "kind", "display_name", "symbol", "documentation",
                     "signature", "sig_path")
 
@@ -119,7 +129,7 @@ def q_scan_symbol_dump(spark: SparkSession, sf: str) -> DataFrame:
 SELECT relative_path, symbol, CAST(count(*) AS BIGINT) AS n, CAST(count(start_line) AS BIGINT) AS n_ranged,
   CAST(sum(symbol_roles) AS BIGINT) AS roles FROM oc GROUP BY ALL""")
 def q_scan_symbol_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    o = occurrences_of(fx.dump_documents(spark, sf))
+    o = occurrences_of(_read_dump(spark, sf))
     return o.groupBy("relative_path", "symbol").agg(
         F.count(F.lit(1)).alias("n"), F.count("start_line").alias("n_ranged"),
         F.sum("symbol_roles").cast("long").alias("roles"))
@@ -251,7 +261,7 @@ def q_add_reference_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("merge_vectors", O.prelude("src", "entries", extra=_build_sql("src/small", "reflib")) + """
-SELECT entry_pos, CAST(len(regexp_extract_all(lower(t), '([\\p{L}\\p{N}_]+)', 1)) AS INTEGER) AS n_ids FROM (
+SELECT entry_pos, """ + O.ids_digest("t") + """ FROM (
   SELECT entry_pos, """ + O.searchable() + """ AS t FROM entries UNION ALL
   SELECT (SELECT max(entry_pos) FROM entries) + 1 + entry_pos, """ + O.searchable() + """ FROM bld) u""")
 def q_merge_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +270,7 @@ def q_merge_vectors(spark: SparkSession, sf: str) -> DataFrame:
     args = ("name", "documentation", "signature", "requires_clauses", "ensures_clauses")
     bv = base.select("entry_pos", hashed_ids(searchable_text(*args), 256).alias("ids"))
     nv = new.select("entry_pos", hashed_ids(searchable_text(*args), 256).alias("ids"))
-    return merge_vectors(base, bv, nv).select("entry_pos", F.size("ids").alias("n_ids"))
+    return merge_vectors(base, bv, nv).select("entry_pos", *ids_digest("ids"))
 
 
 # ---- F16 / F19 / S6+S4 ---------------------------------------------------------------------------

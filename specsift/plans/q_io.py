@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.encode import ids_digest
 from ..session import ensure_checkpoint_dir
 from ..sources import corpus_io as IO
 from ..sources import fixtures as fx
@@ -37,33 +38,31 @@ def q_scan_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("scan_source_files", O.prelude("src") + "SELECT file_path, content FROM src")
 def q_scan_source_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Source files written one file per path (partitioned text dataset), read
-    back whole-text; the tree reader ``read_source_files`` is unit-tested."""
+    """S3: a source tree written file by file, read back by the tree reader."""
     path = _folder(spark, "sources")
-    src = fx.src(spark, sf)
-    src.repartition("file_path").write.partitionBy("file_path").option("lineSep", "\u0000").text(path)
-    back = spark.read.option("lineSep", "\u0000").text(path, wholetext=True)
-    # the writer ends each row with the separator; drop it
-    return back.select("file_path", F.regexp_replace("value", "\u0000$", "").alias("content"))
+    IO.write_source_files(fx.src(spark, sf), path)
+    return IO.read_source_files(spark, path)
 
 
 @register("scan_vectors", O.prelude("entries") + f"""
-SELECT entry_pos, CAST(len(regexp_extract_all(lower({O._ops(O.searchable())}), {O.W}, 1)) AS INTEGER) AS n_ids
-FROM entries""")
+SELECT entry_pos, {O.ids_digest(O._ops(O.searchable()))} FROM entries""")
 def q_scan_vectors(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "corpus")
     c = build_corpus_index(fx.entries(spark, sf))
     IO.write_corpus(c.entries, path, c.vectors.select("entry_pos", "ids"))
     _, vec = IO.read_corpus(spark, path)
-    return vec.select("entry_pos", F.size("ids").alias("n_ids"))
+    return vec.select("entry_pos", *ids_digest("ids"))
 
 
 @register("scan_call_graph", O.prelude("nodes") + "SELECT node_id, display_name, body FROM nodes")
 def q_scan_call_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Graph files of a ``nodes`` array, read by byte ranges; ids from the nodes' own text."""
     path = _folder(spark, "graph")
-    fx.nodes(spark, sf).select(F.to_json(F.struct("node_id", "display_name", "body")).alias("v")) \
-        .write.mode("overwrite").text(path)
-    return IO.read_call_graph_lines(spark, path).select("node_id", "display_name", "body")
+    nodes = fx.nodes(spark, sf).select(F.to_json(F.struct("node_id", "display_name", "body")).alias("v"), (F.col("node_id") % 4).alias("part"))
+    text = F.concat(F.lit('{"edges":[["a","b"]],"nodes":['), F.array_join(F.collect_list("v"), ","), F.lit("]}"))
+    nodes.groupBy("part").agg(text.alias("v")).select("v").write.mode("overwrite").text(path)
+    back = IO.read_call_graph(spark, path)
+    return back.select(F.get_json_object("node", "$.node_id").cast("long").alias("node_id"), "display_name", "body")
 
 
 @register("write_duplicate_report", _audit_prelude() + """

@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import IndexConfig
 from ..functions import text as T
 from ..operators.keyword import keyword_index, term_facts
+from ..operators.resolve import definitions
+from ..operators.specs import missing_specs
 from ..sources import fixtures as fx
 from . import oracle as O
 from ._reg import register
+from .build import document_filter
 
 
 # RE2 (DuckDB) has ASCII-only \b and no look-around; Java's \b (like the
@@ -244,7 +248,7 @@ def q_human_size(spark: SparkSession, sf: str) -> DataFrame:
 @register("filter_path_prefix", O.prelude("entries") + """
 SELECT entry_pos, file_path FROM entries WHERE starts_with(file_path, 'src/small')""")
 def q_filter_path_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.entries(spark, sf).where(F.col("file_path").startswith("src/small")).select("entry_pos", "file_path")
+    return fx.entries(spark, sf).where(document_filter(F.col("file_path"), "src/small")).select("entry_pos", "file_path")
 
 
 PATH_KEYWORDS = ("brand_1", "medium")
@@ -253,14 +257,14 @@ PATH_KEYWORDS = ("brand_1", "medium")
 @register("filter_path_keywords", O.prelude("entries") + "SELECT entry_pos, file_path FROM entries WHERE "
           + " OR ".join(f"contains(file_path, '{k}')" for k in PATH_KEYWORDS))
 def q_filter_path_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    cond = reduce(lambda a, b: a | b, [F.col("file_path").contains(k) for k in PATH_KEYWORDS])
-    return fx.entries(spark, sf).where(cond).select("entry_pos", "file_path")
+    kept = document_filter(F.col("file_path"), None, IndexConfig(file_keywords=PATH_KEYWORDS))
+    return fx.entries(spark, sf).where(kept).select("entry_pos", "file_path")
 
 
 @register("filter_definitions", O.prelude("occ") + """
 SELECT symbol_id, doc_path, start_line, doc_pos, k1, k2, k4 FROM occ WHERE symbol_roles = 1""")
 def q_filter_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.occ(spark, sf).where(F.col("symbol_roles") == 1).select(
+    return definitions(fx.occ(spark, sf)).select(
         "symbol_id", "doc_path", "start_line", "doc_pos", "k1", "k2", "k4")
 
 
@@ -268,4 +272,4 @@ def q_filter_definitions(spark: SparkSession, sf: str) -> DataFrame:
 SELECT entry_pos, name, source FROM entries WHERE len(requires_clauses) = 0 AND len(ensures_clauses) = 0""")
 def q_filter_missing_specs(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.entries(spark, sf)
-    return e.where((F.size("requires_clauses") == 0) & (F.size("ensures_clauses") == 0)).select("entry_pos", "name", "source")
+    return e.where(missing_specs()).select("entry_pos", "name", "source")

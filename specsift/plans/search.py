@@ -139,15 +139,15 @@ def similar_entries(corpus: Corpus, names: DataFrame, k: int = 10, key: str = "q
 
 
 def routed_search(corpus: Corpus, queries: DataFrame, k: int = 3, key: str = "query_id",
-                  text_col: str = "query", exclude_self: bool = True) -> DataFrame:
+                  text_col: str = "query", exclude_self: bool = True, detect_names: bool = True) -> DataFrame:
     """Q6: a query that is an entry name searches with that entry's normalised
-    text (Q5); any other query searches as typed, minus hits named like its
-    first word.  Both kinds use depth k+1 when excluding, so they run as one
-    fuzzy batch."""
+    text (Q5; not without ``detect_names``); any other query searches as typed,
+    minus hits named like its first word.  Both kinds use depth k+1 when
+    excluding, so they run as one fuzzy batch."""
     first = first_per_key(corpus.entries, "name")
     j = queries.join(first.select(F.col("name").alias("_n"), *[first[c] for c in ENTRY_ARGS if c != "name"]),
                      queries[text_col] == F.col("_n"), "left")
-    named = F.col("_n").isNotNull()
+    named = F.col("_n").isNotNull() & F.lit(detect_names)
     text = F.when(named, searchable_text(F.col("_n"), *ENTRY_ARGS[1:], normalize=True)).otherwise(F.col(text_col))
     excl = F.when(named, F.col("_n")).otherwise(
         F.regexp_extract(text_col, r"^\s*(\S+)", 1) if exclude_self else F.lit(None).cast("string"))
@@ -156,8 +156,7 @@ def routed_search(corpus: Corpus, queries: DataFrame, k: int = 3, key: str = "qu
         hits = fuzzy_search(corpus, q.select(key, F.col("_q").alias("query")), k + 1, key, "query")
         hits = hits.join(q.select(key, "_x"), key)
         return exclude_and_cut(hits, key, k, F.col("name") == F.col("_x")).drop("_x")
-    by_name = similar_entries(corpus, queries.join(first.select("name"), queries[text_col] == first["name"])
-                              .select(key, "name"), k, key)
+    by_name = similar_entries(corpus, q.where("_named").select(key, F.col("_x").alias("name")), k, key)
     free = q.where(~F.col("_named")).select(key, F.col("_q").alias("query"))
     return by_name.unionByName(fuzzy_search(corpus, free, k, key, "query"))
 

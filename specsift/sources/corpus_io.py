@@ -9,12 +9,15 @@ index ({version, repo_root, lemmas[], has_embeddings}) is read as well.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_array import read_json_array
+
 ENTRY = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("file_path", T.StringType()),
@@ -45,8 +48,7 @@ def _empty():
 
 def read_index_json(spark: SparkSession, path: str) -> DataFrame:
     """One JSON index per file -> entries (absent lists -> empty, absent source -> project)."""
-    raw = spark.read.schema(INDEX_JSON).json(path, multiLine=True)
-    e = raw.select(F.posexplode("lemmas").alias("entry_pos", "l"))
+    e = read_json_array(spark, path, "lemmas").select(F.col("pos").alias("entry_pos"), F.from_json("value", ENTRY).alias("l"))
     return e.select(
         F.col("entry_pos").cast("long"),
         F.col("l.name").alias("name"), F.col("l.file_path").alias("file_path"),
@@ -88,12 +90,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_call_graph(spark: SparkSession, path: str) -> DataFrame:
-    """{nodes: [...]} -> node_id (position), display_name, body, node (raw JSON kept for write-back)."""
-    raw = spark.read.text(path, wholetext=True)
-    nodes = raw.select(F.posexplode(F.from_json("value", "struct<nodes:array<string>>")["nodes"]).alias("node_id", "node"))
+    """{nodes: [...]} -> node_id (position), display_name, body, node (raw JSON
+    kept for write-back); a large file is read by as many tasks as byte ranges."""
+    nodes = read_json_array(spark, path, "nodes").select(F.col("pos").alias("node_id"), F.col("value").alias("node"))
     parsed = F.from_json("node", NODE)
-    return nodes.select(F.col("node_id").cast("long"), parsed["display_name"].alias("display_name"),
-                        parsed["body"].alias("body"), "node")
+    return nodes.select("node_id", parsed["display_name"].alias("display_name"), parsed["body"].alias("body"), "node")
 
 
 @F.pandas_udf(T.StringType())
@@ -126,6 +127,28 @@ def write_enriched_graph(enriched: DataFrame, path: str, source: str | None = No
         raw.select(_other_keys("value")).write.mode("overwrite").text(f"{path}/header")
 
 
+def write_source_files(src: DataFrame, root: str) -> None:
+    """(file_path, content) rows as one file each under ``root``, written by the
+    tasks; any place that pyarrow can write to.  A path that leaves the root is
+    an error."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        uri = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root)
+        place, top = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root)) if uri else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if ".." in path.split("/") or path.startswith("/"):
+                    raise ValueError(f"not under the root: {path}")
+                place.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                with place.open_output_stream(f"{top}/{path}") as out:
+                    out.write((text or "").encode())
+            yield batch.select([0])
+
+    src.select("file_path", "content").mapInArrow(run, "file_path string").write.format("noop").mode("overwrite").save()
+
+
 def read_source_files(spark: SparkSession, root: str, pattern: str = "*.rs") -> DataFrame:
     """S3: (file_path relative to root, content), one row per file.
 

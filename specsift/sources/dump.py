@@ -1,10 +1,10 @@
 """Symbol dump (S1): nested documents -> symbols / occurrences tables.
 
 A dump is documents[] of {relative_path, symbols[], occurrences[]}.  Two
-physical forms are read: one JSON object per file with a ``documents``
-array (order = array order), or JSON Lines with one document per line and
-an explicit ``doc_pos`` (a single multi-line file is one task, so large
-dumps should be written as lines).  Missing keys read as empty/null.
+physical forms are read: JSON objects with a ``documents`` array (order = array
+order, or the documents' own ``doc_pos``), each file by as many tasks as it has
+byte ranges (``sources.json_array``), or JSON Lines with one document per line
+and an explicit ``doc_pos``.  Missing keys read as empty/null.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_array import read_json_array
+
 SYMBOL = T.StructType([
     T.StructField("kind", T.IntegerType()),
     T.StructField("display_name", T.StringType()),
@@ -33,14 +35,27 @@ DOCUMENT = T.StructType([
     T.StructField("symbols", T.ArrayType(SYMBOL)),
     T.StructField("occurrences", T.ArrayType(OCCURRENCE)),
 ])
-DUMP = T.StructType([T.StructField("documents", T.ArrayType(DOCUMENT))])
 DOCUMENT_LINE = T.StructType([T.StructField("doc_pos", T.LongType())] + DOCUMENT.fields)
 
 
 def read_symbol_dump(spark: SparkSession, path: str) -> DataFrame:
-    """One nested JSON object per file -> (doc_pos, relative_path, symbols, occurrences)."""
-    raw = spark.read.schema(DUMP).json(path, multiLine=True)
-    return documents_of(raw)
+    """Nested JSON files -> (doc_pos, relative_path, symbols, occurrences).
+
+    A document without ``doc_pos`` has its number in the array; several files
+    need their documents' own.
+    """
+    raw = read_json_array(spark, path, "documents").select("pos", F.from_json("value", DOCUMENT_LINE).alias("d"))
+    return raw.select(
+        F.coalesce("d.doc_pos", "pos").alias("doc_pos"), F.coalesce("d.relative_path", F.lit("")).alias("relative_path"),
+        F.col("d.symbols").alias("symbols"), F.col("d.occurrences").alias("occurrences"))
+
+
+def write_symbol_dump(docs: DataFrame, path: str, files: int = 8) -> None:
+    """Documents (with their doc_pos) as JSON objects with a ``documents`` array each."""
+    part = F.pmod(F.xxhash64("doc_pos"), F.lit(files)).cast("int")
+    whole = docs.groupBy(part.alias("part")).agg(F.collect_list(F.to_json(F.struct(*docs.columns))).alias("d"))
+    text = F.concat(F.lit('{"documents":['), F.array_join("d", ","), F.lit("]}"))
+    whole.repartition(files, "part").select(text).write.mode("overwrite").text(path)
 
 
 def read_symbol_dump_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -49,16 +64,6 @@ def read_symbol_dump_lines(spark: SparkSession, path: str) -> DataFrame:
         "doc_pos", F.coalesce("relative_path", F.lit("")).alias("relative_path"), "symbols", "occurrences")
 
 
-def documents_of(raw: DataFrame) -> DataFrame:
-    d = raw.select(F.posexplode_outer("documents").alias("doc_pos", "d")).where(F.col("d").isNotNull())
-    return d.select(
-        F.col("doc_pos").cast("long"),
-        F.coalesce("d.relative_path", F.lit("")).alias("relative_path"),
-        F.col("d.symbols").alias("symbols"),
-        F.col("d.occurrences").alias("occurrences"),
-    )
-
-
 def symbols_of(docs: DataFrame) -> DataFrame:
     s = docs.select("doc_pos", "relative_path", F.posexplode("symbols").alias("sym_pos", "s"))
     sig = F.col("s.signature_documentation")

@@ -230,6 +230,16 @@ def test_routed_search(spark, corpus):
     assert all(r.name != "lemma_mod_range" for r in got if r.query_id == 2)
 
 
+def test_routed_search_without_detection(spark, corpus):
+    """Without it, a name is searched as typed."""
+    q = spark.createDataFrame([(1, "lemma_add_comm"), (2, "lemma_mod_range bound of mod")], "query_id long, query string")
+    typed = _rows(routed_search(corpus, q, 3, exclude_self=False, detect_names=False))
+    assert typed == _rows(fuzzy_search(corpus, q, 3))
+    detected = _rows(routed_search(corpus, q, 3, exclude_self=False))
+    assert [r for r in detected if r[0] == 1] == _rows(similar_entries(corpus, q.where("query_id = 1").select(
+        "query_id", F.col("query").alias("name")), 3)) != [r for r in typed if r[0] == 1]
+
+
 def test_retrieval_eval_groups(spark, corpus, queries):
     rows = [(g, qi, name, 0) for g, name, qs in GROUPS for qi in qs]
     expected = spark.createDataFrame(rows, "case string, query_id long, name string, position int")
