@@ -1,4 +1,4 @@
-"""Corpus build (Q7), reference corpus add (Q8) and merges.
+"""Corpus build (Q7) and merges (U1, U2); Q8 is ``sources.corpus_store``.
 
 build: symbol dump -> document filter (P1/P2, symbols only; the definition
 pre-pass sees every document) -> declaration-symbol filter (P3) -> definition
@@ -92,12 +92,3 @@ def merge_vectors(base_entries: DataFrame, base_vec: DataFrame | None, new_vec:
     shifted = new_vec.crossJoin(F.broadcast(off)).withColumn(
         "entry_pos", F.col("_off") + 1 + F.col("entry_pos")).drop("_off")
     return base_vec.unionByName(shifted.select(*base_vec.columns))
-
-
-def add_reference_corpus(base: DataFrame, docs: DataFrame, src: DataFrame, path_prefix: str,
-                         source: str, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    """Q8: build the prefix-filtered corpus tagged ``source`` and append it."""
-    new = build_corpus(docs, src, path_prefix, source, cfg).drop("line_from_dump")
-    if new.limit(1).count() == 0:
-        raise ValueError(f"no entries found under {path_prefix!r}")
-    return merge_corpora(base, new)

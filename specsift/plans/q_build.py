@@ -14,11 +14,12 @@ from ..functions.text import searchable_text
 from ..operators.resolve import attach_specs, definition_map, symbol_definition_count
 from ..sources import fixtures as fx
 from ..session import ensure_checkpoint_dir
+from ..sources.corpus_store import CorpusStore, add_built_corpus
 from ..sources.dump import occurrences_of, read_symbol_dump, symbols_of, write_symbol_dump
 from . import oracle as O
 from ._reg import register
-from .build import (add_reference_corpus, build_corpus, declaration_symbol_filter, line_origin_stats,
-                    merge_corpora, merge_vectors)
+from .build import (build_corpus, declaration_symbol_filter, line_origin_stats,
+                    merge_corpora)
 
 # ---- SQL twins -------------------------------------------------------------------
 
@@ -255,22 +256,24 @@ def q_merge_corpora(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("add_reference_corpus", _MERGE_SQL)
 def q_add_reference_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    merged = add_reference_corpus(fx.entries(spark, sf), fx.dump_documents(spark, sf), fx.src(spark, sf),
-                                  "src/small", "reflib")
-    return merged.select("entry_pos", "name", "source")
+    """Q8: a built corpus appended to a stored one, merged on read."""
+    return _grown_store(spark, sf).entries().select("entry_pos", "name", "source")
+
+
+def _grown_store(spark: SparkSession, sf: str) -> CorpusStore:
+    store = CorpusStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    store.append(fx.entries(spark, sf))
+    add_built_corpus(store, fx.dump_documents(spark, sf), fx.src(spark, sf), "src/small", "reflib")
+    return store
 
 
 @register("merge_vectors", O.prelude("src", "entries", extra=_build_sql("src/small", "reflib")) + """
-SELECT entry_pos, """ + O.ids_digest("t") + """ FROM (
+SELECT entry_pos, """ + O.ids_digest(O._ops("t")) + """ FROM (
   SELECT entry_pos, """ + O.searchable() + """ AS t FROM entries UNION ALL
   SELECT (SELECT max(entry_pos) FROM entries) + 1 + entry_pos, """ + O.searchable() + """ FROM bld) u""")
 def q_merge_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    base = fx.entries(spark, sf)
-    new = build_corpus(fx.dump_documents(spark, sf), fx.src(spark, sf), "src/small", "reflib")
-    args = ("name", "documentation", "signature", "requires_clauses", "ensures_clauses")
-    bv = base.select("entry_pos", hashed_ids(searchable_text(*args), 256).alias("ids"))
-    nv = new.select("entry_pos", hashed_ids(searchable_text(*args), 256).alias("ids"))
-    return merge_vectors(base, bv, nv).select("entry_pos", *ids_digest("ids"))
+    """The vectors of both parts, each encoded when it was added."""
+    return _grown_store(spark, sf).vectors().select("entry_pos", *ids_digest("ids"))
 
 
 # ---- F16 / F19 / S6+S4 ---------------------------------------------------------------------------
