@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-Evidence of a document: the mean log odds of its hashed word-ending n-grams
-between documents labelled good and bad (two multinomials over all labelled
+Evidence of a document: the mean log odds of its hashed n-grams (whole words,
+neighbouring words, and word endings) between documents labelled good and bad (two multinomials over all labelled
 rows), turned into a probability by a logistic curve fitted on a histogram of
 the labelled rows' evidence.
 
@@ -13,12 +13,15 @@ A document's score combines its own odds with its path's shrunk odds relative
 to the global odds.
 
 Hosts and paths are columns (``source`` and ``lang`` of the documents; for
-pages, parts of the URL).  Everything but the model tables (2**14 weights,
+pages, parts of the URL).  Everything but the model tables (2**16 weights,
 BINS histogram cells) stays distributed.
 
 Defined results: null and empty texts have no evidence (log odds 0) and rest
 on their site; a null host or path is a site of its own; without labels of
-both classes every score is the global prior and all documents are kept.
+both classes every score is the global prior and all documents are kept; labels
+of repeated ids count once (1 if any is), null ids and labels never; repeated
+rows are judged one by one alike; a score equal to the threshold is kept; long
+texts count whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from ..session import write_stage
 from .words import SPACED, Words, _powers, mix, split_words
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 BINS = 200
 #: Bounds of a prior's strength in documents.
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
@@ -41,25 +44,23 @@ MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
 MAX_SITE = 2.0
 
 _U = np.uint64
+#: Keep the kinds of n-grams apart.
+_PAIR, _ENDING = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
 
 
 def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of word endings (up to 3 bytes) and of neighbours' 2-byte endings."""
+    """(bucket, text) of whole words, of neighbouring words, and of word endings (up to 3 bytes)."""
     n = len(words.data)
     power, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((words.data.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
     doc = words.doc_of()
-
-    def ending(size: int) -> np.ndarray:
-        at = np.maximum(words.ends - size, words.starts)
-        return mix((sums[words.ends] - sums[at]) * inverse[at])
-
-    three, two = ending(3), ending(2)
+    run = lambda at: mix((sums[words.ends] - sums[at]) * inverse[at])
+    whole, ending = run(words.starts), mix(run(np.maximum(words.ends - 3, words.starts)) + _ENDING)
     same = doc[1:] == doc[:-1]
-    joint = mix(two[:-1] * _U(0x9E3779B97F4A7C15) + two[1:])[same]
-    bucket = np.concatenate([three, joint]) & _U(BUCKETS - 1)
-    return bucket.astype(np.int64), np.concatenate([doc, doc[1:][same]])
+    joint = mix(whole[:-1] * _PAIR + whole[1:])[same]
+    bucket = np.concatenate([whole, joint, ending]) & _U(BUCKETS - 1)
+    return bucket.astype(np.int64), np.concatenate([doc, doc[1:][same], doc])
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
