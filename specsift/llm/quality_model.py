@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 Evidence of a document: the mean log odds of its hashed n-grams (whole words,
-neighbouring words, and word endings) between documents labelled good and bad (two multinomials over all labelled
+neighbouring words, the endings of both, and repeated words) between documents labelled good and bad (two multinomials over all labelled
 rows), turned into a probability by a logistic curve fitted on a histogram of
 the labelled rows' evidence.
 
@@ -37,7 +37,8 @@ from ..session import write_stage
 from .words import SPACED, Words, _powers, mix, split_words
 
 BUCKETS = 1 << 16
-BINS = 200
+#: Cells of the histogram, and cells per unit of evidence.
+BINS, FINE = 2000, 200
 #: Bounds of a prior's strength in documents.
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
 #: What a site's odds may add to a document's, in natural log units.
@@ -49,18 +50,23 @@ _PAIR, _ENDING = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
 
 
 def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of whole words, of neighbouring words, and of word endings (up to 3 bytes)."""
+    """(bucket, text) of whole words, of neighbouring words, of word endings (up
+    to 3 bytes), of neighbours' endings (up to 2 bytes), and of a word that
+    repeats the one before (whichever it is)."""
     n = len(words.data)
     power, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((words.data.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
     doc = words.doc_of()
     run = lambda at: mix((sums[words.ends] - sums[at]) * inverse[at])
-    whole, ending = run(words.starts), mix(run(np.maximum(words.ends - 3, words.starts)) + _ENDING)
+    whole = run(words.starts)
+    three, two = (run(np.maximum(words.ends - k, words.starts)) for k in (3, 2))
     same = doc[1:] == doc[:-1]
-    joint = mix(whole[:-1] * _PAIR + whole[1:])[same]
-    bucket = np.concatenate([whole, joint, ending]) & _U(BUCKETS - 1)
-    return bucket.astype(np.int64), np.concatenate([doc, doc[1:][same], doc])
+    pair = mix(whole[:-1] * _PAIR + whole[1:])[same]
+    ends = mix(two[:-1] * _PAIR + two[1:] + _ENDING)[same]
+    again = doc[1:][same & (whole[1:] == whole[:-1])]
+    bucket = np.concatenate([whole, pair, mix(three + _ENDING), ends, np.full(len(again), _PAIR)]) & _U(BUCKETS - 1)
+    return bucket.astype(np.int64), np.concatenate([doc, doc[1:][same], doc, doc[1:][same], again])
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +166,19 @@ def classify_quality(
         counts[:, r["bucket"]] = r["bad"], r["good"]
     weights = np.zeros(BUCKETS)
     if (counts.sum(axis=1) > 0).all():
-        smooth = (counts + 1) / (counts.sum(axis=1, keepdims=True) + BUCKETS)
-        weights = np.log(smooth[1]) - np.log(smooth[0])
+        total = counts.sum(axis=1, keepdims=True)
+        even = np.log(counts * (total.min() / total) + 1)  # an n-gram that neither class has weighs nothing
+        weights = even[1] - even[0]
 
     seen = source.mapInArrow(_evidence(spark.sparkContext.broadcast(weights)), "doc_id long, host string, path string, evidence double")
     seen = write_stage(seen.join(labels, "doc_id", "left"), "quality-evidence")
     bins = seen.filter("label is not null").select(
-        F.least(F.greatest(F.round(F.col("evidence") * 20).cast("int"), F.lit(-BINS // 2)), F.lit(BINS // 2)).alias("bin"), "label"
+        F.least(F.greatest(F.round(F.col("evidence") * FINE).cast("int"), F.lit(-BINS // 2)), F.lit(BINS // 2)).alias("bin"), "label"
     )
     table = bins.groupBy("bin").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).collect()
     x, good, bad = (np.array([float(r[c]) for r in table]) for c in ("bin", "good", "bad"))
-    slope, offset = fit_logistic(x / 20, good, bad) if good.sum() and bad.sum() else (0.0, 30.0)
-    bin_of = F.least(F.greatest(F.col("evidence"), F.lit(-BINS / 40)), F.lit(BINS / 40))
+    slope, offset = fit_logistic(x / FINE, good, bad) if good.sum() and bad.sum() else (0.0, 30.0)
+    bin_of = F.least(F.greatest(F.col("evidence"), F.lit(-BINS / 2 / FINE)), F.lit(BINS / 2 / FINE))
     p_doc = 1 / (1 + F.exp(-(slope * bin_of + offset)))
     seen = seen.withColumn("p_doc", p_doc).withColumn("vote", F.coalesce(F.col("label").cast("double"), p_doc))
 

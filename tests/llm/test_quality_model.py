@@ -29,7 +29,10 @@ def grams(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
     whole = [_hash(x) for x in w]
     out = whole + [_mix((a * 0x9E3779B97F4A7C15 + b) % M) for a, b in zip(whole, whole[1:])]
-    return [h % Q.BUCKETS for h in out + [_mix((_hash(x[-3:]) + 0xD1B54A32D192ED03) % M) for x in w]]
+    out += [_mix((_hash(x[-3:]) + 0xD1B54A32D192ED03) % M) for x in w]
+    out += [_mix((_hash(a[-2:]) * 0x9E3779B97F4A7C15 + _hash(b[-2:]) + 0xD1B54A32D192ED03) % M) for a, b in zip(w, w[1:])]
+    out += [0x9E3779B97F4A7C15 for a, b in zip(w, w[1:]) if a == b]
+    return [h % Q.BUCKETS for h in out]
 
 
 def _strength(sites):
@@ -52,17 +55,18 @@ def brute(rows, labels):
         if labels.get(i) is not None:
             for g in grams(text):
                 counts[labels[i], g] += 1
-    smooth = (counts + 1) / (counts.sum(axis=1, keepdims=True) + Q.BUCKETS)
-    weight = np.log(smooth[1]) - np.log(smooth[0]) if (counts.sum(axis=1) > 0).all() else np.zeros(Q.BUCKETS)
+    bad_total, good_total = counts.sum(axis=1)
+    least = min(bad_total, good_total)
+    weight = np.log((counts[1] * least / good_total + 1) / (counts[0] * least / bad_total + 1)) if least else np.zeros(Q.BUCKETS)
     evidence = {i: (lambda g: sum(weight[g]) / len(g) if g else 0.0)(grams(t)) for i, t, *_ in rows}
     bins = defaultdict(lambda: [0, 0])
     for i, y in labels.items():
         if i in evidence and y is not None:
-            x = evidence[i] * 20
+            x = evidence[i] * Q.FINE
             bins[max(min(int(math.floor(abs(x) + 0.5) * math.copysign(1, x)), Q.BINS // 2), -Q.BINS // 2)][1 - y] += 1
     x, good, bad = (np.array(v, dtype=float) for v in zip(*[(b, *n) for b, n in sorted(bins.items())]))
-    slope, offset = Q.fit_logistic(x / 20, good, bad)
-    p_doc = {i: 1 / (1 + math.exp(-(slope * min(max(e, -Q.BINS / 40), Q.BINS / 40) + offset))) for i, e in evidence.items()}
+    slope, offset = Q.fit_logistic(x / Q.FINE, good, bad)
+    p_doc = {i: 1 / (1 + math.exp(-(slope * min(max(e, -Q.BINS / 2 / Q.FINE), Q.BINS / 2 / Q.FINE) + offset))) for i, e in evidence.items()}
     path, host = defaultdict(list), defaultdict(list)
     for i, _, h, p in rows:
         vote = float(labels[i]) if labels.get(i) is not None else p_doc[i]
