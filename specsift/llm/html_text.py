@@ -1,19 +1,22 @@
 """Layout-aware text of HTML pages.
 
 A tokenizer feeds a tree builder that knows void elements, raw-text elements
-and implied end tags; visibility rules (``hidden``, inline ``display: none``
-and ``visibility: hidden``, head and script content, closed dialogs, unchosen
-fallbacks) cut subtrees.  The renderer emits all visible text: blocks on their
-own lines, paragraphs apart, lists with markers and indentation, tables with
-aligned cells, preformatted text as it is.  Sections and rows of a table that
-the markup leaves out are implied; what stands in a table outside its cells
-and captions comes before the table.
+and implied end tags.  Visibility rules cut subtrees (``hidden``, inline
+``display: none``, head and script content, closed dialogs, all but the summary
+of closed details, options that are not chosen, fallbacks of elements that need
+none) and text (``visibility: hidden``, which a descendant may lift).  The
+renderer emits all visible text: blocks on their own lines, paragraphs apart,
+lists with markers and indentation, tables with aligned cells that may span
+columns and rows, preformatted text as it is; text areas, formulas, drawings and
+the content of objects count as text.  Sections and rows of a table that the
+markup leaves out are implied; what stands in a table outside its cells and
+captions comes before the table.
 
 Defined results: a null page gives null; an empty page gives an empty text;
 broken markup never fails (stray end tags are ignored, open elements are
-closed at the end, an unfinished tag is text).  Depth is bounded by an
-explicit stack, so deeply nested pages do not overflow; tables within more than
-``MAX_TABLES`` others are laid out as blocks.
+closed at the end, an unfinished tag is text).  Nothing recurses: tables are laid
+out from the innermost, so pages of any depth are laid out alike.  Repeated rows
+give equal texts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ _words = lambda s: frozenset(s.split())
 
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style textarea title xmp iframe noembed noframes")
-HIDDEN = _words("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select title textarea")
+HIDDEN = _words("head script style template noscript iframe noembed noframes audio video canvas datalist title desc defs metadata annotation annotation-xml")
 PARAGRAPH = _words("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr fieldset")
 BLOCK = PARAGRAPH | _words(
     "html body address article aside center details dialog dd div dt figcaption footer form header legend li main nav optgroup option section summary tr caption thead tbody tfoot"
@@ -52,22 +55,24 @@ CLOSES = {
 }
 _SECTIONS = _words("thead tbody tfoot")
 _CELLS = _words("td th")
-MAX_TABLES = 40
+#: Bounds of the spans of a cell, as browsers have them.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
 _ENDS_P = BLOCK - _words("html body option optgroup legend caption tr thead tbody tfoot") | _words("menu")
 _P_SCOPE = _words("table td th caption button object")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_OFF = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_SEEN = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "lines")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.lines = tag, attrs, [], None
 
 
 def parse(html: str) -> Node:
@@ -111,7 +116,7 @@ def parse(html: str) -> Node:
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             stop = close.start() if close else end
-            node.children.append(html[at:stop])
+            node.children.append(unescape(html[at:stop]) if name in ("textarea", "title") else html[at:stop])
             at = close.end() if close else end
         elif name not in VOID and not token.endswith("/>"):
             stack.append(node)
@@ -146,13 +151,61 @@ def _imply(stack: list[Node], name: str) -> None:
         stack.append(node)
 
 
-def visible(node: Node) -> bool:
+def _shown(node: Node) -> bool:
+    """Whether an element takes part in the layout."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a:
+    if node.tag in HIDDEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
         return False
-    if node.tag == "dialog" and "open" not in a:
-        return False
-    return not ("style" in a and _OFF.search(a["style"]))
+    return not ("style" in a and _GONE.search(a["style"]))
+
+
+def _options(select: Node) -> set[int]:
+    """The options that a closed select shows: the chosen ones, else the first."""
+    found, todo = [], list(reversed(select.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            continue
+        if x.tag == "option":
+            found.append(x)
+        else:
+            todo.extend(reversed(x.children))
+    chosen = [x for x in found if "selected" in x.attrs]
+    if "multiple" in select.attrs or "size" in select.attrs and select.attrs["size"] not in ("", "0", "1"):
+        return set(map(id, found))  # a list box shows all of them
+    return set(map(id, chosen[-1:] or found[:1]))
+
+
+def prune(root: Node) -> list[Node]:
+    """Cuts what is not visible from the tree; gives its tables, outer ones first."""
+    tables, todo = [], [(root, True, None)]
+    while todo:
+        node, seen, options = todo.pop()
+        kept: list = []
+        if node.tag == "table":
+            tables.append(node)
+        if node.tag == "select":
+            options = _options(node)
+        summary = node.tag == "details" and "open" not in node.attrs
+        for x in node.children:
+            if isinstance(x, str):
+                if seen and not summary and not (node.tag in ("select", "optgroup") and options is not None):
+                    kept.append(x)
+            elif summary and x.tag != "summary":
+                continue
+            elif _shown(x) and not (x.tag == "option" and options is not None and id(x) not in options):
+                own = seen
+                if "style" in x.attrs and (m := _SEEN.findall(x.attrs["style"])):
+                    own = m[-1].lower() == "visible"
+                if x.tag == "img" and not own:
+                    continue
+                kept.append(x)
+                todo.append((x, own, options))
+                if summary:
+                    summary = False
+                    break  # the first summary alone
+        node.children = kept
+    return tables
 
 
 class _Out:
@@ -206,51 +259,70 @@ def _flat(node: Node) -> str:
             out.append(x)
         elif x.tag == "br":
             out.append("\n")
-        elif visible(x):
+        else:
             todo.extend(reversed(x.children))
     return "".join(out)
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """What stands outside cells and captions, then the captions, then the
-    rows of the table with cells padded to the width of their column."""
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "1").strip()
+    return min(int(value), most) if value.isascii() and value.isdigit() and len(value) < 10 else 1
+
+
+def _table(node: Node) -> list[str]:
+    """What stands outside cells and captions, then the captions, then the rows
+    of the table: every cell in its column, padded to the column's width.
+    Columns in which no cell begins are left out."""
     captions, rows = [], []
     loose = Node("#loose", {})
-    todo = list(reversed(node.children))
+    below: dict[int, int] = {}  # column -> rows that a cell above still takes
+    todo: list = list(reversed(node.children))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             loose.children.append(x)
-        elif not visible(x):
-            continue
         elif x.tag == "caption":
             loose.children.append(" ")
-            captions.append(_SPACE.sub(" ", render(x, depth)).strip())
+            captions.append(_SPACE.sub(" ", render(x)).strip())
         elif x.tag == "tr":
             loose.children.append(" ")
-            cells: list[str] = []
+            cells: dict[int, str] = {}
+            taken, below = below, {c: n - 1 for c, n in below.items() if n > 1}
+            at = 0
             for c in x.children:
                 if isinstance(c, str) or c.tag not in _CELLS:
                     loose.children.append(c)
-                elif visible(c):
-                    loose.children.append(" ")
-                    cells.append(" ".join(render(c, depth).split()))
-                    span = c.attrs.get("colspan", "1")
-                    cells += [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
+                    continue
+                loose.children.append(" ")
+                while at in taken:
+                    at += 1
+                cells[at] = " ".join(render(c).split())
+                down = _span(c, "rowspan", MAX_ROWS) or MAX_ROWS
+                for column in range(at, at + max(1, _span(c, "colspan", MAX_COLUMNS))):
+                    if down > 1:
+                        below[column] = max(below.get(column, 0), down - 1)
+                at = column + 1
             loose.children.append(" ")
-            if any(cells):
+            if any(cells.values()):
                 rows.append(cells)
         elif x.tag in _SECTIONS:
-            todo.extend([" ", *reversed(x.children), " "])
+            todo.extend([" ", "#end", *reversed(x.children), " "])
         else:
             loose.children.append(x)
-    width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    out = [*render(loose, depth).split("\n"), *[c for c in captions if c]]
-    return out + [" | ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
-
-
-def render(root: Node, depth: int = 0) -> str:
-    """Visible text below a node that lies within ``depth`` tables."""
+        if x == "#end":  # spans end with their section
+            loose.children.pop()
+            below = {}
+    columns = sorted({c for r in rows for c in r})
+    width = {c: max(len(r.get(c, "")) for r in rows) for c in columns}
+    out = [*render(loose).split("\n"), *[c for c in captions if c]]
+    for r in rows:
+        line = " | ".join(r.get(c, "").ljust(width[c]) for c in columns if c <= max(r))
+        out.append(line.rstrip())
+    return out
+
+
+def render(root: Node) -> str:
+    """Text below a node of a pruned tree whose inner tables are laid out."""
     out = _Out()
     lists: list[list] = []  # [tag, next number]
     todo: list = [(root, False)]
@@ -272,8 +344,6 @@ def render(root: Node, depth: int = 0) -> str:
                 if x.tag == "li":
                     out.prefix, out.indent = "", "  " * len(lists)
             continue
-        if not visible(x) and x is not root:
-            continue
         tag = x.tag
         if tag == "br":
             out.newline()
@@ -284,13 +354,20 @@ def render(root: Node, depth: int = 0) -> str:
         if tag == "hr":
             out.paragraph()
             continue
-        if tag == "table" and depth < MAX_TABLES:
+        if x.lines is not None:
             out.paragraph()
-            for line in _table(x, depth + 1):
+            for line in x.lines:
                 out.line = line
                 out.newline()
             out.paragraph()
             continue
+        if tag == "textarea":
+            out.text(" ")
+            out.text(_flat(x))
+            out.text(" ")
+            continue
+        if tag == "option":
+            out.text(" ")
         if tag == "pre":
             out.paragraph()
             out.pre(_flat(x).strip("\n"))
@@ -308,7 +385,10 @@ def render(root: Node, depth: int = 0) -> str:
         elif tag == "li":
             out.newline()
             deep = "  " * max(len(lists) - 1, 0)
+            value = x.attrs.get("value", "").strip()
             if lists and lists[-1][0] == "ol":
+                if value.isascii() and value.isdigit() and len(value) < 10:
+                    lists[-1][1] = int(value)
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
             else:
@@ -326,7 +406,12 @@ def render(root: Node, depth: int = 0) -> str:
 
 
 def page_text(html: str | None) -> str | None:
-    return None if html is None else render(parse(html))
+    if html is None:
+        return None
+    root = parse(html)
+    for table in reversed(prune(root)):  # inner tables first
+        table.lines, table.children = _table(table), []
+    return render(root)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
