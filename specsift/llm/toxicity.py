@@ -7,20 +7,29 @@ examples, of either class, spans the space; document frequencies are
 counted over all documents, and weights are
 (1 + ln tf) x ln((N + 1) / (df + 1)).
 
-The examples form an inverted index.  The ``DENSE_TERMS`` terms that most
-examples have are rows of a matrix, which a block of texts multiplies at once;
-all others are sparse postings.  Both parts are added up for every example, so
-the neighbours are exact (to ``DIGITS`` digits of the cosine).  Votes are weighted by cosine and by how many
-labelled documents an example stands for; isotonic regression on the examples'
-own leave-one-out votes makes them calibrated scores.  A text with none of the
-terms gets the toxic share of examples without words.
+The examples form a block-max inverted index.  They are ordered so that like
+stands with like (halved across principal directions of a sketch) and cut into
+blocks of at most ``BLOCK`` and groups of ``GROUP`` blocks.  The ``DENSE_TERMS``
+terms that most examples of a group have keep their largest weight in every
+block.  A text adds up the other terms exactly; that and the largest weights
+bound its cosine with any example of a block.  The group with the best block is
+multiplied first; groups without a block that reaches the k-th cosine found there
+are skipped.  What is left near the k-th is summed again
+in double precision, in a fixed order, so the neighbours are exact (to
+``DIGITS`` digits of the cosine) and do not depend on the partitioning.  Votes
+are weighted by cosine and by how many labelled documents an example stands for;
+isotonic regression on the examples' own leave-one-out votes (made by tasks)
+makes them calibrated scores.  A text with none of the terms gets the toxic
+share of examples without words.
 
 The model (2 x MAX_EXAMPLES examples and their terms) does not grow with the
-input and is broadcast.
+input and is broadcast; its terms are those of whole example texts.
 
 Defined results: null and empty texts have no terms; without labelled
-documents every score is 0; labels of repeated ids count once each, null
-labels never.
+documents every score is 0; labels of repeated ids count once each (1 if any
+is), null labels and ids never; of rows that repeat an example's id one is the
+example, and each is scored; equal cosines rank by example id; long texts are
+scored whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,13 +48,20 @@ from .words import ALNUM, Words, _powers, mix, split_words
 MAX_EXAMPLES = 4096
 DENSE_TERMS = 2048
 NEIGHBOURS = 15
+#: Examples of a block at most, blocks of a group; texts scored at once; width of the sketch that orders examples.
 BLOCK = 64
-#: Weights are 32-bit floats; cosines are rounded to so many digits, so that
-#: ties do not depend on the order of a sum.
+GROUP = 8
+TEXTS = 128
+SKETCH = 256
+#: 32-bit sums choose candidates, with this margin; cosines are 64-bit sums in
+#: a fixed order, rounded to so many digits.
+SLACK = np.float32(1e-5)
 DIGITS = 6
 PREFIXES = range(3, 9)
 
 _U = np.uint64
+#: Far apart, so that a beginning is no other word: a small number would only change its first byte.
+_SALT = {n: _U((n * 0xD1B54A32D192ED03) % (1 << 64)) for n in PREFIXES}
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -68,13 +84,38 @@ def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of = [np.arange(len(whole))]
     for length in PREFIXES:
         long = np.flatnonzero(size > length)
-        out.append(mix((sums[starts[long] + length] - base[long]) * scale[long] + _U(length)))
+        out.append(mix((sums[starts[long] + length] - base[long]) * scale[long] + _SALT[length]))
         of.append(long)
     words_of = np.concatenate(of)
     order = np.argsort(words_of, kind="stable")
     return which, np.concatenate(out)[order], words_of[order]
 
 
+_slots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _find(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted hashes ``known``, whether it is there): a table of the
+    first place for every value of the hashes' upper bits, made once a worker for
+    a large ``known``, then steps."""
+    if len(known) < 1 << 16:
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return at, known[at] == h
+    shift = _U(64 - len(known).bit_length() - 1)
+    if 0 not in _slots or _slots[0][0] is not known:
+        starts = np.arange(1 << (64 - int(shift)), dtype=np.uint64) << shift
+        _slots[0] = (known, np.searchsorted(known, starts).astype(np.int32))
+    at = np.minimum(_slots[0][1][(h >> shift).astype(np.int64)], len(known) - 1)
+    here = known[at]
+    on = np.flatnonzero(here < h)
+    while len(on):
+        on = on[at[on] + 1 < len(known)]
+        at[on] += 1
+        here[on] = known[at[on]]
+        on = on[here[on] < h[on]]
+    return at, here == h
+
+
 def _counted(words: Words, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, times), by text and term: indexes of the vocabulary's
     terms, or without a vocabulary the hashes of all terms."""
@@ -83,9 +124,7 @@ def _counted(words: Words, vocabulary: np.ndarray | None = None) -> tuple[np.nda
     if not len(known) or not len(h):
         none = np.zeros(0, np.int64)
         return none, none if vocabulary is not None else np.zeros(0, np.uint64), none
-    at = np.searchsorted(known, h)
-    at[at == len(known)] = 0
-    ok = known[at] == h
+    at, ok = _find(known, h)
     at, of = at[ok], of[ok]
     size = np.bincount(of, minlength=int(which.max()) + 1)
     first = np.cumsum(size) - size
@@ -110,113 +149,197 @@ def _frequencies(vocabulary):
     return run
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Term hashes (8 bytes each) and their times (4 bytes each) of every text."""
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of the terms of a task's texts, once a slice."""
     for batch in batches:
         for words in split_words(batch.column("text"), ALNUM):
-            doc, h, times = _counted(words)
-            bounds = np.searchsorted(doc, np.arange(len(words.rows) + 1)).tolist()
-            part = batch.slice(words.rows.start, len(words.rows))
-            cut = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("label"), cut(h, "<u8"), cut(times, "<u4")], names=["doc_id", "label", "terms", "times"]
-            )
-
-
-class Postings:
-    """Terms x examples, sparse: the weights of term t are first[t]:first[t + 1]."""
-
-    def __init__(self, n_terms: int, n_examples: int, terms: np.ndarray, examples: np.ndarray, weights: np.ndarray):
-        order = np.argsort(terms, kind="stable")
-        self.n_examples = n_examples
-        self.examples, self.weights = examples[order], weights[order]
-        self.sizes = np.bincount(terms, minlength=n_terms)
-        self.first = np.cumsum(self.sizes) - self.sizes
-
-    def __getitem__(self, key: tuple) -> np.ndarray:
-        """Dense rows of some terms."""
-        terms, some = key
-        at = _ranges(self.first[terms], self.sizes[terms])
-        out = np.zeros((len(terms), self.n_examples), np.float32)
-        out[np.repeat(np.arange(len(terms)), self.sizes[terms]), self.examples[at]] = self.weights[at]
-        return out[:, some]
+            if len(words.starts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(words)[1]).view(np.int64))], names=["h"])
+
+
+def weigh(idf: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A text's weights, of length 1 (or 0)."""
+    w = (1 + np.log(times)) * idf[at]
+    norm = np.sqrt((w * w).sum())
+    return w / norm if norm > 0 else w
+
+
+def sketch(at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Signed sums of the weights in ``SKETCH`` buckets: enough to find a good order."""
+    signed = np.where((at * np.int64(0x9E3779B1) >> 16) & 1, weights, -weights)
+    return np.bincount(at % SKETCH, signed, minlength=SKETCH).astype(np.float32)
+
+
+def _vectors(space):
+    """Terms (4 bytes each), weights (4 bytes each) and sketch of every example."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf = space.value
+        for batch in batches:
+            for words in split_words(batch.column("text"), ALNUM):
+                part = batch.slice(words.rows.start, len(words.rows))
+                rows = [(at.astype("<i4"), weigh(idf, at, times).astype("<f4")) for at, times in _cells(words, vocabulary)]
+                binary = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("label"), binary(a for a, _ in rows), binary(w for _, w in rows), binary(sketch(a, w) for a, w in rows)],
+                    names=["doc_id", "label", "terms", "weights", "sketch"],
+                )
+
+    return run
+
+
+def _blocks(vectors: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows in groups of at most ``size``, halved again and again across their
+    principal direction, so that like stands with like."""
+    done, todo = [], [np.arange(len(vectors))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            done.append(np.sort(own))
+            continue
+        x = vectors[own] - vectors[own].mean(axis=0)
+        v = x[np.argmax((x * x).sum(axis=1))]
+        for _ in range(8):
+            v = x.T @ (x @ v)
+            v /= max(np.linalg.norm(v), 1e-30)
+        order = own[np.argsort(x @ v, kind="stable")]
+        todo += [order[len(order) // 2 :], order[: len(order) // 2]]
+    return done
 
 
 @dataclass
 class Index:
-    """Inverted index over weighted examples."""
+    """Weighted examples, numbered block by block: the terms and weights of
+    example e are ``own[e]:own[e + 1]`` of (``terms``, ``weights``)."""
 
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     stands: np.ndarray
-    postings: Postings
-    matrix: np.ndarray | None = None  # rows of the terms of most examples
-    row_of: np.ndarray | None = None  # term -> row of the matrix, or -1
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"matrix": None, "row_of": None}  # each worker makes its own
-
-    def query(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times)) * self.idf[at]
-        norm = np.sqrt((w * w).sum())
-        return (w / norm if norm > 0 else w).astype(np.float32)
-
-    def cosines(self, text: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """n texts x examples, from the weights of (text, term) pairs."""
-        if self.matrix is None:
-            heavy = np.argsort(-self.postings.sizes, kind="stable")[:DENSE_TERMS]
-            self.row_of = np.full(len(self.idf), -1)
-            self.row_of[heavy] = np.arange(len(heavy))
-            self.matrix = self.postings[heavy, :]
-        row = self.row_of[at]
-        dense = row >= 0
-        query = np.zeros((n, len(self.matrix)), np.float32)
-        query[text[dense], row[dense]] = weights[dense]
-        out = query @ self.matrix
-        text, at, weights = text[~dense], at[~dense], weights[~dense]
-        bounds = np.searchsorted(text, np.arange(n + 1)).tolist()
-        for scores, i, j in zip(out, bounds, bounds[1:]):  # one text at a time stays in the cache
-            size = self.postings.sizes[at[i:j]]
-            places = _ranges(self.postings.first[at[i:j]], size)
-            products = np.repeat(weights[i:j], size) * self.postings.weights[places]
-            scores += np.bincount(self.postings.examples[places], products, minlength=len(scores)).astype(np.float32)
-        return out
-
-    def nearest_of(self, text: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int, k: int, skip: np.ndarray | None = None):
-        """(examples, cosines) of the k nearest of each of n texts, the nearest first."""
-        scores = self.cosines(text, at, weights, n)
-        if skip is not None:
-            scores[np.arange(n), skip] = 0
-        width = scores.shape[1]
-        least = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else np.zeros(n)
-        out = []
-        for row, low in zip(scores, least):
-            found = np.flatnonzero(row >= max(low - 2 * 10.0**-DIGITS, 10.0**-DIGITS))
-            cosines = np.round(row[found].astype(float), DIGITS)
-            best = np.lexsort((found, -cosines))[:k]
-            out.append((found[best], cosines[best]))
-        return out
-
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.nearest_of(np.zeros(len(at), np.int64), at, weights, 1, k)[0]
+    begins: np.ndarray  # first example of every block
+    own: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
 
     def vote(self, found: np.ndarray, cosines: np.ndarray, prior: float) -> float:
         w = cosines * self.stands[found]
         return float((w * self.labels[found]).sum() + 0.01 * prior) / float(w.sum() + 0.01)
 
 
-def build_index(idf: np.ndarray, ids, labels, stands, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-    out = Index(idf, np.asarray(ids, np.int64), np.asarray(labels, float), np.asarray(stands, float), None)
-    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    out.postings = Postings(
-        len(idf),
-        len(vectors),
-        join([at for at, _ in vectors], np.int32),
-        np.repeat(np.arange(len(vectors), dtype=np.int32), [len(at) for at, _ in vectors]),
-        join([out.query(at, times) for at, times in vectors], np.float32),
-    )
-    return out
+class Searcher:
+    """What a worker makes of an index.
+
+    A group is a run of ``GROUP`` blocks; its ``DENSE_TERMS`` most frequent terms
+    are columns of ``matrix`` (a row for each example), with their largest weight
+    in every block in ``top``.  All other postings stay sparse.
+    """
+
+    def __init__(self, index: Index):
+        self.index = index
+        n, n_terms = len(index.ids), len(index.idf)
+        blocks = range(0, len(index.begins), GROUP)
+        self.edges = np.append(index.begins[blocks], n)  # first example of every group
+        self.columns = np.full((n_terms, len(blocks)), -1, np.int16)
+        self.matrix = np.zeros((n, min(DENSE_TERMS, n_terms)), np.float32)
+        rest, self.top = np.ones(len(index.terms), dtype=bool), []
+        for g, (a, b) in enumerate(zip(self.edges, self.edges[1:])):
+            own = slice(index.own[a], index.own[b])
+            term = index.terms[own]
+            heavy = np.argpartition(-np.bincount(term, minlength=n_terms), self.matrix.shape[1] - 1)[: self.matrix.shape[1]]
+            self.columns[heavy, g] = np.arange(len(heavy))
+            column = self.columns[term, g]
+            on = column >= 0
+            example = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(index.own[a : b + 1]))
+            self.matrix[example[on], column[on]] = index.weights[own][on]
+            rest[own] = ~on
+            self.top.append(np.maximum.reduceat(self.matrix[a:b], index.begins[blocks[g] : blocks[g] + GROUP] - a, axis=0).T.copy())
+        # postings of the rest by term, in the types that the sums need
+        at = np.flatnonzero(rest)
+        at = at[np.argsort(index.terms[at], kind="stable")]
+        self.examples = np.searchsorted(index.own, at, side="right") - 1
+        self.weights = index.weights[at].astype(float)
+        self.size = np.bincount(index.terms[at], minlength=n_terms).astype(np.int32)
+        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.visited = self.of = 0  # (text, example) pairs multiplied, and all
+
+    def _parts(self, cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x examples: sums over the sparse postings; groups x texts x columns)."""
+        sums = np.zeros((len(cells), len(self.index.ids)))
+        dense = np.zeros((self.columns.shape[1], len(cells), self.matrix.shape[1]), np.float32)
+        for i, (at, weights) in enumerate(cells):
+            size = self.size[at]
+            some = np.flatnonzero(size)
+            size = size[some]
+            stop = np.cumsum(size, dtype=np.int32)
+            places = np.repeat(self.first[at[some]] - stop + size, size)
+            places += np.arange(len(places), dtype=np.int32)
+            product = np.repeat(weights[some], size)
+            product *= self.weights[places]
+            sums[i] = np.bincount(self.examples[places], product, minlength=sums.shape[1])
+            column = self.columns[at]
+            row, group = np.nonzero(column >= 0)
+            dense[group, i, column[row, group]] = weights[row]
+        return sums, dense
+
+    def nearest(self, cells: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None = None):
+        """(examples, cosines) of the k nearest of each text (terms, weights), the
+        nearest first, ties by id; ``skip``: an example of each that doesn't count."""
+        index, n = self.index, len(cells)
+        if not len(index.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        sums, dense = self._parts(cells)
+        if skip is not None:
+            sums[np.arange(n), skip] = -np.inf
+        # a block's bound: what is summed already, and the largest weights of all other terms
+        blocks = np.maximum.reduceat(sums, index.begins, axis=1).astype(np.float32)
+        blocks += np.hstack([q @ top for q, top in zip(dense, self.top)])
+        bound = np.maximum.reduceat(blocks, np.arange(0, blocks.shape[1], GROUP), axis=1)
+        scores = np.full(sums.shape, -np.inf, np.float32)
+        bar = np.full(n, SLACK, np.float32)
+        best = bound.argmax(axis=1)
+        first = best[:, None] == np.arange(len(dense))
+        # the group of the best block, then all groups with a block that can still reach the k-th
+        for todo in (lambda: first, lambda: ~first & (bound >= bar[:, None])):
+            wanted = todo()
+            for g in np.flatnonzero(wanted.any(axis=0)).tolist():
+                text, own = np.flatnonzero(wanted[:, g]), slice(self.edges[g], self.edges[g + 1])
+                out = dense[g][text] @ self.matrix[own].T
+                out += sums[text, own]
+                scores[text, own] = out
+                self.visited += out.size
+                if wanted is first and out.shape[1] > k:
+                    bar[text] = np.maximum(bar[text], np.partition(out, -k, axis=1)[:, -k] - SLACK)
+        self.of += scores.size
+        text, found = np.nonzero(scores >= bar[:, None])
+        parts = np.searchsorted(text, np.arange(n + 1)).tolist()
+        return [self._exact(sums[i], dense[:, i], found[a:b], scores[i, found[a:b]], k) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+
+    def _exact(self, sums: np.ndarray, dense: np.ndarray, found: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of a few examples, summed in double precision in a fixed order."""
+        if len(found) > k:
+            found = found[near >= np.partition(near, -k)[-k] - SLACK]
+        cosines = sums[found]
+        group = np.searchsorted(self.edges, found, side="right") - 1
+        for g in np.unique(group).tolist():
+            own = np.flatnonzero(group == g)
+            cosines[own] += (self.matrix[found[own]] * dense[g].astype(float)).sum(axis=1)
+        cosines = np.round(cosines, DIGITS)
+        best = np.lexsort((self.index.ids[found], -cosines))[:k]
+        best = best[cosines[best] > 0]
+        return found[best], cosines[best]
+
+
+def build_index(idf: np.ndarray, ids, labels, stands, vectors: list[tuple], sketches: np.ndarray) -> Index:
+    """``vectors``: (terms, weights) of every example, as arrays or their bytes, none without terms."""
+    ids, labels, stands = np.asarray(ids, np.int64), np.asarray(labels, float), np.asarray(stands, float)
+    blocks = _blocks(sketches, BLOCK) if len(vectors) else []
+    order = np.concatenate([np.zeros(0, np.int64), *blocks])
+    joined = lambda i, kind: np.frombuffer(b"".join(memoryview(vectors[e][i]).cast("B") for e in order), kind)
+    terms = joined(0, "<i4")
+    sizes = [memoryview(vectors[e][0]).nbytes // 4 for e in order]
+    begins = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(np.int64)[: len(blocks)]
+    own = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return Index(idf, ids[order], labels[order], stands[order], begins, own, terms, joined(1, "<f4"))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,36 +358,71 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for p in pools for v in p[2:]]), np.array([p[0] for p in pools for _ in (0, 1)])
 
 
+_searchers: dict[int, tuple[Index, Searcher]] = {}
+
+
+def _searcher(index: Index) -> Searcher:
+    """One a worker: the broadcast gives every task the same index."""
+    held = _searchers.get(0)
+    if held is None or held[0] is not index:
+        _searchers[0] = (index, Searcher(index))
+    return _searchers[0][1]
+
+
+def _nearest(index: Index, cells: list[tuple[np.ndarray, np.ndarray]], skip: np.ndarray | None = None):
+    """The nearest examples of texts (terms, times), ``TEXTS`` at a time."""
+    searcher = _searcher(index)
+    for i in range(0, len(cells), TEXTS):
+        part = [(at, weigh(index.idf, at, times)) for at, times in cells[i : i + TEXTS]]
+        yield from searcher.nearest(part, NEIGHBOURS, None if skip is None else skip[i : i + TEXTS])
+
+
+def _cells(words: Words, vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    doc, at, times = _counted(words, vocabulary)
+    bounds = np.searchsorted(doc, np.arange(len(words.rows) + 1)).tolist()
+    return [(at[i:j], times[i:j].astype(float)) for i, j in zip(bounds, bounds[1:])]
+
+
 @dataclass
 class Model:
     vocabulary: np.ndarray
     index: Index
     prior: float
+
+
+@dataclass
+class Calibration:
+    """From votes to scores; ``nothing``: the score of a text without neighbours."""
+
     nothing: float
     points: np.ndarray
     values: np.ndarray
 
-    def scores(self, cells: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """(score, nearest examples, cosines) of texts given as (terms, times)."""
-        out = []
-        for found, cosines in _nearest(self.index, cells):
-            vote = self.index.vote(found, cosines, self.prior)
-            out.append((float(np.interp(vote, self.points, self.values)) if len(found) else self.nothing, found, cosines))
-        return out
+    def score(self, vote: float, some: bool) -> float:
+        return min(max(float(np.interp(vote, self.points, self.values)) if some else self.nothing, 0.0), 1.0)
 
 
-def _nearest(index: Index, cells: list[tuple[np.ndarray, np.ndarray]], but_self: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The nearest examples of texts, a block at a time; ``but_self``: the texts are the examples."""
-    for i in range(0, len(cells), BLOCK):
-        part = cells[i : i + BLOCK]
-        text = np.repeat(np.arange(len(part)), [len(at) for at, _ in part])
-        at = np.concatenate([at for at, _ in part])
-        weights = np.concatenate([index.query(*c) for c in part])
-        yield from index.nearest_of(text, at, weights, len(part), NEIGHBOURS, np.arange(i, i + len(part)) if but_self else None)
+def _votes(model):
+    """Leave-one-out votes of the examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        by_id = np.argsort(m.index.ids)
+        for batch in batches:
+            for words in split_words(batch.column("text"), ALNUM):
+                ids = batch.column("doc_id").slice(words.rows.start, len(words.rows)).to_numpy()
+                cells = _cells(words, m.vocabulary)
+                some = np.flatnonzero([len(at) > 0 for at, _ in cells])
+                own = by_id[np.searchsorted(m.index.ids[by_id], ids[some])]
+                votes = [m.index.vote(f, c, m.prior) for f, c in _nearest(m.index, [cells[i] for i in some], own)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(votes, pa.float64())], names=["doc_id", "vote"])
+
+    return run
 
 
-def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fit on ``labelled`` (id, label 0/1); term statistics cover all ``docs``."""
+def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple | None:
+    """(broadcast model, calibration) of ``labelled`` (id, label 0/1); term
+    statistics cover all ``docs``; None without labelled documents."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     rows = rows.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -275,54 +433,51 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     picked = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 x MAX_EXAMPLES ids
     examples = write_stage(source.join(picked, "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"]), "toxic-examples")
 
-    found = examples.mapInArrow(_vectors, "doc_id long, label int, terms binary, times binary").toArrow().sort_by("doc_id")
-    ids, labels = found["doc_id"].to_numpy(), found["label"].to_numpy().astype(float)
-    have = {y: max(int((labels == y).sum()), 1) for y in (0, 1)}
-    stands = np.array([sizes[y] / have[y] for y in labels])
-    prior = float((labels * stands).sum() / stands.sum()) if len(labels) else 0.0
-    hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in found["terms"]]
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
-    empty = np.array([not len(h) for h in hashes], dtype=bool)
-    cells = [
-        (np.searchsorted(vocabulary, h).astype(np.int32), np.frombuffer(x.as_buffer(), "<u4").astype(np.float32))
-        for h, x in zip(hashes, found["times"])
-        if len(h)
-    ]
-    del found, hashes
-
+    context = docs.sparkSession.sparkContext
+    hashes = examples.select("text").mapInArrow(_distinct, "h long").distinct().toArrow()
+    vocabulary = np.sort(hashes["h"].to_numpy().view(np.uint64))
     df = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    counts = source.select("text").mapInArrow(_frequencies(docs.sparkSession.sparkContext.broadcast(vocabulary)), "at long, df long")
+    counts = source.select("text").mapInArrow(_frequencies(context.broadcast(vocabulary)), "at long, df long")
     counted = counts.groupBy("at").agg(F.sum("df").alias("df")).toArrow()
     df[counted["at"].to_numpy()] = counted["df"].to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1))
 
-    nothing = float((labels * stands)[empty].sum() / stands[empty].sum()) if empty.any() else prior
-    labels, stands = labels[~empty], stands[~empty]
-    index = build_index(idf, ids[~empty], labels, stands, cells)
-
-    votes = np.array([index.vote(*n, prior) for n in _nearest(index, cells, but_self=True)])
-    points, values = isotonic(votes, labels, stands) if len(cells) else (np.zeros(1), np.full(1, prior))
-    return Model(vocabulary, index, prior, nothing, points, values)
-
-
-def _scored(model):
+    space = context.broadcast((vocabulary, idf))
+    found = examples.mapInArrow(_vectors(space), "doc_id long, label int, terms binary, weights binary, sketch binary").toArrow()
+    ids, labels = found["doc_id"].to_numpy(), found["label"].to_numpy().astype(float)
+    have = {y: max(int((labels == y).sum()), 1) for y in (0, 1)}
+    stands = np.array([sizes[y] / have[y] for y in labels])
+    prior = float((labels * stands).sum() / stands.sum()) if len(labels) else 0.0
+    parts = [(t.as_buffer(), w.as_buffer()) for t, w in zip(found["terms"], found["weights"])]
+    some = np.array([t.size > 0 for t, _ in parts], dtype=bool)
+    nothing = float((labels * stands)[~some].sum() / stands[~some].sum()) if not some.all() else prior
+    by_id = np.argsort(ids, kind="stable")
+    by_id = by_id[some[by_id]] if len(by_id) else by_id
+    sketches = np.frombuffer(b"".join(found["sketch"][int(i)].as_buffer() for i in by_id), "<f4").reshape(-1, SKETCH)
+    index = build_index(idf, ids[by_id], labels[by_id], stands[by_id], [parts[i] for i in by_id], sketches)
+    del parts, found, sketches, hashes, counted
+    pa.default_memory_pool().release_unused()
+
+    model = context.broadcast(Model(vocabulary, index, prior))
+    own = examples.repartition(F.xxhash64("doc_id")).mapInArrow(_votes(model), "doc_id long, vote double").toArrow()
+    at = np.argsort(index.ids)
+    of = at[np.searchsorted(index.ids[at], own["doc_id"].to_numpy())]
+    points, values = isotonic(own["vote"].to_numpy(), index.labels[of], index.stands[of]) if len(of) else (np.zeros(1), np.full(1, prior))
+    return model, Calibration(nothing, points, values)
+
+
+def _scored(model, calibration: Calibration):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for batch in batches:
             for words in split_words(batch.column("text"), ALNUM):
-                doc, at, times = _counted(words, m.vocabulary)
-                bounds = np.searchsorted(doc, np.arange(len(words.rows) + 1))
-                scores, ids, cosines = [], [], []
-                for score, found, cosine in m.scores([(at[i:j], times[i:j].astype(float)) for i, j in zip(bounds, bounds[1:])]):
-                    scores.append(min(max(score, 0.0), 1.0))
-                    ids.append(m.index.ids[found[:3]].tolist())
-                    cosines.append(cosine[:3].tolist())
+                found = list(_nearest(m.index, _cells(words, m.vocabulary)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(words.rows.start, len(words.rows)),
-                        pa.array(scores, pa.float64()),
-                        pa.array(ids, pa.list_(pa.int64())),
-                        pa.array(cosines, pa.list_(pa.float64())),
+                        pa.array([calibration.score(m.index.vote(f, c, m.prior), len(f) > 0) for f, c in found], pa.float64()),
+                        pa.array([m.index.ids[f[:3]].tolist() for f, _ in found], pa.list_(pa.int64())),
+                        pa.array([c[:3].tolist() for _, c in found], pa.list_(pa.float64())),
                     ],
                     names=["doc_id", "score", "nearest", "cosines"],
                 )
@@ -333,11 +488,9 @@ def _scored(model):
 def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, nearest, cosines) per row of ``docs``: a calibrated
     probability and the three nearest labelled examples as evidence."""
-    model = train(docs, labelled, id_col, text_col)
+    trained = train(docs, labelled, id_col, text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if model is None:
+    if trained is None:
         none = lambda kind: F.array().cast(f"array<{kind}>")
         return source.select("doc_id", F.lit(0.0).alias("score"), none("long").alias("nearest"), none("double").alias("cosines"))
-    return source.mapInArrow(
-        _scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double, nearest array<long>, cosines array<double>"
-    )
+    return source.mapInArrow(_scored(*trained), "doc_id long, score double, nearest array<long>, cosines array<double>")

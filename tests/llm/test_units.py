@@ -4,7 +4,7 @@ import numpy as np
 
 from specsift.llm.html_text import page_text
 from specsift.llm.packing import hilbert_key
-from specsift.llm.toxicity import build_index, isotonic
+from specsift.llm.toxicity import Searcher, build_index, isotonic, sketch, weigh
 
 
 def test_hilbert_neighbours_touch():
@@ -37,13 +37,17 @@ def test_broken_pages():
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     cells = [(np.sort(rng.choice(40, 6, replace=False)), rng.integers(1, 4, 6).astype(float)) for _ in range(700)]
-    index = build_index(rng.random(40) + 0.5, range(700), rng.integers(0, 2, 700), np.ones(700), cells)
-    for at, times in cells[:40]:
-        q = index.query(at, times)
-        every = q @ index.postings[at, :700]
-        found, cosines = index.nearest(at, q, 15)
-        assert np.allclose(cosines, np.sort(every)[::-1][:15])
-        assert np.allclose(every[found], cosines)
+    idf = rng.random(40) + 0.5
+    weighted = [(at.astype("<i4"), weigh(idf, at, times).astype("<f4")) for at, times in cells]
+    index = build_index(idf, range(700), rng.integers(0, 2, 700), np.ones(700), weighted, np.array([sketch(*w) for w in weighted]))
+    dense = np.zeros((700, 40))
+    for row, example in zip(dense, index.ids):
+        row[weighted[example][0]] = weighted[example][1]
+    queries = [(at, weigh(idf, at, times)) for at, times in cells[:40]]
+    for (at, q), (found, cosines) in zip(queries, Searcher(index).nearest(queries, 15)):
+        every = dense[:, at] @ q
+        assert np.allclose(cosines, np.sort(every)[::-1][:15], atol=1e-6)
+        assert np.allclose(every[found], cosines, atol=1e-6)
 
 
 def test_isotonic_is_monotone():
