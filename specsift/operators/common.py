@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` only when the input is too coarse to use the
     cluster (e.g. one parquet row group -> one task).  Inputs that already
-    have at least ``defaultParallelism`` splits pass through unshuffled."""
+    have at least ``defaultParallelism`` splits, or that a shuffle has dealt,
+    pass through."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # asking for its partitions would run the shuffle
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= par:
         return df

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.encode import hashed_ids
 from .blocks import merge_topn
 from .queries import QueryBatch, cells, meet
 from .topk import top_k
@@ -166,7 +165,3 @@ def _topn(keys: list[str], extra: list[str], n: int, dims: int, kind: str):
             yield found
 
     return run
-
-
-def with_hashed_ids(df: DataFrame, text_col: str, dims: int, out: str = "ids") -> DataFrame:
-    return df.withColumn(out, hashed_ids(text_col, dims))
