@@ -23,7 +23,7 @@ proof fn lemma_nodoc(a: nat)
     ensures a >= 0
 { }
 """
-MACRO = """verus! {
+MACRO = """prove! {
     pub proof fn lemma_in_macro(x: u64)
         requires x < 10
         ensures x * 2 < 20, f(x, 1) == 0
