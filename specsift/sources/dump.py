@@ -50,12 +50,11 @@ def read_symbol_dump(spark: SparkSession, path: str) -> DataFrame:
         F.col("d.symbols").alias("symbols"), F.col("d.occurrences").alias("occurrences"))
 
 
-def write_symbol_dump(docs: DataFrame, path: str, files: int = 8) -> None:
-    """Documents (with their doc_pos) as JSON objects with a ``documents`` array each."""
-    part = F.pmod(F.xxhash64("doc_pos"), F.lit(files)).cast("int")
-    whole = docs.groupBy(part.alias("part")).agg(F.collect_list(F.to_json(F.struct(*docs.columns))).alias("d"))
-    text = F.concat(F.lit('{"documents":['), F.array_join("d", ","), F.lit("]}"))
-    whole.repartition(files, "part").select(text).write.mode("overwrite").text(path)
+def write_symbol_dump(docs: DataFrame, path: str) -> None:
+    """Documents (with their doc_pos) as JSON objects with a ``documents`` array,
+    one for each document and line: no object holds more than one document."""
+    text = F.concat(F.lit('{"documents":['), F.to_json(F.struct(*docs.columns)), F.lit("]}"))
+    docs.select(text).write.mode("overwrite").text(path)
 
 
 def read_symbol_dump_lines(spark: SparkSession, path: str) -> DataFrame:

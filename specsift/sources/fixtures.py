@@ -165,7 +165,7 @@ def dump_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sd = e.select("file_path", "entry_pos", sym.alias("s")).groupBy("file_path").agg(
         F.min("entry_pos").alias("doc_pos"),
-        F.transform(F.array_sort(F.collect_list(F.struct("entry_pos", "s"))), lambda x: x["s"]).alias("symbols"),
+        F.transform(F.sort_array(F.collect_list(F.struct("entry_pos", "s"))), lambda x: x["s"]).alias("symbols"),
     )
     li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part").select("p_partkey", _file_of_part().alias("doc_path"))
@@ -178,7 +178,7 @@ def dump_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = li.join(p, li["l_partkey"] == p["p_partkey"]).select(
         "doc_path", F.struct("l_orderkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_linenumber",
                              occ_s.alias("o")).alias("k")
-    ).groupBy("doc_path").agg(F.transform(F.array_sort(F.collect_list("k")), lambda x: x["o"]).alias("occurrences"))
+    ).groupBy("doc_path").agg(F.transform(F.sort_array(F.collect_list("k")), lambda x: x["o"]).alias("occurrences"))
     docs = sd.join(od, sd["file_path"] == od["doc_path"], "left")
     return docs.select(
         F.col("doc_pos").cast("long"), F.col("file_path").alias("relative_path"), "symbols",

@@ -55,3 +55,16 @@ def test_nothing_there(spark, scratch):
     _write(scratch, "a.json", [])
     assert J.read_json_array(spark, scratch, "documents").collect() == []
     assert J.read_json_array(spark, scratch, "other").collect() == []
+
+
+def test_a_dump_object_holds_one_document(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from specsift.sources.dump import read_symbol_dump, write_symbol_dump
+
+    d = spark.range(50).select(F.col("id").alias("doc_pos"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("relative_path"))
+    write_symbol_dump(d, f"{scratch}/dump")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{scratch}/dump").collect()]
+    assert [len(x["documents"]) for x in lines] == [1] * 50
+    back = read_symbol_dump(spark, f"{scratch}/dump").select("doc_pos", "relative_path").collect()
+    assert sorted(map(tuple, back)) == [(i, f"f{i}") for i in range(50)]
