@@ -13,7 +13,8 @@ before it; this is a prefix scan over small summaries:
    the last one.
 
 The passes are reads of a Python data source whose partitions are the ranges;
-only a few numbers for each range pass the driver.
+only a few numbers for each range pass the driver.  A task holds a stretch of
+its range and the element it stands in, however large range and file are.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import ship_package
 
 RANGE_BYTES = 32 << 20
+#: Bytes of a range that a task looks at, and elements it hands on, at once.
+STRETCH_BYTES = 1 << 20
 _KEY_BYTES = 4096
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$')
 
@@ -58,89 +62,121 @@ class Range(InputPartition):
         self.inside, self.depth, self.first, self.extents = inside, depth, first, tuple(map(tuple, extents))
 
 
+def _slashes(handle, at: int) -> int:
+    """Backslashes just before ``at``."""
+    run = 0
+    while at > 0:
+        low = max(0, at - _KEY_BYTES)
+        piece = handle.read_at(at - low, low)
+        kept = len(piece.rstrip(b"\\"))
+        run, at = run + len(piece) - kept, low
+        if kept:
+            break
+    return run
+
+
 class _Bytes:
     """A stretch of a file: which bytes are outside strings, and the depth before each."""
 
-    def __init__(self, handle, begin: int, end: int, inside: int, depth: int):
-        self.begin = begin
-        self.raw = np.frombuffer(handle.read_at(end - begin, begin), dtype=np.uint8)
-        back, run = begin, 0
-        while back > 0:  # backslashes just before the start
-            at = max(0, back - _KEY_BYTES)
-            piece = handle.read_at(back - at, at)
-            kept = len(piece.rstrip(b"\\"))
-            run += len(piece) - kept
-            back = at
-            if kept:
-                break
-        n = len(self.raw)
-        at = np.arange(n)
-        other = np.maximum.accumulate(np.where(self.raw != 92, at, -1 - run)) if n else at
-        before = np.concatenate([[-1 - run], other[:-1]]) if n else at
-        quote = (self.raw == 34) & ((at - 1 - before) % 2 == 0)
-        self.quotes = quote
-        self.parity = (np.cumsum(quote) - quote) % 2
-        step = np.zeros(n, dtype=np.int8)
-        step[np.isin(self.raw, (123, 91))] = 1
-        step[np.isin(self.raw, (125, 93))] = -1
-        self.step = step
-        self.out = (self.parity == 0) if not inside else (self.parity == 1)
-        self.change = np.where(self.out, step, 0)
-        self.before = depth + np.cumsum(self.change) - self.change
+    def __init__(self, raw: np.ndarray, begin: int, slashes: int, inside: int, depth: int):
+        self.begin, self.raw = begin, raw
+        n = len(raw)
+        at = np.arange(n, dtype=np.int32)
+        other = np.maximum.accumulate(np.where(raw != 92, at, np.int32(-1 - slashes)))
+        before = np.concatenate([np.array([-1 - slashes], dtype=np.int32), other[:-1]])
+        quote = (raw == 34) & ((at - 1 - before) % 2 == 0)
+        count = np.cumsum(quote, dtype=np.int32)
+        self.out = (count - quote) % 2 == inside
+        self.step = np.zeros(n, dtype=np.int8)
+        self.step[(raw == 123) | (raw == 91)] = 1
+        self.step[(raw == 125) | (raw == 93)] = -1
+        change = np.where(self.out, self.step, np.int8(0))
+        depths = np.cumsum(change, dtype=np.int32) + np.int32(depth)
+        self.before = depths - change
+        # what the next stretch begins with
+        self.slashes = int(n - 1 - other[-1])
+        self.inside, self.depth = int(inside ^ (int(count[-1]) & 1)), int(depths[-1])
+
+
+def _stretches(handle, begin: int, end: int, inside: int, depth: int) -> Iterator[_Bytes]:
+    """The bytes of [begin, end) in stretches of at most ``STRETCH_BYTES``."""
+    slashes = _slashes(handle, begin)
+    for at in range(begin, end, STRETCH_BYTES):
+        raw = np.frombuffer(handle.read_at(min(STRETCH_BYTES, end - at), at), dtype=np.uint8)
+        b = _Bytes(raw, at, slashes, inside, depth)
+        slashes, inside, depth = b.slashes, b.inside, b.depth
+        yield b
 
 
 def _summary(part: Range) -> Iterator[tuple]:
+    outside = total = inside = 0
     with _open(part.file) as f:
-        b = _Bytes(f, part.begin, part.end, 0, 0)
-    outside = int(b.step[b.parity == 0].sum())
-    yield part.file, part.begin, int(b.quotes.sum() % 2), outside, int(b.step.sum()) - outside, None
+        for b in _stretches(f, part.begin, part.end, 0, 0):
+            outside += int(b.step[b.out].sum(dtype=np.int64))
+            total += int(b.step.sum(dtype=np.int64))
+            inside = b.inside
+    yield part.file, part.begin, inside, outside, total - outside, None
 
 
 def _events(part: Range) -> Iterator[tuple]:
     """Opens and closes of top-level arrays with the number of elements begun before them here."""
+    seen = 0
     with _open(part.file) as f:
-        b = _Bytes(f, part.begin, part.end, part.inside, part.depth)
-        element = np.cumsum(b.out & (b.before == 2) & (b.step == 1))
-        for i in np.flatnonzero(b.out & (((b.raw == 91) & (b.before == 1)) | ((b.raw == 93) & (b.before == 2)))).tolist():
-            at, key = part.begin + i, None
-            if b.raw[i] == 91:
-                low = max(0, at - _KEY_BYTES)
-                found = _KEY.search(f.read_at(at - low, low))
-                key = json.loads(b'"' + found[1] + b'"') if found else ""
-            yield part.file, part.begin, int(b.raw[i] == 91), at, int(element[i - 1]) if i else 0, key
-    yield part.file, part.begin, 2, part.end, int(element[-1]) if len(element) else 0, None
-
-
-def _elements(part: Range) -> Iterator[tuple]:
+        for b in _stretches(f, part.begin, part.end, part.inside, part.depth):
+            element = seen + np.cumsum(b.out & (b.before == 2) & (b.step == 1), dtype=np.int64)
+            for i in np.flatnonzero(b.out & (((b.raw == 91) & (b.before == 1)) | ((b.raw == 93) & (b.before == 2)))).tolist():
+                at, key = b.begin + i, None
+                if b.raw[i] == 91:
+                    low = max(0, at - _KEY_BYTES)
+                    found = _KEY.search(f.read_at(at - low, low))
+                    key = json.loads(b'"' + found[1] + b'"') if found else ""
+                yield part.file, part.begin, int(b.raw[i] == 91), at, int(element[i - 1]) if i else seen, key
+            seen = int(element[-1])
+    yield part.file, part.begin, 2, part.end, seen, None
+
+
+def _texts(part: Range) -> Iterator[bytes]:
+    """The wanted elements that begin in the range; the last may end behind it."""
+    held: list[bytes] | None = None  # the open element so far
+    first = -1  # where it begins
     with _open(part.file) as f:
-        end, number = part.end, part.first
-        b = _Bytes(f, part.begin, end, part.inside, part.depth)
-        begins = np.flatnonzero(b.out & (b.before == 2) & (b.step == 1)) + part.begin
-        wanted = np.zeros(len(begins), dtype=bool)
-        for low, high in part.extents:
-            wanted |= (begins > low) & (begins < high)
-        begins = begins[wanted]
-        ends = np.flatnonzero(b.out & (b.before == 3) & (b.step == -1)) + part.begin + 1
-        for i, at in enumerate(begins.tolist()):
-            k = int(np.searchsorted(ends, at, side="right"))
-            if k < len(ends):
-                text = b.raw[at - part.begin : ends[k] - part.begin].tobytes()
-            else:
-                text = _rest(f, at, part)
-            yield part.file, number + i, text.decode()
-
-
-def _rest(f, at: int, part: Range) -> bytes:
-    """An element that begins at ``at`` and ends behind the range."""
-    end = part.end
-    while True:
-        end = min(part.size, end + (end - at) + _KEY_BYTES)
-        b = _Bytes(f, at, end, 0, 2)
-        close = np.flatnonzero(b.out & (b.before == 3) & (b.step == -1))
-        if len(close):
-            return b.raw[: close[0] + 1].tobytes()
-        if end == part.size:
-            raise ValueError(f"{part.file}: an element at byte {at} does not end")
+        for b in _stretches(f, part.begin, part.size, part.inside, part.depth):
+            begin = b.out & (b.before == 2) & (b.step == 1)
+            at = 0
+            for i in np.flatnonzero(begin | (b.out & (b.before == 3) & (b.step == -1))).tolist():
+                if begin[i]:
+                    first = b.begin + i
+                    if first >= part.end:
+                        return
+                    if any(low < first < high for low, high in part.extents):
+                        held, at = [], i
+                elif held is not None:
+                    yield b"".join([*held, b.raw[at : i + 1].tobytes()])
+                    held = None
+            if held is not None:
+                held.append(b.raw[at:].tobytes())
+            elif b.begin + len(b.raw) >= part.end:
+                return
+    if held is not None:
+        raise ValueError(f"{part.file}: an element at byte {first} does not end")
+
+
+def _elements(part: Range) -> Iterator[pa.RecordBatch]:
+    number, texts, size = part.first, [], 0
+
+    def batch() -> pa.RecordBatch:
+        pos = pa.array(range(number - len(texts), number), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([part.file] * len(texts), pa.string()), pos, pa.array(texts, pa.binary()).cast(pa.string())],
+                                          names=["file", "pos", "value"])
+
+    for text in _texts(part):
+        texts.append(text)
+        number, size = number + 1, size + len(text)
+        if size >= STRETCH_BYTES:
+            yield batch()
+            texts, size = [], 0
+    if texts:
+        yield batch()
 
 
 class _Reader(DataSourceReader):

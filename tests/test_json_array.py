@@ -57,6 +57,32 @@ def test_nothing_there(spark, scratch):
     assert J.read_json_array(spark, scratch, "other").collect() == []
 
 
+@pytest.mark.parametrize("stretch", [1, 5, 64])
+def test_a_task_holds_a_stretch_of_its_range(scratch, monkeypatch, stretch):
+    """Ranges and elements of many stretches: the plain parser's elements, no read above a stretch."""
+    sizes, docs = [], HARD * 3 + [{"body": ["]}" * 40, {"x": "\\" * 9}]}]
+    monkeypatch.setattr(J, "STRETCH_BYTES", stretch)
+    stretches = J._Bytes.__init__
+    monkeypatch.setattr(J._Bytes, "__init__", lambda self, raw, *rest: (sizes.append(len(raw)), stretches(self, raw, *rest))[1])
+    _write(scratch, "a.json", docs)
+    path = os.path.join(scratch, "a.json")
+    n = os.path.getsize(path)
+    for cut in (n, 97):
+        ranges = [J.Range(path, a, min(a + cut, n), n) for a in range(0, n, cut)]
+        inside = depth = 0
+        for r in ranges:
+            r.inside, r.depth = inside, depth
+            _, _, odd, plain, quoted, _ = next(J._summary(r))
+            depth, inside = depth + (quoted if inside else plain), inside ^ odd
+        assert (inside, depth) == (0, 0)
+        opens = [e for r in ranges for e in J._events(r) if e[2] == 1 and e[5] == "documents"]
+        closes = [e for r in ranges for e in J._events(r) if e[2] == 0 and e[3] > opens[0][3]]
+        for r in ranges:
+            r.extents = ((opens[0][3], closes[0][3]),)
+        assert [json.loads(t) for r in ranges for t in J._texts(r)] == docs
+    assert max(sizes) <= stretch
+
+
 def test_a_dump_object_holds_one_document(spark, scratch):
     from pyspark.sql import functions as F
 
