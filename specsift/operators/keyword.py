@@ -11,7 +11,7 @@ is a run of word characters, so it can only stand inside one word of a name or
 documentation; the words that hold it come from a q-gram index over the
 distinct words (``operators.qgrams``).
 
-A batch joins its terms to the postings by shuffle; the matched postings meet
+A batch joins its terms to the postings; the matched postings meet
 the queries of their bucket (``operators.queries.meet``).  A task goes through
 its shards one by one: it bounds every query's score in each block of
 ``BLOCK`` entries by the sum of its terms' block maxima, scores blocks by
@@ -38,13 +38,18 @@ from ..config import SearchConfig
 from ..functions.text import searchable_text, terms
 from ..session import write_stage
 from .qgrams import GramIndex, gram_index, substring_pairs
-from .queries import QueryBatch, cells, meet
+from .queries import BUCKET_QUERIES, QueryBatch, cells, meet, query_batch
 from .topk import top_k
 
-SHARD_ENTRIES = 1024
+SHARD_ENTRIES = 4096
 BLOCK = 64
 #: Where a word stands; with the position in one number.
 TEXT, NAME, DOC, PLACE = 1, 2, 4, 8
+#: (query, entry) pairs of a task that lists all hits; postings it looks at, and pairs it counts, at once.
+TASK_PAIRS = 1 << 22
+AT_ONCE = 1 << 20
+#: Posting rows that the index writer hands on at once.
+POSTING_ROWS = 1 << 14
 
 
 @dataclass
@@ -75,17 +80,39 @@ def index_keywords(columns: DataFrame) -> KeywordIndex:
     rows = F.sort_array(F.collect_list(F.struct("entry_pos", "name")))
     entries = columns.select(shard, "entry_pos", "name").groupBy("shard").agg(rows.alias("r")).select(
         "shard", F.col("r.entry_pos").alias("positions"), F.col("r.name").alias("names"))
-    flagged = lambda c, f: F.transform(c, lambda w: F.struct(w.alias("word"), F.lit(f).alias("flag")))
-    words = columns.select(shard, "entry_pos", F.explode(F.concat(
-        flagged("terms", TEXT), flagged("name_runs", NAME), flagged("doc_runs", DOC))).alias("w"))
-    run = F.col("w.flag") != TEXT
-    postings = words.groupBy("shard", F.col("w.word").alias("word"), run.alias("run")).agg(
-        F.collect_list(F.col("entry_pos") * PLACE + F.col("w.flag")).alias("places"))
+    dealt = columns.where("entry_pos IS NOT NULL").select(shard, "entry_pos", "terms", "name_runs", "doc_runs")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
+    postings = dealt.mapInArrow(_shard_postings, "shard long, word string, run boolean, places array<long>")
     postings = write_stage(postings, "postings")
     grams = gram_index(postings.where("run").select("word").distinct())
     return KeywordIndex(postings, write_stage(entries, "shards"), grams, shards)
 
 
+def _shard_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each shard with their places: a shard at a time."""
+    for (shard,), parts in cells(batches, ["shard"]):
+        rows = pa.Table.from_batches(parts)
+        position = rows["entry_pos"].to_numpy()
+        words, places, runs = [], [], []
+        for column, flag in (("terms", TEXT), ("name_runs", NAME), ("doc_runs", DOC)):
+            _, lengths = flat(rows[column])
+            words.append(pc.list_flatten(rows[column]).combine_chunks())
+            places.append(np.repeat(position * PLACE + flag, lengths))
+            runs.append(np.full(len(places[-1]), flag != TEXT))
+        coded = pc.dictionary_encode(pa.concat_arrays(words))
+        key = coded.indices.to_numpy().astype(np.int64) * 2 + np.concatenate(runs)
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], np.concatenate(places)[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        cuts = [0, *range(POSTING_ROWS, len(first), POSTING_ROWS), len(first)]
+        for a, b in zip(cuts, cuts[1:]):
+            ends = np.append(first, len(key))[a : b + 1]
+            lists = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(place[ends[0] : ends[-1]]))
+            word = coded.dictionary.take(pa.array(key[first[a:b]] // 2))
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * (b - a), pa.int64()), word, pa.array(key[first[a:b]] % 2 == 1), lists],
+                                             names=["shard", "word", "run", "places"])
+
+
 def keyword_index(corpus: DataFrame) -> KeywordIndex:
     return index_keywords(keyword_columns(corpus))
 
@@ -117,6 +144,18 @@ def query_terms(queries: DataFrame, keys: Sequence[str], text_col: str = "query"
     return queries.select(*keys, F.explode(terms(text_col)).alias("term"))
 
 
+def keyword_hits(index: KeywordIndex, queries: DataFrame, keys: Sequence[str] = ("query_id",), text_col: str = "query") -> DataFrame:
+    """(keys..., entry_pos, tok, nm, dc): numbers of text, name and documentation
+    hits of all (query, entry) pairs with a hit.  Every shard counts its own
+    pairs, so pairs are neither shuffled nor sorted."""
+    batch = query_batch(query_terms(queries, keys, text_col).groupBy(*keys).agg(F.collect_list("term").alias("terms")), keys)
+    each = max(1, TASK_PAIRS // (BUCKET_QUERIES * SHARD_ENTRIES if batch.buckets > 1 else max(1, batch.queries) * SHARD_ENTRIES))
+    met = _met(index, batch, min(index.shards, max(batch.groups(index.shards), -(-index.shards // each))))
+    schema = T.StructType([*batch.key_fields, T.StructField("entry_pos", T.LongType()),
+                           *[T.StructField(c, T.LongType()) for c in ("tok", "nm", "dc")]])
+    return met.mapInArrow(_all_hits(batch.keys), schema)
+
+
 def keyword_scores(
     index: KeywordIndex,
     queries: DataFrame,
@@ -125,26 +164,28 @@ def keyword_scores(
     cfg: SearchConfig = SearchConfig(),
 ) -> DataFrame:
     """All (query, entry) pairs with score > 0: keys..., entry_pos, score."""
-    qt = query_terms(queries, keys, text_col)
-    hits = term_facts(index, qt).join(qt, "term").groupBy("entry_pos", *keys).agg(
-        *[F.sum(c).alias(c) for c in ("tok", "nm", "dc")])
+    hits = keyword_hits(index, queries, keys, text_col)
     score = F.col("tok") + F.col("nm") * F.lit(float(cfg.name_match_boost)) + F.col("dc") * F.lit(float(cfg.doc_match_boost))
     return hits.select(*keys, "entry_pos", score.alias("score")).where("score > 0")
 
 
-def keyword_topn(index: KeywordIndex, batch: QueryBatch, n: int, cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """Top n entries per query by keyword score (> 0), ties in corpus order.
-
-    Output: keys..., entry_pos, name, score, rank.
-    """
+def _met(index: KeywordIndex, batch: QueryBatch, groups: int) -> DataFrame:
+    """Each bucket's queries with the shards' entries (kind 1) and postings that its terms hit (kind 2)."""
     # written: three joins read it, and its size tells Spark how to join
     vocabulary = write_stage(batch.rows.select("bucket", F.explode("terms").alias("term")).distinct(), "vocabulary")
-    groups = batch.groups(index.shards)
     grp = F.pmod("shard", F.lit(groups)).cast("int").alias("grp")
     buckets = F.explode(F.sequence(F.lit(0), F.lit(batch.buckets - 1)))
     entries = index.entries.select("shard", F.lit(1).alias("kind"), "positions", "names", grp, buckets.alias("bucket"))
     postings = matched_postings(index, vocabulary, ["bucket"]).select("*", F.lit(2).alias("kind"), grp)
-    met = meet(batch, ["terms"], entries.unionByName(postings, allowMissingColumns=True), groups)
+    return meet(batch, ["terms"], entries.unionByName(postings, allowMissingColumns=True), groups)
+
+
+def keyword_topn(index: KeywordIndex, batch: QueryBatch, n: int, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """Top n entries per query by keyword score (> 0), ties in corpus order.
+
+    Output: keys..., entry_pos, name, score, rank.
+    """
+    met = _met(index, batch, batch.groups(index.shards))
     schema = T.StructType([*batch.key_fields, T.StructField("entry_pos", T.LongType()),
                            T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
     run = _topn(batch.keys, n, float(cfg.name_match_boost), float(cfg.doc_match_boost))
@@ -207,7 +248,10 @@ class _Shard:
         entry, flag = np.searchsorted(self.positions, place // PLACE), place % PLACE
         # each term of a row with each of its places
         _, terms_of = flat(posting["terms"])
-        term = pc.index_in(pc.list_flatten(posting["terms"]), terms).to_numpy().astype(np.int64)
+        found = pc.index_in(pc.list_flatten(posting["terms"]), terms).to_numpy().astype(np.int64)
+        self.known, term = np.unique(found, return_inverse=True)  # terms that hit something here, numbered anew
+        self.local = np.full(len(terms), -1)
+        self.local[self.known] = np.arange(len(self.known))
         each = np.repeat(lengths, terms_of)
         begin = np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), terms_of)
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
@@ -223,12 +267,12 @@ class _Shard:
         self.packed = self.bits @ np.array([1.0, self.WIDE, self.WIDE**2])
         self.blocks = -(-size // BLOCK)
         cell = (key // size) * self.blocks + self.entry // BLOCK if size else key
-        self.offset = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(terms) * self.blocks))])
-        self.top = np.zeros(len(terms) * self.blocks)
+        self.offset = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(self.known) * self.blocks))])
+        self.top = np.zeros(len(self.known) * self.blocks)
         if len(cell):
             first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             self.top[cell[first]] = np.maximum.reduceat((bits @ self.weights)[flag], first)
-        self.top = self.top.reshape(len(terms), self.blocks)
+        self.top = self.top.reshape(len(self.known), self.blocks)
 
     def scores(self, terms: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entries, scores above 0) of the entries in these blocks."""
@@ -249,22 +293,59 @@ class _Shard:
         kept = score > 0
         return entry[kept], score[kept]
 
+    def terms_of(self, queries: _Queries, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of queries lo to hi that hit something here, and where each query's begin."""
+        a, b = queries.first[lo], queries.first[hi]
+        terms = self.local[queries.term[a:b]]
+        before = np.concatenate([[0], np.cumsum(terms >= 0)])
+        return terms[terms >= 0], before[queries.first[lo : hi + 1] - a]
+
+    def count(self, queries: _Queries) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, entry, its hits in text, name and documentation) of all pairs with a hit."""
+        size, longest = len(self.positions), self.offset[self.blocks :: self.blocks] - self.offset[: -1 : self.blocks] if self.blocks else 0
+        step = max(1, 4 * AT_ONCE // max(1, size))
+        for lo in range(0, len(queries.bar), step) if len(self.known) else ():
+            hi = min(lo + step, len(queries.bar))
+            terms, first = self.terms_of(queries, lo, hi)
+            asked = np.repeat(np.arange(hi - lo), np.diff(first))
+            total = np.concatenate([[0], np.cumsum(longest[terms])])
+            sums = [np.zeros((hi - lo) * size) for _ in range(3)]
+            part = 0
+            while part < len(terms):  # terms whose postings fit
+                to = max(part + 1, int(np.searchsorted(total, total[part] + AT_ONCE, side="right")) - 1)
+                length = longest[terms[part:to]]
+                begin = self.offset[terms[part:to] * self.blocks]
+                at = np.repeat(begin - (total[part:to] - total[part]), length) + np.arange(total[to] - total[part])
+                cell = np.repeat(asked[part:to], length) * size + self.entry[at]
+                low, high = int(cell.min()), int(cell.max()) + 1
+                packed = np.bincount(cell - low, weights=self.packed[at], minlength=high - low)
+                if to - part >= self.WIDE:  # a count may not fit its share
+                    parts = [np.bincount(cell - low, weights=self.bits[at, j], minlength=high - low) for j in range(3)]
+                else:
+                    doc = packed // self.WIDE**2
+                    name = (packed - doc * self.WIDE**2) // self.WIDE
+                    parts = [packed - doc * self.WIDE**2 - name * self.WIDE, name, doc]
+                for s, x in zip(sums, parts):
+                    s[low:high] += x
+                part = to
+            pair = np.flatnonzero(sums[0] + sums[1] + sums[2])
+            yield lo + pair // size, pair % size, np.stack([s[pair] for s in sums]).astype(np.int64)
+
     def search(self, queries: _Queries, chunk: int = 256) -> None:
         """Offers every query what can be among its n best."""
         for lo in range(0, len(queries.bar), chunk):
             hi = min(lo + chunk, len(queries.bar))
-            a, b = queries.first[lo], queries.first[hi]
-            lengths = np.diff(queries.first[lo : hi + 1])
+            known, first = self.terms_of(queries, lo, hi)
             bound = np.zeros((hi - lo, self.blocks))
-            some = np.flatnonzero(lengths)
+            some = np.flatnonzero(np.diff(first))
             if not len(some) or not self.blocks:
                 continue
-            bound[some] = np.add.reduceat(self.top[queries.term[a:b]], (queries.first[lo:hi] - a)[some])
+            bound[some] = np.add.reduceat(self.top[known], first[:-1][some])
             bound *= 1 + 1e-9  # sums in another order
             order = np.argsort(-bound, axis=1, kind="stable")
             for i in np.flatnonzero((bound.max(axis=1) > 0) & (bound.max(axis=1) >= queries.bar[lo:hi])):
                 q, at, step = lo + int(i), 0, 4
-                terms = queries.term[queries.first[q] : queries.first[q + 1]]
+                terms = known[first[i] : first[i + 1]]
                 own = order[i]
                 while at < self.blocks:
                     take = own[at : at + step]
@@ -295,3 +376,22 @@ def _topn(keys: list[str], n: int, name_boost: float, doc_boost: float):
             yield found
 
     return run
+
+
+def _all_hits(keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, cell = None, None
+        for (bucket, grp, shard), parts in cells(batches):
+            rows = pa.Table.from_batches(parts)
+            if (bucket, grp) != cell:
+                cell, queries = (bucket, grp), None
+            if shard < 0:
+                queries = _Queries(rows, 0)
+            elif queries is not None:
+                held = _Shard(rows, queries.terms, 1.0, 1.0)
+                for query, entry, counts in held.count(queries):
+                    own = [queries.rows[f"key_{k}"].combine_chunks().take(pa.array(query)) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(held.positions[entry]), *[pa.array(c) for c in counts]],
+                                                     names=[*keys, "entry_pos", "tok", "nm", "dc"])
+
+    return run

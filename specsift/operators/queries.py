@@ -21,8 +21,8 @@ from ..functions.encode import hashed_ids
 from ..functions.text import terms
 from ..session import write_stage
 
-#: Queries that meet a block of corpus rows at once.
-BUCKET_QUERIES = 4096
+#: Queries that meet a block of corpus rows at once.  The corpus is sent once for each bucket.
+BUCKET_QUERIES = 32768
 
 
 @dataclass
@@ -30,6 +30,7 @@ class QueryBatch:
     rows: DataFrame  # bucket, keys..., and what the scorers read (terms, ids)
     keys: list[str]
     buckets: int
+    queries: int
 
     @property
     def key_fields(self) -> list[T.StructField]:
@@ -44,9 +45,10 @@ class QueryBatch:
 def query_batch(rows: DataFrame, keys: Sequence[str]) -> QueryBatch:
     """Writes prepared rows once and cuts them into buckets by their keys."""
     rows = write_stage(rows, "queries")
-    buckets = max(1, -(-rows.count() // BUCKET_QUERIES))
+    queries = rows.count()
+    buckets = max(1, -(-queries // BUCKET_QUERIES))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    return QueryBatch(rows.select(bucket.alias("bucket"), *rows.columns), list(keys), buckets)
+    return QueryBatch(rows.select(bucket.alias("bucket"), *rows.columns), list(keys), buckets, queries)
 
 
 def prepare_queries(queries: DataFrame, keys: Sequence[str], text_col: str, dims: int) -> QueryBatch:

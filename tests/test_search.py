@@ -277,3 +277,39 @@ def test_model_encoder_hook(spark, corpus, queries):
               if np.dot(v, v) > 0 and np.dot(qvec, qvec) > 0]
         want = [p for _, p in sorted(sc)[:2]]
         assert [got.get((qi, 1)), got.get((qi, 2))] == want
+
+
+def test_all_hits_are_counted_in_their_shards(spark, monkeypatch):
+    """Repeated and null keys, positions held twice, any cut: the counts of the plain definition, and no pair is shuffled."""
+    entries, text = _random_corpus(spark, 90)
+    entries += [dict(entries[3], name="ab_c"), dict(entries[4], documentation="abc abc")]
+    asked = [(i, text(4)) for i in range(12)] + [(3, "ab a"), (None, "a bc"), (None, "a"), (20, None), (21, " . ")]
+    cols = SCHEMA.replace("file_path string, line_number int, ", "").replace(", symbol_id string, source string", "")
+    df, q = spark.createDataFrame(entries, cols), spark.createDataFrame(asked, "query_id long, query string")
+    columns = keyword.keyword_columns(df)
+    facts = {}
+    for e in columns.collect():
+        facts.setdefault(e.entry_pos, []).append(e)
+    want = {}
+    for key, query in asked:
+        for t in dict.fromkeys((query or "").lower().replace(".", " ").split()):
+            for p, es in facts.items():
+                hit = [any(t in e.terms for e in es), any(t in e.name.lower() for e in es), any(t in w for e in es for w in e.doc_runs)]
+                if any(hit):
+                    old = want.get((key, p), (0, 0, 0))
+                    want[key, p] = tuple(a + b for a, b in zip(old, hit))
+
+    def got(index):
+        rows = keyword.keyword_hits(index, q).collect()
+        out = {(r.query_id, r.entry_pos): (r.tok, r.nm, r.dc) for r in rows}
+        assert len(out) == len(rows)
+        return out
+
+    assert got(keyword.index_keywords(columns)) == want
+    for name, value in (("SHARD_ENTRIES", 20), ("BLOCK", 8), ("AT_ONCE", 16), ("TASK_PAIRS", 64), ("POSTING_ROWS", 5)):
+        monkeypatch.setattr(keyword, name, value)
+    monkeypatch.setattr(Q, "BUCKET_QUERIES", 4)
+    index = keyword.index_keywords(columns)
+    assert index.shards > 3 and got(index) == want
+    plan = keyword.keyword_scores(index, q)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
