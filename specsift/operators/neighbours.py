@@ -11,7 +11,8 @@ angle to it, and cut into blocks of equal size: rings around a pivot.
    angles gives ``angle(x, y) >= max(angle(x, p) - hi, lo - angle(x, p))`` for
    all y of the block.  A variant visits the blocks whose bound is within its
    radius; all other pairs of blocks are pruned.
-3. Blocks stream their visitors; what beats a visitor's radius meets in one
+3. A task holds as many blocks as fit; a visitor is sent once to each task that
+   holds blocks it visits, with their list.  What beats its radius meets in one
    top k per variant, and is expanded to the positions of both sides.
 
 Matrix products choose candidates with a margin; the scores come from the pairs
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ MAX_BLOCKS = 50_000
 MAX_PIVOTS = 256
 #: Rows by rows compared at once, and the margin of angles and cosines.
 TILE = 1024
+#: Bytes of vectors of the blocks that a task holds together.
+HOST_BYTES = 32 << 20
 MARGIN = 1e-6
 
 
@@ -66,6 +70,11 @@ class _Vectors:
         self.unit = self.exact / np.sqrt(np.where(self.square > 0, self.square, 1))[:, None]
         self.variant = table.column("variant").to_numpy()
 
+    def take(self, rows: np.ndarray) -> _Vectors:
+        part = object.__new__(_Vectors)
+        part.__dict__ = {k: x[rows] for k, x in self.__dict__.items()}
+        return part
+
 
 def _best(a: _Vectors, b: _Vectors, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, cosine): each a's best k rows of b at its bar or above, without itself."""
@@ -158,8 +167,9 @@ def _within(k: int, dims: int, kind: str, floor: float):
     return run
 
 
-def _visits(blocks: Blocks, dims: int, kind: str, floor: float):
-    """Rows go to the other blocks that can hold something within their radius."""
+def _visits(blocks: Blocks, hosts: int, dims: int, kind: str, floor: float):
+    """Rows go to the hosts (of ``hosts`` blocks each) of other blocks that can
+    hold something within their radius, with the list of these blocks."""
     pivots = Blocks(None, blocks.pivots, blocks.pivot, blocks.low, blocks.high, blocks.number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +181,18 @@ def _visits(blocks: Blocks, dims: int, kind: str, floor: float):
                 to = pivots.may_hold(v.unit, np.arccos(np.clip(bar, -1, 1)))
                 to &= pivots.number[None, :] != batch.column("block").to_numpy()[:, None]
                 row, block = np.nonzero(to)
-                sent = batch.select(["variant", "vector"]).take(pa.array(row))
-                yield sent.append_column("bar", pa.array(bar[row])).append_column("block", pa.array(pivots.number[block]))
+                host = block // hosts
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (host[1:] != host[:-1])]) if len(row) else row
+                # some hosts at a time: a batch holds about as many rows as it came with
+                for lo in range(0, len(first), 8 * TILE):
+                    part = first[lo : lo + 8 * TILE]
+                    end = np.append(first, len(row))[lo + 1 : lo + 1 + len(part)]
+                    offsets = pa.array(np.append(part, end[-1]) - part[0], pa.int32())
+                    wanted = pa.ListArray.from_arrays(offsets, pa.array(block[part[0] : end[-1]], pa.int32()))
+                    sent = batch.select(["variant", "vector"]).take(pa.array(row[part]))
+                    for name, column in (("bar", pa.array(bar[row[part]])), ("host", pa.array(host[part], pa.int64())), ("wanted", wanted)):
+                        sent = sent.append_column(name, column)
+                    yield sent
 
     return run
 
@@ -180,17 +200,31 @@ def _visits(blocks: Blocks, dims: int, kind: str, floor: float):
 def _across(k: int, dims: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, members, parts = None, None, []
-        for (block, part, side), rows in cells(batches, ["block", "part", "side"], whole=False):
-            if (block, part) != held:
-                held, members, parts = (block, part), None, []
+        for (host, part, side), rows in cells(batches, ["host", "part", "side"], whole=False):
+            if (host, part) != held:
+                held, members, parts = (host, part), None, []
             if side == 0:
                 parts += rows
                 continue
             if members is None:
-                members = _Vectors(pa.Table.from_batches(parts), dims, kind)
-            for batch in rows:
-                v = _Vectors(batch, dims, kind)
-                yield _pairs(v, members, _best(v, members, k, batch.column("bar").to_numpy()))
+                table = pa.Table.from_batches(parts)
+                members = {int(n): _Vectors(table.filter(pa.array(table["number"].to_numpy() == n)), dims, kind)
+                           for n in np.unique(table["number"].to_numpy())}
+            for whole in rows:
+                for at in range(0, whole.num_rows, TILE):
+                    batch = whole.slice(at, TILE)
+                    v, bar = _Vectors(batch, dims, kind), batch.column("bar").to_numpy().copy()
+                    lengths = pc.list_value_length(batch.column("wanted")).to_numpy()
+                    row, number = np.repeat(np.arange(len(bar)), lengths), pc.list_flatten(batch.column("wanted")).to_numpy()
+                    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                    for n in np.unique(number):
+                        asked = row[number == n]
+                        r, c, score = _best(v.take(asked), members[int(n)], k, bar[asked])
+                        found.append((asked[r], members[int(n)].variant[c], score))
+                    r, other, score = (np.concatenate(x) for x in zip(*found))
+                    top = merge_topn(r, other, score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(v.variant[r[top]]), pa.array(other[top]), pa.array(score[top])],
+                                                     names=["variant", "other", "score"])
 
     return run
 
@@ -211,16 +245,23 @@ def nearest(vectors: DataFrame, k: int, vec_col: str = "v", kind: str = "dense",
     asked = blocks.rows.select("block", "variant", "vector").join(bars, "variant", "left").select(
         "block", "variant", "vector", F.coalesce("bar", F.lit(floor)).alias("bar"))
     kind_of = one.schema["vector"].dataType.simpleString()
-    visits = asked.mapInArrow(_visits(blocks, dims, kind, floor), f"variant long, vector {kind_of}, bar double, block long")
-    visits = write_stage(visits, "neighbour-visits")
-    # a block that many visit is taken by several tasks, a few times its own size each
-    load = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (8 * BLOCK_ROWS)).cast("int").alias("parts"))
-    guests = visits.join(load, "block").select(
-        "block", F.pmod(F.xxhash64("variant"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "variant", "vector", "bar")
-    hosts = blocks.rows.join(load, "block").select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "variant", "vector",
-        F.lit(None).cast("double").alias("bar"))
-    met = hosts.unionByName(guests).repartition("block", "part").sortWithinPartitions("block", "part", "side")
+    # blocks are numbered in the order of their rings: a host holds near ones
+    hosts = max(1, HOST_BYTES // (16 * dims * max(BLOCK_ROWS, -(-one.count() // MAX_BLOCKS))))
+    visits = asked.mapInArrow(_visits(blocks, hosts, dims, kind, floor),
+                              f"variant long, vector {kind_of}, bar double, host long, wanted array<int>")
+    # enough tasks for all cores, however few the hosts
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_hosts = -(-len(blocks.number) // hosts)
+    parts = max(1, -(-2 * cores // n_hosts))
+    part = F.pmod(F.xxhash64("variant"), F.lit(parts)).cast("int").alias("part")
+    guests = visits.select("host", part, F.lit(1).alias("side"), "variant", "vector", "bar", "wanted")
+    numbers = vectors.sparkSession.createDataFrame(
+        [(int(b), i, i // hosts) for i, b in enumerate(blocks.number)], "block long, number int, host long")
+    members_ = blocks.rows.join(F.broadcast(numbers), "block").select(
+        "host", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("side"), "variant", "vector", "number")
+    both = members_.unionByName(guests, allowMissingColumns=True)
+    cell = (F.col("host") * F.lit(parts) + F.col("part")).cast("int")
+    met = both.repartitionById(n_hosts * parts, cell).sortWithinPartitions("host", "part", "side")
     pairs = inside.unionByName(met.mapInArrow(_across(k, dims, kind), _PAIRS))
     best = top_k(pairs, ["variant"], k, [F.col("score").desc(), F.col("other").asc()]).drop("rank")
     copies = one.select(F.col("variant").alias("other"), "copies")
@@ -261,5 +302,6 @@ def pruned_share(vectors: DataFrame, k: int, vec_col: str = "v", kind: str = "de
     asked = blocks.rows.select("block", "variant", "vector").join(bars, "variant", "left").select(
         "block", "variant", "vector", F.coalesce("bar", F.lit(at_least)).alias("bar"))
     kind_of = one.schema["vector"].dataType.simpleString()
-    visits = asked.mapInArrow(_visits(blocks, dims, kind, at_least), f"variant long, vector {kind_of}, bar double, block long").count()
+    visits = asked.mapInArrow(_visits(blocks, 1, dims, kind, at_least),
+                              f"variant long, vector {kind_of}, bar double, host long, wanted array<int>").count()
     return 1 - visits / (blocks.rows.count() * (len(blocks.number) - 1))

@@ -254,3 +254,26 @@ def test_report_is_types_patterns_and_examples(spark):
     assert [g for g in got if g[0] == "examples"] == [("examples", "limb_variants", None, i + 1, i, 3) for i in range(2)]
     assert {g[1]: g[2] for g in got if g[0] == "types"} == {"exact": 6, "subsumes": 3, "similar": 5}
     assert {g[1]: g[2] for g in got if g[0] == "patterns"}["limb_variants"] == 5
+
+
+def test_a_visitor_is_sent_once_to_a_host(spark, monkeypatch):
+    """All blocks in reach: a row goes once to each host with a list of its blocks, and the result stays exact."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.normal(size=12).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "entry_pos long, v array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    one, _ = neighbours.variants(df.withColumnRenamed("v", "vector"), 3, "vector", "dense")
+    blocks = neighbours.cut_into_blocks(one, 12, "dense")
+    asked = blocks.rows.selectExpr("block", "variant", "vector", "-1.0D AS bar")
+    sent = asked.mapInArrow(neighbours._visits(blocks, 8, 12, "dense", -1.0),
+                            "variant long, vector array<double>, bar double, host long, wanted array<int>").collect()
+    hosts = -(-len(blocks.number) // 8)
+    assert len(blocks.number) > 16 and len(sent) <= 300 * hosts
+    assert len({(r.variant, r.host) for r in sent}) == len(sent)
+    assert sum(len(r.wanted) for r in sent) == 300 * (len(blocks.number) - 1)
+    for size in (1, 16 * 12 * 16 * 3, 1 << 25):
+        monkeypatch.setattr(neighbours, "HOST_BYTES", size)
+        got = sorted((r.pos1, r["rank"], r.pos2, round(r.score, 12)) for r in neighbours.nearest(df, 3, "v").collect())
+        assert got == _nearest_brute(rows, 3)
