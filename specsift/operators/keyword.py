@@ -82,7 +82,8 @@ def index_keywords(columns: DataFrame) -> KeywordIndex:
         "shard", F.col("r.entry_pos").alias("positions"), F.col("r.name").alias("names"))
     whole = columns.dropna(subset=["entry_pos", "terms", "name_runs", "doc_runs"])  # an entry without a name has no postings
     dealt = whole.select(shard, "entry_pos", "terms", "name_runs", "doc_runs")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
+    tasks = min(shards, max(2 * columns.sparkSession.sparkContext.defaultParallelism, shards // 8))
+    dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard")
     postings = dealt.mapInArrow(_shard_postings, "shard long, word string, run boolean, places array<long>")
     postings = write_stage(postings, "postings")
     grams = gram_index(postings.where("run").select("word").distinct())
