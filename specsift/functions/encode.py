@@ -7,33 +7,67 @@ products are exact in float64 and cosine = dot / sqrt(|a|^2 |b|^2) is
 reproducible bit for bit by any engine.
 
 On the Spark side the encoder yields, per row, the array of signed bucket ids
-``sign * (bucket + 1)`` (a JVM expression); dense vectors are assembled inside
-the Arrow-batched scorer.  A model-backed encoder plugs in as a pandas UDF
+``sign * (bucket + 1)`` (``token_ids``, which hashes every distinct word of an
+Arrow batch once); dense vectors are assembled inside the Arrow-batched scorer.  A model-backed encoder plugs in as a pandas UDF
 that returns ``array<float>`` (see ``operators.vectors.dense_from_model``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import tokens
+from .text import replacement_words, tokens
 
 
-def signed_bucket(token: Column, dims: int) -> Column:
-    h = F.md5(token)
-    bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
-    odd = (F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2) == 1
-    return F.when(odd, -(bucket + 1)).otherwise(bucket + 1)
+def signed_bucket(token: str, dims: int) -> int:
+    h = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+    bucket = int(h[:8], 16) % dims
+    return -(bucket + 1) if int(h[8], 16) % 2 else bucket + 1
+
+
+def token_ids(toks: Column, dims: int, rewrite: bool = False) -> Column:
+    """array<int> of signed bucket ids, one per token (repeats kept); null for null.
+
+    With ``rewrite`` a token that is an operator's name gives the ids of its
+    replacement: the ids of ``normalize_operators(text)`` from the tokens of
+    ``text``.  Every distinct word of a batch is hashed once.
+    """
+    rewrites = replacement_words() if rewrite else {}
+
+    @F.arrow_udf("array<int>")
+    def ids(column: pa.Array) -> pa.Array:
+        words = column.flatten().dictionary_encode()
+        known = [[signed_bucket(w, dims) for w in rewrites.get(word, (word,))] for word in words.dictionary.to_pylist()]
+        size = np.array([len(k) for k in known], np.int64)
+        first = np.cumsum(size) - size
+        hashed = np.array([i for k in known for i in k], np.int32)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        end = np.concatenate([[0], np.cumsum(size[code])]).astype(np.int64)
+        at = np.repeat(first[code] - end[:-1], size[code]) + np.arange(end[-1])
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = end[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashed[at], pa.int32()))
+        return lists.filter(column.is_valid()).take(_places(column)) if column.null_count else lists
+
+    return ids(toks)
+
+
+def _places(column: pa.Array) -> pa.Array:
+    """For every row its number among the rows that are not null; null for null."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array(np.cumsum(valid) - 1, pa.int64(), mask=~valid)
 
 
 def hashed_ids(text, dims: int) -> Column:
     """array<int> of signed bucket ids, one per token (repeats kept)."""
-    return F.transform(tokens(text), lambda t: signed_bucket(t, dims))
+    return token_ids(tokens(text), dims)
 
 
 def ids_digest(ids) -> list[Column]:

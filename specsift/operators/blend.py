@@ -5,16 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .topk import top_k
 
 
 def max_normalize(df: DataFrame, keys: Sequence[str], score: str = "score", out: str = "norm") -> DataFrame:
-    """A2: score / max(score) per key group; 0 when the max is <= 0."""
-    mx = df.groupBy(*keys).agg(F.max(score).alias("_mx"))
-    return df.join(mx, list(keys)).withColumn(
+    """A2: score / max(score) per key group; 0 when the max is <= 0.
+
+    A window over the groups: a join with their maxima would run the search
+    behind ``df`` twice.  Rows with a null key have no group."""
+    mx = F.max(score).over(Window.partitionBy(*keys))
+    return df.dropna(subset=list(keys)).withColumn("_mx", mx).withColumn(
         out, F.when(F.col("_mx") > 0, F.col(score) / F.col("_mx")).otherwise(F.lit(0.0))
     ).drop("_mx")
 

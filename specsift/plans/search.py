@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..functions.encode import hashed_ids
-from ..functions.encode import signed_bucket
-from ..functions.text import normalize_query, normalized_tokens, query_variations, searchable_text, terms, tokens
+from ..functions.encode import token_ids
+from ..functions.text import normalize_query, query_variations, searchable_text, terms, tokens
 from ..operators.blend import best_over_variations, hybrid_combine
 from ..operators.common import materialize, spread
 from ..operators.keyword import KeywordIndex, index_keywords, keyword_topn
@@ -73,7 +72,7 @@ def _index_columns(entries: DataFrame, with_vectors: bool, cfg: SearchConfig) ->
         terms(doc).alias("doc_runs"),
     ]
     if with_vectors:
-        extra.append(F.transform(normalized_tokens("_tok"), lambda x: signed_bucket(x, cfg.dims)).alias("ids"))
+        extra.append(token_ids(F.col("_tok"), cfg.dims, rewrite=True).alias("ids"))
     return t.select(*entries.columns, *extra)
 
 
