@@ -70,6 +70,27 @@ def hashed_ids(text, dims: int) -> Column:
     return token_ids(tokens(text), dims)
 
 
+def window_hashes(words: Column, n: int) -> Column:
+    """array<long>: a hash of every ``n`` consecutive words, in order.  Every
+    distinct word of a batch is hashed once."""
+
+    @F.arrow_udf("array<long>")
+    def hashes(column: pa.Array) -> pa.Array:
+        coded = column.flatten().dictionary_encode()
+        known = [hashlib.blake2b(w.encode(), digest_size=8).digest() for w in coded.dictionary.to_pylist()]
+        word = np.frombuffer(b"".join(known), np.uint64)[coded.indices.to_numpy(zero_copy_only=False)]
+        total = np.zeros(max(0, len(word) - n + 1), np.uint64)
+        for j in range(n):  # a polynomial modulo 2**64
+            total = total * np.uint64(0x9E3779B97F4A7C15) + word[j : j + len(total)]
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        windows = np.maximum(0, lengths - n + 1)
+        end = np.concatenate([[0], np.cumsum(windows)])
+        at = np.repeat(np.cumsum(lengths) - lengths - end[:-1], windows) + np.arange(end[-1])
+        return pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(total[at].view(np.int64)))
+
+    return hashes(words)
+
+
 def ids_digest(ids) -> list[Column]:
     """n_ids and ids_sum (a sum that any changed id changes) of an id array."""
     total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)

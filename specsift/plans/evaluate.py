@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.topk import expected_rank
+from ..session import write_stage
 
 
 def retrieval_eval(hits: DataFrame, expected: DataFrame, tolerance: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -15,6 +16,7 @@ def retrieval_eval(hits: DataFrame, expected: DataFrame, tolerance: int = 2) ->
     A query passes when the expected name is in its list at position <=
     expected position + tolerance.
     """
+    expected = write_stage(expected, "expected")  # read twice
     ranks = expected_rank(hits.select("query_id", "rank", "name"), expected.select("query_id", "name"), ["query_id"])
     found = ranks.withColumnRenamed("position", "position_found")
     per_query = expected.join(found, ["query_id", "name"], "left").select(

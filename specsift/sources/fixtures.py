@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.encode import window_hashes
 from ..functions.text import empty_strings
+from ..session import write_stage
 
 
 # Row-identity column of each driver table: a scan with fewer splits than the
@@ -196,8 +198,8 @@ def passage_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A contained passage's inner words (between its first and last space) stand
     in the document as whole space-separated words, so both sides meet in an
-    equi-join on the hash of up to ANCHOR_WORDS inner words; ``contains`` on
-    the whole passage decides.  A passage without inner words has no anchor
+    equi-join on the hash of up to ANCHOR_WORDS inner words
+    (``functions.encode.window_hashes``); ``contains`` on the whole passage decides.  A passage without inner words has no anchor
     and is compared with every document.
     """
     from functools import reduce
@@ -207,7 +209,7 @@ def passage_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "item_id", F.col("text").alias("passage"),
         F.greatest(F.lit(0), F.least(F.lit(ANCHOR_WORDS), F.size(words) - 2)).alias("n"),
         words.alias("w"),
-    ).withColumn("anchor", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " "))).drop("w")
+    )
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
     split = docs.select("doc_id", words.alias("w"))
     lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most ANCHOR_WORDS + 1 values
@@ -217,13 +219,13 @@ def passage_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
             near = bench.where("n = 0").select("item_id", "passage").join(docs, F.col("text").contains(F.col("passage")))
             parts.append(near.select("item_id", "doc_id"))
             continue
-        at = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        grams = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))  # noqa: B023
-        grams = split.where(F.size("w") >= n).select("doc_id", grams.alias("g"))
-        parts.append(grams.select("doc_id", F.explode_outer("g").alias("anchor")).join(
-            bench.where(F.col("n") == n).select("item_id", "anchor"), "anchor").select("item_id", "doc_id"))
+        grams = split.where(F.size("w") >= n).select("doc_id", window_hashes(F.col("w"), n).alias("g"))
+        inner = bench.where(F.col("n") == n).select("item_id", F.slice("w", 2, n).alias("w"))
+        inner = inner.select("item_id", window_hashes(F.col("w"), n).getItem(0).alias("anchor"))
+        parts.append(grams.select("doc_id", F.explode("g").alias("anchor")).join(inner, "anchor").select("item_id", "doc_id"))
     if not parts:
         return docs.select(F.lit(0).cast("long").alias("item_id"), "doc_id").limit(0)
-    near = reduce(DataFrame.unionByName, parts).distinct()
+    # written, so that its size tells Spark not to shuffle the documents for it
+    near = write_stage(reduce(DataFrame.unionByName, parts).distinct(), "near")
     whole = near.join(bench.select("item_id", "passage"), "item_id").join(docs, "doc_id")
     return whole.where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()

@@ -7,10 +7,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from specsift.functions.encode import hashed_ids, token_ids
+from specsift.functions.encode import hashed_ids, token_ids, window_hashes
 from specsift.operators import keyword
 from specsift.operators.blend import max_normalize
 from specsift.operators.queries import meet, query_batch
+from specsift.plans.evaluate import retrieval_eval
+from specsift.plans.search import first_named, lookup_by_name
 
 
 def _shard(rng, size, n_terms):
@@ -84,3 +86,40 @@ def test_token_ids_by_hand(spark):
                    3: (ids(["iff", "é", "modulo"]), ids(["if", "and", "only", "if", "é", "mod"])), 4: (ids(["leq"]), [])}
     texts = spark.createDataFrame([("A b, a",), (None,)], "x string")
     assert [r[0] for r in texts.select(hashed_ids("x", 64)).collect()] == [ids("aba"), None]
+
+
+def test_only_asked_names_are_sorted(spark):
+    entries = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, None), (None, "c"), (9, "c")], "entry_pos long, name string")
+    names = spark.createDataFrame([("a",), ("a",), ("c",), ("x",), (None,)], "q string")
+    first = first_named(entries, names, "q")
+    assert sorted((r.name, r.entry_pos) for r in first.collect()) == [("a", 1), ("c", None)]
+    assert "LeftSemi" in first._jdf.queryExecution().optimizedPlan().toString()
+    found = lookup_by_name(entries, names, "q").collect()
+    assert sorted((r.name, r.entry_pos or 0) for r in found) == [("a", 1), ("a", 1), ("c", 0)]
+
+
+def test_evaluation_reads_the_expected_rows_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    schema = "case string, query_id long, name string, position int"
+    expected = spark.createDataFrame([("c", 1, "x", 0), ("c", 1, "y", 0), ("d", 2, "x", 0)], schema).coalesce(1)
+    hits = spark.createDataFrame([(1, 2, "x"), (1, 9, "y")], "query_id long, rank int, name string")
+    per_query, summary = retrieval_eval(hits, expected.mapInArrow(counted, schema))
+    assert sorted((r.name, r.query_id, r.position_found, r.passed) for r in per_query.collect()) == [
+        ("x", 1, 1, True), ("x", 2, None, False), ("y", 1, 8, False)]
+    assert sorted((r["case"], r.passed, r.total) for r in summary.collect()) == [("c", 1, 2), ("d", 0, 1)]
+    assert runs.value == 3
+
+
+def test_window_hashes(spark):
+    rows = [(0, "a b c a b".split()), (1, ["b"]), (2, []), (3, None), (4, "c a b".split()), (5, "b a".split())]
+    df = spark.createDataFrame(rows, "i int, w array<string>").coalesce(1)
+    got = {r.i: r.h for r in df.select("i", window_hashes(F.col("w"), 2).alias("h")).collect()}
+    assert [len(got[i] or []) for i in range(6)] == [4, 0, 0, 0, 2, 1]
+    assert got[0][0] == got[0][3] == got[4][1] and got[0][2] == got[4][0] and got[5][0] not in got[0]
+    assert {got[0][0]} == {df.where("i = 0").select(window_hashes(F.slice("w", 1, 2), 2).getItem(0)).first()[0]}
