@@ -23,6 +23,7 @@ from ..operators.keyword import KeywordIndex, index_keywords, keyword_topn
 from ..operators.queries import QueryBatch, prepare_queries
 from ..operators.topk import first_per_key, top_k
 from ..operators.vectors import cosine_topn
+from ..session import write_stage
 
 ENTRY_ARGS = ("name", "documentation", "signature", "requires_clauses", "ensures_clauses")
 
@@ -114,9 +115,16 @@ def fuzzy_search(corpus: Corpus, queries: DataFrame, k: int = 10, key: str = "qu
     return best_over_variations(hits, key, "var_pos", k)
 
 
+def first_named(entries: DataFrame, names: DataFrame, name_col: str) -> DataFrame:
+    """The first entry (corpus order) of every asked name; no other entry is sorted."""
+    # written, so that its size tells Spark whether to send it to the entries
+    asked = write_stage(names.select(F.col(name_col).alias("_asked")).distinct(), "asked")
+    return first_per_key(entries.join(asked, entries["name"] == asked["_asked"], "left_semi"), "name")
+
+
 def lookup_by_name(entries: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
     """The first entry (corpus order) for each requested name."""
-    first = first_per_key(entries, "name")
+    first = first_named(entries, names, name_col)
     return names.join(first, names[name_col] == first["name"]).drop(names[name_col])
 
 
@@ -132,6 +140,7 @@ def similar_entries(corpus: Corpus, names: DataFrame, k: int = 10, key: str = "q
     src = lookup_by_name(corpus.entries, names.select(key, F.col("name").alias("_src_name")), "_src_name")
     q = src.select(key, F.col("name").alias("src_name"),
                    searchable_text(*ENTRY_ARGS, normalize=True).alias("query"))
+    q = write_stage(q, "similar")  # the search and the exclusion read it
     hits = fuzzy_search(corpus, q.select(key, "query"), k + 1, key, "query")
     hits = hits.join(q.select(key, "src_name"), key)
     return exclude_and_cut(hits, key, k, F.col("name") == F.col("src_name")).drop("src_name")
@@ -143,14 +152,15 @@ def routed_search(corpus: Corpus, queries: DataFrame, k: int = 3, key: str = "qu
     text (Q5; not without ``detect_names``); any other query searches as typed,
     minus hits named like its first word.  Both kinds use depth k+1 when
     excluding, so they run as one fuzzy batch."""
-    first = first_per_key(corpus.entries, "name")
+    first = first_named(corpus.entries, queries, text_col)
     j = queries.join(first.select(F.col("name").alias("_n"), *[first[c] for c in ENTRY_ARGS if c != "name"]),
                      queries[text_col] == F.col("_n"), "left")
     named = F.col("_n").isNotNull() & F.lit(detect_names)
     text = F.when(named, searchable_text(F.col("_n"), *ENTRY_ARGS[1:], normalize=True)).otherwise(F.col(text_col))
     excl = F.when(named, F.col("_n")).otherwise(
         F.regexp_extract(text_col, r"^\s*(\S+)", 1) if exclude_self else F.lit(None).cast("string"))
-    q = j.select(key, text.alias("_q"), excl.alias("_x"), named.alias("_named"))
+    # written: the search and the exclusion read it
+    q = write_stage(j.select(key, text.alias("_q"), excl.alias("_x"), named.alias("_named")), "routed")
     if exclude_self:
         hits = fuzzy_search(corpus, q.select(key, F.col("_q").alias("query")), k + 1, key, "query")
         hits = hits.join(q.select(key, "_x"), key)
