@@ -51,8 +51,10 @@ NEIGHBOURS = 15
 #: Examples of a block at most, blocks of a group; texts scored at once; width of the sketch that orders examples.
 BLOCK = 64
 GROUP = 8
-TEXTS = 128
+TEXTS = 192
 SKETCH = 256
+#: Products of exact cosines, or postings that are put in place, at once.
+PRODUCTS = 1 << 18
 #: 32-bit sums choose candidates, with this margin; cosines are 64-bit sums in
 #: a fixed order, rounded to so many digits.
 SLACK = np.float32(1e-5)
@@ -77,7 +79,14 @@ def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((words.data.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
     whole = mix((sums[words.ends] - sums[words.starts]) * inverse[words.starts])
-    whole, at, which = np.unique(whole, return_index=True, return_inverse=True)
+    # as np.unique, but equal words may be represented by any of them: a faster sort
+    order = np.argsort(whole)
+    whole = whole[order]
+    new = np.ones(len(whole), dtype=bool)
+    np.not_equal(whole[1:], whole[:-1], out=new[1:])
+    which = np.empty(len(whole), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    whole, at = whole[new], order[new]
     starts, ends = words.starts[at], words.ends[at]
     base, scale, size = sums[starts], inverse[starts], ends - starts
     out = [whole]
@@ -220,6 +229,7 @@ class Index:
     own: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
+    searcher: Searcher | None = None  # a worker's
 
     def vote(self, found: np.ndarray, cosines: np.ndarray, prior: float) -> float:
         w = cosines * self.stands[found]
@@ -231,7 +241,9 @@ class Searcher:
 
     A group is a run of ``GROUP`` blocks; its ``DENSE_TERMS`` most frequent terms
     are columns of ``matrix`` (a row for each example), with their largest weight
-    in every block in ``top``.  All other postings stay sparse.
+    in every block in ``top``; ``columns`` holds group * width + column, term by
+    term.  All other postings stay sparse, in ``postings``, the longest lists first
+    so that those read often stand close together.
     """
 
     def __init__(self, index: Index):
@@ -239,47 +251,63 @@ class Searcher:
         n, n_terms = len(index.ids), len(index.idf)
         blocks = range(0, len(index.begins), GROUP)
         self.edges = np.append(index.begins[blocks], n)  # first example of every group
-        self.columns = np.full((n_terms, len(blocks)), -1, np.int16)
         self.matrix = np.zeros((n, min(DENSE_TERMS, n_terms)), np.float32)
-        rest, self.top = np.ones(len(index.terms), dtype=bool), []
+        rest, self.top, heavies = np.ones(len(index.terms), dtype=bool), [], [np.zeros(0, np.int64)]
         for g, (a, b) in enumerate(zip(self.edges, self.edges[1:])):
             own = slice(index.own[a], index.own[b])
             term = index.terms[own]
             heavy = np.argpartition(-np.bincount(term, minlength=n_terms), self.matrix.shape[1] - 1)[: self.matrix.shape[1]]
-            self.columns[heavy, g] = np.arange(len(heavy))
-            column = self.columns[term, g]
+            heavies.append(heavy)
+            column = np.full(n_terms, -1, np.int32)
+            column[heavy] = np.arange(len(heavy))
+            column = column[term]
             on = column >= 0
             example = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(index.own[a : b + 1]))
             self.matrix[example[on], column[on]] = index.weights[own][on]
             rest[own] = ~on
             self.top.append(np.maximum.reduceat(self.matrix[a:b], index.begins[blocks[g] : blocks[g] + GROUP] - a, axis=0).T.copy())
-        # postings of the rest by term, in the types that the sums need
-        at = np.flatnonzero(rest)
-        at = at[np.argsort(index.terms[at], kind="stable")]
-        self.examples = np.searchsorted(index.own, at, side="right") - 1
-        self.weights = index.weights[at].astype(float)
+        heavy = np.concatenate(heavies)
+        self.columns = np.argsort(heavy, kind="stable").astype(np.int32)
+        self.dense_size = np.bincount(heavy, minlength=n_terms).astype(np.int32)
+        self.dense_first = (np.cumsum(self.dense_size) - self.dense_size).astype(np.int32)
+        # postings of the rest, example and weight side by side
+        at = np.flatnonzero(rest).astype(np.int32)
         self.size = np.bincount(index.terms[at], minlength=n_terms).astype(np.int32)
-        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.first = np.empty_like(self.size)
+        order = np.argsort(-self.size, kind="stable")
+        self.first[order] = np.cumsum(self.size[order]) - self.size[order]
+        at = at[np.argsort(self.first[index.terms[at]], kind="stable")]
+        self.postings = np.empty(len(at), [("example", np.int32), ("weight", np.float32)])
+        for i in range(0, len(at), PRODUCTS):
+            own = slice(i, i + PRODUCTS)
+            self.postings["example"][own] = np.searchsorted(index.own, at[own], side="right") - 1
+            self.postings["weight"][own] = index.weights[at[own]]
+        self.steps = np.arange(1 << 16)
         self.visited = self.of = 0  # (text, example) pairs multiplied, and all
 
-    def _parts(self, cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x examples: sums over the sparse postings; groups x texts x columns)."""
+    def _parts(self, cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts x examples: sums over the sparse postings; texts x groups x
+        columns; the places in these that have a weight)."""
         sums = np.zeros((len(cells), len(self.index.ids)))
-        dense = np.zeros((self.columns.shape[1], len(cells), self.matrix.shape[1]), np.float32)
+        dense, filled = np.zeros((len(cells), len(self.edges) - 1, self.matrix.shape[1]), np.float32), []
         for i, (at, weights) in enumerate(cells):
-            size = self.size[at]
+            size = self.size[at].astype(np.int64)
             some = np.flatnonzero(size)
             size = size[some]
-            stop = np.cumsum(size, dtype=np.int32)
+            stop = np.cumsum(size)
             places = np.repeat(self.first[at[some]] - stop + size, size)
-            places += np.arange(len(places), dtype=np.int32)
+            if len(places) > len(self.steps):
+                self.steps = np.arange(2 * len(places))
+            places += self.steps[: len(places)]
+            own = self.postings.take(places)
             product = np.repeat(weights[some], size)
-            product *= self.weights[places]
-            sums[i] = np.bincount(self.examples[places], product, minlength=sums.shape[1])
-            column = self.columns[at]
-            row, group = np.nonzero(column >= 0)
-            dense[group, i, column[row, group]] = weights[row]
-        return sums, dense
+            product *= own["weight"]
+            sums[i] = np.bincount(own["example"], product, minlength=sums.shape[1])
+            size = self.dense_size[at]
+            own = self.columns[_ranges(self.dense_first[at], size)]
+            dense[i].reshape(-1)[own] = np.repeat(weights, size)
+            filled.append(np.sort(own) + np.int64(i * dense[i].size))
+        return sums, dense, np.concatenate(filled)
 
     def nearest(self, cells: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None = None):
         """(examples, cosines) of the k nearest of each text (terms, weights), the
@@ -287,23 +315,23 @@ class Searcher:
         index, n = self.index, len(cells)
         if not len(index.ids):
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
-        sums, dense = self._parts(cells)
+        sums, dense, places = self._parts(cells)
         if skip is not None:
             sums[np.arange(n), skip] = -np.inf
         # a block's bound: what is summed already, and the largest weights of all other terms
         blocks = np.maximum.reduceat(sums, index.begins, axis=1).astype(np.float32)
-        blocks += np.hstack([q @ top for q, top in zip(dense, self.top)])
+        blocks += np.hstack([dense[:, g] @ top for g, top in enumerate(self.top)])
         bound = np.maximum.reduceat(blocks, np.arange(0, blocks.shape[1], GROUP), axis=1)
         scores = np.full(sums.shape, -np.inf, np.float32)
         bar = np.full(n, SLACK, np.float32)
         best = bound.argmax(axis=1)
-        first = best[:, None] == np.arange(len(dense))
+        first = best[:, None] == np.arange(dense.shape[1])
         # the group of the best block, then all groups with a block that can still reach the k-th
         for todo in (lambda: first, lambda: ~first & (bound >= bar[:, None])):
             wanted = todo()
             for g in np.flatnonzero(wanted.any(axis=0)).tolist():
                 text, own = np.flatnonzero(wanted[:, g]), slice(self.edges[g], self.edges[g + 1])
-                out = dense[g][text] @ self.matrix[own].T
+                out = dense[text, g] @ self.matrix[own].T
                 out += sums[text, own]
                 scores[text, own] = out
                 self.visited += out.size
@@ -311,22 +339,39 @@ class Searcher:
                     bar[text] = np.maximum(bar[text], np.partition(out, -k, axis=1)[:, -k] - SLACK)
         self.of += scores.size
         text, found = np.nonzero(scores >= bar[:, None])
+        near = scores[text, found]
         parts = np.searchsorted(text, np.arange(n + 1)).tolist()
-        return [self._exact(sums[i], dense[:, i], found[a:b], scores[i, found[a:b]], k) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-
-    def _exact(self, sums: np.ndarray, dense: np.ndarray, found: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of a few examples, summed in double precision in a fixed order."""
-        if len(found) > k:
-            found = found[near >= np.partition(near, -k)[-k] - SLACK]
-        cosines = sums[found]
-        group = np.searchsorted(self.edges, found, side="right") - 1
-        for g in np.unique(group).tolist():
-            own = np.flatnonzero(group == g)
-            cosines[own] += (self.matrix[found[own]] * dense[g].astype(float)).sum(axis=1)
-        cosines = np.round(cosines, DIGITS)
-        best = np.lexsort((self.index.ids[found], -cosines))[:k]
+        for i, (a, b) in enumerate(zip(parts, parts[1:])):
+            if b - a > k:
+                bar[i] = np.partition(near[a:b], -k)[-k] - SLACK
+        text, found = text[near >= bar[text]], found[near >= bar[text]]
+        cosines = np.round(sums[text, found] + self._exact(dense, places, text, found), DIGITS)
+        best = np.lexsort((index.ids[found], -cosines, text))
         best = best[cosines[best] > 0]
-        return found[best], cosines[best]
+        text, found, cosines = text[best], found[best], cosines[best]
+        parts = np.searchsorted(text, np.arange(n + 1)).tolist()
+        return [(found[a : min(a + k, b)], cosines[a : min(a + k, b)]) for a, b in zip(parts, parts[1:])]
+
+    def _exact(self, dense: np.ndarray, places: np.ndarray, text: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The share of the columns in the cosines of (text, example) pairs, summed
+        in double precision over the columns of each text, in their order."""
+        _, groups, width = dense.shape
+        out = np.zeros(len(found))
+        weights = dense.reshape(-1)[places]
+        of = text * groups + np.searchsorted(self.edges, found, side="right") - 1
+        first, stop = np.searchsorted(places, of * width), np.searchsorted(places, (of + 1) * width)
+        size = stop - first
+        row = np.concatenate([[0], np.cumsum(size)])
+        begin = 0
+        while begin < len(found):  # a bounded number of products at once
+            end = max(int(np.searchsorted(row, row[begin] + PRODUCTS, side="right")) - 1, begin + 1)
+            own = slice(begin, end)
+            at = _ranges(first[own], size[own])
+            product = weights[at].astype(float)
+            product *= self.matrix.reshape(-1)[places[at] + np.repeat((found[own] - of[own]) * width, size[own])]
+            out[own] = np.bincount(np.repeat(np.arange(end - begin), size[own]), product, minlength=end - begin)
+            begin = end
+        return out
 
 
 def build_index(idf: np.ndarray, ids, labels, stands, vectors: list[tuple], sketches: np.ndarray) -> Index:
@@ -358,23 +403,22 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for p in pools for v in p[2:]]), np.array([p[0] for p in pools for _ in (0, 1)])
 
 
-_searchers: dict[int, tuple[Index, Searcher]] = {}
-
-
 def _searcher(index: Index) -> Searcher:
-    """One a worker: the broadcast gives every task the same index."""
-    held = _searchers.get(0)
-    if held is None or held[0] is not index:
-        _searchers[0] = (index, Searcher(index))
-    return _searchers[0][1]
+    """One a worker, kept with the broadcast index that every task gets; it holds
+    all weights itself, so those of the index are given up."""
+    if index.searcher is None:
+        index.searcher = Searcher(index)
+        index.terms = index.weights = np.zeros(0)
+    return index.searcher
 
 
 def _nearest(index: Index, cells: list[tuple[np.ndarray, np.ndarray]], skip: np.ndarray | None = None):
-    """The nearest examples of texts (terms, times), ``TEXTS`` at a time."""
+    """The nearest examples of texts (terms, times), ``TEXTS`` at a time at most."""
     searcher = _searcher(index)
-    for i in range(0, len(cells), TEXTS):
-        part = [(at, weigh(index.idf, at, times)) for at, times in cells[i : i + TEXTS]]
-        yield from searcher.nearest(part, NEIGHBOURS, None if skip is None else skip[i : i + TEXTS])
+    edges = np.linspace(0, len(cells), -(-len(cells) // TEXTS) + 1).astype(int).tolist()
+    for a, b in zip(edges, edges[1:]):
+        part = [(at, weigh(index.idf, at, times)) for at, times in cells[a:b]]
+        yield from searcher.nearest(part, NEIGHBOURS, None if skip is None else skip[a:b])
 
 
 def _cells(words: Words, vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

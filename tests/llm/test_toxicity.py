@@ -110,6 +110,37 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     assert searcher.visited < 0.5 * searcher.of
 
 
+def test_sums_read_packed_postings_and_bounded_products(monkeypatch):
+    """CPU time: a sparse posting is one read of eight bytes, terms without a column
+    hold no row of columns, and exact cosines of a batch are summed together, in parts."""
+    rng = np.random.default_rng(4)
+    idf, vectors = rng.uniform(1, 3, 3000), []
+    for _ in range(1200):
+        at = np.unique((rng.zipf(1.2, 60) - 1) % 3000)
+        vectors.append((at, rng.integers(1, 4, len(at)).astype(float)))
+    weighted = [(at.astype("<i4"), toxicity.weigh(idf, at, times).astype("<f4")) for at, times in vectors]
+    sketches = np.array([toxicity.sketch(*v) for v in weighted])
+    monkeypatch.setattr(toxicity, "DENSE_TERMS", 100)
+    index = toxicity.build_index(idf, np.arange(1200), np.zeros(1200), np.ones(1200), weighted, sketches)
+    searcher = toxicity.Searcher(index)
+    groups = len(searcher.edges) - 1
+    assert searcher.postings.itemsize == 8 and searcher.columns.shape == (100 * groups,)
+    assert len(searcher.postings) + int((searcher.matrix > 0).sum()) == len(index.terms)
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    asked = [none, *[(at, toxicity.weigh(idf, at, times)) for at, times in vectors[:70]], none]
+    whole = searcher.nearest(asked, 15)
+    plain = np.zeros((1200, 3000))
+    for i, (at, weights) in enumerate(weighted):
+        plain[i, at] = weights
+    for (at, weights), (found, cosines) in zip(asked, whole):
+        full = np.round(plain[:, at] @ weights, toxicity.DIGITS)
+        assert np.allclose(cosines, np.sort(full)[::-1][: len(cosines)], atol=1.1e-6)
+        assert np.allclose(full[index.ids[found]], cosines, atol=1.1e-6) and len(cosines) == min(15, int((full > 0).sum()))
+    monkeypatch.setattr(toxicity, "PRODUCTS", 7)
+    for one, other in zip(whole, searcher.nearest(asked, 15)):
+        assert np.array_equal(one[0], other[0]) and np.array_equal(one[1], other[1])
+
+
 def test_scores_do_not_depend_on_the_partitioning(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
