@@ -30,7 +30,9 @@ def compare(spark, rows, table=None, many=4):
     df = table if table is not None else spark.createDataFrame([(i, v, 1, 2, "c") for i, v in rows], SCHEMA)
     got = whiten(df, fit_whitening(df)).collect()
     n, deviation, e, v, mean, ints = brute(rows)
-    kept = min(many, int((e > 1e-20 * max(e.max(initial=0), 1e-300)).sum())) if len(e) and e[0] > 1e-12 else 0
+    # rank by singular values: eigenvalues of the covariance hold rounding noise above 1e-20 of the largest
+    s = np.linalg.svd(np.array([x for _, x in ints]) - mean, compute_uv=False) if n else np.zeros(0)
+    kept = min(many, int((s > 1e-10 * s.max()).sum())) if len(e) and e[0] > 1e-12 else 0
     assert len(got) == kept * len(ints)
     if not kept:
         return got
