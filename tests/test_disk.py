@@ -5,13 +5,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from specsift.operators import keyword, queries as Q
+from specsift.operators import keyword, queries as Q, vectors
 from specsift.operators.qgrams import pairs_within
 from specsift.operators.queries import in_waves, prepare_queries, query_batch
 from specsift.operators.vectors import matrix, packed
 from specsift.plans import search
 from specsift.plans.search import build_corpus_index, hybrid_search
 from specsift.session import write_stage
+from test_many_queries import _shard
 from test_search import SCHEMA, _entries
 
 
@@ -105,3 +106,37 @@ def test_both_lists_of_a_hybrid_search_are_written(spark, monkeypatch):
     monkeypatch.setattr(search, "write_stage", lambda df, name: (names.append(name), plain(df, name))[1])
     q = spark.createDataFrame([(1, "mul a b"), (2, "mod range")], "query_id long, query string")
     assert hybrid_search(corpus, q, 3).count() == 6 and names == ["semantic", "keyword"]
+
+
+@pytest.mark.parametrize("boosts", [(2.0, 1.5), (1 / 3, 0.1)])
+def test_postings_added_in_pieces(monkeypatch, boosts):
+    rng = np.random.default_rng(6)
+    asked = pa.table({"key_query_id": list(range(40)), "terms": [
+        [f"t{i}" for i in rng.choice(45, int(rng.integers(0, 25)), replace=False)] for _ in range(40)]})
+    monkeypatch.setattr(keyword, "SHARED_POSTINGS", 1 << 40)  # no word is a column
+    found = []
+    for together, added in ((1 << 30, 1), (1, 50), (1, 1 << 20)):
+        monkeypatch.setattr(keyword, "TOGETHER", together)
+        monkeypatch.setattr(keyword, "ADDED", added)
+        queries = keyword._Queries(asked, 6)
+        for size in (200, 70):
+            keyword._Shard(_shard(np.random.default_rng(size), size, 40), queries.terms, *boosts).search(queries)
+        found.append([None if b is None else (b[0].tolist(), b[2].tolist()) for b in queries.best])
+    assert found[0] == found[1] == found[2] and any(b and len(b[0]) == 6 for b in found[0])
+
+
+@pytest.mark.parametrize("long", [3, 200, 40_000])
+def test_cosines_of_counts_are_exact(long):
+    """Rounded products, and those of rows too long to round, equal the plain cosines; of equal ones the first stay."""
+    rng = np.random.default_rng(long)
+    e, q = rng.integers(-long, long, (90, 16)), rng.integers(-long, long, (11, 16))
+    e[40:60], e[7], q[3], position = e[10:30], 0, 0, rng.permutation(90)
+    best = vectors._Best(pa.table({"key_query_id": list(range(11)), "vector": list(q.astype(float))}), 6, 16, "dense")
+    for lo in range(0, 90, 30):
+        best.offer(vectors.Coded(e[lo : lo + 30].astype(float)), position[lo : lo + 30], [])
+    for i in range(11):
+        with np.errstate(invalid="ignore"):
+            cosine = (e @ q[i]) / np.sqrt((e * e).sum(1).astype(float) * float((q[i] * q[i]).sum()))
+        want = [j for j in np.lexsort((position, -cosine)) if e[j].any() and q[i].any()][:6]
+        own = best.q == i
+        assert best.position[own].tolist() == position[want].tolist() and best.score[own].tolist() == cosine[want].tolist()
