@@ -1,5 +1,7 @@
 """What a large search keeps on disk: small rows between steps, a few copies of the corpus at a time, each written once."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,6 +14,7 @@ from specsift.operators.vectors import matrix, packed
 from specsift.plans import search
 from specsift.plans.search import build_corpus_index, hybrid_search
 from specsift.session import write_stage
+from specsift.sources.corpus_io import write_enriched_graph
 from test_many_queries import _shard
 from test_search import SCHEMA, _entries
 
@@ -140,3 +143,18 @@ def test_cosines_of_counts_are_exact(long):
         want = [j for j in np.lexsort((position, -cosine)) if e[j].any() and q[i].any()][:6]
         own = best.q == i
         assert best.position[own].tolist() == position[want].tolist() and best.score[own].tolist() == cosine[want].tolist()
+
+
+def test_enriched_nodes_are_read_once(spark, scratch):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    rows = [(1, '{"a": 1}', None), (0, "{}", [("x", 0.5)])]
+    df = spark.createDataFrame(rows, "node_id long, node string, similar_lemmas array<struct<name:string,score:double>>").coalesce(1)
+    write_enriched_graph(df.mapInArrow(counted, df.schema), os.path.join(scratch, "g"))
+    lines = [r.value for r in spark.read.text(os.path.join(scratch, "g", "nodes")).collect()]
+    assert lines == ['{"similar_lemmas": [{"name": "x", "score": 0.5}]}', '{"a": 1}'] and runs.value == 2
